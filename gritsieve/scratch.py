@@ -24,7 +24,9 @@ def shared_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
         _OPEN.append((spark, root))
-    return root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")  # with its scheme, for readers outside Spark
 
 
 def remove(spark: SparkSession, path: str) -> None:
