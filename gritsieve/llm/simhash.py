@@ -1,13 +1,13 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most r bits have a point in common within r // 2 bits of one and
-r - r // 2 bits of the other. Every distinct fingerprint therefore emits all its variants within half
+Two fingerprints that differ in at most r bits, r even, have a point in common within r / 2 bits of
+either. Every distinct fingerprint therefore emits all its variants within half
 the radius; the variants are the shuffle key, and those met by several fingerprints give the links.
 Exact copies share one fingerprint and take part once, so a large group of copies costs one row.
 
 A bucket holds distinct fingerprints that all lie around one variant, which bounds it (65 for one
-bit). Its members are linked to the smallest of them: a star keeps the bucket connected without
-emitting all its pairs. Where the balls are wider than the radius allows, each link is verified.
+bit). Its members are linked to the smallest of them, and each link is verified: any two members of a
+bucket of an even radius lie within it, so a star keeps the bucket connected without all its pairs.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a null
 ``doc_id`` counts as the largest id, and a component of such rows only has a null id; repeated rows
@@ -78,15 +78,14 @@ def ball(bits: int) -> list[int]:
 
 def near_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """(a, b): links among distinct fingerprints that keep every pair within the radius connected."""
-    half = radius - radius // 2
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(half)])
+    if radius % 2:
+        raise ValueError("the radius must be even: half of it is flipped on either side")
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius - radius // 2)])
     variants = classes.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
-    buckets = variants.groupBy("variant").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
-    if 2 * half <= radius:  # any two members lie within the radius, so a star holds only true links
-        edges = buckets.select(F.array_min("met").alias("a"), F.explode("met").alias("b"))
-    else:
-        edges = buckets.select(F.explode("met").alias("a"), "met").select("a", F.explode("met").alias("b"))
-    near = edges.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    # plain counters first: few variants are met twice, and only those gather their members
+    met = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1").select("variant", "a")
+    stars = variants.join(scratch.stash(met, "met"), "variant").select("a", F.col("fp").alias("b"))
+    near = stars.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return scratch.stash(near.distinct(), "links")
 
 
