@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gritsieve.llm.chat import chat_report
 from gritsieve.llm.decontaminate import contamination_report
 from gritsieve.llm.line_dedup import line_dedup_report
 from gritsieve.llm.mixing import mix_report
 from gritsieve.llm.quality import quality_report
+from gritsieve.llm.secrets import secrets_report
 from gritsieve.llm.simhash import simhash_report
 from gritsieve.llm.sql import SQL
+from gritsieve.llm.token_counts import token_counts
+from gritsieve.llm.toxicity import toxicity_report
+
+#: The production tokenizer: a byte-level vocabulary of ranks, the pattern that splits text before its
+#: merges, and the free identifier that ends a document (fixed values of that vocabulary).
+VOCABULARY = os.environ.get("GRITSIEVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SEPARATOR = 50256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, SEPARATOR)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(_table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -31,16 +50,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op4_decontamination, op6_mixing, op8_quality_rules, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_line_dedup, op3_chat_formatting, op4_decontamination, op6_mixing, op7_secret_scans,
+        op8_quality_rules, op9_toxicity, op10_simhash,
+    )
 }
 
 

@@ -84,4 +84,46 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM rated
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontamination": OP4, "op6_mixing": OP6}
+#: One pass for each kind: matches are marked with a private-use character that the text is freed of, and
+#: the parts between the marks are measured.
+_KINDS = (
+    (0, "assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    (1, "access", r"AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", r"[0-9a-f]+", 0, 24),
+    (3, "private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    (4, "github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    (5, "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    (6, "slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    (7, "google", r"AIza[0-9A-Za-z_-]{35}", 0, 0),
+)
+
+OP7 = (
+    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents)"
+    + "".join(
+        f"""
+, cut{k} AS (
+    SELECT r, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i
+    FROM (SELECT r, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS p FROM docs)
+), span{k} AS (
+    SELECT * FROM (SELECT r, {k} AS ord, '{kind}' AS kind, part, i,
+                          sum(length(part)) OVER (PARTITION BY r ORDER BY i) - length(part) AS a, sum(length(part)) OVER (PARTITION BY r ORDER BY i) AS b
+                   FROM cut{k})
+    WHERE i % 2 = 0 AND length(regexp_extract(part, '{pattern}', {group})) >= {least}
+)"""
+        for k, kind, pattern, group, least in _KINDS
+    )
+    + ", spans AS ("
+    + " UNION ALL ".join(f"SELECT r, ord, kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM span{k}" for k, *_ in _KINDS)
+    + """), told AS (
+    SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+           string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 3) AS base,
+           string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans
+    FROM spans GROUP BY r
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN told t ON d.r = t.r
+"""
+)
+
+SQL: dict[str, str] = {"op7_secret_scans": OP7, "op2_line_dedup": OP2, "op4_decontamination": OP4, "op6_mixing": OP6}
