@@ -15,6 +15,7 @@ from gritsieve.llm.quality import quality_report
 from gritsieve.llm.secrets import secrets_report
 from gritsieve.llm.simhash import simhash_report
 from gritsieve.llm.sql import SQL
+from gritsieve.llm.suffix_dedup import suffix_dedup_report
 from gritsieve.llm.token_counts import token_counts
 from gritsieve.llm.toxicity import toxicity_report
 
@@ -46,6 +47,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_report(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_line_dedup, op3_chat_formatting, op4_decontamination, op6_mixing, op7_secret_scans,
+        op1_token_counts, op2_line_dedup, op3_chat_formatting, op4_decontamination, op5_suffix_dedup, op6_mixing, op7_secret_scans,
         op8_quality_rules, op9_toxicity, op10_simhash,
     )
 }
