@@ -5,9 +5,9 @@ counterfactual twin is made by swapping the term for another of its kind; traini
 the difference between the two scores, so a neutral mention of a group cannot carry a score by itself.
 
 Training uses a bounded sample: at most ``max_rows`` labelled documents outside the held-out part, in
-the order of a hash of their id. Everything that reaches the driver is bounded by that number and by
-``max_words`` feature numbers a document; what is broadcast is one weight for each of ``max_features``
-features. Scoring is one pass over whole texts without a shuffle.
+the order of a hash of their id, with at most ``max_words`` features each. Features are counted where
+the rows are; the driver gets at most ``max_features`` chosen ones and their places in the sampled
+rows, and what is broadcast is one weight for each of them. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a null
 ``doc_id`` is not held out and has no label; labels that are null or belong to no document are
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.llm.arrow import raw, table
 from gritsieve.llm.decontaminate import FOLD
+from gritsieve.scratch import Scratch
 
 #: Terms for groups of people, each list of one kind (fixed values).
 GROUPS = (
@@ -102,35 +103,20 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def _rows(lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every selected feature, for sparse products."""
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(numbers, flat), len(numbers) - 1)
-    held = numbers[at] == flat
-    return rows[held], at[held]
-
-
-def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.ndarray, options: ToxicityOptions) -> Model:
-    """Logistic regression by Adam over all rows; the pair penalty is on differences of logits."""
-    n, positive = len(labels), float(labels.sum())
-    flat = Model(np.empty(0, dtype=np.int64), np.empty(0), float(np.log((positive + 0.5) / (n - positive + 0.5))), options.buckets)
-    if not 0 < positive < n:
-        return flat
-    everything = np.concatenate(samples)
-    numbers, inverse, counts = np.unique(everything, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, weights=np.repeat(labels, [len(s) for s in samples]), minlength=len(numbers))
-    share = positive / n
-    z = (toxic - counts * share) / np.sqrt(counts * share * (1 - share))
-    chosen = np.flatnonzero((counts >= options.min_rows) & (np.abs(z) >= options.min_z))
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[: options.max_features]]
-    if not len(chosen):
-        return flat
-    numbers = np.sort(numbers[chosen])
-    rows, cols = _rows(samples, numbers)
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every feature, for sparse products."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.empty(0, dtype=np.int64), *lists])
+
+
+def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.ndarray, numbers: np.ndarray, options: ToxicityOptions) -> Model:
+    """Logistic regression by Adam over all rows of column numbers; the pair penalty is on differences of logits."""
+    n, positive, k = len(labels), float(labels.sum()), len(numbers)
+    w, b = np.zeros(k), float(np.log((positive + 0.5) / (n - positive + 0.5)))
+    if not k:
+        return Model(numbers, w, b, options.buckets)
+    rows, cols = _flat(samples)
     pairs = [(s, t) for s, t in zip(samples, twins) if t is not None]
-    here, there = _rows([s for s, _ in pairs], numbers), _rows([t for _, t in pairs], numbers)
-    w, b, k = np.zeros(len(numbers)), flat.intercept, len(numbers)
+    here, there = _flat([s for s, _ in pairs]), _flat([t for _, t in pairs])
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, options.steps + 1):
         logits = b + np.bincount(rows, weights=w[cols], minlength=n)
@@ -147,8 +133,8 @@ def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.nd
     return Model(numbers, w, float(b), options.buckets)
 
 
-def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model:
-    """Fit on the bounded sample of labelled documents outside the held-out part."""
+def _sample(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
+    """(doc_id, toxic, here, twin): features of the bounded sample and of its counterfactual twins."""
     label = labels.select(labels["doc_id"].cast("long").alias("__id"), labels["toxic"].cast("int").alias("__toxic")).where("__id is not null and __toxic is not null")
     label = label.where(part_of(F.col("__id"), options.parts) != options.held_out).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     chosen = label.orderBy(F.xxhash64("__id"), "__id").limit(options.max_rows)
@@ -162,13 +148,45 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
             cut = lambda s: features(s, options.buckets)[: options.max_words]
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("__toxic"), pa.int32()),
-                "here": ([cut(set(w)) for w in words], pa.list_(pa.int64())),
-                "twin": ([None if t is None else cut(t) for t in twins], pa.list_(pa.int64())),
+                "here": ([cut(set(w)) for w in words], pa.list_(pa.int32())),
+                "twin": ([None if t is None else cut(t) for t in twins], pa.list_(pa.int32())),
+            })
+
+    return rows.mapInArrow(run, "doc_id long, toxic int, here array<int>, twin array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model:
+    """Fit on the bounded sample of labelled documents outside the held-out part.
+
+    Features are counted and chosen by their association with the label where the rows are; the
+    driver gets the chosen ones, and which of them each sampled row has.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.stash(_sample(docs, labels, options), "sample")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
+    numbers = np.empty(0, dtype=np.int64)
+    if 0 < positive < n:
+        share = positive / n
+        counts = rows.select(F.explode("here").alias("f"), (F.col("toxic") > 0).cast("long").alias("t")).groupBy("f").agg(F.count("*").alias("c"), F.sum("t").alias("t")).where(F.col("c") >= options.min_rows)
+        z = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
+        best = counts.withColumn("z", z).where(F.col("z") >= options.min_z).orderBy(F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
+        numbers = np.sort(best.column("f").to_numpy().astype(np.int64))
+    shared = spark.sparkContext.broadcast(numbers)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(lists: list) -> list:
+            return [None if x is None else np.flatnonzero(np.isin(shared.value, np.array(x, dtype=np.int64))) for x in lists]
+
+        for batch in batches:
+            yield table({
+                "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("toxic"), pa.int32()),
+                "here": (columns(batch.column("here").to_pylist()), pa.list_(pa.int32())), "twin": (columns(batch.column("twin").to_pylist()), pa.list_(pa.int32())),
             })
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, here array<long>, twin array<long>").toArrow().sort_by([("doc_id", "ascending")])
-    lists = lambda name: [None if x.as_py() is None else np.array(x.as_py(), dtype=np.int64) for x in found.column(name)]
-    return fit(lists("here"), lists("twin"), found.column("toxic").to_numpy().astype(float), options)
+    found = rows.mapInArrow(chosen, "doc_id long, toxic int, here array<int>, twin array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    scratch.drop("sample")
+    lists = lambda name: [None if x is None else np.array(x, dtype=np.int64) for x in found.column(name).to_pylist()]
+    return fit(lists("here"), lists("twin"), (found.column("toxic").to_numpy() > 0).astype(float), numbers, options)
 
 
 REPORT_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
