@@ -27,24 +27,30 @@ from gritsieve.scratch import Scratch
 
 @dataclass(frozen=True)
 class SecretRule:
-    """A kind of secret. ``least``: matches whose ``group`` is shorter are dropped after matching."""
+    """A kind of secret. ``least``: matches whose ``group`` is shorter are dropped after matching.
+
+    ``bounded`` may give an expression that finds just the matches that are not dropped. It must find
+    the same ones: a run of one class that is too short holds no long enough run, so a lower bound on
+    the run says the same as dropping it, and spares a mark at every short run of a text.
+    """
 
     kind: str
     pattern: str
     fold: bool = False
     group: int = 0
     least: int = 0
+    bounded: str = ""
 
     @property
     def java(self) -> str:
-        return f"(?i){self.pattern}" if self.fold else self.pattern
+        return ("(?i)" if self.fold else "") + (self.bounded or self.pattern)
 
 
 #: The base rules, in the order of their kinds, then the rules that this method adds (fixed values).
 BASE_RULES = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
-    SecretRule("access", r"AKIA[A-Z0-9]+", False, 0, 20),
-    SecretRule("hex", r"[0-9a-f]+", False, 0, 24),
+    SecretRule("access", r"AKIA[A-Z0-9]+", False, 0, 20, r"AKIA[A-Z0-9]{16,}"),
+    SecretRule("hex", r"[0-9a-f]+", False, 0, 24, r"[0-9a-f]{24,}"),
 )
 MORE_RULES = (
     SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -173,9 +179,8 @@ WORD_BITS = 62
 
 def postings(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
     """(doc_id, row, gram): one posting for each document and each indexed trigram that it holds."""
-    low = F.lower(F.col("text"))
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]), lambda k: k.isNotNull())
-    return docs.select("doc_id", "row", F.explode(held).alias("gram"))
+    held = F.explode(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
+    return docs.select("doc_id", "row", F.lower("text").alias("low")).select("doc_id", "row", held.alias("gram")).where("gram is not null")
 
 
 def _evaluate(query: Query, grams: Sequence[str]) -> Column:
@@ -207,12 +212,18 @@ MARK, OTHER = "\ue000", "\ue001"
 FOLD = 256
 
 
-def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
-    """An array of (start, order, kind, end) of the rule's leftmost matches that do not overlap."""
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), F.lit(rule.java), F.lit(f"{MARK}$0{MARK}"))
-    parts = F.split(marked, MARK)
-    kind = "struct<pos:bigint,i:int,out:array<struct<start:bigint,ord:int,kind:string,stop:bigint>>>"
-    empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
+SPANS = "array<struct<start:bigint,ord:int,kind:string,stop:bigint>>"
+
+
+def marked_parts(text: Column, rule: SecretRule) -> Column:
+    """The text (free of marks) cut at the ends of the rule's leftmost matches that do not overlap."""
+    return F.split(F.regexp_replace(text, F.lit(rule.java), F.lit(f"{MARK}$0{MARK}")), MARK)
+
+
+def part_spans(parts: Column, rule: SecretRule, order: int) -> Column:
+    """An array of (start, order, kind, stop) of the matches among the parts: every second one."""
+    kind = f"struct<pos:bigint,i:int,out:{SPANS}>"
+    empty = F.array().cast(SPANS)
 
     def step(acc: Column, part: Column) -> Column:
         size = F.length(part).cast("long")
@@ -224,13 +235,12 @@ def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
     def block(acc: Column, at: Column) -> Column:
         """Fold one block of parts from the place where the last ended, then append its spans."""
         start = F.struct(acc["pos"].alias("pos"), acc["i"].alias("i"), empty.alias("out")).cast(kind)
-        done = F.aggregate(F.slice(parts, at, FOLD), start, step)
-        return F.struct(done["pos"].alias("pos"), done["i"].alias("i"), F.concat(acc["out"], done["out"]).alias("out")).cast(kind)
+        return F.aggregate(F.slice(parts, at, FOLD), start, step, lambda done: F.struct(done["pos"].alias("pos"), done["i"].alias("i"), F.concat(acc["out"], done["out"]).alias("out")).cast(kind))
 
     zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("i"), empty.alias("out")).cast(kind)
-    small = F.aggregate(parts, zero, step)["out"]
-    large = F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(FOLD)), zero, block)["out"]
-    return F.when(F.size(parts) == 1, empty).when(F.size(parts) <= 2 * FOLD, small).otherwise(large)
+    small = F.aggregate(parts, zero, step, lambda done: done["out"])
+    large = F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(FOLD)), zero, block, lambda done: done["out"])
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) <= 1, empty).when(F.size(parts) <= 2 * FOLD, small).otherwise(large)
 
 
 def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
@@ -247,12 +257,12 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFr
         slim = slim.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")), "left")
     else:
         slim = slim.withColumn("rules", F.lit(None).cast("array<int>"))
-    empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
-    found = []
-    for k, (rule, query) in enumerate(zip(rules, queries)):
-        spans = rule_spans(F.col("text"), rule, k)
-        found.append(spans if query == ALL else F.when(F.array_contains("rules", F.lit(k)), spans).otherwise(empty))
-    return slim.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
+    # one projection after the other: each is used several times by the next and computed once
+    freed = slim.select("doc_id", "rules", F.replace("text", F.lit(MARK), F.lit(OTHER)).alias("text"))
+    wanted = [F.lit(True) if q == ALL else F.coalesce(F.array_contains("rules", F.lit(k)), F.lit(False)) for k, q in enumerate(queries)]
+    parts = freed.select("doc_id", *[F.when(w, marked_parts(F.col("text"), r)).alias(f"p{k}") for k, (w, r) in enumerate(zip(wanted, rules))])
+    spans = parts.select("doc_id", *[part_spans(F.col(f"p{k}"), r, k).alias(f"s{k}") for k, r in enumerate(rules)])
+    return spans.select("doc_id", F.array_sort(F.concat(*[F.col(f"s{k}") for k in range(len(rules))])).alias("found"))
 
 
 def secrets_report(docs: DataFrame, rules: Sequence[SecretRule] = RULES, base: int = len(BASE_RULES)) -> DataFrame:
