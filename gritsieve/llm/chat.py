@@ -128,19 +128,18 @@ def latest_before(rows: DataFrame, keys: list[str], bucket: int = BUCKET) -> Dat
 
 def _depths(parents: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, thread, depth) by pointer doubling over (conv_id, turn, parent)."""
-    known = parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    step = 0
-    known = scratch.stash(known, "depth-0")
-    while True:
+    open_ = F.col("parent").isNotNull()
+    known = parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), open_.cast("long").alias("depth"), open_.alias("open"))
+    known, step = scratch.stash(known, "depth-0"), 0
+    while known.where("open").limit(1).count():
+        # only turns that have not reached their root go on
         above = known.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        known = known.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        jumped = known.where("open").join(above, ["conv_id", "up"])
+        jumped = jumped.select("conv_id", "turn", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open"))
         step += 1
-        known = scratch.stash(known, f"depth-{step}")
-        moved = known.where("moved").limit(1).count()
-        known = known.drop("moved")
+        known = scratch.stash(known.where("not open").unionByName(jumped), f"depth-{step}")
         scratch.drop(f"depth-{step - 1}")
-        if not moved:
-            return known.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
+    return known.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
 
 
 def link_quotes(messages: DataFrame, bucket: int = BUCKET) -> DataFrame:
