@@ -10,7 +10,7 @@ EXPORT_VERSION = 6
 FINGERPRINT_VERSION = 2
 LEDGER_VERSION = 2
 
-_STRINGS = T.ArrayType(T.StringType(), False)
+_STRINGS = T.ArrayType(T.StringType())
 
 PATCH = T.StructType([
     T.StructField("hunks", T.IntegerType()),
@@ -56,7 +56,7 @@ COMMIT = T.StructType([
     T.StructField("parents", _STRINGS),
     T.StructField("date", T.StringType()),
     T.StructField("message", T.StringType()),
-    T.StructField("files", T.ArrayType(FILE, False)),
+    T.StructField("files", T.ArrayType(FILE)),
     T.StructField("pull_request", PULL_REQUEST),
 ])
 

@@ -38,7 +38,7 @@ HEADER = "path string, repo string, url string, head string, commits long"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     # lines keep their order within a file by their place in it: one partition reads one whole file
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     return rows.where(F.trim("line") != "").select("path", F.col("pos").cast("long").alias("pos"), F.from_json("line", _RAW, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "line")
 
 
