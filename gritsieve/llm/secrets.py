@@ -81,7 +81,7 @@ def _or(parts: Iterable[Query]) -> Query:
 
 
 def _of_strings(strings: Iterable[str]) -> Query:
-    return _or(_and(("tri", s[k : k + 3]) for k in range(len(s) - 2)) for s in strings)
+    return _or(_and(("tri", s[k : k + 3]) for k in range(len(s) - 2)) for s in sorted(strings))
 
 
 def _class_strings(items: Sequence) -> set[str] | None:
