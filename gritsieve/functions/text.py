@@ -198,5 +198,23 @@ def strip_credentials(url: Column) -> Column:
     return F.when(url.rlike(_USER), F.concat(scheme, kept, F.regexp_replace(url, _USER, ""))).otherwise(url)
 
 
+def web_url(url: Column) -> Column:
+    """The address of a repository in a browser, from a web address or a remote, or null."""
+    plain = strip_credentials(F.trim(url))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"/\z", ""), r"\.git\z", "")
+    remote, short = r"\A(?:ssh|git)://(?:[^/@]*@)?([^/:]+)(?::\d+)?/(.+)\z", r"\A[^/@:]+@([^/:]+):(.+)\z"
+
+    def told(pattern: str) -> Column:
+        return F.concat(F.lit("https://"), F.regexp_extract(plain, pattern, 1), F.lit("/"), F.regexp_replace(F.regexp_extract(plain, pattern, 2), r"\A/+", ""))
+
+    return F.when(plain.rlike(r"(?i)\Ahttps?://"), plain).when(plain.rlike(remote), told(remote)).when(plain.rlike(short), told(short))
+
+
+def short_name(sha: Column, pull_number: Column | None = None) -> Column:
+    """``#number`` of a pull request, else ten digits of the sha."""
+    plain = F.substring(sha, 1, 10)
+    return plain if pull_number is None else F.when(pull_number.isNotNull(), F.concat(F.lit("#"), pull_number.cast("string"))).otherwise(plain)
+
+
 def clip(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)

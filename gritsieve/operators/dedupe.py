@@ -102,6 +102,20 @@ def outcome(status: Column, matches: Column, repo: Column, sha: Column) -> Colum
     return F.when(status.isin("new", "unknown"), status).when(own, "recorded").when(F.exists(matches, lambda m: m["entry"]["repo"] != repo), "collision").otherwise("internal")
 
 
+def verdict_text(status: Column, matches: Column, repo: Column, sha: Column) -> Column:
+    """One line on a verdict: its kind, the best match, and how many more there are."""
+    best = F.get(matches, F.lit(0))
+    entry, same = best["entry"], best["entry"]["sha"] == sha
+    where = F.concat(entry["repo"], F.lit(" "), F.substring(entry["sha"], 1, 10))
+    held = F.concat(entry["status"], F.when(entry["owner"].isNotNull(), F.concat(F.lit(" by "), entry["owner"])).otherwise(""), F.lit(" on "), F.substring(entry["first_seen"], 1, 10))
+    who = F.when(best["in_run"], "earlier in this run").otherwise(held)
+    more = F.when(F.size(matches) > 1, F.concat(F.lit(" (+"), (F.size(matches) - 1).cast("string"), F.lit(" more)"))).otherwise("")
+    own = same & (entry["repo"] == repo) & ~best["in_run"]
+    what = F.when(status == "overlap", F.concat(best["shared"].cast("string"), F.lit(" of "), best["smaller"].cast("string"), F.lit(" hunks shared with "), where))
+    what = what.when(own, F.lit("already in the ledger")).otherwise(F.concat(F.when(same, "same commit as ").otherwise("same fix as "), where))
+    return F.when(status.isin("new", "unknown"), status).otherwise(F.concat(status, F.lit(": "), what, F.lit(" ("), who, F.lit(")"), more))
+
+
 def first_other(matches: Column, repo: Column) -> Column:
     """The first match of another repository."""
     return F.get(F.filter(matches, lambda m: m["entry"]["repo"] != repo), F.lit(0))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gritsieve.functions import signals, text as tx
+from gritsieve.functions.measure import measured, unified_hunks
 from gritsieve.operators import dedupe, scoring, summaries
 from gritsieve.operators.rules import classify
 from gritsieve.operators.stats import diff_stats
@@ -168,13 +169,15 @@ def _line_hashes(text: Column) -> Column:
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as proposals, hashed once: what follows reads them from the shared folder several times."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("sha"), F.lit("").alias("subject"), dedupe.fingerprint_of(_line_hashes(F.col("text"))).alias("fingerprint"))
+    rows = docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("sha"), F.lit("").alias("subject"), dedupe.fingerprint_of(_line_hashes(F.col("text"))).alias("fingerprint"))
+    return Scratch(spark, "proposals").stash(rows, "rows")
 
 
 def _as_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First occurrences as ledger entries with their hunks."""
-    firsts = dedupe.first_occurrences(rows)
+    firsts = Scratch(rows.sparkSession, "entries").stash(dedupe.first_occurrences(rows), "firsts")
     entries = firsts.select(F.col("ord").alias("id"), F.col("fingerprint.patch").alias("fingerprint"), "repo", "sha", "subject", F.lit("proposed").alias("status"), F.lit(None).cast("string").alias("owner"), F.lit("2024-01-01T00:00:00+00:00").alias("first_seen"), F.size(F.array_distinct("fingerprint.hunks")).alias("hunk_count"))
     return entries, firsts.select(F.col("ord").alias("entry_id"), F.explode(F.array_distinct("fingerprint.hunks")).alias("hash"))
 
@@ -232,6 +235,22 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where("outcome = 'collision'").select(F.col("ord").alias("doc_id"), "repo", other["entry"]["repo"].alias("other"), other["entry"]["id"].alias("other_id"), "status")
 
 
+def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select(F.col("ord").alias("doc_id"), dedupe.verdict_text(F.col("status"), F.col("matches"), F.col("repo"), F.col("sha")).alias("verdict"))
+
+
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repository's best candidates: a rank, then a cut."""
+    return scoring.ranked(outcomes(spark, sf_dir, details=False)).where("rank <= 5").select("repo", "rank", tx.short_name(F.col("sha")).alias("commit"), tx.clip(tx.subject(F.col("message")), 12).alias("subject"))
+
+
+def commit_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of dates with several offsets, and the spelling of UTC."""
+    plain = F.substring("date", 1, 19)
+    shifted = F.concat(plain, F.when(F.col("pos") % 3 == 0, "Z").when(F.col("pos") % 3 == 1, "+02:00").otherwise("-05:30"))
+    return commits(spark, sf_dir).select("sha", tx.normalize_date(shifted).alias("date"), tx.instant(shifted).alias("instant"))
+
+
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.outcome_counts(_judged(spark, sf_dir))
 
@@ -250,6 +269,30 @@ def recorded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages, events, labels ---------------------------------------------------------------------
 
 
+def checked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents checked in order: each against the ledger and every one before it."""
+    entries, hunks = benchmark_ledger(spark, sf_dir)
+    folded = dedupe.fold_in_order(proposals(spark, sf_dir), entries, hunks, Scratch(spark, "checked-run"), keep_overlaps=True, own_first=False)
+    return folded.select(F.col("ord").alias("doc_id"), "status", F.size("matches").alias("matches"))
+
+
+def patch_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as unified diffs that delete their first line and add the others, measured by language."""
+    lines, n = _lines(F.col("text")), F.size(_lines(F.col("text")))
+    rest = F.slice(lines, F.lit(2), F.greatest(n - 1, F.lit(1)))
+    diff = F.concat(F.lit("@@ -1,1 +1,"), (n - 1).cast("string"), F.lit(" @@\n-"), F.get(lines, F.lit(0)), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("\n+"), x)), ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", measured(unified_hunks(diff), _pick(("python", "rust", "go", "java", "javascript"), F.col("doc_id"))).alias("p"))
+    return rows.select("doc_id", "p.hunks", "p.code_hunks", "p.code_added", "p.code_deleted", "p.asserts", F.get("p.hunk_hashes", F.lit(0)).alias("hash"))
+
+
+def test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test attributes of two versions of a file, made from a page."""
+    n = F.col("page_id")
+    new = F.concat(F.repeat(F.lit("  #[test]\nfn a() {}\n#[tokio::test]\n"), (n % 4).cast("int")), F.coalesce("html", F.lit("")))
+    old = F.when(n % 5 != 0, F.repeat(F.lit("#[test]\n"), (n % 7).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", signals.count_test_functions(new).alias("tests"), signals.tests_added(new, old).alias("gained"), tx.web_url(F.col("url")).alias("web"), tx.web_url(F.concat(F.lit("git@host:o/"), n.cast("string"), F.lit(".git"))).alias("remote"))
+
+
 def url_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as they are, and with credentials put in."""
     url, n = F.col("url"), F.col("page_id")
@@ -344,6 +387,7 @@ QUERIES = {
         mine_ranked, classify_files, commit_stats, commit_lists, reject_reasons, score_features, difficulty_features, top_candidates, reason_counts, band_counts,
         funnel, feature_table, rejected_lists, commit_messages, linked_issues, normalized_lines, hunk_hashes, fingerprints, first_occurrences, shared_hunks,
         verdicts, collisions, outcome_counts, status_counts, recorded_run, url_cleaning, file_signals, resume, watermarks, prefix_stop, run_segments,
-        range_cuts, multiset_gain, set_overlap, label_measures, repository_summary,
+        range_cuts, multiset_gain, set_overlap, label_measures, repository_summary, verdict_texts, best_candidates, commit_dates, checked_run, patch_measures,
+        test_counts,
     )
 }

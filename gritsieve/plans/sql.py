@@ -238,4 +238,18 @@ SQL: dict[str, str] = {
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang""",
     "repository_summary": f"""WITH {_OUTCOMES} SELECT r_name, c_mktsegment, count(*) AS walked, count(*) FILTER (reason IS NULL) AS candidates, count(*) FILTER (band = 'hard') AS hard, round(max(score), 4) AS best
         FROM banded b JOIN orders o ON o.o_orderkey = b.pos JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, c_mktsegment""",
+    "verdict_texts": f"""WITH {_LINES} SELECT o.doc_id, CASE WHEN o.status IN ('new', 'unknown') THEN o.status ELSE o.status || ': ' ||
+        CASE WHEN o.status = 'overlap' THEN o.shared || ' of ' || o.smaller || ' hunks shared with ' || o.best_repo || ' ' || e.sha
+             WHEN o.best_repo = o.source AND o.best_id = o.doc_id THEN 'already in the ledger'
+             WHEN e.sha = CAST(o.doc_id AS VARCHAR) THEN 'same commit as ' || o.best_repo || ' ' || e.sha ELSE 'same fix as ' || o.best_repo || ' ' || e.sha END
+        || ' (proposed on 2024-01-01)' || CASE WHEN o.n > 1 THEN ' (+' || (o.n - 1) || ' more)' ELSE '' END END AS verdict
+        FROM outcomes o LEFT JOIN (SELECT id, CAST(CASE WHEN id < 0 THEN -id - 1 ELSE id END AS VARCHAR) AS sha FROM entries) e ON e.id = o.best_id""",
+    "best_candidates": f"""WITH {_OUTCOMES}, r AS (SELECT repo, sha, k, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS rank FROM banded WHERE reason IS NULL)
+        SELECT repo, CAST(rank AS INTEGER) AS rank, left(sha, 10) AS commit,
+        ['Fix crash...', 'Add featu...', 'Update do...', 'Handle wr...', 'refactor:...', 'Resolve b...'][CAST(k AS INTEGER) + 1] AS subject FROM r WHERE rank <= 5""",
+    "commit_dates": """SELECT CAST(o_orderkey AS VARCHAR) AS sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ['+00:00', '+02:00', '-05:30'][CAST(o_orderkey % 3 AS INTEGER) + 1] AS date,
+        epoch_us(date_trunc('second', o_orderdate)) - [0, 7200, -19800][CAST(o_orderkey % 3 AS INTEGER) + 1] * 1000000::BIGINT AS instant FROM orders""",
+    "test_counts": r"""SELECT page_id, CAST(2 * (page_id % 4) + len(regexp_extract_all(coalesce(html, ''), '(?m)^\s*#\[(?:\w+::)*test(?:\]|\()')) AS INTEGER) AS tests,
+        2 * (page_id % 4) + len(regexp_extract_all(coalesce(html, ''), '(?m)^\s*#\[(?:\w+::)*test(?:\]|\()')) > CASE WHEN page_id % 5 <> 0 THEN page_id % 7 ELSE 0 END AS gained,
+        regexp_replace(regexp_replace(url, '/$', ''), '\.git$', '') AS web, 'https://host/o/' || page_id AS remote FROM pages""",
 }
