@@ -38,7 +38,7 @@ def expand_braces(pattern: str) -> tuple[str, ...]:
         options = piece[1:-1].split(",") if len(piece) > 1 and piece[0] == "{" else [piece]
         texts = [text + option for text in texts for option in options]
         if len(texts) > MAX_ALTERNATIVES:
-            raise GlobError(f"{pattern!r}: expands to more than {MAX_ALTERNATIVES} alternatives")
+            raise GlobError(f"{pattern!r}: gives more than {MAX_ALTERNATIVES} patterns")
     return tuple(texts)
 
 
@@ -68,23 +68,23 @@ def _segment_regex(segment: str) -> str:
 def check_pattern(pattern: str, kind: str) -> None:
     """Raise for a pattern that is malformed or can never match; ``kind`` is component or path."""
     if not pattern:
-        raise GlobError("empty pattern")
+        raise GlobError("there is no pattern")
     if "\\" in pattern:
-        raise GlobError(f"{pattern!r}: a backslash can never match (paths use /)")
+        raise GlobError(f"{pattern!r}: no path has a backslash here, write /")
     if kind == "component" and "/" in pattern:
-        raise GlobError(f"{pattern!r}: a directory or file name cannot contain '/' (use a path pattern)")
+        raise GlobError(f"{pattern!r}: names have no slash; a path pattern may")
     if kind == "path" and pattern[0] + pattern[-1] != (pattern[0] + pattern[-1]).strip("/"):
-        raise GlobError(f"{pattern!r}: paths are relative to the root, without a leading or trailing '/'")
+        raise GlobError(f"{pattern!r}: no slash may open or close a path pattern")
     for text in expand_braces(pattern):
         if not text:
-            raise GlobError(f"{pattern!r}: an alternative is empty")
+            raise GlobError(f"{pattern!r}: one of the alternatives is nothing")
         if kind == "path" and "" in text.split("/"):
-            raise GlobError(f"{pattern!r}: empty path segment in {text!r}")
+            raise GlobError(f"{pattern!r}: nothing between two slashes of {text!r}")
         for piece in _pieces(text):
             whole = _CLASS.fullmatch(piece) if len(piece) > 1 else None
             for low, high in _ranges(whole[2]) if whole else ():
                 if low > high:
-                    raise GlobError(f"{pattern!r}: empty character range {low}-{high}")
+                    raise GlobError(f"{pattern!r}: the range {low}-{high} is backwards")
 
 
 def component_regex(patterns: tuple[str, ...] | list[str]) -> str:

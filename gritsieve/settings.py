@@ -10,7 +10,7 @@ def _finite(weights: object) -> None:
     for item in fields(weights):  # type: ignore[arg-type]
         value = getattr(weights, item.name)
         if not math.isfinite(value) or value < 0:
-            raise ValueError(f"weight {item.name} must be a finite number >= 0, got {value!r}")
+            raise ValueError(f"{item.name}: {value!r} is no finite weight from 0 up")
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,9 @@ class Settings:
     def __post_init__(self) -> None:
         low = [name for name in (*LIMITS, *CAPS) if getattr(self, name) < 1]
         if low:
-            raise ValueError(f"{low[0]} must be at least 1")
+            raise ValueError(f"{low[0]} is below 1")
         if not (0 <= self.medium_at <= self.hard_at and math.isfinite(self.hard_at)):
-            raise ValueError("difficulty bands need 0 <= medium_at <= hard_at")
+            raise ValueError("the bands are out of order: 0, medium_at, hard_at")
 
     @property
     def plain(self) -> bool:

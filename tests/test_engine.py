@@ -153,9 +153,9 @@ def test_web_url():
 
 
 @pytest.mark.parametrize("data, message", [
-    ({"filtr": {}}, "unknown key 'filtr'"), ({"filter": {"max_lines": 0}}, "at least 1"), ({"filter": {"max_lines": True}}, "whole number"),
-    ({"score": {"weights": {"small_diff": -1}}}, ">= 0"), ({"difficulty": {"medium_at": 9.0}}, "medium_at <= hard_at"),
-    ({"classify": {"disable": ["nope"]}}, "unknown rule"), ({"classify": {"rules": [{"id": "x", "category": "test", "dirs": ["a/b"], "rationale": "r"}]}}, "cannot contain"),
+    ({"filtr": {}}, "unknown key 'filtr'"), ({"filter": {"max_lines": 0}}, "below 1"), ({"filter": {"max_lines": True}}, "whole number"),
+    ({"score": {"weights": {"small_diff": -1}}}, "from 0 up"), ({"difficulty": {"medium_at": 9.0}}, "out of order"),
+    ({"classify": {"disable": ["nope"]}}, "unknown rule"), ({"classify": {"rules": [{"id": "x", "category": "test", "dirs": ["a/b"], "rationale": "r"}]}}, "no slash"),
     ({"classify": {"rules": [{"id": "x", "category": "test", "dirs": ["a"], "names": ["b"], "rationale": "r"}]}}, "exactly one"),
 ])
 def test_config_errors(data, message):
