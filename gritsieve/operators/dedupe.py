@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritsieve.functions.text import patch_hash
-from gritsieve.operators.components import connected_components
 from gritsieve.schema import STATUSES
 from gritsieve.scratch import Scratch
 
@@ -127,24 +126,45 @@ def first_occurrences(proposals: DataFrame) -> DataFrame:
     return proposals.join(held.select("ord"), "ord", "left_semi")
 
 
-def connected_groups(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ord, group): proposals that can influence each other's verdict share a group.
+FOLDED = "array<struct<id:bigint,shared:int,smaller:int,exact:boolean,in_run:boolean>>"
 
-    They are linked through hunk hashes, fingerprints or (repo, sha), directly or by way of others.
-    Each link goes through the lowest proposal that has the value, so a common value costs one link a
-    row. Ledger entries do not link: they are there before any of the proposals.
-    """
-    values = hunk_rows(proposals).select("ord", F.col("hash").alias("value"))
-    values = values.unionByName(proposals.where("fingerprint is not null").select("ord", F.concat(F.lit("fix "), "fingerprint.patch").alias("value")))
-    values = values.unionByName(proposals.select("ord", F.concat_ws(" ", F.lit("commit"), "repo", "sha").alias("value")))
-    values = scratch.stash(values, "values")
-    lowest = values.groupBy("value").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = values.join(lowest, "value").where("ord <> first").select(F.col("first").alias("a"), F.col("ord").alias("b"))
-    roots = connected_components(edges, scratch)
-    return proposals.select("ord").join(roots, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("root", "ord").alias("group"))
 
+def _inserted(rows: DataFrame, entries: DataFrame, hunks: DataFrame, edges: DataFrame | None, least: float | None, scratch: Scratch) -> DataFrame:
+    """(ord, patch, repo, sha) of the proposals that one pass in order would insert.
 
-FOLDED = "ord long, id long, inserted boolean, status string, matches array<struct<id:long,shared:int,smaller:int,exact:boolean,in_run:boolean>>"
+    A proposal is inserted if nothing inserted before it has its fix or its commit or (``edges``)
+    overlaps it. In each round those are inserted that come first among all that they conflict with;
+    they remove what they conflict with, and the others go on. The first one left always is inserted,
+    and rows far apart are decided together, so rounds are few unless conflicts form long chains.
+    """
+    live = rows.where("patch is not null").select("ord", "patch", "repo", "sha")
+    live = live.join(entries.select(F.col("fingerprint").alias("patch")), "patch", "left_anti").join(entries.select("repo", "sha"), ["repo", "sha"], "left_anti")
+    if edges is not None:
+        own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
+        live = live.join(shared_hunks(_classes(rows), own, least, "patch", "id").select("patch"), "patch", "left_anti")
+    live, found, step = scratch.stash(live, "live-0"), None, 0
+    while True:
+        first = live.groupBy("patch").agg(F.min("ord").alias("ord"))
+        commit = live.groupBy("repo", "sha").agg(F.min("ord").alias("first"))
+        if edges is not None:
+            near = edges.join(first.select(F.col("patch").alias("other"), F.col("ord").alias("near")), "other").groupBy("patch").agg(F.min("near").alias("near"))
+            first = first.join(near, "patch", "left").where("near is null or ord < near").select("patch", "ord")
+        new = live.join(first, ["patch", "ord"]).join(commit, ["repo", "sha"]).where("ord = first").select("ord", "patch", "repo", "sha")
+        step += 1
+        new = scratch.stash(new, f"new-{step}")
+        found = new if found is None else found.unionByName(new)
+        gone = new.select("patch")
+        if edges is not None:
+            gone = gone.unionByName(edges.join(gone, "patch").select(F.col("other").alias("patch"))).distinct()
+        live = scratch.stash(live.join(gone, "patch", "left_anti").join(new.select("repo", "sha"), ["repo", "sha"], "left_anti").select("ord", "patch", "repo", "sha"), f"live-{step}")
+        scratch.drop(f"live-{step - 1}")
+        if live.isEmpty():
+            return found
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(patch, n, hash): the distinct hashes of each distinct fix."""
+    return rows.where("patch is not null").groupBy("patch").agg(F.first("hunks").alias("hunks")).select("patch", F.size("hunks").alias("n"), F.explode("hunks").alias("hash"))
 
 
 def fold_in_order(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, scratch: Scratch, least: float | None = MIN_OVERLAP, keep_overlaps: bool = False, own_first: bool = True) -> DataFrame:
@@ -152,68 +172,47 @@ def fold_in_order(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, sc
 
     ``own_first``: a proposal whose (repo, sha) is held is a duplicate of that entry, whatever its
     fingerprint (a recorded run). ``keep_overlaps``: every proposal that breaks no unique value is
-    visible to later ones (a check), else only new ones are (a recorded run). The ids of inserted
-    rows are ``-ord - 1`` until the ledger numbers them.
+    visible to later ones (a check), else only new ones are (a recorded run).
 
-    Verdicts depend on rows of the same group only, so groups are folded apart, each in order. What a
-    group reads from the ledger is joined before by equality, and comes along as its own rows.
+    Returns (ord, id, inserted, status, matches); the ids of inserted rows are ``-ord - 1`` until the
+    ledger numbers them. First it is found what is inserted, then all verdicts follow by joins with
+    entries that come before: nothing is folded in one task.
     """
-    grouped = scratch.stash(connected_groups(proposals, entries, hunks, scratch), "groups")
-    rows = proposals.join(grouped, "ord").select("group", "ord", "repo", "sha", F.col("fingerprint.patch").alias("patch"), F.array_distinct("fingerprint.hunks").alias("hunks"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("hunk_count"))
-    wanted = hunk_rows(proposals).join(grouped, "ord").select("group", "hash").distinct()
-    by_hunk = hunks.join(wanted, "hash").groupBy("group", F.col("entry_id").alias("id")).agg(F.collect_set("hash").alias("hunks"))
-    by_patch = proposals.where("fingerprint is not null").join(grouped, "ord").join(entries.select("id", F.col("fingerprint").alias("__p")), F.col("fingerprint.patch") == F.col("__p")).select("group", "id")
-    by_commit = proposals.join(grouped, "ord").join(entries.select("id", "repo", "sha"), ["repo", "sha"]).select("group", "id")
-    near = by_hunk.select("group", "id").unionByName(by_patch).unionByName(by_commit).distinct()
-    known = near.join(by_hunk, ["group", "id"], "left").join(entries, "id").select("group", F.lit(-1).cast("long").alias("ord"), "repo", "sha", F.col("fingerprint").alias("patch"), F.coalesce("hunks", F.array().cast("array<string>")).alias("hunks"), "id", "hunk_count")
-
-    def fold(table):
-        import pandas as pd
-
-        table = table.sort_values(["ord", "id"], kind="stable")
-        by_value: dict[str, set[int]] = {}
-        by_fix: dict[str, int] = {}
-        by_sha: dict[tuple[str, str], int] = {}
-        sizes: dict[int, int] = {}
-
-        def hold(id_: int, row, count: int) -> None:
-            by_fix[row.patch], by_sha[(row.repo, row.sha)], sizes[id_] = id_, id_, count
-            for value in row.hunks:
-                by_value.setdefault(value, set()).add(id_)
-
-        out = []
-        for row in table.itertuples(index=False):
-            if row.ord < 0:
-                hold(int(row.id), row, int(row.hunk_count))
-                continue
-            if row.patch is None or row.patch != row.patch:
-                out.append((row.ord, None, False, "unknown", []))
-                continue
-            own, exact = by_sha.get((row.repo, row.sha)), by_fix.get(row.patch)
-            if own_first and own is not None:
-                out.append((row.ord, None, False, "duplicate", [(own, sizes[own], sizes[own], own == exact, own < 0)]))
-                continue
-            matches = [(exact, sizes[exact], sizes[exact], True, exact < 0)] if exact is not None else []
-            if least is not None:
-                shared: dict[int, int] = {}
-                for value in row.hunks:
-                    for id_ in by_value.get(value, ()):
-                        shared[id_] = shared.get(id_, 0) + 1
-                for id_, count in shared.items():
-                    smaller = min(len(row.hunks), sizes[id_])
-                    if id_ != exact and count / smaller >= least:
-                        matches.append((id_, count, smaller, False, id_ < 0))
-            # ledger ids come first and ascend; rows of the run follow in order
-            matches.sort(key=lambda m: (not m[3], -m[1] / max(m[2], 1), -m[1], m[0] < 0, abs(m[0])))
-            status = "duplicate" if exact is not None else "overlap" if matches else "new"
-            insert = status == "new" or (keep_overlaps and exact is None)
-            insert = insert and own is None
-            if insert:
-                hold(-int(row.ord) - 1, row, len(row.hunks))
-            out.append((row.ord, -int(row.ord) - 1 if insert else None, insert, status, matches))
-        keys = ("id", "shared", "smaller", "exact", "in_run")
-        frame = pd.DataFrame(out, columns=["ord", "id", "inserted", "status", "matches"])
-        frame["matches"] = frame["matches"].map(lambda ms: [dict(zip(keys, m)) for m in ms])
-        return frame.astype({"id": "Int64"})
-
-    return rows.unionByName(known).groupBy("group").applyInPandas(fold, FOLDED)
+    rows = scratch.stash(proposals.select("ord", "repo", "sha", F.col("fingerprint.patch").alias("patch"), F.array_distinct("fingerprint.hunks").alias("hunks")), "proposals")
+    edges = None
+    if not keep_overlaps and least is not None:
+        classes = _classes(rows)
+        pairs = shared_hunks(classes, classes.withColumnRenamed("patch", "other"), least, "patch", "other")
+        edges = scratch.stash(pairs.where("patch <> other").select("patch", "other"), "edges")
+    kept = scratch.stash(_inserted(rows, entries, hunks, edges, least, scratch).join(rows.select("ord", "hunks"), "ord"), "inserted")
+    held = entries.select("id", F.col("fingerprint").alias("patch"), "repo", "sha", "hunk_count", F.lit(-1).cast("long").alias("since"))
+    held = held.unionByName(kept.select((-F.col("ord") - 1).alias("id"), "patch", "repo", "sha", F.size("hunks").alias("hunk_count"), F.col("ord").alias("since")))
+    some = rows.where("patch is not null")
+
+    def match(exact: Column, shared: Column, smaller: Column) -> Column:
+        told = F.struct("id", shared.cast("int").alias("shared"), smaller.cast("int").alias("smaller"), exact.alias("exact"), (F.col("id") < 0).alias("in_run"))
+        # ledger ids come first and ascend, rows of the run follow in order
+        return F.struct((~exact).alias("a"), (-shared / smaller).alias("b"), (-shared).alias("c"), (F.col("id") < 0).alias("d"), F.abs("id").alias("e"), told.alias("match"))
+
+    count = F.col("hunk_count")
+    exact = some.select("ord", "patch").join(held, "patch").where("since < ord").select("ord", "id", match(F.lit(True), count, count).alias("m"))
+    found = exact.select("ord", "m")
+    if least is not None:
+        own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
+        own = own.unionByName(kept.select((-F.col("ord") - 1).alias("id"), F.size("hunks").alias("n"), F.explode("hunks").alias("hash")))
+        shared = shared_hunks(_classes(rows), own, least, "patch", "id").join(held.select("id", "since"), "id")
+        # fixes of one fingerprint share their overlaps: they are found once and dealt to the rows
+        part = some.select("ord", "patch").join(shared, "patch").where("since < ord").join(exact.select("ord", "id"), ["ord", "id"], "left_anti")
+        found = found.unionByName(part.select("ord", match(F.lit(False), F.col("shared"), F.col("smaller")).alias("m")))
+    listed = found.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["match"]).cast(FOLDED).alias("matches"))
+    out = rows.join(listed, "ord", "left").join(kept.select("ord", F.lit(True).alias("inserted")), "ord", "left")
+    none = F.array().cast(FOLDED)
+    status = F.when(F.col("patch").isNull(), STATUSES[3]).when(F.get("matches", F.lit(0))["exact"], STATUSES[1]).when(F.size("matches") > 0, STATUSES[2]).otherwise(STATUSES[0])
+    matches = F.coalesce("matches", none)
+    if own_first:
+        told = F.struct("id", count.cast("int").alias("shared"), count.cast("int").alias("smaller"), (held["patch"] == some["patch"]).alias("exact"), (F.col("id") < 0).alias("in_run"))
+        mine = some.join(held, (some["repo"] == held["repo"]) & (some["sha"] == held["sha"])).where("since < ord").select("ord", F.array(told).cast(FOLDED).alias("mine"))
+        out = out.join(mine, "ord", "left")
+        status, matches = F.when(F.col("mine").isNotNull(), STATUSES[1]).otherwise(status), F.coalesce("mine", "matches", none)
+    inserted = F.coalesce("inserted", F.lit(False))
+    return out.select("ord", F.when(inserted, -F.col("ord") - 1).alias("id"), inserted.alias("inserted"), status.alias("status"), matches.alias("matches"))

@@ -19,9 +19,9 @@ def proposals(spark, rows):
     return df.select("ord", "repo", "sha", "subject", dedupe.fingerprint_of(F.col("hunks")).alias("fingerprint"))
 
 
-def model(rows, least, keep_overlaps, own_first):
+def model(rows, least, keep_overlaps, own_first, held=()):
     """One proposal after the other over plain dictionaries."""
-    held, out = [], []
+    held, out = list(held), []
     for ord_, repo, sha, _, hunks in rows:
         if not hunks:
             out.append((ord_, "unknown", []))
@@ -42,6 +42,24 @@ def model(rows, least, keep_overlaps, own_first):
     return out
 
 
+def test_fold_against_a_ledger(spark):
+    """Entries that were there before take part like rows judged earlier."""
+    before, rows = [r for r in cases(4, 25) if r[4]], [(k + 100, *r[1:]) for k, r in enumerate(cases(5, 40))]
+    held = {o for o, status, _ in model(before, 2.0, False, True) if status == "new"}  # no overlap reaches 2: unique fixes and commits
+    entries = [(r[0], r) for r in before if r[0] in held]
+    ledger = spark.createDataFrame([(k, "", r[1], r[2], "", "proposed", None, "2024", len(set(r[4]))) for k, r in entries], dedupe.ENTRIES)
+    prints = proposals(spark, [r for _, r in entries]).select(F.col("ord").alias("id"), F.col("fingerprint.patch").alias("p"))
+    ledger = ledger.join(prints, "id").select("id", F.col("p").alias("fingerprint"), *ledger.columns[2:])
+    hunks = spark.createDataFrame([(k, h) for k, r in entries for h in set(r[4])], dedupe.HUNKS)
+    got = dedupe.fold_in_order(proposals(spark, rows), ledger, hunks, Scratch(spark, "t"), 0.5).orderBy("ord").collect()
+    assert [(r["ord"], r["status"], [m["id"] if m["id"] >= 0 else -m["id"] - 1 for m in r["matches"]]) for r in got] == model_after([r for _, r in entries], rows)
+
+
+def model_after(entries, rows):
+    held = [{"ord": r[0], "repo": r[1], "sha": r[2], "patch": tuple(sorted(r[4])), "set": set(r[4])} for r in entries]
+    return model(rows, 0.5, False, True, held)
+
+
 def cases(seed, n=60):
     rng = random.Random(seed)
     return [(k, f"r{rng.randint(0, 2)}", f"s{rng.randint(0, 40)}", "", [f"h{rng.randint(0, 25)}" for _ in range(rng.randint(0, 4))]) for k in range(n)]
@@ -50,11 +68,9 @@ def cases(seed, n=60):
 @pytest.mark.parametrize("seed, keep, own", [(1, False, True), (2, True, False), (3, False, True)])
 def test_fold_equals_one_after_the_other(spark, seed, keep, own):
     rows = cases(seed)
-    empty = Ledger.__new__(Ledger)
     entries, hunks = (spark.createDataFrame([], s) for s in (dedupe.ENTRIES, dedupe.HUNKS))
     got = dedupe.fold_in_order(proposals(spark, rows), entries, hunks, Scratch(spark, "t"), 0.5, keep, own).orderBy("ord").collect()
     assert [(r["ord"], r["status"], [-m["id"] - 1 for m in r["matches"]]) for r in got] == model(rows, 0.5, keep, own)
-    del empty
 
 
 def test_prefix_join_equals_all_pairs(spark):
