@@ -104,5 +104,22 @@ def path_regex(patterns: tuple[str, ...] | list[str]) -> str:
     return r"\A(?:" + "|".join(one(text) for p in patterns for text in expand_braces(p)) + r")\z"
 
 
+def literal_part(pattern: str) -> str:
+    """The longest plain text that every path matched by the pattern holds, slashes apart; may be empty."""
+    if not pattern.isascii() or "{" in pattern:
+        return ""
+    return max(re.split(r"[*?/]|\[!?\]?[^\]]*\]", pattern), key=len)
+
+
+def simple_shape(text: str) -> tuple[str, ...] | None:
+    """("is", a), ("around", a, b) or ("holds", a) for the components ``a``, ``a*b`` and ``*a*``; None for others."""
+    pieces = text.split("*")
+    if not text.isascii() or "?" in text or "[" in text:
+        return None
+    if len(pieces) <= 2:
+        return ("is", text) if len(pieces) == 1 else ("around", *pieces)
+    return ("holds", pieces[1]) if len(pieces) == 3 and not pieces[0] and not pieces[2] and pieces[1] else None
+
+
 def flags(case_sensitive: bool) -> str:
     return "" if case_sensitive else "(?iu)"

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: White space as Unicode text splitting sees it, and all line ends (fixed values).
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 EXTENSIONS = {
@@ -30,22 +31,26 @@ FIX_LABEL = r"(?iU)\b(?:bugs?|bugfix|fix(?:es)?|regression|crash(?:es)?)\b"
 
 
 def normal_path(path: Column) -> Column:
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\A(?:\./)+", "")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(slashed.startswith("./"), F.regexp_replace(slashed, r"\A(?:\./)+", "")).otherwise(slashed)
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def layout_dirs(path: Column) -> Column:
     """The directories as text that ends in a slash, cut below ``src/<set>/java/``."""
-    dirs = F.regexp_extract(path, r"(?s)\A(.*/)[^/]*\z", 1)
+    dirs = F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)))
     root = F.regexp_extract(dirs, r"\A(?:[^/]*/)*?src/[^/]*/java/", 0)
-    return F.when(root != "", root).otherwise(dirs)
+    return F.when(dirs.contains("/java/") & (root != ""), root).otherwise(dirs)
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(file_name(F.replace(path, F.lit("\\"), F.lit("/"))), r"(?s)\A.+(\.[^.]*)\z", 1))
+    """The lower-case ending from the last dot on, if something stands before it; else empty."""
+    name = file_name(F.replace(path, F.lit("\\"), F.lit("/")))
+    tail = F.substring_index(name, ".", -1)
+    return F.when(F.length(name) > F.length(tail) + 1, F.lower(F.concat(F.lit("."), tail))).otherwise("")
 
 
 def language_of(path: Column) -> Column:
@@ -58,12 +63,17 @@ def language_of(path: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_line(line: Column) -> Column:
-    """Without outer white space, inner runs as one blank."""
-    return F.regexp_replace(strip(line), rf"[{SPACE}]+", " ")
+    """Without outer white space, inner runs as one blank. Single blanks, the usual case, are passed over."""
+    return F.regexp_replace(strip(line), rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def split_lines(text: Column) -> Column:
@@ -167,10 +177,13 @@ def _signed(lines: Column, sign: str) -> Column:
 
 def hunk_hash(deleted: Column, added: Column) -> Column:
     """The hash of a hunk's collapsed lines; of its stripped lines if those tell the sides apart; else null."""
-    old, new = _filled(deleted, normalize_line), _filled(added, normalize_line)
-    old_inner, new_inner = _filled(deleted, strip), _filled(added, strip)
-    inner = F.when(old_inner != new_inner, digest(F.concat(F.lit("INNER\n"), _signed(old_inner, "-"), _signed(new_inner, "+"))))
-    return F.when(old != new, digest(F.concat(_signed(old, "-"), _signed(new, "+")))).otherwise(inner)
+
+    def hashed(shape, head: str, other) -> Column:
+        sides = F.struct(_filled(deleted, shape).alias("old"), _filled(added, shape).alias("new"))
+        text = lambda s: F.concat(F.lit(head), _signed(s["old"], "-"), _signed(s["new"], "+"))
+        return let(sides, lambda s: F.when(s["old"] != s["new"], digest(text(s))).otherwise(other))
+
+    return hashed(normalize_line, "", hashed(strip, "INNER\n", F.lit(None).cast("string")))
 
 
 def patch_hash(hunks: Column) -> Column:

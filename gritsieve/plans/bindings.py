@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of an input with fewer splits than there are cores, dealt out; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pick(values: tuple[str, ...], key: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (key % len(values)).cast("int") + 1)
 
@@ -56,7 +62,8 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(part % 4 == 0, F.array(F.concat(F.lit("def f"), (part % 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("api"),
         F.array(tx.digest(F.concat(F.lit("h"), (part % 50).cast("string")))).alias("hunk_hashes"), F.array(F.concat(F.lit("t"), line.cast("string"))).alias("tests"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    return rows.select(
         F.col("l_orderkey").cast("string").alias("sha"), line.cast("int").alias("pos_in_commit"),
         F.concat(_pick(DIRS, part), F.lit("m"), part.cast("string"), _pick(EXTS, supp)).alias("path"),
         F.when(~binary, quantity).alias("added"), F.when(~binary, line.cast("int")).alias("deleted"),
@@ -170,7 +177,7 @@ def _line_hashes(text: Column) -> Column:
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as proposals, hashed once: what follows reads them from the shared folder several times."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     rows = docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("sha"), F.lit("").alias("subject"), dedupe.fingerprint_of(_line_hashes(F.col("text"))).alias("fingerprint"))
     return Scratch(spark, "proposals").stash(rows, "rows")
 
