@@ -70,11 +70,11 @@ def _match(exact: Column, shared: Column, smaller: Column, in_run: Column) -> Co
     return F.struct((~exact).alias("inexact"), (-share).alias("less_overlap"), (-shared).alias("less_shared"), F.col("id").alias("order_id"), entry.alias("entry"), shared.alias("shared"), smaller.alias("smaller"), share.alias("overlap"), exact.alias("exact"), in_run.alias("in_run"))
 
 
-def verdicts(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, least: float | None = MIN_OVERLAP, in_run: DataFrame | None = None) -> DataFrame:
+def verdicts(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, least: float | None = MIN_OVERLAP, in_run: DataFrame | None = None, others: bool = False) -> DataFrame:
     """(ord, status, matches): each proposal against all given entries.
 
     ``least`` of None asks for exact matches only. ``in_run`` may name the ids of entries that belong
-    to the same run.
+    to the same run. ``others`` leaves out the entry that the proposal itself is, of the id ``ord``.
     """
     held = entries.withColumnRenamed("fingerprint", "entry_fingerprint")
     if in_run is not None:
@@ -82,7 +82,8 @@ def verdicts(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, least:
     else:
         held = held.withColumn("__run", F.lit(False))
     exact = exact_matches(proposals, entries)
-    found = exact.join(held, "id").select("ord", _match(F.lit(True), F.col("hunk_count"), F.col("hunk_count"), F.col("__run")).alias("match"))
+    told = exact.where("id <> ord") if others else exact
+    found = told.join(held, "id").select("ord", _match(F.lit(True), F.col("hunk_count"), F.col("hunk_count"), F.col("__run")).alias("match"))
     if least is not None:
         own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
         part = shared_hunks(hunk_rows(proposals), own, least).join(exact, ["ord", "id"], "left_anti").join(held, "id")

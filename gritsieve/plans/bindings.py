@@ -222,13 +222,13 @@ def shared_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the ledger of one repository, ``src0``, and of the benchmark's items."""
+    """All documents against the ledger of the benchmark's items and of every other first occurrence, whatever its repository."""
     rows = proposals(spark, sf_dir)
-    entries, hunks = _as_entries(rows.where("repo = 'src0'"))
+    entries, hunks = _as_entries(rows)
     more, more_hunks = benchmark_ledger(spark, sf_dir)
     more = more.withColumn("id", -F.col("id") - 1).join(entries.select("fingerprint"), "fingerprint", "left_anti").select(*entries.columns)
     more_hunks = more_hunks.withColumn("entry_id", -F.col("entry_id") - 1).join(more.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-    judged = dedupe.verdicts(rows, entries.unionByName(more), hunks.unionByName(more_hunks))
+    judged = dedupe.verdicts(rows, entries.unionByName(more), hunks.unionByName(more_hunks), others=True)
     return rows.select("ord", "repo", "sha").join(judged, "ord").withColumn("outcome", dedupe.outcome(F.col("status"), F.col("matches"), F.col("repo"), F.col("sha")))
 
 
