@@ -214,9 +214,9 @@ def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share half of the smaller set of lines with a fix of the ledger of ``src0``."""
+    """Documents that share half of the smaller set of lines with a first occurrence, of any repository."""
     rows = proposals(spark, sf_dir)
-    entries, hunks = _as_entries(rows.where("repo = 'src0'"))
+    entries, hunks = _as_entries(rows)
     own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
     return dedupe.shared_hunks(dedupe.hunk_rows(rows), own).select(F.col("ord").alias("doc_id"), F.col("id").alias("entry_id"), "shared", "smaller")
 
