@@ -340,8 +340,8 @@ def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing that is newest first is read up to the watermark: a running minimum, then a running count."""
     order = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("sha")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _walked(spark, sf_dir).withColumn("open", F.min((~F.col("seen")).cast("int")).over(order)).withColumn("n", F.sum((F.col("sha") % 2 == 0).cast("int")).over(order))
-    return rows.where("open = 1 and sha % 2 = 0").select("repo", "sha", "n")
+    rows = _walked(spark, sf_dir).withColumn("open", F.min((~F.col("seen")).cast("int")).over(order)).withColumn("n", F.count("*").over(order))
+    return rows.where("open = 1").select("repo", "sha", "n")
 
 
 def run_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
