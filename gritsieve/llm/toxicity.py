@@ -5,7 +5,7 @@ counterfactual twin is made by swapping the term for another of its kind; traini
 the difference between the two scores, so a neutral mention of a group cannot carry a score by itself.
 
 Training uses a bounded sample: at most ``max_rows`` labelled documents outside the held-out part, in
-the order of a hash of their id, with at most ``max_words`` features each. Features are counted where
+the order of a hash of their id, each with all its features. Features are counted where
 the rows are; the driver gets at most ``max_features`` chosen ones and their places in the sampled
 rows, and what is broadcast is one weight for each of them. Scoring is one pass over whole texts without a shuffle.
 
@@ -52,9 +52,8 @@ class ToxicityOptions:
     held_out: int = 2
     parts: int = 4
     threshold: float = 0.3
-    #: Bounds of the training sample: documents, and distinct features of one of them.
+    #: Bound of the training sample: documents.
     max_rows: int = 20_000
-    max_words: int = 8192
     buckets: int = 1 << 20
     max_features: int = 4096
     min_rows: int = 5
@@ -152,11 +151,10 @@ def _sample(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> Dat
         for batch in batches:
             words = [(t or b"").translate(FOLD).split() for t in raw(batch, "text")]
             twins = [swapped(w) for w in words]
-            cut = lambda w: features(w, options.buckets)[: options.max_words]
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("__toxic"), pa.int32()),
-                "here": ([cut(w) for w in words], pa.list_(pa.int32())),
-                "twin": ([None if t is None else cut(t) for t in twins], pa.list_(pa.int32())),
+                "here": ([features(w, options.buckets) for w in words], pa.list_(pa.int32())),
+                "twin": ([None if t is None else features(t, options.buckets) for t in twins], pa.list_(pa.int32())),
             })
 
     return rows.mapInArrow(run, "doc_id long, toxic int, here array<int>, twin array<int>")
@@ -181,13 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
     shared = spark.sparkContext.broadcast(numbers)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(lists: list) -> list:
-            return [None if x is None else np.flatnonzero(np.isin(shared.value, np.array(x, dtype=np.int64))) for x in lists]
+        def columns(lists: pa.Array) -> list:
+            return [np.flatnonzero(np.isin(shared.value, x.values.to_numpy())) if x.is_valid else None for x in lists]
 
         for batch in batches:
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("toxic"), pa.int32()),
-                "here": (columns(batch.column("here").to_pylist()), pa.list_(pa.int32())), "twin": (columns(batch.column("twin").to_pylist()), pa.list_(pa.int32())),
+                "here": (columns(batch.column("here")), pa.list_(pa.int32())), "twin": (columns(batch.column("twin")), pa.list_(pa.int32())),
             })
 
     found = rows.mapInArrow(chosen, "doc_id long, toxic int, here array<int>, twin array<int>").toArrow().sort_by([("doc_id", "ascending")])
