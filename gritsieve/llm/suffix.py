@@ -1,80 +1,277 @@
-"""Suffix ranks by a difference cover modulo 3, vectorised, to a bounded depth.
-
-``suffix_names`` names every suffix of an integer string so that names are ordered as the first
-``depth`` symbols of the suffixes are (suffixes that agree so far may come in any order, but stand
-together): the sampled suffixes (those
-whose place is not a multiple of 3) are named by sorting their triples, the names form a string that
-is handled in the same way, and the remaining suffixes follow from one symbol and the name of the
-sampled suffix behind it.
+"""Array steps of the difference-cover suffix sort; each works on one block or one range of names.
+
+A place is *sampled* when the last digits of its offset in base 3 are all 1 or 2: two places in three,
+of these two in three again, and so on. Any two offsets have a common shift below ``stride`` that
+makes both sampled, which is what a difference cover is for.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import zstandard
+
+LEAST_LENGTH = 30
+#: Fewer bytes than these would name hardly anything.
+LEAST_WIDTH = 16
+U = np.uint64
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How strings of ``length`` bytes are compared.
+
+    Samples are named by ``width`` bytes first. Each of the ``recursions`` names triples of names that
+    stand ``stride`` apart, until the names stand for ``depth`` bytes. Strings are told apart by the
+    name of a sample and the ``stride - 1`` bytes around it.
+    """
+
+    length: int
+    stride: int
+    width: int
+    recursions: int
+
+    @property
+    def depth(self) -> int:
+        return self.length - self.stride + 1
+
+    @property
+    def around(self) -> int:
+        return self.stride - 1
+
+
+def plan(length: int) -> Plan:
+    if length < LEAST_LENGTH:
+        raise ValueError(f"the length must be at least {LEAST_LENGTH}")
+    stride = 9
+    while 9 * stride <= length:
+        stride *= 3
+    depth = length - stride + 1
+    recursions = (depth - LEAST_WIDTH) // (2 * stride)
+    return Plan(length, stride, depth - 2 * stride * recursions, recursions)
+
+
+def cover(stride: int) -> np.ndarray:
+    """Which residues modulo ``stride`` are sampled."""
+    digits, sampled = np.arange(stride), np.ones(stride, dtype=bool)
+    while stride > 1:
+        sampled &= digits % 3 != 0
+        digits, stride = digits // 3, stride // 3
+    return sampled
+
+
+# --- packing -----------------------------------------------------------------------------------
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of numbers, byte planes apart, so that what is constant costs nothing."""
+    planes = np.ascontiguousarray(values.reshape(len(values), -1).view(np.uint8).T)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes.tobytes())
+
+
+def unpack(data: bytes, dtype: str, columns: int = 1) -> np.ndarray:
+    kind = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(columns * kind.itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind)
+    return values.reshape(-1) if columns == 1 else values.reshape(-1, columns)
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Ascending places as differences."""
+    return pack(np.diff(places, prepend=0).astype("<i4"))
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<i4"), dtype=np.int64)
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+# --- blocks ------------------------------------------------------------------------------------
+
+
+class Block:
+    """Pieces of texts, one after the other; ``base`` is a piece's offset in its text, ``size`` its bytes."""
+
+    def __init__(self, number: int, data: bytes, base: list[int], size: list[int], plan: Plan) -> None:
+        self.number, self.plan = number, plan
+        self.base, self.size = np.array(base, dtype=np.int64), np.array(size, dtype=np.int64)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self.n = int(self.end[-1]) if len(self.end) else 0
+        before, after = plan.around, plan.length + 8
+        self.padded = np.concatenate([np.zeros(before, dtype=np.uint8), np.frombuffer(data, dtype=np.uint8), np.zeros(after, dtype=np.uint8)])
+        self.data = self.padded[before:]
+
+    def sampled(self, width: int) -> np.ndarray:
+        """The sampled places with ``width`` bytes of their piece ahead."""
+        stride = self.plan.stride
+        at = np.arange(self.n, dtype=np.int32)
+        residue = (at + np.repeat((self.base - self.start) % stride, self.size).astype(np.int32)) % np.int32(stride)
+        return np.flatnonzero(cover(stride)[residue] & (at + width <= np.repeat(self.end, self.size)))
+
+    def room(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the piece before each place, and from it on."""
+        piece = np.searchsorted(self.end, places, side="right")
+        return places - self.start[piece], self.end[piece] - places
+
+    def bytes_at(self, places: np.ndarray, width: int) -> np.ndarray:
+        """A row of ``width`` bytes for each place; places may lie up to ``around`` before the data."""
+        return np.lib.stride_tricks.sliding_window_view(self.padded, width)[places + self.plan.around] if width else np.empty((len(places), 0), dtype=np.uint8)
+
+    def prefixes(self, places: np.ndarray) -> np.ndarray:
+        """The first eight bytes at each place, as a number of the same order."""
+        return np.ndarray(len(self.data) - 7, dtype=">u8", buffer=self.data, strides=(1,))[places].astype(U)
+
+    def thinned(self, places: np.ndarray) -> bytes:
+        """The data with zeros wherever no string around the places reaches."""
+        edge = np.zeros(self.n + 1, dtype=np.int32)
+        np.add.at(edge, np.maximum(places - self.plan.around, 0), 1)
+        np.add.at(edge, np.minimum(places + self.plan.length, self.n), -1)
+        return np.where(np.cumsum(edge[:-1]) > 0, self.data[: self.n], 0).astype(np.uint8).tobytes()
+
+
+def big_endian(names: np.ndarray) -> np.ndarray:
+    return names.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def triples(block: Block, names: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Keys of triples of names: those at a place, one and two strides on, and the bytes that they leave out.
+
+    ``names`` has the name of every place of the block or zero; ``places`` have all three.
+    """
+    s, gap = block.plan.stride, max(0, block.plan.stride - width)
+    parts = []
+    for step in range(3):
+        parts.append(big_endian(names[places + step * s]))
+        if gap and step < 2:
+            parts.append(block.bytes_at(places + step * s + width, gap))
+    return np.concatenate(parts, axis=1)
+
+
+def triple_places(block: Block, names: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The named places that have names one and two strides on, in the same piece."""
+    s = block.plan.stride
+    there = places[block.room(places)[1] >= width + 2 * s]
+    return there[(names[there + s] != 0) & (names[there + 2 * s] != 0)]
+
+
+def triple_width(plan: Plan, width: int) -> int:
+    return 24 + 2 * max(0, plan.stride - width)
+
+
+# --- sorting and naming ------------------------------------------------------------------------
+
+
+def words_of(keys: np.ndarray) -> np.ndarray:
+    """Keys of equal width as rows of numbers that sort alike."""
+    m, w = keys.shape
+    wide = np.zeros((m, -(-w // 8) * 8), dtype=np.uint8)
+    wide[:, :w] = keys
+    return wide.view(">u8").astype(U)
+
+
+def key_order(words: np.ndarray) -> np.ndarray:
+    """The stable order of rows."""
+    return np.lexsort(words.T[::-1]) if len(words) else np.empty(0, dtype=np.int64)
+
+
+def differs(words: np.ndarray) -> np.ndarray:
+    """Whether each row of a sorted array differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(words)), dtype=bool), (words[1:] != words[:-1]).any(axis=1)])
+
+
+def distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, how often each occurs, its first place; and (first, later) places of the repeats.
+
+    ``places`` ascend.
+    """
+    words = words_of(keys)
+    order = key_order(words)
+    new = differs(words[order])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(order)))
+    first = places[order[head]]
+    again = np.stack([np.repeat(first, count)[~new], places[order][~new]])
+    return keys[order[head]], count, first, again
+
+
+def cut_points(keys: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """Where each range between the ``splits`` starts among sorted keys of the same width."""
+    return np.searchsorted(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").reshape(-1), splits)
+
+
+# --- merging -----------------------------------------------------------------------------------
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(29))
+
+
+def _runs_of_equal(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order, and whether each sorted element equals the one before."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    return order, np.concatenate([np.zeros(min(1, len(ranked)), dtype=bool), ranked[1:] == ranked[:-1]])
+
 
+def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which strings around samples start earlier: a row for each sample, a column for each shift k.
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names 1, 2, ... in the order of the keys, and the number of names."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    new = np.empty(len(keys), dtype=np.int64)
-    new[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return new, int(new[order[-1]]) if len(keys) else 0
-
-
-def _pairs(first: np.ndarray, second: np.ndarray, top: int) -> np.ndarray:
-    return first * (top + 1) + second
-
-
-def _below(places: np.ndarray, at: np.ndarray, keys: np.ndarray, other: np.ndarray | None = None, other_keys: np.ndarray | None = None) -> None:
-    """Add to each place how many keys of the other kind (or of its own) are smaller."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    if other is None:
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, dtype=bool)
-        places[at[order]] += np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))
-        return
-    other_order = np.argsort(other_keys)
-    other_ranked = other_keys[other_order]
-    places[at[order]] += np.searchsorted(other_ranked, ranked)
-    places[other[other_order]] += np.searchsorted(ranked, other_ranked)
-
-
-def suffix_names(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order-preserving names of all suffixes; ``text`` holds integers of at least 1."""
-    n = len(text)
-    if n == 0:
-        return np.empty(0, dtype=np.int64)
-    top = int(text.max())
-    s = np.concatenate([text.astype(np.int64), np.zeros(4, dtype=np.int64)])
-    # sample: places 1 and 2 modulo 3; one more place keeps the two halves of the name string apart
-    m = n + (n % 3 == 1)
-    sampled = np.concatenate([np.arange(1, m, 3), np.arange(2, m, 3)])
-    if top < 1 << 20:
-        names, count = _dense((s[sampled] << 40) | (s[sampled + 1] << 20) | s[sampled + 2])
-    else:
-        two, many = _dense(_pairs(s[sampled], s[sampled + 1], top))
-        names, count = _dense(_pairs(two, s[sampled + 2], top))
-    if count < len(sampled) and depth > 3:
-        half = len(np.arange(1, m, 3))
-        # a name of its own between the halves: no triple reads across it
-        joined = np.concatenate([names[:half] + 1, [1], names[half:] + 1])
-        found = suffix_names(joined, -(-depth // 3))
-        names, _ = _dense(np.delete(found, half))
-    rank = np.zeros(n + 4, dtype=np.int64)
-    rank[sampled] = names
-    limit = int(names.max()) if len(names) else 0
-    # the others: one symbol, then the sampled suffix behind it
-    rest = np.arange(0, n, 3)
-    ones, twos = sampled[(sampled % 3 == 1) & (sampled < n)], sampled[(sampled % 3 == 2) & (sampled < n)]
-    rest_by_one, ones_by = _pairs(s[rest], rank[rest + 1], limit), _pairs(s[ones], rank[ones + 1], limit)
-    lead, _ = _dense(np.concatenate([_pairs(s[rest], s[rest + 1], top), _pairs(s[twos], s[twos + 1], top)]))
-    rest_by_two, twos_by = _pairs(lead[: len(rest)], rank[rest + 2], limit), _pairs(lead[len(rest) :], rank[twos + 2], limit)
-    # merge: every suffix gets the number of suffixes below it, counted within and across the kinds
-    places = np.zeros(n, dtype=np.int64)
-    both = np.concatenate([ones, twos])
-    _below(places, rest, rest_by_one, ones, ones_by)
-    _below(places, rest, rest_by_two, twos, twos_by)
-    _below(places, both, rank[both])
-    _below(places, rest, rest_by_one)
-    return places + 1
+    The string of shift k is made of the last k bytes of ``left``, the sample, and the first
+    ``around - k`` bytes of ``right``; it exists if its piece has the bytes (``before``, ``after``).
+    Rows are in the order of the corpus. Hashes bring equal strings together, adjacent ones are compared.
+    """
+    m, around = left.shape
+    shifts = np.arange(around + 1)
+    exists = (shifts <= before[:, None]) & (around - shifts <= after[:, None])
+    again = np.zeros((m, around + 1), dtype=bool)
+    if not m:
+        return again
+    # samples with the same bytes all around are one: those after the first repeat as a whole
+    room = np.minimum(np.stack([before, after], axis=1), around).astype("<u2").view(np.uint8).reshape(m, 4)
+    whole = np.concatenate([left, right, room], axis=1)
+    wide = words_of(whole)
+    h = mixed(names.astype(U))
+    for k in range(wide.shape[1]):
+        h = mixed(h * U(0x9E3779B97F4A7C15) + wide[:, k])
+    order, same = _runs_of_equal(h)
+    same[1:] &= (names[order[1:]] == names[order[:-1]]) & (wide[order[1:]] == wide[order[:-1]]).all(axis=1)
+    again[order[same]] = exists[order[same]]
+    # the others are compared shift by shift, if their name has several
+    rows = np.sort(order[~same])
+    kinds, which, count = np.unique(names[rows], return_inverse=True, return_counts=True)
+    rows = rows[count[which] > 1]
+    if not len(rows):
+        return again
+    name, left, right, exists = names[rows], left[rows], right[rows], exists[rows]
+    odd = mixed(np.arange(1, 2 * around + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+    base = mixed(name.astype(U))
+    on_left, on_right = np.zeros(len(rows), dtype=U), np.zeros(len(rows), dtype=U)
+    for j in range(around):
+        on_right += (right[:, j].astype(U) + U(1)) * odd[j]
+    for k in range(around + 1):
+        if k:
+            on_left += (left[:, around - k].astype(U) + U(1)) * odd[around + k - 1]
+            on_right -= (right[:, around - k].astype(U) + U(1)) * odd[around - k]
+        here = np.flatnonzero(exists[:, k])
+        order, same = _runs_of_equal(mixed(base[here] ^ mixed(on_left[here] + on_right[here])))
+        order = here[order]
+        one, two = order[:-1][same[1:]], order[1:][same[1:]]
+        equal = (name[one] == name[two]) & (left[one, around - k :] == left[two, around - k :]).all(axis=1) & (right[one, : around - k] == right[two, : around - k]).all(axis=1)
+        if not equal.all():  # different strings under one hash: sort the strings themselves
+            run = np.isin(order, np.concatenate([one, two]))
+            order = np.sort(order[run])
+            words = words_of(np.concatenate([big_endian(name[order]), left[order, around - k :], right[order, : around - k]], axis=1))
+            by_key = key_order(words)
+            two, equal = order[by_key[~differs(words[by_key])]], slice(None)
+        again[rows[two[equal]], k] = True
+    return again
