@@ -112,10 +112,14 @@ class Block:
 
     def sampled(self, width: int) -> np.ndarray:
         """The sampled places with ``width`` bytes of their piece ahead."""
-        stride = self.plan.stride
-        at = np.arange(self.n, dtype=np.int32)
-        residue = (at + np.repeat((self.base - self.start) % stride, self.size).astype(np.int32)) % np.int32(stride)
-        return np.flatnonzero(cover(stride)[residue] & (at + width <= np.repeat(self.end, self.size)))
+        stride, offsets = self.plan.stride, np.flatnonzero(cover(self.plan.stride)).astype(np.int32)
+        begin = (self.start - self.base % stride).astype(np.int32)  # where the stride of each piece's first byte begins
+        strides = -(-(self.end - begin) // stride)
+        piece = np.repeat(np.arange(len(begin), dtype=np.int32), strides)
+        nth = np.arange(len(piece), dtype=np.int32) - np.repeat((np.cumsum(strides) - strides).astype(np.int32), strides)
+        places = (begin[piece] + nth * np.int32(stride))[:, None] + offsets
+        fits = (places >= self.start[piece].astype(np.int32)[:, None]) & (places <= (self.end - width)[piece].astype(np.int32)[:, None])
+        return places[fits].astype(np.int64)
 
     def room(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the piece before each place, and from it on."""
@@ -179,8 +183,30 @@ def words_of(keys: np.ndarray) -> np.ndarray:
 
 
 def key_order(words: np.ndarray) -> np.ndarray:
-    """The stable order of rows."""
-    return np.lexsort(words.T[::-1]) if len(words) else np.empty(0, dtype=np.int64)
+    """The stable order of rows: by the first word, then half a word at a time for the rows that are tied so far."""
+    n = len(words)
+    order = np.argsort(words[:, 0]) if n else np.empty(0, dtype=np.int64)
+    ranked = words[order, 0]
+    tied, run = _ties(ranked, np.arange(n))
+    halves = [(k, shift) for k in range(1, words.shape[1]) for shift in (U(32), U(0))]
+    for k, shift in halves:
+        if not len(tied):
+            return order
+        rows = order[tied]
+        keys = (run.astype(U) << U(32)) | ((words[rows, k] >> shift) & U(0xFFFFFFFF))
+        by = np.argsort(keys)
+        order[tied] = rows[by]
+        tied, run = _ties(keys[by], tied)
+    order[tied] = np.sort((run.astype(U) << U(32)) | order[tied].astype(U)) & U(0xFFFFFFFF)  # equal rows stay in their order
+    return order
+
+
+def _ties(ranked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values that stand at places ``at``: the places of those that occur twice or more, and the number of their run."""
+    same = ranked[1:] == ranked[:-1]
+    tied = np.concatenate([same, np.zeros(min(1, len(ranked)), dtype=bool)]) | np.concatenate([np.zeros(min(1, len(ranked)), dtype=bool), same])
+    head = np.concatenate([np.ones(min(1, len(ranked)), dtype=bool), ~same])
+    return at[tied], np.cumsum(head[tied])
 
 
 def differs(words: np.ndarray) -> np.ndarray:
@@ -218,7 +244,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _runs_of_equal(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stable order, and whether each sorted element equals the one before."""
-    order = np.argsort(hashes, kind="stable")
+    order = key_order(hashes[:, None])
     ranked = hashes[order]
     return order, np.concatenate([np.zeros(min(1, len(ranked)), dtype=bool), ranked[1:] == ranked[:-1]])
 
@@ -255,6 +281,7 @@ def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before
     name, left, right, exists = names[rows], left[rows], right[rows], exists[rows]
     odd = mixed(np.arange(1, 2 * around + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
     base = mixed(name.astype(U))
+    both = words_of(np.concatenate([left, right], axis=1))
     on_left, on_right = np.zeros(len(rows), dtype=U), np.zeros(len(rows), dtype=U)
     for j in range(around):
         on_right += (right[:, j].astype(U) + U(1)) * odd[j]
@@ -266,7 +293,9 @@ def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before
         order, same = _runs_of_equal(mixed(base[here] ^ mixed(on_left[here] + on_right[here])))
         order = here[order]
         one, two = order[:-1][same[1:]], order[1:][same[1:]]
-        equal = (name[one] == name[two]) & (left[one, around - k :] == left[two, around - k :]).all(axis=1) & (right[one, : around - k] == right[two, : around - k]).all(axis=1)
+        string = np.zeros((1, 2 * around), dtype=np.uint8)
+        string[0, around - k : 2 * around - k] = 255
+        equal = (name[one] == name[two]) & ~((both[one] ^ both[two]) & words_of(string)).any(axis=1)
         if not equal.all():  # different strings under one hash: sort the strings themselves
             run = np.isin(order, np.concatenate([one, two]))
             order = np.sort(order[run])

@@ -51,8 +51,8 @@ LENGTH = 100
 HOT = 1 << 15
 BLOCK_BYTES = 1 << 23
 #: Bytes of keys that one round moves, for each byte of text, and that one range gets.
-ROUND_SHARE = 1.5
-RANGE_BYTES = 1 << 25
+ROUND_SHARE = 2.0
+RANGE_BYTES = 1 << 24
 #: Keys that are sampled for splitters, for each range and at most.
 RANGE_KEYS = 100
 MOST_KEYS = 500_000
@@ -458,7 +458,7 @@ class SuffixSort:
     def _rounds(self, moved: float) -> tuple[int, int]:
         """Into how many rounds of how many ranges keys of so many bytes are dealt."""
         rounds = max(1, -(-int(moved) // max(1, int(self.options.round_share * self.text_bytes))))
-        return rounds, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(moved) // (rounds * RANGE_BYTES)))
+        return rounds, max(self.spark.sparkContext.defaultParallelism, -(-int(moved) // (rounds * RANGE_BYTES)))
 
     def _dealt(self, level: Level, n_keys: int, answer: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
         """What ``answer`` makes of the keys of each range, round after round."""
