@@ -86,7 +86,10 @@ def verdicts(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, least:
     found = told.join(held, "id").select("ord", _match(F.lit(True), F.col("hunk_count"), F.col("hunk_count"), F.col("__run")).alias("match"))
     if least is not None:
         own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
-        part = shared_hunks(hunk_rows(proposals), own, least).join(exact, ["ord", "id"], "left_anti").join(held, "id")
+        # fixes of one fingerprint share their overlaps: they are found once and dealt to the rows as ids
+        fixes = proposals.select("ord", F.col("fingerprint.patch").alias("patch"), F.array_distinct("fingerprint.hunks").alias("hunks"))
+        near = shared_hunks(classes_of(fixes), own, least, "patch", "id").join(entries.select("id", F.col("fingerprint").alias("held")), "id").where("patch <> held").drop("held")
+        part = fixes.select("ord", "patch").join(near, "patch").drop("patch").join(held, "id")
         found = found.unionByName(part.select("ord", _match(F.lit(False), F.col("shared"), F.col("smaller"), F.col("__run")).alias("match")))
     listed = found.groupBy("ord").agg(F.array_sort(F.collect_list("match")).alias("matches"))
     out = proposals.select("ord", "fingerprint").join(listed, "ord", "left")
@@ -142,7 +145,7 @@ def _inserted(rows: DataFrame, entries: DataFrame, hunks: DataFrame, edges: Data
     live = live.join(entries.select(F.col("fingerprint").alias("patch")), "patch", "left_anti").join(entries.select("repo", "sha"), ["repo", "sha"], "left_anti")
     if edges is not None:
         own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
-        live = live.join(shared_hunks(_classes(rows), own, least, "patch", "id").select("patch"), "patch", "left_anti")
+        live = live.join(shared_hunks(classes_of(rows), own, least, "patch", "id").select("patch"), "patch", "left_anti")
     live, found, step = scratch.stash(live, "live-0"), None, 0
     while True:
         first = live.groupBy("patch").agg(F.min("ord").alias("ord"))
@@ -163,7 +166,7 @@ def _inserted(rows: DataFrame, entries: DataFrame, hunks: DataFrame, edges: Data
             return found
 
 
-def _classes(rows: DataFrame) -> DataFrame:
+def classes_of(rows: DataFrame) -> DataFrame:
     """(patch, n, hash): the distinct hashes of each distinct fix."""
     return rows.where("patch is not null").groupBy("patch").agg(F.first("hunks").alias("hunks")).select("patch", F.size("hunks").alias("n"), F.explode("hunks").alias("hash"))
 
@@ -182,7 +185,7 @@ def fold_in_order(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, sc
     rows = scratch.stash(proposals.select("ord", "repo", "sha", F.col("fingerprint.patch").alias("patch"), F.array_distinct("fingerprint.hunks").alias("hunks")), "proposals")
     edges = None
     if not keep_overlaps and least is not None:
-        classes = _classes(rows)
+        classes = classes_of(rows)
         pairs = shared_hunks(classes, classes.withColumnRenamed("patch", "other"), least, "patch", "other")
         edges = scratch.stash(pairs.where("patch <> other").select("patch", "other"), "edges")
     kept = scratch.stash(_inserted(rows, entries, hunks, edges, least, scratch).join(rows.select("ord", "hunks"), "ord"), "inserted")
@@ -201,7 +204,7 @@ def fold_in_order(proposals: DataFrame, entries: DataFrame, hunks: DataFrame, sc
     if least is not None:
         own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
         own = own.unionByName(kept.select((-F.col("ord") - 1).alias("id"), F.size("hunks").alias("n"), F.explode("hunks").alias("hash")))
-        shared = shared_hunks(_classes(rows), own, least, "patch", "id").join(held.select("id", "since"), "id")
+        shared = shared_hunks(classes_of(rows), own, least, "patch", "id").join(held.select("id", "since"), "id")
         # fixes of one fingerprint share their overlaps: they are found once and dealt to the rows
         part = some.select("ord", "patch").join(shared, "patch").where("since < ord").join(exact.select("ord", "id"), ["ord", "id"], "left_anti")
         found = found.unionByName(part.select("ord", match(F.lit(False), F.col("shared"), F.col("smaller")).alias("m")))

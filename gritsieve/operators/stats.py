@@ -27,11 +27,11 @@ def _count(where: Column) -> Column:
     return F.count_if(where).cast("long")
 
 
-def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: bool = True) -> DataFrame:
+def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: bool = True, api: bool = True) -> DataFrame:
     """Per-commit aggregates of classified files; null measures are unknown ones.
 
-    ``lists`` adds the arrays (paths, tests, public names, fingerprints); tables without patch
-    measurements can do without them.
+    ``lists`` adds the arrays (paths, tests, fingerprints), ``api`` the public names; tables without
+    patch measurements can do without them.
     """
     added, deleted = F.coalesce("added", F.lit(0)), F.coalesce("deleted", F.lit(0))
     binary = F.col("added").isNull() | F.col("deleted").isNull()
@@ -62,11 +62,12 @@ def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: b
         _sum(F.col("patch.asserts"), tests & measured).alias("all_asserts"),
         every(tests).alias("tests_patched"),
     ]
+    if api:
+        aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(source & measured, F.col("patch.api")))))).alias("all_api"))
     if lists:
         hashed = both & ~binary
         aggregates += [
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(tests & measured, F.transform("patch.tests", lambda t: F.concat("path", F.lit("::"), t))))))).alias("fail_to_pass"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(source & measured, F.col("patch.api")))))).alias("all_api"),
             F.array_sort(F.flatten(F.collect_list(F.when(hashed, F.col("patch.hunk_hashes"))))).alias("all_hunks"),
             F.coalesce(F.max(F.when(hashed, F.col("patch.hunk_hashes").isNull())), F.lit(False)).alias("hunks_unknown"),
             F.transform(F.array_sort(F.collect_list(F.when(source, F.struct("pos_in_commit", "path")))), lambda x: x["path"]).alias("source_paths"),
@@ -77,9 +78,10 @@ def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: b
         "code_lines": F.when(F.col("source_patched"), F.col("all_code_lines")),
         "assertions": F.when(F.col("tests_patched"), F.col("all_asserts")),
     })
+    if api:
+        out = out.withColumn("public_api", F.when(F.col("source_patched"), F.col("all_api"))).drop("all_api")
     if lists:
         out = out.withColumns({
-            "public_api": F.when(F.col("source_patched"), F.col("all_api")),
             "fingerprint": F.when(~F.col("hunks_unknown") & (F.size("all_hunks") > 0), F.struct(patch_hash(F.col("all_hunks")).alias("patch"), F.col("all_hunks").alias("hunks"))),
-        }).drop("all_api", "all_hunks", "hunks_unknown")
+        }).drop("all_hunks", "hunks_unknown")
     return out.drop("all_code_hunks", "all_code_lines", "all_asserts")

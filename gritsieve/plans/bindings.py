@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gritsieve.functions import signals, text as tx
-from gritsieve.functions.measure import measured, unified_hunks
+from gritsieve.functions.measure import file_tests, measured, unified_hunks
 from gritsieve.operators import dedupe, scoring, summaries
 from gritsieve.operators.rules import classify
 from gritsieve.operators.stats import diff_stats
+from gritsieve.plans.export import segments
 from gritsieve.schema import FEATURE
 from gritsieve.scratch import Scratch
 from gritsieve.settings import Settings
+from gritsieve.sources.pulls import merged
+from gritsieve.streaming.ledger import Ledger
+from gritsieve.streaming.resume import unseen
 
 DIRS = ("src/", "tests/", "docs/", "vendor/x/", "lib/core/", "examples/", "src/main/java/test/")
 EXTS = (".py", ".rs", ".go", ".java", ".md", ".ts")
@@ -89,7 +93,7 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = diff_stats(_classified(spark, sf_dir), ["sha"], lists=False)
+    stats = diff_stats(_classified(spark, sf_dir), ["sha"], lists=False, api=False)
     return stats.select("sha", "n_files", "n_source", "n_test", "n_docs", "n_vendored", "n_other", "changed_lines", "source_added", "source_deleted", "test_added", "test_deleted", "n_source_changed", "source_patched", "n_code_files", "n_inline_test", "tests_patched", "code_hunks", "code_lines", "assertions")
 
 
@@ -113,7 +117,7 @@ def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difficulty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir, "difficulty_features").where("name <> 'public_api'").select("repo", "sha", *FEATURE.fieldNames())
+    return _features(spark, sf_dir, "difficulty_features").select("repo", "sha", *FEATURE.fieldNames())
 
 
 def mine_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +144,7 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.feature_table(outcomes(spark, sf_dir), ["repo", "sha"], ["small_diff", "test_lines_added", "linked_reference", "focused_source"])
+    return summaries.feature_table(outcomes(spark, sf_dir), ["repo", "sha"], ["small_diff", "test_lines_added", "added_assertions", "linked_reference", "fix_keyword", "focused_source"])
 
 
 def rejected_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +222,9 @@ def shared_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = proposals(spark, sf_dir)
     entries, hunks = _as_entries(rows)
     own = hunks.join(entries.select(F.col("id").alias("entry_id"), F.col("hunk_count").alias("n")), "entry_id").select(F.col("entry_id").alias("id"), "n", "hash")
-    return dedupe.shared_hunks(dedupe.hunk_rows(rows), own).select(F.col("ord").alias("doc_id"), F.col("id").alias("entry_id"), "shared", "smaller")
+    fixes = rows.select("ord", F.col("fingerprint.patch").alias("patch"), F.array_distinct("fingerprint.hunks").alias("hunks"))
+    shared = dedupe.shared_hunks(dedupe.classes_of(fixes), own, left_key="patch", right_key="id")  # by distinct fix, then dealt to the documents
+    return fixes.select("ord", "patch").join(shared, "patch").select(F.col("ord").alias("doc_id"), F.col("id").alias("entry_id"), "shared", "smaller")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,46 +328,53 @@ def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the second run evaluates: all minus those seen, an anti-join on the keys."""
+    """The rows that the second run evaluates: all minus those that the first one saw."""
     rows = _walked(spark, sf_dir)
-    return rows.join(rows.where("seen").select("repo", "sha"), ["repo", "sha"], "left_anti").select("repo", "sha")
+    return unseen(rows, rows.where("seen")).select("repo", "sha")
 
 
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The watermark of each repository after both runs: position, rows walked in all, number of runs."""
-    rows = _walked(spark, sf_dir)
-    old = rows.where("seen").groupBy("repo").agg(F.max("ts").alias("old_position"), F.count("*").alias("old_walked"))
-    new = rows.where("not seen").groupBy("repo").agg(F.max("ts").alias("new_position"), F.count("*").alias("new_walked"))
-    merged = old.join(new, "repo", "full")
-    runs = F.col("old_walked").isNotNull().cast("int") + F.col("new_walked").isNotNull().cast("int")
-    return merged.select("repo", F.date_format(F.greatest("old_position", "new_position"), "yyyy-MM-dd HH:mm:ss").alias("position"), (F.coalesce("old_walked", F.lit(0)) + F.coalesce("new_walked", F.lit(0))).alias("walked"), runs.alias("runs"))
+    """The watermarks of a ledger that recorded both runs: position, rows walked in all, number of runs."""
+    rows = _walked(spark, sf_dir).select("repo", F.lit("events").alias("source"), F.col("sha").cast("string").alias("sha"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("position"), "seen")
+    ledger = Ledger(spark, Scratch(spark, "ledger-of-events").base)
+    nothing = spark.createDataFrame([], "ord long, repo string, sha string, subject string, fingerprint struct<patch:string,hunks:array<string>>")
+    for run in (rows.where("seen"), rows.where("not seen")):
+        ledger.record(nothing, run.select("repo", "source", "sha"), run.groupBy("repo", "source").agg(F.max("position").alias("position")))
+    return ledger.watermarks().select("repo", "position", "walked", "runs")
 
 
 def prefix_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing that is newest first is read up to the watermark: a running minimum, then a running count."""
-    order = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("sha")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _walked(spark, sf_dir).withColumn("open", F.min((~F.col("seen")).cast("int")).over(order)).withColumn("n", F.count("*").over(order))
-    return rows.where("open = 1").select("repo", "sha", "n")
+    """Events as a listing of merged requests, newest update first, that is read up to the watermark; ``n`` counts them."""
+    told = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    item = F.struct(F.col("sha").alias("number"), told.alias("updated_at"), told.alias("merged_at"), F.col("sha").cast("string").alias("merge_commit_sha"), F.struct(F.lit("").alias("sha")).alias("head"))
+    pulls = _walked(spark, sf_dir).select("repo", F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"), (-F.col("sha")).alias("later")).alias("pos"), item.alias("item"))
+    ahead = merged(pulls, "2024-01-15T23:59:59.999999")
+    return ahead.select("repo", F.col("sha").cast("long").alias("sha"), F.count("*").over(Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
 
 
 def run_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records to runs: a running count of the records that open one, here large events of a user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.sum((F.col("event_type") == "purchase").cast("int")).over(order).alias("run"))
+    """Records to runs: a user's events as the records of one file, where a purchase opens a run."""
+    records = table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "purchase", "run").otherwise("candidate"))
+    return segments(records, order=("ts", "event_id"), keys=("user_id",)).select("user_id", "event_id", "run")
 
 
 def range_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges cut at the start of the next one: line items as ranges within their order."""
-    order = Window.partitionBy("l_orderkey").orderBy("start", "stop", "l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4).alias("stop"))
-    ahead = F.lead("start").over(order)
-    return rows.withColumn("cut", F.when(ahead <= F.col("stop"), F.greatest(F.col("start"), ahead - 1)).otherwise(F.col("stop"))).select("l_orderkey", "l_partkey", "start", "cut")
+    """The tests of a script that an order's lines make; one in three is never closed, and is cut where the next one starts."""
+    q = F.col("l_quantity").cast("int")
+    name = F.concat(F.lit("t"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"))
+    block = F.concat(F.lit("test('"), name, F.lit("', () => {\n"), F.repeat(F.lit("  step(1);\n"), q % 4), F.when(q % 3 != 0, F.lit("});\n")).otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", block.alias("block")).alias("row"))
+    files = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["block"]), "").alias("text"))
+    found = files.select("l_orderkey", F.inline(file_tests(F.rtrim("text", F.lit("\n")).cast("binary"), F.lit("javascript"))))
+    return found.select("l_orderkey", "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
 
 
 def multiset_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one multiset has over another: supplier counts of an order's late lines against its early ones."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 5).alias("k")).agg(F.count_if(F.col("l_linenumber") > 2).alias("new"), F.count_if(F.col("l_linenumber") <= 2).alias("old"))
-    return rows.groupBy("l_orderkey").agg(F.sum(F.greatest(F.col("new") - F.col("old"), F.lit(0))).alias("gain"))
+    """The assertions that a patch of an order's lines gains: early lines are deleted, late ones are added."""
+    said = F.concat(F.when(F.col("l_linenumber") > 2, "+").otherwise("-"), F.lit("    assert supplier("), (F.col("l_suppkey") % 5).cast("string"), F.lit(")"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_linenumber") <= 2).alias("old"), F.count_if(F.col("l_linenumber") > 2).alias("new"), F.sort_array(F.collect_list(said), asc=False).alias("lines"))
+    diff = F.concat(F.lit("@@ -1,"), F.col("old").cast("string"), F.lit(" +1,"), F.col("new").cast("string"), F.lit(" @@\n"), F.array_join("lines", "\n"))
+    return rows.select("l_orderkey", measured(unified_hunks(diff), F.lit("python"))["asserts"].cast("long").alias("gain"))
 
 
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gritsieve import __version__
 from gritsieve.operators import summaries
@@ -179,11 +179,13 @@ def read_export(path: str) -> tuple[dict | None, list[tuple[dict, list[dict]]]]:
     return batch, runs
 
 
-def segments(records: DataFrame, kind: str = "kind", order: str = "pos") -> DataFrame:
-    """Records with the number of the run they belong to: a running count of the records that open one."""
-    from pyspark.sql import Window
+def segments(records: DataFrame, kind: str = "kind", order: Sequence[str] = ("pos",), keys: Sequence[str] = ()) -> DataFrame:
+    """Records with the number of the run they belong to: a running count of the records that open one.
 
-    return records.withColumn("run", F.sum((F.col(kind) == "run").cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    ``keys`` name the file that a record is of; without any, all records are of one file.
+    """
+    file = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumn("run", F.sum((F.col(kind) == "run").cast("int")).over(file))
 
 
 def schema_text() -> str:

@@ -65,21 +65,24 @@ commits AS (
     FROM orders
 )"""
 
-_OUTCOMES = f"""{_STATS}, {_COMMITS}, judged AS (
-    SELECT c.*, s.* EXCLUDE (sha),
+_OUTCOMES = f"""{_STATS}, {_COMMITS}, api AS (
+    SELECT sha, list_sort(list(DISTINCT 'def f' || (part % 10))) AS names FROM marked WHERE src AND measured AND part % 4 = 0 GROUP BY sha
+), judged AS (
+    SELECT c.*, s.* EXCLUDE (sha), CASE WHEN s.source_patched THEN coalesce(a.names, []) END AS api,
            CASE WHEN s.sha IS NULL THEN 'empty' WHEN n_docs = n_files THEN 'docs-only' WHEN n_vendored = n_files THEN 'generated-only' WHEN n_source = 0 THEN 'no-source'
                 WHEN n_source_changed = 0 THEN 'source-unchanged' WHEN source_patched AND n_code_files = 0 THEN 'source-cosmetic'
                 WHEN n_test + n_inline_test = 0 THEN 'no-test' WHEN changed_lines > 400 OR n_source > 10 THEN 'oversize' END AS reason
-    FROM commits c LEFT JOIN stats s ON c.sha = s.sha
+    FROM commits c LEFT JOIN stats s ON c.sha = s.sha LEFT JOIN api a ON c.sha = a.sha
 ), valued AS (
     SELECT *, round(1 - least(changed_lines, 400) / 400.0::DOUBLE, 4) AS f1, round(least(test_added, 40) / 40.0::DOUBLE, 4) AS f2, round(least(coalesce(assertions, 0), 5) / 5.0::DOUBLE, 4) AS f3,
            ref::DOUBLE AS f4, fix::DOUBLE AS f5, CASE WHEN n_source > 0 THEN round(1.0::DOUBLE / n_source, 4) END AS f6,
            round(least(n_source + n_test, 10) / 10.0::DOUBLE, 4) AS d1, round(least(coalesce(code_hunks, 0), 10) / 10.0::DOUBLE, 4) AS d2, round(least(coalesce(code_lines, 0), 100) / 100.0::DOUBLE, 4) AS d3,
-           round(least(greatest(n_code_files - 1, 0), 4) / 4.0::DOUBLE, 4) AS d4
+           round(least(greatest(n_code_files - 1, 0), 4) / 4.0::DOUBLE, 4) AS d4,
+           CASE WHEN len(api) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d5
     FROM judged
 ), scored AS (
     SELECT *, CASE WHEN reason IS NULL THEN round(round(3 * f1, 4) + round(2 * f2, 4) + round(f3, 4) + round(2 * f4, 4) + round(f5, 4) + round(f6, 4), 4) END AS score,
-           CASE WHEN reason IS NULL THEN round(round(d1, 4) + round(3 * d2, 4) + round(3 * d3, 4) + round(2 * d4, 4), 4) END AS difficulty
+           CASE WHEN reason IS NULL THEN round(round(d1, 4) + round(3 * d2, 4) + round(3 * d3, 4) + round(2 * d4, 4) + round(d5, 4), 4) END AS difficulty
     FROM valued
 ), banded AS (
     SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN difficulty >= 4.5 THEN 'hard' WHEN difficulty >= 2 THEN 'medium' ELSE 'easy' END END AS band FROM scored
@@ -111,6 +114,7 @@ _DIFFICULTY_FEATURES = _feature([
     ("hunks", "d2", 3.0, f"CASE WHEN code_hunks IS NULL THEN 'unknown: no patch data' ELSE {_plural('code_hunks', 'source code hunk')} || ' (full value at 10)' END"),
     ("lines", "d3", 3.0, f"CASE WHEN code_lines IS NULL THEN 'unknown: no patch data' ELSE {_plural('code_lines', 'source code line')} || ' changed (full value at 100)' END"),
     ("cross_file", "d4", 2.0, f"{_plural('n_code_files', 'source file')} || ' with code changes (full value at 5)'"),
+    ("public_api", "d5", 1.0, "CASE WHEN api IS NULL THEN 'unknown: no patch data' WHEN len(api) = 0 THEN 'no public declaration changed' ELSE array_to_string(api[1:3], ', ') || CASE WHEN len(api) > 3 THEN ' (+' || (len(api) - 3) || ' more)' ELSE '' END END"),
 ])
 
 _LINES = f"""
@@ -128,9 +132,9 @@ doc_lines AS (
 ), item_prints AS (
     SELECT item_id, substr(sha256(string_agg(hash || chr(10), '' ORDER BY hash)), 1, 16) AS patch, CAST(count(DISTINCT hash) AS INTEGER) AS hunks FROM items GROUP BY item_id
 ), entries AS (
-    SELECT min(doc_id) AS id, patch, 'src0' AS repo FROM prints WHERE source = 'src0' GROUP BY patch
+    SELECT min(doc_id) AS id, patch, arg_min(source, doc_id) AS repo FROM prints GROUP BY patch
     UNION ALL
-    SELECT -min(item_id) - 1, patch, 'benchmark' FROM item_prints WHERE patch NOT IN (SELECT patch FROM prints WHERE source = 'src0') GROUP BY patch
+    SELECT -min(item_id) - 1, patch, 'benchmark' FROM item_prints WHERE patch NOT IN (SELECT patch FROM prints) GROUP BY patch
 ), entry_hunks AS (
     SELECT DISTINCT e.id, h.hash FROM entries e JOIN hashed h ON e.id = h.doc_id WHERE e.id >= 0
     UNION
@@ -143,8 +147,9 @@ doc_lines AS (
     SELECT s.doc_id, s.id, s.shared, least(p.hunks, z.n) AS smaller FROM shared s JOIN prints p ON s.doc_id = p.doc_id JOIN entry_sizes z ON s.id = z.id
     WHERE s.shared / least(p.hunks, z.n)::DOUBLE >= 0.5
 ), matches AS (
-    SELECT p.doc_id, e.id, e.repo, e.patch = p.patch AS exact, coalesce(CASE WHEN e.patch = p.patch THEN z.n END, x.shared) AS shared, coalesce(CASE WHEN e.patch = p.patch THEN z.n END, x.smaller) AS smaller
-    FROM prints p JOIN entries e ON true JOIN entry_sizes z ON e.id = z.id LEFT JOIN pairs x ON x.doc_id = p.doc_id AND x.id = e.id WHERE e.patch = p.patch OR x.id IS NOT NULL
+    SELECT p.doc_id, e.id, e.repo, true AS exact, z.n AS shared, z.n AS smaller FROM prints p JOIN entries e ON e.patch = p.patch JOIN entry_sizes z ON e.id = z.id WHERE e.id <> p.doc_id
+    UNION ALL
+    SELECT x.doc_id, x.id, e.repo, false, x.shared, x.smaller FROM pairs x JOIN entries e ON x.id = e.id JOIN prints p ON x.doc_id = p.doc_id WHERE e.patch <> p.patch
 ), placed AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY exact DESC, shared / smaller::DOUBLE DESC, shared DESC, id) AS place FROM matches
 ), judged AS (
@@ -184,7 +189,7 @@ SQL: dict[str, str] = {
     "funnel": f"""WITH {_OUTCOMES}, steps AS (SELECT repo, reason, count(*) AS n, {_REASON_ORD} AS o FROM banded WHERE reason IS NOT NULL GROUP BY ALL), whole AS (SELECT repo, count(*) AS w FROM banded GROUP BY repo)
     SELECT repo, 'walked' AS step, w AS n, w AS remaining FROM whole UNION ALL
     SELECT s.repo, s.reason, s.n, CAST(w.w - sum(s.n) OVER (PARTITION BY s.repo ORDER BY s.o ROWS UNBOUNDED PRECEDING) AS BIGINT) FROM steps s JOIN whole w ON s.repo = w.repo""",
-    "feature_table": f"WITH {_OUTCOMES} SELECT repo, sha, round(3 * f1, 4) AS small_diff, round(2 * f2, 4) AS test_lines_added, round(2 * f4, 4) AS linked_reference, round(f6, 4) AS focused_source FROM banded WHERE reason IS NULL",
+    "feature_table": f"WITH {_OUTCOMES} SELECT repo, sha, round(3 * f1, 4) AS small_diff, round(2 * f2, 4) AS test_lines_added, round(f3, 4) AS added_assertions, round(2 * f4, 4) AS linked_reference, round(f5, 4) AS fix_keyword, round(f6, 4) AS focused_source FROM banded WHERE reason IS NULL",
     "rejected_lists": f"WITH {_OUTCOMES} SELECT repo, reason, CAST(count(*) AS INTEGER) AS n, substr(sha256(string_agg(sha, ',' ORDER BY pos, sha)), 1, 16) AS shas FROM banded WHERE reason IS NOT NULL GROUP BY repo, reason",
     "commit_messages": f"""WITH {_COMMITS} SELECT sha,
         ['Fix crash in parser', 'Add feature (#' || sha || ')', 'Update docs and more', 'Handle wrong input', 'refactor: tidy up', 'Resolve bug: owner/repo#' || sha || ' broken'][CAST(k AS INTEGER) + 1] AS subject,
@@ -223,16 +228,18 @@ SQL: dict[str, str] = {
     "resume": f"WITH {_WALKED} SELECT repo, sha FROM walked w WHERE NOT EXISTS (SELECT 1 FROM walked s WHERE s.seen AND s.repo = w.repo AND s.sha = w.sha)",
     "watermarks": f"""WITH {_WALKED} SELECT repo, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS position, count(*) AS walked, CAST(max(CASE WHEN seen THEN 1 ELSE 0 END) + max(CASE WHEN seen THEN 0 ELSE 1 END) AS INTEGER) AS runs
         FROM walked GROUP BY repo""",
-    "prefix_stop": f"""WITH {_WALKED}, r AS (SELECT *, bool_or(seen) OVER w AS shut, CAST(sum(CASE WHEN sha % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n FROM walked
-        WINDOW w AS (PARTITION BY repo ORDER BY ts DESC, sha DESC ROWS UNBOUNDED PRECEDING)) SELECT repo, sha, n FROM r WHERE NOT shut AND sha % 2 = 0""",
+    "prefix_stop": f"""WITH {_WALKED}, r AS (SELECT *, bool_or(seen) OVER w AS shut, count(*) OVER w AS n FROM walked
+        WINDOW w AS (PARTITION BY repo ORDER BY ts DESC, sha DESC ROWS UNBOUNDED PRECEDING)) SELECT repo, sha, n FROM r WHERE NOT shut""",
     "run_segments": "SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM events",
-    "range_cuts": """WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber AS start, l_linenumber + CAST(floor(l_quantity) AS INTEGER) % 4 AS stop FROM lineitem),
-        n AS (SELECT *, lead(start) OVER (PARTITION BY l_orderkey ORDER BY start, stop, l_partkey) AS ahead FROM r)
-        SELECT l_orderkey, l_partkey, start, CASE WHEN ahead <= stop THEN greatest(start, ahead - 1) ELSE stop END AS cut FROM n""",
+    "range_cuts": """WITH r AS (SELECT *, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem),
+        n AS (SELECT *, 1 + q % 4 + CASE WHEN q % 3 <> 0 THEN 1 ELSE 0 END AS n_lines FROM r),
+        p AS (SELECT *, CAST(sum(n_lines) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM n)
+        SELECT l_orderkey, 't' || l_linenumber || '_' || l_partkey AS name, stop - n_lines + 1 AS start, stop FROM p""",
     "multiset_gain": """WITH c AS (SELECT l_orderkey, l_suppkey % 5 AS k, count(*) FILTER (l_linenumber > 2) AS n, count(*) FILTER (l_linenumber <= 2) AS o FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS gain FROM c GROUP BY l_orderkey""",
-    "set_overlap": """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(string_split(coalesce(text, ''), chr(10))[1], ' '), lambda x: x <> '')) AS a,
-        list_distinct(list_filter(string_split(string_split(coalesce(text, ''), chr(10))[-1], ' '), lambda x: x <> '')) AS b FROM documents)
+    "set_overlap": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        w AS (SELECT doc_id, list_distinct(list_filter(string_split(array_to_string(list_filter(lines, lambda x, k: k % 2 = 1), ' '), ' '), lambda x: x <> '')) AS a,
+        list_distinct(list_filter(string_split(array_to_string(list_filter(lines, lambda x, k: k % 2 = 0), ' '), ' '), lambda x: x <> '')) AS b FROM l)
         SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE, 6) ELSE 0.0::DOUBLE END AS share FROM w""",
     "label_measures": """SELECT source, lang, count(*) AS n, count(*) FILTER (quality IS NULL) AS unknown, CASE WHEN bool_and(toxic IS NOT NULL) THEN CAST(sum(toxic) AS BIGINT) END AS toxic, CAST(sum(toxic) AS BIGINT) AS known_toxic
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang""",

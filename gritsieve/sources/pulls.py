@@ -18,6 +18,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -247,6 +248,8 @@ class Client:
     max_wait: float = 900.0
     timeout: float = 30.0
     stats: Stats = field(default_factory=Stats)
+    #: When the request budget is filled again, if the last good reply used it up.
+    filled: float | None = None
 
     def _pause(self, seconds: float, why: str) -> None:
         if seconds > self.max_wait:
@@ -258,12 +261,22 @@ class Client:
         """Seconds to wait before another attempt, or None if there is no use in one."""
         if reply.status in (403, 429):
             if "retry-after" in reply.headers:
-                return float(reply.headers["retry-after"])
+                return self._after(reply.headers["retry-after"])
             if reply.headers.get("x-ratelimit-remaining") == "0":
                 return max(0.0, float(reply.headers.get("x-ratelimit-reset", "0")) - self.clock.now()) + 1
             return 60.0 * 2**attempt if reply.status == 429 or b"secondary rate limit" in reply.body.lower() else None
         return float(2**attempt) if reply.status >= 500 else None
 
+    def _after(self, told: str) -> float:
+        """Seconds that a Retry-After header asks for: a number, or a date; anything else is a minute."""
+        try:
+            return max(0.0, float(told))
+        except ValueError:
+            try:
+                return max(0.0, parsedate_to_datetime(told).timestamp() - self.clock.now())
+            except ValueError:
+                return 60.0
+
     def get(self, url: str) -> tuple[object, str | None]:
         """The decoded body and the address of the next page."""
         held = self.cache.get(url) if self.cache else None
@@ -271,6 +284,9 @@ class Client:
         for name, key in (("If-None-Match", "etag"), ("If-Modified-Since", "modified")):
             if held and held.get(key):
                 headers[name] = held[key]
+        if self.filled is not None:
+            filled, self.filled = self.filled, None
+            self._pause(max(0.0, filled - self.clock.now()) + 1, "the request budget is used up")
         for attempt in range(self.retries + 1):
             try:
                 reply = self.send(url, headers, self.timeout)
@@ -279,6 +295,8 @@ class Client:
             self.stats.sent += 1
             if (left := reply.headers.get("x-ratelimit-remaining", "")).isdigit():
                 self.stats.remaining = int(left)
+                if left == "0" and reply.status in (200, 304):
+                    self.filled = float(reply.headers.get("x-ratelimit-reset", "0"))
             if reply.status == 304 and held:
                 self.stats.cached += 1
                 return held["json"], held["next"]

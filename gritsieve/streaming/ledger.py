@@ -1,9 +1,9 @@
 """The ledger of fixes: append-only tables under numbered commits.
 
 A commit is one small file that lists the folders each table is made of. A writer writes its folders
-first and then creates the next number's file, which succeeds for exactly one writer; anyone else
-starts over from the new state. So readers see whole commits only, a crash before the commit file
-leaves the ledger as it was, and a batch that must be written with its export commits last.
+and the file first and then renames the file to the next number, which succeeds for exactly one
+writer; anyone else starts over from the new state. So readers see whole commits only, a crash before
+the rename leaves the ledger as it was, and a batch that must be written with its export commits last.
 
 Adding rows adds folders and rewrites nothing; claims rewrite the entries, and many small folders are
 merged now and then. A dry run reads a commit and never makes one.
@@ -86,16 +86,29 @@ class Ledger:
         return State(number, {t: tuple(held["folders"].get(t, ())) for t in TABLES})
 
     def _publish(self, state: State) -> None:
+        """Write the commit under a name of its own, then rename it to its number: it is there whole or not at all.
+
+        A rename must fail where the name is taken, as it does on HDFS and local disks. Stores without
+        such a rename need a lock of their own around writers; readers are safe on any.
+        """
         path = self._commit_path(state.number)
+        part = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/.{uuid.uuid4().hex}.part")
         data = json.dumps({"version": LEDGER_VERSION, "folders": state.folders}, sort_keys=True).encode()
         try:
-            out = self._fs.create(path, False)  # fails if it is there: one writer a number
+            out = self._fs.create(part, False)
+            out.write(bytearray(data))
+            out.close()
+            files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.rename(self._fs.makeQualified(part), self._fs.makeQualified(path), self._spark_array())
         except Exception as error:
+            self._fs.delete(part, False)
             if "FileAlreadyExists" in str(error):
                 raise LedgerConflict(f"{self.path}: commit {state.number} was made by another writer") from None
             raise LedgerError(f"{self.path}: {error}") from None
-        out.write(bytearray(data))
-        out.close()
+
+    def _spark_array(self):
+        """No options: a rename that overwrites nothing."""
+        return self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def begin(self) -> None:
         """Open a transaction: later changes are visible here at once and kept by ``commit`` only."""
@@ -163,6 +176,9 @@ class Ledger:
         """Verdicts in order, with the entries and hunks that the run adds."""
         scratch = Scratch(self.spark, "ledger")
         entries, hunks = self.table("entries"), self.table("hunks")
+        if proposals.isEmpty():  # a run that only walked
+            verdicts = self.spark.createDataFrame([], f"ord long, inserted boolean, id long, status string, matches {MATCH}")
+            return verdicts, entries.limit(0), hunks.limit(0)
         base = entries.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         folded = scratch.stash(fold_in_order(proposals, entries, hunks, scratch, least, keep_overlaps=check, own_first=not check), "folded")
         new = folded.where("inserted").select("ord").join(proposals, "ord")

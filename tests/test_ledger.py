@@ -142,6 +142,17 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     assert one.state() == State(1, {t: () for t in ("entries", "hunks", "watermarks", "walked")})
 
 
+def test_a_crash_before_the_rename_changes_nothing(spark, tmp_path):
+    """A commit that was written but not renamed is invisible, and the next writer goes on."""
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    entry, _ = ledger.add({"repo": "r", "sha": "1", "subject": "s", "hunks": ["a"]})
+    assert entry and ledger.state().number == 1
+    (tmp_path / "l" / "commits" / ".half.part").write_text('{"vers')
+    assert Ledger(spark, str(tmp_path / "l")).state() == ledger.state()
+    assert ledger.add({"repo": "r", "sha": "2", "subject": "s", "hunks": ["b"]})[0] and ledger.state().number == 2
+    assert sorted(x.name for x in (tmp_path / "l" / "commits").iterdir() if x.name.endswith(".json")) == ["000000000001.json", "000000000002.json"]
+
+
 def test_record_accumulates(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     rows = proposals(spark, [(0, "r", "a", "", ["x", "y"]), (1, "r", "b", "", ["x", "z"]), (2, "r", "c", "", ["y", "x"])])

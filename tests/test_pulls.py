@@ -72,6 +72,14 @@ def test_client_waits_retries_and_caches(tmp_path):
         client.get("https://api.github.com/z")
 
 
+def test_client_reads_dates_and_waits_for_a_new_budget():
+    slept, day = [], "Thu, 01 Jan 1970 00:02:10 GMT"
+    replies = [pulls.Reply(429, {"retry-after": day}, b""), pulls.Reply(429, {"retry-after": "soon"}, b""), pulls.Reply(200, {"x-ratelimit-remaining": "0", "x-ratelimit-reset": "140"}, b"[]"), pulls.Reply(200, {}, b"[2]")]
+    client = pulls.Client(send=lambda *a: replies.pop(0), clock=pulls.Clock(lambda: 100.0, slept.append))
+    assert client.get("https://x/a") == ([], None) and slept == [30.0, 60.0]
+    assert client.get("https://x/b") == ([2], None) and slept == [30.0, 60.0, 41.0]
+
+
 def test_keys_are_sorted():
     assert pulls.key_of("https://h/a/b?z=1&a=2") == "GET /a/b?a=2&z=1"
     with pytest.raises(ValueError):
