@@ -223,7 +223,9 @@ def _sent(state: DataFrame, plan: sx.Plan, level: Level, splits: np.ndarray, fir
                     bounds = np.concatenate([[a], sx.cut_points(found, within), [b]])
                     rows = [(first + j, 0, int(y - x), sx.squeeze(found[x:y].tobytes()), sx.pack(np.minimum(count[x:y], 65535).astype("<u2")), sx.pack(head[x:y].astype("<i4")))
                             for j, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if y > x]
-                    if (inside := np.isin(again[0], head[a:b])).any():
+                    of_range = np.zeros(block.n, dtype=bool)
+                    of_range[head[a:b]] = True
+                    if (inside := of_range[again[0]]).any():
                         rows.append((first + block.number % parts, 1, int(inside.sum()), None, None, sx.pack(again[:, inside].T.astype("<i4"))))
                     part, kind, n, key, counts, at = zip(*rows) if rows else [()] * 6
                     yield table({
