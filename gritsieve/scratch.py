@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Every table is written with Spark's own commit protocol under ``spark.checkpoint.dir``, so a lost
-executor costs a retry of its tasks and nothing else. Where the session has no such folder (tests,
-notebooks) a temporary one is made and set, once for each session.
+executor costs a retry of its tasks and nothing else. Where a local session has no such folder (tests,
+notebooks) a temporary one is made and set, once for each session; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder named in the session's ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="gritsieve-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
