@@ -1,8 +1,14 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic regression over the presence of words, of beginnings of words and of repeated words. For every labelled sentence that names a group, a
-counterfactual twin is made by swapping the term for another of its kind; training adds a penalty on
-the difference between the two scores, so a neutral mention of a group cannot carry a score by itself.
+A logistic regression over the presence of words, of beginnings of words and of repeated words. For
+every labelled text that holds terms that should not matter, a counterfactual twin is made by swapping
+each for another of its kind; training adds a penalty on the difference between the two scores, so a
+neutral mention cannot carry a score by itself.
+
+Terms are the names of groups of people (``GROUPS``) and, as a corpus may name none of them, words that
+the training rows themselves show to be neutral: the ``learned_terms`` words of most rows whose share
+of toxic rows is that of all rows, in kinds of four of like frequency. Terms are always features of the
+model, whatever their association with the label, so that the penalty has weights to act on.
 
 Training uses a bounded sample: at most ``max_rows`` labelled documents outside the held-out part, in
 the order of a hash of their id, each with all its features. Features are counted where
@@ -27,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gritsieve.llm.arrow import raw, table
+from gritsieve.llm.arrow import raw, spare, table
 from gritsieve.llm.decontaminate import FOLD
 from gritsieve.scratch import Scratch
 
@@ -44,7 +50,8 @@ GROUPS = (
     ("young", "old", "elderly", "disabled", "blind", "deaf"),
     ("homme", "femme"), ("hommes", "femmes"), ("mann", "frau"), ("hombre", "mujer"), ("hombres", "mujeres"),
 )
-_KIND = {term.encode(): [t.encode() for t in kind] for kind in GROUPS for term in kind}
+Kinds = dict[bytes, list[bytes]]
+KINDS: Kinds = {term.encode(): [t.encode() for t in kind] for kind in GROUPS for term in kind}
 
 
 @dataclass(frozen=True)
@@ -60,6 +67,12 @@ class ToxicityOptions:
     min_z: float = 5.0
     l2: float = 5e-5
     counterfactual: float = 1.0
+    #: Neutral words of the training rows that are swapped too: how many, their least length in bytes
+    #: and number of rows, and the most that their share of toxic rows may be off, in standard deviations.
+    learned_terms: int = 64
+    least_bytes: int = 3
+    neutral_rows: int = 20
+    neutral_z: float = 1.0
     #: How much a missed toxic row costs against a wrongly flagged one.
     positive_weight: float = 3.0
     steps: int = 400
@@ -81,11 +94,11 @@ def features(words: list[bytes], buckets: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in found), dtype=np.int64, count=len(found)))
 
 
-def swapped(words: list[bytes]) -> list[bytes] | None:
-    """The words with every group term exchanged for the next of its kind, or None if there is none."""
-    if not any(w in _KIND for w in words):
+def swapped(words: list[bytes], kinds: Kinds = KINDS) -> list[bytes] | None:
+    """The words with every term exchanged for the next of its kind, or None if there is none."""
+    if not any(w in kinds for w in words):
         return None
-    return [_KIND[w][(_KIND[w].index(w) + 1) % len(_KIND[w])] if w in _KIND else w for w in words]
+    return [kinds[w][(kinds[w].index(w) + 1) % len(kinds[w])] if w in kinds else w for w in words]
 
 
 @dataclass(frozen=True)
@@ -96,6 +109,8 @@ class Model:
     weights: np.ndarray
     intercept: float
     buckets: int
+    #: Twins that training compared.
+    pairs: int = 0
 
     def score(self, text: bytes | None) -> float:
         words = (text or b"").translate(FOLD).split()
@@ -136,23 +151,45 @@ def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.nd
         rate = options.rate * min(1.0, 2 * (1 - step / (options.steps + 1)))
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    return Model(numbers, w, float(b), options.buckets)
+    return Model(numbers, w, float(b), options.buckets, len(pairs))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
-    """(doc_id, toxic, here, twin): features of the bounded sample and of its counterfactual twins."""
-    label = labels.select(labels["doc_id"].cast("long").alias("__id"), labels["toxic"].cast("int").alias("__toxic")).where("__id is not null and __toxic is not null")
-    label = label.where(part_of(F.col("__id"), options.parts) != options.held_out).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    chosen = label.orderBy(F.xxhash64("__id"), "__id").limit(options.max_rows)
+    """(doc_id, toxic, text) of the bounded sample."""
+    of, toxic = spare(["doc_id", "text"], "id", "toxic")
+    label = labels.select(labels["doc_id"].cast("long").alias(of), labels["toxic"].cast("int").alias(toxic)).where(F.col(of).isNotNull() & F.col(toxic).isNotNull())
+    label = label.where(part_of(F.col(of), options.parts) != options.held_out).groupBy(of).agg(F.max(toxic).alias(toxic))
+    chosen = label.orderBy(F.xxhash64(of), of).limit(options.max_rows)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    rows = slim.join(F.broadcast(chosen), slim["doc_id"] == chosen["__id"]).select("doc_id", "text", "__toxic")  # bounded by max_rows
+    return slim.join(F.broadcast(chosen), slim["doc_id"] == chosen[of]).select("doc_id", F.col(toxic).alias("toxic"), "text")  # bounded by max_rows
+
+
+def neutral_kinds(rows: DataFrame, share: float, options: ToxicityOptions) -> Kinds:
+    """Kinds of words that toxic and other rows of the sample hold alike, most frequent first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted({w for w in (t or b"").translate(FOLD).split() if options.least_bytes <= len(w) <= 64}) for t in raw(batch, "text")]
+            toxic = [min(1, max(0, t)) for t in batch.column("toxic").to_pylist()]
+            yield table({"word": ([w for ws in words for w in ws], pa.binary()), "t": (np.repeat(np.array(toxic, dtype=np.int64), [len(ws) for ws in words]), pa.int64())})
+
+    counts = rows.select("toxic", "text").mapInArrow(run, "word binary, t long").groupBy("word").agg(F.count("*").alias("c"), F.sum("t").alias("t"))
+    off = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
+    found = counts.where((F.col("c") >= options.neutral_rows) & (off <= options.neutral_z)).orderBy(F.desc("c"), "word").limit(options.learned_terms)
+    words = [bytes(r["word"]) for r in found.collect()]
+    words = [w for w in words if w not in KINDS]
+    return {w: words[k - k % 4 : k - k % 4 + 4] for k, w in enumerate(words) if len(words[k - k % 4 : k - k % 4 + 4]) > 1}
+
+
+def _featured(rows: DataFrame, kinds: Kinds, options: ToxicityOptions) -> DataFrame:
+    """(doc_id, toxic, here, twin): features of the rows and of their counterfactual twins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or b"").translate(FOLD).split() for t in raw(batch, "text")]
-            twins = [swapped(w) for w in words]
+            twins = [swapped(w, kinds) for w in words]
             yield table({
-                "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("__toxic"), pa.int32()),
+                "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("toxic"), pa.int32()),
                 "here": ([features(w, options.buckets) for w in words], pa.list_(pa.int32())),
                 "twin": ([None if t is None else features(t, options.buckets) for t in twins], pa.list_(pa.int32())),
             })
@@ -167,15 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
     driver gets the chosen ones, and which of them each sampled row has.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.stash(_sample(docs, labels, options), "sample")
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
-    numbers = np.empty(0, dtype=np.int64)
-    if 0 < positive < n:
-        share = positive / n
-        counts = rows.select(F.explode("here").alias("f"), (F.col("toxic") > 0).cast("long").alias("t")).groupBy("f").agg(F.count("*").alias("c"), F.sum("t").alias("t")).where(F.col("c") >= options.min_rows)
-        z = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-        best = counts.withColumn("z", z).where(F.col("z") >= options.min_z).orderBy(F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
-        numbers = np.sort(best.column("f").to_numpy().astype(np.int64))
+    sample = scratch.stash(_sample(docs, labels, options), "sample")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
+    if not 0 < positive < n:
+        return fit([np.empty(0, dtype=np.int64)] * n, [None] * n, np.full(n, float(positive > 0)), np.empty(0, dtype=np.int64), options)
+    share = positive / n
+    kinds = KINDS | neutral_kinds(sample, share, options)
+    rows = scratch.stash(_featured(sample, kinds, options), "features")
+    counts = rows.select(F.explode("here").alias("f"), (F.col("toxic") > 0).cast("long").alias("t")).groupBy("f").agg(F.count("*").alias("c"), F.sum("t").alias("t")).where(F.col("c") >= options.min_rows)
+    z = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
+    terms = [int(x) for x in features(sorted(kinds), options.buckets)]
+    counts = counts.withColumn("z", z).withColumn("term", F.col("f").isin(terms))
+    best = counts.where(F.col("term") | (F.col("z") >= options.min_z)).orderBy(F.desc("term"), F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
+    numbers = np.sort(best.column("f").to_numpy().astype(np.int64))
     shared = spark.sparkContext.broadcast(numbers)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
             })
 
     found = rows.mapInArrow(chosen, "doc_id long, toxic int, here array<int>, twin array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    scratch.drop("sample")
+    scratch.drop("sample", "features")
     lists = lambda name: [None if x is None else np.array(x, dtype=np.int64) for x in found.column(name).to_pylist()]
     return fit(lists("here"), lists("twin"), (found.column("toxic").to_numpy() > 0).astype(float), numbers, options)
 

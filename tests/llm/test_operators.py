@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gritsieve.llm import chat, decontaminate as dc, line_dedup as ld, mixing, quality, secrets, simhash, suffix_dedup as sd, token_counts as tc, toxicity
-from gritsieve.llm.suffix import suffix_names
 from tests.llm.conftest import SCHEMA, prose
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -173,7 +172,8 @@ def test_decontamination(spark, docs, documents, empty):
         want[(r[0], len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows_of(dc.contamination_report(docs, benchmark), *columns) == want
-    assert rows_of(dc.contamination_report(docs, benchmark, automaton_bytes=200), *columns) == want  # many shards
+    assert rows_of(dc.contamination_report(docs, benchmark, automaton_bytes=9000), *columns) == want  # several shards
+    assert 2 < dc._shard_count(benchmark, 13, 9000) < 12 and dc.decontaminate(docs, benchmark, automaton_bytes=20_000).count() == sum(n for k, n in want.items() if not k[-1])
     kept = dc.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
     none = spark.createDataFrame([], "item_id long, text string")
@@ -190,39 +190,59 @@ def test_spans_are_places_in_the_original(spark):
 # --- suffix dedup ------------------------------------------------------------------------------
 
 
-def test_suffix_names_order_prefixes():
-    rng = random.Random(6)
-    for _ in range(300):
-        n, depth = rng.randint(1, 50), rng.choice([1, 3, 4, 9, 30])
-        x = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(n)]
-        names = suffix_names(np.array(x), depth)
-        for i in range(n):
-            for j in range(n):
-                a, b = x[i : i + depth], x[j : j + depth]
-                assert a == b or (names[i] < names[j]) == (a < b)
-    assert len(suffix_names(np.empty(0, dtype=np.int64), 5)) == 0
-
-
-@pytest.mark.parametrize("class_runs, chunk, block", [(4096, 1 << 20, 1 << 19), (2, 3000, 1 << 19), (3, 10, 512)])
-def test_suffix_dedup(spark, docs, documents, empty, monkeypatch, class_runs, chunk, block):
-    monkeypatch.setattr(sd, "BLOCK", block)
-    keys = sorted({((r[0] if r[0] is not None else 2**63), r[1] or "") for r in documents}, key=lambda k: (k[0], signed_hash(spark, k[1])))
+def brute_suffixes(keys, length):
+    """For each (id, text), in order: bytes, bytes removed, spans and the hash of what stays."""
     seen, want = set(), {}
     for key in keys:
         data, covered = key[1].encode(), set()
-        for k in range(len(data) - 99):
-            piece = data[k : k + 100]
+        for k in range(len(data) - length + 1):
+            piece = data[k : k + length]
             if piece in seen:
-                covered.update(range(k, k + 100))
+                covered.update(range(k, k + length))
             seen.add(piece)
         kept = bytes(b for k, b in enumerate(data) if k not in covered)
         want[key] = (len(data), len(covered), sum(k - 1 not in covered for k in covered), hashlib.sha256(kept).hexdigest())
-    got = rows_of(sd.suffix_dedup_report(docs, class_runs=class_runs, chunk_bytes=chunk), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return want
+
+
+@pytest.mark.parametrize("options", [sd.Options(), sd.Options(hot=3, block_bytes=4000, round_share=4.0)])
+def test_suffix_dedup(spark, docs, documents, empty, options):
+    keys = sorted({((r[0] if r[0] is not None else 2**63), r[1] or "") for r in documents}, key=lambda k: (k[0], signed_hash(spark, k[1])))
+    want = brute_suffixes(keys, 100)
+    got = rows_of(sd.suffix_dedup_report(docs, options=options), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == Counter((r[0], *want[(r[0] if r[0] is not None else 2**63, r[1] or "")]) for r in documents)
-    if block == 512:
+    if options.hot == 3:
         assert sd.suffix_dedup_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("length, options", [(30, sd.Options(hot=0)), (300, sd.Options()), (600, sd.Options(hot=5, block_bytes=3000, round_share=3.0))])
+def test_suffix_dedup_of_other_lengths(spark, length, options):
+    rng, rows = random.Random(length), []
+    base = [prose(rng, rng.randint(20, 400)) for _ in range(4)]
+    for k in range(25):
+        cut = [(b, a) for b in base for a in [rng.randint(0, len(b))]]
+        rows.append((k, "".join(b[a : a + rng.randint(1, 1500)] if rng.random() < 0.6 else prose(rng, 9) for b, a in rng.sample(cut, rng.randint(0, 3)))))
+    rows += [(100, "ab " * 500), (101, "xab " * 300), (102, base[0] * 3), (103, "é" * 400)]
+    want = brute_suffixes(rows, length)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in sd.suffix_dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, options).collect()}
+    assert got == {k: want[k, t] for k, t in rows} and sum(w[1] for w in want.values()) > 1000
+
+
+def test_every_pair_of_places_has_a_sampled_shift():
+    from gritsieve.llm import suffix as sx
+
+    for length in (30, 100, 300, 729):
+        plan = sx.plan(length)
+        covered, s = sx.cover(plan.stride), plan.stride
+        assert all(any(covered[(a + k) % s] and covered[(b + k) % s] for k in range(s)) for a in range(s) for b in range(0, s, 5))
+        assert plan.width + 2 * s * plan.recursions == plan.depth == length - s + 1
+    keys = np.random.default_rng(1).integers(0, 3, (5000, 21)).astype(np.uint8)
+    words = sx.words_of(keys)
+    assert (sx.key_order(words) == np.lexsort(words.T[::-1])).all()
+    with pytest.raises(ValueError):
+        sx.plan(29)
+
+
 _HASHES = {}
 
 
@@ -381,23 +401,43 @@ def test_chats(spark, bucket):
     assert chat.chat_report(df.limit(0)).count() == 0
 
 
-def test_long_conversation(spark):
-    rng, rows = random.Random(12), [(7, k, "user", f"message number {k} says {prose(random.Random(k), 5)}") for k in range(150)]
-    parents = {}
-    for k in range(1, 150):
-        parents[k] = k - 1
-        if rng.random() < 0.4:
-            parents[k] = rng.randint(0, k - 1)
-            rows[k] = (*rows[k][:3], "> " + rows[parents[k]][3] + "\n" + rows[k][3])
-    depth = {0: 0}
-    for k in range(1, 150):
-        depth[k] = depth[parents[k]] + 1
-    # quoting a message that itself quotes repeats both levels; the lowest level names the parent
-    rows = [(c, t, r, x if t == 0 or not x.startswith("> > ") else x) for c, t, r, x in rows]
-    df = spark.createDataFrame([(c, t, r, "\n".join("> " + y if x.startswith("> ") and n == 0 and y.startswith("> ") else y for n, y in enumerate(x.split("\n")))[2:] if x.startswith("> > ") else x) for c, t, r, x in rows], "conv_id long, turn long, role string, text string")
-    got = {r["turn"]: r for r in chat.format_chats(df, 16).collect()}
-    assert all(got[k]["depth"] == got[got[k]["reply_to"]]["depth"] + 1 for k in range(1, 150)) and got[0]["depth"] == 0
-    assert all(got[k]["thread"] == 0 for k in range(150))
+@pytest.mark.parametrize("seed", [12, 13])
+def test_random_quote_trees(spark, seed):
+    """Random trees of nested quotes, in shuffled rows, against the parents that made them."""
+    rng, rows, parents, own, said = random.Random(seed), [], {}, {}, {}
+    for conv in range(4):
+        for k in range(rng.randint(1, 60)):
+            own[conv, k] = f"conversation {conv} message {k} says {prose(rng, 5)}\nand then {prose(rng, 4)}"
+            text = own[conv, k]
+            if k:
+                parents[conv, k] = k - 1
+                if rng.random() < 0.5:
+                    parents[conv, k] = rng.randint(0, k - 1)
+                    quoted = said[conv, parents[conv, k]]
+                    text = "\n".join("> " + line for line in quoted.split("\n")).upper() + "\n\n" + own[conv, k]
+            said[conv, k] = text
+            rows.append((conv, k, "user", text))
+    depth, place, seen = {}, {}, Counter()
+    for conv, k in own:
+        depth[conv, k] = depth[conv, parents[conv, k]] + 1 if k else 0
+        place[conv, k] = seen[conv]
+        seen[conv] += 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(df, 16).collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == {k: parents.get(k) for k in own}
+    assert {k: r["depth"] for k, r in got.items()} == depth and {k: r["place"] for k, r in got.items()} == place
+    assert {k: r["text"] for k, r in got.items()} == own and all(r["thread"] == 0 for r in got.values())
+    listed = [(r["conv_id"], r["place"], r["formatted"]) for r in chat.conversations(df, 16).collect()]
+    assert listed == sorted((c, place[c, k], f"<|user|>\n{text}") for (c, k), text in own.items())
+
+
+def test_chats_with_long_texts_and_a_passage_that_all_quote(spark):
+    long = prose(random.Random(3), 30_000)
+    rows = [(1, 0, "user", long), (1, 1, "user", "> " + long + "\nok"), (2, 0, "user", "the one line")]
+    rows += [(2, k, "user", f"> the one line\nanswer {k}") for k in range(1, 300)] + [(2, 5, "user", "> the one line\nanswer 5")] * 2
+    got = [tuple(r) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 32).select("conv_id", "turn", "reply_to", "link").collect()]
+    assert Counter(got) == Counter((c, t, 0 if t else None, "quote" if t else "root") for c, t, _, _ in rows)
 
 
 # --- toxicity ----------------------------------------------------------------------------------
@@ -437,3 +477,52 @@ def test_groups_do_not_carry_a_score(spark):
     held = toxicity.train(df, labels, options)
     assert gap(held) <= gap(loose) and gap(held) < 0.05
     assert toxicity.swapped([b"women", b"x"]) == [b"boys", b"x"] and toxicity.swapped([b"x"]) is None
+
+
+def test_fit_is_the_least_of_its_objective():
+    """Against the objective written out over dense rows: no step in any direction is better."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((200, 6)) < 0.4).astype(float)
+    twin = x.copy()
+    twin[:, [0, 1]] = twin[:, [1, 0]]
+    y = ((x[:, 2] > 0) | ((x[:, 0] > 0) & (rng.random(200) < 0.5))).astype(float)
+    options = toxicity.ToxicityOptions(steps=4000, rate=0.1, l2=0.01, counterfactual=0.5)
+    lists = lambda m: [np.flatnonzero(r) for r in m]
+    model = toxicity.fit(lists(x), lists(twin), y, np.arange(6), options)
+    cost = np.where(y > 0, options.positive_weight, 1.0)
+    cost /= cost.sum()
+
+    def objective(w, b):
+        logit = x @ w + b
+        return (cost * (np.logaddexp(0, logit) - y * logit)).sum() + options.l2 / 2 * (w @ w) + options.counterfactual * (((x - twin) @ w) ** 2).mean()
+
+    least = objective(model.weights, model.intercept)
+    assert model.pairs == 200 and all(objective(model.weights + d * e, model.intercept) >= least - 1e-9 for e in np.eye(6) for d in (-0.02, 0.02))
+    free = toxicity.fit(lists(x), [None] * 200, y, np.arange(6), options)
+    assert abs(model.weights[0] - model.weights[1]) < 0.5 * abs(free.weights[0] - free.weights[1])
+
+
+def test_neutral_mentions_are_flagged_less(spark):
+    """Words that training rows hold alike are swapped too; mentions of a group are flagged no more than without the penalty."""
+    df, labels, _ = _labelled(spark)
+    options = toxicity.ToxicityOptions(min_z=2.0, neutral_rows=10)
+    held = toxicity.train(df, labels, options)
+    loose = toxicity.train(df, labels, toxicity.ToxicityOptions(min_z=2.0, neutral_rows=10, counterfactual=0.0))
+    rng = random.Random(1)
+    texts = [f"{prose(rng, 12)} about women {prose(rng, 12)}".encode() for _ in range(100)]
+    flagged = lambda m: sum(m.score(t) for t in texts)
+    assert held.pairs > 150 and flagged(held) <= flagged(loose)
+
+
+CLASHES = ("__id", "__row", "__text_row", "__hits", "__of", "__size", "__mix", "__row_of", "__head_row", "__runs", "__items", "ID", "root", "head", "copies", "shard", "a", "b")
+
+
+def test_internal_names_do_not_clash(spark, docs, documents):
+    wide = docs.withColumns({c: F.lit(7) for c in CLASHES})
+    benchmark = spark.createDataFrame([(1, " ".join((documents[0][1] or "").split()[:20]))], "item_id long, text string")
+    for filtered, plain in (
+        (ld.dedup_lines(wide), ld.dedup_lines(docs)), (simhash.dedup(wide), simhash.dedup(docs)), (mixing.mix(wide), mixing.mix(docs)),
+        (dc.decontaminate(wide, benchmark, automaton_bytes=1000), dc.decontaminate(docs, benchmark)), (quality.quality_filter(wide), quality.quality_filter(docs)),
+    ):
+        assert set(filtered.columns) >= set(wide.columns) and filtered.count() == plain.count()
+        assert filtered.select(*[f"`{c}`" for c in CLASHES]).distinct().collect() == [tuple([7] * len(CLASHES))]
