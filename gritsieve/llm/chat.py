@@ -5,7 +5,7 @@ or more quote marks. Own text and quoted passages are normalised and hashed; a q
 joined to the message of the same conversation that wrote it, the latest before the quoting one. The
 best linked passage of the lowest level names the message that is answered; a message without such a
 passage answers the turn before it. The result is each message without quotes, with its place in the
-reply tree.
+reply tree; ``conversations`` has them in reply order, formatted for training.
 
 "The latest before" is an as-of join in two levels: rows are combined by (conversation, hash, turn),
 so a passage that very many messages share is one row from each task, and windows run inside buckets
@@ -162,6 +162,20 @@ def link_quotes(messages: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return parents.join(_depths(parents, scratch), ["conv_id", "turn"])
 
 
+def _places(links: DataFrame, bucket: int) -> DataFrame:
+    """``links`` with ``place``: the number of the turn in its conversation's thread, in reply order.
+
+    A message answers an earlier turn, so by turn every reply stands after what it answers. The count
+    runs in two levels: inside buckets of turns, and over one row for each bucket.
+    """
+    rows = links.withColumn("part", F.floor(F.col("turn") / bucket))
+    near = F.row_number().over(Window.partitionBy("conv_id", "thread", "part").orderBy("turn"))
+    parts = rows.groupBy("conv_id", "thread", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id", "thread").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("conv_id", "thread", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+    return rows.withColumn("near", near).join(parts, ["conv_id", "thread", "part"]).withColumn("place", (F.col("carried") + F.col("near") - 1).cast("long")).drop("part", "near", "carried")
+
+
 def clean(text: Column) -> Column:
     """The message without quotes, as (text, quoted passages, deepest level)."""
 
@@ -178,18 +192,28 @@ def clean(text: Column) -> Column:
 
 
 def format_chats(messages: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Every message without its quotes and with its place: order by conv_id, thread, depth, turn."""
-    links = link_quotes(messages, bucket)
-    links = links.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "parent", "by_quote", "thread", "depth")
+    """Every message without its quotes, and where it stands in its reply-ordered conversation."""
+    links = _places(link_quotes(messages, bucket), bucket)
+    links = links.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "parent", "by_quote", "thread", "depth", "place")
     rows = messages.select(messages["conv_id"].cast("long").alias("conv_id"), messages["turn"].cast("long").alias("turn"), messages["role"].alias("role"), clean(messages["text"]).alias("own"))
     joined = rows.join(links, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left")
     link = F.when(F.col("parent").isNull(), "root").when(F.col("by_quote"), "quote").otherwise("previous")
     return joined.select(
         "conv_id", "turn", "role", F.col("parent").alias("reply_to"), link.alias("link"), F.coalesce("thread", "turn").alias("thread"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("own.n_quotes").alias("n_quotes"), F.col("own.quote_depth").alias("quote_depth"), F.col("own.text").alias("text"),
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), F.col("own.n_quotes").alias("n_quotes"), F.col("own.quote_depth").alias("quote_depth"), F.col("own.text").alias("text"),
     )
 
 
+def conversations(messages: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The conversations as rows (conv_id, thread, place, role, formatted), sorted: each turn as its role, a newline and its text.
+
+    Rows stay rows, however long a conversation is; sorting deals them out by range.
+    """
+    chats = format_chats(messages, bucket).where("conv_id is not null and turn is not null")
+    formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.coalesce("text", F.lit("")))
+    return chats.select("conv_id", "thread", "place", "role", formatted.alias("formatted")).orderBy("conv_id", "thread", "place", "role")
+
+
 def chat_report(messages: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The formatted messages with a hash in place of the text."""
     chats = format_chats(messages, bucket)
