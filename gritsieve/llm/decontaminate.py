@@ -4,9 +4,11 @@ The word windows of the benchmark's questions and answers become the patterns of
 every document is normalised once, scanned once, and the matches are mapped back to word numbers and
 to code points of the original text. Documents are never shuffled.
 
-What is broadcast is the benchmark's normalised text. Its size is counted before: up to
-``automaton_bytes`` of pattern text make one automaton, and a larger benchmark is cut into shards
-that are scanned one after the other in the same stage, so memory stays bounded at any size.
+What is collected and broadcast is bounded: the benchmark's size is counted on the cluster first. If
+its windows make up to ``automaton_bytes``, they are one automaton. A larger benchmark is dealt out by
+items into shards of that size; one shard at a time goes to the executors, each task builds its
+automaton once, and what it hits is written to the shared folder; then each document's hits of all
+shards are joined. Only a single item that is larger than a shard can exceed the bound.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; items that
 are null or wordless have no windows; rows that repeat an ``item_id`` add their windows to it; a null
@@ -17,15 +19,17 @@ give no hits or no rows; other columns are ignored, or returned unchanged by the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.llm.arrow import raw, table
+from gritsieve.llm.arrow import raw, spare, table
+from gritsieve.scratch import Scratch
 
 WINDOW = 13
 MIN_SHARE = 20
@@ -40,29 +44,24 @@ def normalise(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Shard:
-    """Patterns of some items: padded window text, its words, and the numbers of the items that hold it."""
+    """Patterns of some items: padded window text, its words, the numbers of the items that hold it, and their names."""
 
     patterns: tuple[str, ...]
     lengths: tuple[int, ...]
     owners: tuple[tuple[int, ...], ...]
+    names: tuple[str, ...]
 
 
-def shards(items: Iterable[tuple[int, bytes | None]], window: int, most: int) -> list[Shard]:
-    """Distinct windows of (number, text) pairs, packed into shards of at most ``most`` bytes."""
+def shard_of(items: Iterable[tuple[str | None, bytes | None]], window: int) -> Shard:
+    """The distinct windows of (name, text) pairs."""
     owners: dict[bytes, dict[int, None]] = {}
-    for number, text in items:
-        words = normalise(text)
+    names: dict[str, int] = {}
+    for name, text in items:
+        number, words = names.setdefault(name or "", len(names)), normalise(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
             owners.setdefault(b" ".join(words[at : at + window]), {})[number] = None
-    packed: list[list[bytes]] = [[]]
-    held = 0
-    for pattern in sorted(owners):
-        if held and held + len(pattern) > most:
-            packed.append([])
-            held = 0
-        packed[-1].append(pattern)
-        held += len(pattern)
-    return [Shard(tuple(f" {p.decode('latin-1')} " for p in part), tuple(p.count(b" ") + 1 for p in part), tuple(tuple(owners[p]) for p in part)) for part in packed]
+    found = sorted(owners)
+    return Shard(tuple(f" {p.decode('latin-1')} " for p in found), tuple(p.count(b" ") + 1 for p in found), tuple(tuple(owners[p]) for p in found), tuple(names))
 
 
 class Scanner:
@@ -110,38 +109,102 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in edge.reshape(-1, 2)]
 
 
-class Contamination:
-    """What all shards together find; scanners are built once in a task, or anew by batch if there are several."""
-
-    def __init__(self, parts: list[Shard], names: list[str], min_share: int) -> None:
-        self.parts, self.names, self.min_share = parts, names, min_share
-        self._only = Scanner(parts[0]) if len(parts) == 1 else None
-
-    def judge(self, texts: list[bytes | None]) -> list[tuple[int, int, list[str], list[tuple[int, int]], bool]]:
-        """For each text: words, hit words, names of items, code point spans, contaminated."""
-        words = [normalise(t) for t in texts]
-        hits = [np.zeros(len(w), dtype=bool) for w in words]
-        items: list[set[int]] = [set() for _ in words]
-        for part in self.parts:
-            scanner = self._only or Scanner(part)
-            for k, w in enumerate(words):
-                if found := scanner.find(w):
-                    hits[k] |= _hits(len(w), found)
-                    items[k].update(owner for *_, p in found for owner in part.owners[p])
-        out = []
-        for text, w, hit, owners in zip(texts, words, hits, items):
-            n_hit = int(hit.sum())
-            spans = [(int(at[a, 0]), int(at[b - 1, 1])) for at in [word_spans(text)] for a, b in _runs(hit)] if n_hit else []
-            out.append((len(w), n_hit, sorted({self.names[o] for o in owners}), spans, n_hit > 0 and self.min_share * n_hit >= len(w)))
-        return out
-
-
-def _collect(benchmark: DataFrame, window: int, automaton_bytes: int) -> tuple[list[Shard], list[str]]:
-    """Items come one by one to the driver; their number and size are those of a benchmark, not of the corpus."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
-    names: dict[str, int] = {}
-    items = [(names.setdefault(r["name"] or "", len(names)), bytes(r["text"]) if r["text"] is not None else None) for r in rows.toLocalIterator()]
-    return shards(items, window, automaton_bytes), list(names)
+def _found(scanner: Scanner, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    """Which words are hit, and the names of the items."""
+    found = scanner.find(words)
+    return _hits(len(words), found), {scanner.shard.names[o] for *_, p in found for o in scanner.shard.owners[p]}
+
+
+class Verdict(NamedTuple):
+    n_words: int
+    n_hit: int
+    items: list[str]
+    spans: list[tuple[int, int]]
+    contaminated: bool
+
+
+def verdict(text: bytes | None, n_words: int, hit: np.ndarray, items: Iterable[str], min_share: int) -> Verdict:
+    n_hit = int(hit.sum())
+    spans = [(int(at[a, 0]), int(at[b - 1, 1])) for at in [word_spans(text)] for a, b in _runs(hit)] if n_hit else []
+    return Verdict(n_words, n_hit, sorted(items), spans, n_hit > 0 and min_share * n_hit >= n_words)
+
+
+def _shard_count(benchmark: DataFrame, window: int, automaton_bytes: int) -> int:
+    """How many shards the benchmark's windows make: every byte is in ``window`` of them at most."""
+    held = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    return max(1, -(-held * window // automaton_bytes))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
+
+
+def _collected(items: DataFrame, window: int) -> Shard:
+    """A shard on the driver; the caller has counted that it is small."""
+    return shard_of(((r["name"], bytes(r["text"]) if r["text"] is not None else None) for r in items.toLocalIterator()), window)
+
+
+def _hit_table(docs: DataFrame, benchmark: DataFrame, window: int, count: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, row, runs, items) of all documents that some shard hits, one shard after the other."""
+    items = scratch.stash(_items(benchmark).withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(count))), "items", "shard")
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("row"), docs["text"].alias("text"))
+    tables = []
+    for number in range(count):
+        shared = docs.sparkSession.sparkContext.broadcast(_collected(items.where(F.col("shard") == number), window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(shared.value)
+            for batch in batches:
+                found = [(k, *_found(scanner, normalise(t))) for k, t in enumerate(raw(batch, "text"))]
+                found = [f for f in found if f[1].any()]
+                at = pa.array([f[0] for f in found], pa.int64())
+                runs = [[{"first": a, "last": b} for a, b in _runs(f[1])] for f in found]
+                yield table({
+                    "doc_id": (batch.column("doc_id").take(at), pa.int64()), "row": (batch.column("row").take(at), pa.int64()),
+                    "runs": (runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), "items": ([sorted(f[2]) for f in found], pa.list_(pa.string())),
+                })
+
+        tables.append(scratch.stash(slim.mapInArrow(run, "doc_id long, row long, runs array<struct<first:long,last:long>>, items array<string>"), f"hits-{number}"))
+        shared.destroy()
+    hits = tables[0]
+    for more in tables[1:]:
+        hits = hits.unionByName(more)
+    return hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes: int, min_share: int, out: Callable, schema) -> DataFrame:
+    """``out(batch, verdicts)`` for every batch of ``docs``."""
+    count = _shard_count(benchmark, window, automaton_bytes)
+    if count == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(_collected(_items(benchmark), window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(shared.value)
+            for batch in batches:
+                texts = raw(batch, "text")
+                words = list(map(normalise, texts))
+                yield out(batch, [verdict(t, len(w), *_found(scanner, w), min_share) for t, w in zip(texts, words)])
+
+        return docs.mapInArrow(run, schema)
+    hits = _hit_table(docs, benchmark, window, count, Scratch(docs.sparkSession, "decontaminate"))
+    of, row, text_row, runs, items = spare(docs.columns, "id", "row", "text_row", "runs", "items")
+    hits = hits.select(F.col("doc_id").alias(of), F.col("row").alias(row), F.col("runs").alias(runs), F.col("items").alias(items))
+    keyed = docs.withColumn(text_row, F.xxhash64(docs["text"]))
+    joined = keyed.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.col(text_row) == F.col(row)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], runs, items)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(batch.schema.names[:-2])
+            found = []
+            for text, runs, items in zip(raw(own, "text"), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                n = len(normalise(text))
+                hit = np.zeros(n, dtype=bool)
+                for r in runs or ():
+                    hit[r["first"] : r["last"]] = True
+                found.append(verdict(text, n, hit, items or (), min_share))
+            yield out(own, found)
+
+    return joined.mapInArrow(join, schema)
 
 
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
@@ -149,35 +212,23 @@ REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha2
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row for every document: hit words, items found, spans in the original text and the verdict."""
-    parts, names = _collect(benchmark, window, automaton_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast((parts, names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checker = Contamination(*shared.value, min_share)
-        for batch in batches:
-            found = checker.judge(raw(batch, "text"))
-            yield table({
-                "doc_id": (batch.column("doc_id"), pa.int64()),
-                "n_words": ([f[0] for f in found], pa.int64()),
-                "n_hit": ([f[1] for f in found], pa.int64()),
-                "n_items": ([len(f[2]) for f in found], pa.int64()),
-                "items_sha256": ([hashlib.sha256(",".join(f[2]).encode()).hexdigest() for f in found], pa.string()),
-                "contaminated": ([f[4] for f in found], pa.bool_()),
-                "items": ([f[2] for f in found], pa.list_(pa.string())),
-                "spans": ([[{"start": a, "end": b} for a, b in f[3]] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            })
+    def out(batch: pa.RecordBatch, found: list[Verdict]) -> pa.RecordBatch:
+        return table({
+            "doc_id": (batch.column("doc_id"), pa.int64()), "n_words": ([f.n_words for f in found], pa.int64()), "n_hit": ([f.n_hit for f in found], pa.int64()),
+            "n_items": ([len(f.items) for f in found], pa.int64()), "items_sha256": ([hashlib.sha256(",".join(f.items).encode()).hexdigest() for f in found], pa.string()),
+            "contaminated": ([f.contaminated for f in found], pa.bool_()), "items": ([f.items for f in found], pa.list_(pa.string())),
+            "spans": ([[{"start": a, "end": b} for a, b in f.spans] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        })
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT_SCHEMA)
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return _judged(slim, benchmark, window, automaton_bytes, min_share, out, REPORT_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    parts, names = _collect(benchmark, window, automaton_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast((parts, names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checker = Contamination(*shared.value, min_share)
-        for batch in batches:
-            yield batch.filter(pa.array([not found[4] for found in checker.judge(raw(batch, "text"))], pa.bool_()))
+    def out(batch: pa.RecordBatch, found: list[Verdict]) -> pa.RecordBatch:
+        return batch.filter(pa.array([not f.contaminated for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _judged(docs, benchmark, window, automaton_bytes, min_share, out, docs.schema)
