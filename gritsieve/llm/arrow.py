@@ -9,6 +9,14 @@ import pyarrow as pa
 MASK64 = (1 << 64) - 1
 
 
+def spare(taken: Sequence[str], *names: str) -> list[str]:
+    """Names for helper columns that none of the ``taken`` columns has, whatever the case."""
+    held, mark = {t.lower() for t in taken}, "__"
+    while any(mark + n in held for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes, without decoding it."""
     column = batch.column(name)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.llm.arrow import raw, table
+from gritsieve.llm.arrow import raw, spare, table
 from gritsieve.scratch import Scratch
 
 MIN_DOCS = 10
@@ -125,15 +125,17 @@ class LineIndex:
 
 
 def _with_hits(docs: DataFrame, scratch: Scratch, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:
-    """The documents with ``__hits``, the first halves of the hashes of their frequent lines, or null."""
+    """The documents and one more column: the first halves of the hashes of their frequent lines, or null."""
     keys = scratch.stash(line_keys(docs, min_chars, batches), "keys", "batch")
     index = LineIndex(scratch, min_docs, fanout)
     for number in range(batches):
         index.add(keys.where(F.col("batch") == number))
     frequent = scratch.stash(index.frequent(), "frequent")
-    hits = keys.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("h1").alias("__hits"))
-    keyed = docs.withColumn("__row_of", F.xxhash64(docs["text"]))
-    return keyed.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_of") == F.col("__row")), "left")
+    of, row, text_row, hits = spare(docs.columns, "id", "row", "text_row", "hits")
+    found = keys.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("h1").alias(hits))
+    keyed = docs.withColumn(text_row, F.xxhash64(docs["text"]))
+    joined = keyed.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.col(text_row) == F.col(row)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(hits))
 
 
 def cleaned(text: bytes | None, hits: list[int] | None, min_chars: int) -> tuple[bytes, int, int]:
@@ -156,11 +158,11 @@ REPORT_SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 def line_dedup_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """For each document: its lines, those dropped, and the hash of what stays."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    joined = _with_hits(slim, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout).select("doc_id", "text", "__hits")
+    joined = _with_hits(slim, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [cleaned(t, h, min_chars) for t, h in zip(raw(part, "text"), part.column("__hits").to_pylist())]
+            found = [cleaned(t, h, min_chars) for t, h in zip(raw(part, "text"), part.column(2).to_pylist())]
             yield table({
                 "doc_id": (part.column("doc_id"), pa.int64()),
                 "n_lines": ([f[1] for f in found], pa.int64()),
@@ -173,11 +175,11 @@ def line_dedup_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents without their frequent lines, with all their columns."""
-    joined = _with_hits(docs, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout).select(*[f"`{c}`" for c in docs.columns], "__hits")
+    joined = _with_hits(docs, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            hits = part.column("__hits").to_pylist()
+            hits = part.column(part.num_columns - 1).to_pylist()
             texts = [t if t is None or not h else cleaned(t, h, min_chars)[0] for t, h in zip(raw(part, "text"), hits)]
             columns = {}
             for name in part.schema.names[:-1]:

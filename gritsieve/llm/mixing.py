@@ -11,7 +11,8 @@ the join is by sort and merge and a hot source is split at run time.
 Defined results: a null text has size 0; a null source is a source of its own, last in order; the
 empty string is an ordinary source; a null ``doc_id`` draws as the text ``null``; rows that repeat a
 ``doc_id`` draw alike; an empty table gives an empty result; a corpus without words has targets of 0
-and takes nothing; other columns are ignored by the plan and returned unchanged by ``mix``.
+and takes nothing; other columns are ignored by the plan and returned unchanged by ``mix``, whatever their
+names are, save an input ``copy_no``, which the number of the copy replaces.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gritsieve.llm.arrow import spare
 from gritsieve.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -62,27 +64,30 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _planned(docs: DataFrame, label: str, **options) -> DataFrame:
-    """The documents with their size, source_size, target and number of copies, in columns of one struct ``__mix``."""
+def _planned(docs: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
+    """The documents with their size, source_size, target and number of copies in one struct, and the name of that column."""
     scratch = Scratch(docs.sparkSession, label)
     sizes = docs.select(docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"))
     seed = options.pop("seed", SEED)
-    targets = scratch.stash(source_targets(sizes, **options).select(F.struct("source", "source_size", "target").alias("__of")), "targets")
-    joined = docs.withColumn("__size", n_words(docs["text"])).join(targets, docs["source"].cast("string").eqNullSafe(F.col("__of.source")), "left")
-    rate = F.when(F.col("__of.source_size") > 0, F.col("__of.target") / F.col("__of.source_size")).otherwise(F.lit(0.0))
+    size, of, mixed = spare(docs.columns, "size", "of", "mix")
+    targets = scratch.stash(source_targets(sizes, **options), "targets").select(F.struct("source", "source_size", "target").alias(of))
+    joined = docs.withColumn(size, n_words(docs["text"])).join(targets, docs["source"].cast("string").eqNullSafe(F.col(f"{of}.source")), "left")
+    source_size, target = F.col(f"{of}.source_size"), F.col(f"{of}.target")
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("__mix", F.struct(F.col("__size").alias("size"), F.col("__of.source_size").alias("source_size"), F.col("__of.target").alias("target"), copies.alias("copies")))
+    return joined.withColumn(mixed, F.struct(F.col(size).alias("size"), source_size.alias("source_size"), target.alias("target"), copies.alias("copies"))), mixed
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """For each document: its size, its source's size and target, and the words that the mix takes of it."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text"))
-    mixed = _planned(slim, "mix-report", **options)
-    return mixed.select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"), "__mix.copies")
+    rows, of = _planned(slim, "mix-report", **options)
+    mixed = F.col(of)
+    return rows.select("doc_id", mixed["size"].alias("size"), mixed["source_size"].alias("source_size"), mixed["target"].alias("target"), (mixed["copies"] * mixed["size"]).alias("taken"), mixed["copies"].alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: every document as often as it is taken, with all its columns and a ``copy_no`` from 1."""
-    mixed = _planned(docs, "mix", **options).where("__mix.copies > 0")
+    rows, of = _planned(docs, "mix", **options)
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy_no"]
-    return mixed.select(*keep, F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int"))).alias("copy_no"))
+    return rows.where(F.col(of)["copies"] > 0).select(*keep, F.explode(F.sequence(F.lit(1), F.col(of)["copies"].cast("int"))).alias("copy_no"))

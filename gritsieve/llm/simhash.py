@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.llm.arrow import raw, signed, table
+from gritsieve.llm.arrow import raw, signed, spare, table
 from gritsieve.operators.components import connected_components
 from gritsieve.scratch import Scratch
 
@@ -34,7 +34,6 @@ SEED = 42
 RADIUS = 2
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-LAST_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -92,7 +91,7 @@ def near_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 def _grouped(docs: DataFrame, scratch: Scratch, radius: int, shingle: int, seed: int) -> DataFrame:
     """(doc_id, row, fp, head): ``head`` is the (id, row) of the first document of the group."""
     prints = scratch.stash(fingerprints(docs, shingle, seed), "prints")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "row")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
     classes = scratch.stash(prints.groupBy("fp").agg(first), "classes")
     roots = connected_components(near_links(classes.select("fp"), radius, scratch), scratch)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -105,13 +104,15 @@ def _grouped(docs: DataFrame, scratch: Scratch, radius: int, shingle: int, seed:
 def simhash_report(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """For each document: its fingerprint in hex and the smallest id of its group."""
     rows = _grouped(docs, Scratch(docs.sparkSession, "simhash"), radius, shingle, seed)
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("head.id") != LAST_ID, F.col("head.id")).alias("component_id"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One document of each group, that of the smallest id, with all its columns."""
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
     rows = _grouped(docs, scratch, radius, shingle, seed)
-    heads = scratch.stash(rows.select(F.col("head.id").alias("__id"), F.col("head.row").alias("__row")).distinct(), "heads")
-    keyed = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)), "__row": F.xxhash64(docs["text"])})
-    return keyed.join(heads, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*[f"`{c}`" for c in docs.columns])
+    of, row, head_row = spare(docs.columns, "id", "row", "head_row")
+    heads = scratch.stash(rows.select("head.id", "head.row").distinct(), "heads").select(F.col("id").alias(of), F.col("row").alias(head_row))
+    keyed = docs.withColumns({row: F.xxhash64(docs["text"])})
+    kept = keyed.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.col(row) == F.col(head_row)), "left_semi")
+    return kept.dropDuplicates(["doc_id", row]).select(*[F.col(f"`{c}`") for c in docs.columns])
