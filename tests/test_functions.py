@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.functions import measure, signals, text as tx
 from gritsieve.functions.globs import GlobError, check_pattern, component_regex, expand_braces, path_regex
-from gritsieve.functions.lexing import TestRange, code_of, comment_regions, defined_tests, inline_test_regions, public_names, without_comment
+from gritsieve.functions.lexing import FoundTest, code_of, comment_regions, defined_tests, inline_test_regions, public_names, without_comment
 from gritsieve.functions.lexing import test_ranges as ranges_of_tests
 from gritsieve.functions.patches import FilePatch, Hunk, PatchError, hunks_from_unified, parse_patch
 from gritsieve.operators.rules import RULES, Rule, classify, with_rules
@@ -135,11 +135,11 @@ SCRIPT = b"describe('x', () => {\n  test('one', () => {\n    expect(1).toBe(1)\n
 
 
 def test_test_ranges():
-    assert ranges_of_tests(RUST, "rust") == (TestRange("tests::one", 5, 9), TestRange("tests::two", 10, 11))
-    assert ranges_of_tests(PYTHON, "python") == (TestRange("TestA::test_one", 4, 14), TestRange("TestA::test_two", 20, 22), TestRange("test_top", 24, 25))
-    assert ranges_of_tests(JAVA, "java") == (TestRange("ATest#a", 2, 6), TestRange("Inner#b", 8, 8))
-    assert ranges_of_tests(SCRIPT, "javascript") == (TestRange("one", 2, 4), TestRange("two", 5, 5), TestRange("three", 6, 6))
-    assert ranges_of_tests(b'package x\nfunc TestA(t *testing.T) {\n\tt.Error("}")\n}\n', "go") == (TestRange("TestA", 2, 4),)
+    assert ranges_of_tests(RUST, "rust") == (FoundTest("tests::one", 5, 9), FoundTest("tests::two", 10, 11))
+    assert ranges_of_tests(PYTHON, "python") == (FoundTest("TestA::test_one", 4, 14), FoundTest("TestA::test_two", 20, 22), FoundTest("test_top", 24, 25))
+    assert ranges_of_tests(JAVA, "java") == (FoundTest("ATest#a", 2, 6), FoundTest("Inner#b", 8, 8))
+    assert ranges_of_tests(SCRIPT, "javascript") == (FoundTest("one", 2, 4), FoundTest("two", 5, 5), FoundTest("three", 6, 6))
+    assert ranges_of_tests(b'package x\nfunc TestA(t *testing.T) {\n\tt.Error("}")\n}\n', "go") == (FoundTest("TestA", 2, 4),)
 
 
 def test_regions():
