@@ -182,23 +182,26 @@ def words_of(keys: np.ndarray) -> np.ndarray:
     return wide.view(">u8").astype(U)
 
 
-def key_order(words: np.ndarray) -> np.ndarray:
-    """The stable order of rows: by the first word, then half a word at a time for the rows that are tied so far."""
+def key_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows, and whether each row of that order differs from the one before.
+
+    Rows are sorted by the first word, then half a word at a time where they are tied so far.
+    """
     n = len(words)
-    order = np.argsort(words[:, 0]) if n else np.empty(0, dtype=np.int64)
-    ranked = words[order, 0]
-    tied, run = _ties(ranked, np.arange(n))
-    halves = [(k, shift) for k in range(1, words.shape[1]) for shift in (U(32), U(0))]
-    for k, shift in halves:
-        if not len(tied):
-            return order
-        rows = order[tied]
-        keys = (run.astype(U) << U(32)) | ((words[rows, k] >> shift) & U(0xFFFFFFFF))
-        by = np.argsort(keys)
-        order[tied] = rows[by]
-        tied, run = _ties(keys[by], tied)
+    order, new = np.argsort(words[:, 0]) if n else np.empty(0, dtype=np.int64), np.ones(n, dtype=bool)
+    tied, run = _ties(words[order, 0], np.arange(n))
+    for k in range(1, words.shape[1]):
+        for shift in (U(32), U(0)):
+            if not len(tied):
+                return order, new
+            rows = order[tied]
+            keys = (run.astype(U) << U(32)) | ((words[rows, k] >> shift) & U(0xFFFFFFFF))
+            by = np.argsort(keys)
+            order[tied] = rows[by]
+            tied, run = _ties(keys[by], tied)
     order[tied] = np.sort((run.astype(U) << U(32)) | order[tied].astype(U)) & U(0xFFFFFFFF)  # equal rows stay in their order
-    return order
+    new[tied[1:][run[1:] == run[:-1]]] = False
+    return order, new
 
 
 def _ties(ranked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,19 +212,12 @@ def _ties(ranked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[tied], np.cumsum(head[tied])
 
 
-def differs(words: np.ndarray) -> np.ndarray:
-    """Whether each row of a sorted array differs from the one before."""
-    return np.concatenate([np.ones(min(1, len(words)), dtype=bool), (words[1:] != words[:-1]).any(axis=1)])
-
-
 def distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, how often each occurs, its first place; and (first, later) places of the repeats.
 
     ``places`` ascend.
     """
-    words = words_of(keys)
-    order = key_order(words)
-    new = differs(words[order])
+    order, new = key_order(words_of(keys))
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(order)))
     first = places[order[head]]
@@ -242,13 +238,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def _runs_of_equal(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order, and whether each sorted element equals the one before."""
-    order = key_order(hashes[:, None])
-    ranked = hashes[order]
-    return order, np.concatenate([np.zeros(min(1, len(ranked)), dtype=bool), ranked[1:] == ranked[:-1]])
-
-
 def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which strings around samples start earlier: a row for each sample, a column for each shift k.
 
@@ -269,7 +258,8 @@ def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before
     h = mixed(names.astype(U))
     for k in range(wide.shape[1]):
         h = mixed(h * U(0x9E3779B97F4A7C15) + wide[:, k])
-    order, same = _runs_of_equal(h)
+    order, new = key_order(h[:, None])
+    same = ~new
     same[1:] &= (names[order[1:]] == names[order[:-1]]) & (wide[order[1:]] == wide[order[:-1]]).all(axis=1)
     again[order[same]] = exists[order[same]]
     # the others are compared shift by shift, if their name has several
@@ -290,7 +280,8 @@ def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before
             on_left += (left[:, around - k].astype(U) + U(1)) * odd[around + k - 1]
             on_right -= (right[:, around - k].astype(U) + U(1)) * odd[around - k]
         here = np.flatnonzero(exists[:, k])
-        order, same = _runs_of_equal(mixed(base[here] ^ mixed(on_left[here] + on_right[here])))
+        order, new = key_order(mixed(base[here] ^ mixed(on_left[here] + on_right[here]))[:, None])
+        same = ~new
         order = here[order]
         one, two = order[:-1][same[1:]], order[1:][same[1:]]
         string = np.zeros((1, 2 * around), dtype=np.uint8)
@@ -300,7 +291,7 @@ def repeats_among(names: np.ndarray, left: np.ndarray, right: np.ndarray, before
             run = np.isin(order, np.concatenate([one, two]))
             order = np.sort(order[run])
             words = words_of(np.concatenate([big_endian(name[order]), left[order, around - k :], right[order, : around - k]], axis=1))
-            by_key = key_order(words)
-            two, equal = order[by_key[~differs(words[by_key])]], slice(None)
+            by_key, new = key_order(words)
+            two, equal = order[by_key[~new]], slice(None)
         again[rows[two[equal]], k] = True
     return again

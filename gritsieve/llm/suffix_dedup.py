@@ -261,10 +261,9 @@ class Meeting:
 
 def _meeting(rows: list[dict], key_bytes: int) -> Meeting:
     keys = np.concatenate([np.frombuffer(sx.unsqueeze(r["keys"]), dtype=np.uint8).reshape(-1, key_bytes) for r in rows])
-    words = sx.words_of(keys)
-    order = sx.key_order(words)
+    order, new = sx.key_order(sx.words_of(keys))
     group = np.empty(len(keys), dtype=np.int64)
-    group[order] = np.cumsum(sx.differs(words[order])) - 1
+    group[order] = np.cumsum(new) - 1
     begin = np.cumsum([0] + [r["n"] for r in rows])
     counts, places = np.concatenate([sx.unpack(r["counts"], "<u2") for r in rows]), np.concatenate([sx.unpack(r["places"], "<i4") for r in rows])
     return Meeting(rows, begin, group, order, counts, places)
