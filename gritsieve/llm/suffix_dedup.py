@@ -49,7 +49,7 @@ from gritsieve.scratch import Scratch
 LENGTH = 100
 #: Samples of one name that are merged in one task; a name with more is merged string by string.
 HOT = 1 << 15
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 5 << 20
 #: Bytes of keys that one round moves, for each byte of text, and that one range gets.
 ROUND_SHARE = 2.0
 RANGE_BYTES = 1 << 24
