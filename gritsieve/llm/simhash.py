@@ -111,8 +111,8 @@ def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: i
     """One document of each group, that of the smallest id, with all its columns."""
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
     rows = _grouped(docs, scratch, radius, shingle, seed)
-    of, row, head_row = spare(docs.columns, "id", "row", "head_row")
-    heads = scratch.stash(rows.select("head.id", "head.row").distinct(), "heads").select(F.col("id").alias(of), F.col("row").alias(head_row))
-    keyed = docs.withColumns({row: F.xxhash64(docs["text"])})
-    kept = keyed.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.col(row) == F.col(head_row)), "left_semi")
-    return kept.dropDuplicates(["doc_id", row]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = of, none, row = spare(docs.columns, "id", "none", "row")
+    heads = rows.select(F.coalesce("head.id", F.lit(0)).alias(of), F.col("head.last").alias(none), F.col("head.row").alias(row)).distinct()
+    own = docs["doc_id"].cast("long")
+    keyed = docs.withColumns({of: F.coalesce(own, F.lit(0)), none: own.isNull(), row: F.xxhash64(docs["text"])})
+    return keyed.join(scratch.stash(heads, "heads"), list(keys), "left_semi").dropDuplicates(list(keys)).select(*[F.col(f"`{c}`") for c in docs.columns])

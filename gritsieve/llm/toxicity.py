@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
     rows = scratch.stash(_featured(sample, kinds, options), "features")
     counts = rows.select(F.explode("here").alias("f"), (F.col("toxic") > 0).cast("long").alias("t")).groupBy("f").agg(F.count("*").alias("c"), F.sum("t").alias("t")).where(F.col("c") >= options.min_rows)
     z = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-    terms = [int(x) for x in features(sorted(kinds), options.buckets)]
+    terms = sorted({xxhash.xxh64_intdigest(w) % options.buckets for w in kinds})
     counts = counts.withColumn("z", z).withColumn("term", F.col("f").isin(terms))
     best = counts.where(F.col("term") | (F.col("z") >= options.min_z)).orderBy(F.desc("term"), F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
     numbers = np.sort(best.column("f").to_numpy().astype(np.int64))
