@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The index is a set of runs, each a table of (128-bit line hash, number of documents) sorted by hash
-within its partitions. Documents come in batches. A batch counts its own hashes, drops those that the
-runs already know to be frequent by a merge anti-join, and adds the rest as a run of the lowest level;
-``fanout`` runs of one level are compacted into one of the next. In the end the runs are merged, and
-the lines whose hash reached ``min_docs`` documents leave every document.
+The index is a set of runs, each a table of (128-bit line hash, number of documents) bucketed by hash
+and sorted within its buckets. Documents come in batches. A batch counts its own hashes, drops those
+that the runs already know to be frequent by a merge anti-join, and adds the rest as a run of the
+lowest level; ``fanout`` runs of one level are merged into one of the next. Only a batch's own hashes
+are shuffled: runs are read bucket by bucket. In the end the lines whose hash reached ``min_docs``
+documents leave every document. With ``index``, a folder, the runs stay for the next call, which then
+counts the documents of all calls; texts of earlier calls are not touched again.
 
 One pass over the texts hashes them, one rewrites them; in between only hashes move. Counts are
 combined on the map side, so a line of every document is one row from each task; the join that finds
@@ -20,21 +22,22 @@ empty result; other columns are ignored by the report and returned unchanged by
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritsieve.llm.arrow import raw, spare, table
-from gritsieve.scratch import Scratch
+from gritsieve.scratch import Scratch, remove
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES = 4
-FANOUT = 3
+FANOUT = 2
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -80,57 +83,135 @@ def line_keys(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     return slim.mapInArrow(run, KEYS_SCHEMA)
 
 
-class LineIndex:
-    """Levels of sorted runs of (h1, h2, n)."""
-
-    def __init__(self, scratch: Scratch, min_docs: int = MIN_DOCS, fanout: int = FANOUT) -> None:
-        self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self._made = 0
-
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for _, run in level]
+STATE_SCHEMA = "level int, run string, buckets int, min_docs int, min_chars int"
 
-    def _write(self, counts: DataFrame) -> tuple[str, DataFrame]:
-        self._made += 1
-        name = f"run-{self._made}"
-        return name, self.scratch.stash(counts.sortWithinPartitions("h1", "h2"), name)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
+class LineIndex:
+    """Levels of sorted runs of (h1, h2, n) in one folder of the shared file system.
+
+    A run is a table bucketed by hash. ``save`` records which runs make up the index, as a small table
+    that counts once Spark has committed it; a folder that holds such a state is opened where it was
+    left. One writer at a time. ``min_docs`` and ``min_chars`` belong to the folder: others are refused,
+    as keys that were frequent are no longer counted. The session's shuffle partitions give the buckets.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT, min_chars: int = MIN_CHARS) -> None:
+        if fanout < 2:
+            raise ValueError("a level must hold two runs at least before they are merged")
+        self.spark, self.folder, self.min_docs, self.fanout, self.min_chars = spark, folder.rstrip("/"), min_docs, fanout, min_chars
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self._stale: list[str] = []
+        self.state = max(self._states(), default=0)
+        if self.state:
+            self._load()
+
+    def _states(self) -> list[int]:
+        """The numbers of the committed states."""
+        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return [int(f.getPath().getParent().getName().removeprefix("state-")) for f in found or []]
+
+    def _load(self) -> None:
+        for held in self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.folder}/state-{self.state}").orderBy("level", "run").collect():
+            if (held["min_docs"], held["min_chars"]) != (self.min_docs, self.min_chars):
+                raise ValueError(f"{self.folder}: made for min_docs {held['min_docs']} and min_chars {held['min_chars']}")
+            self.levels += [[] for _ in range(held["level"] + 1 - len(self.levels))]
+            self.levels[held["level"]].append(held["run"])
+            self.buckets = held["buckets"]
+            if not self.spark.catalog.tableExists(held["run"]):
+                place = f"{self.folder}/{held['run']}".replace("'", "\\'")
+                self.spark.sql(
+                    f"CREATE TABLE {held['run']} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet LOCATION '{place}' "
+                    f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {held['buckets']} BUCKETS"
+                )
+
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def _write(self, counts: DataFrame) -> str:
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            counts = counts.repartition(self.buckets, "h1", "h2")  # else every task already holds whole buckets
+        run = f"line_run_{uuid.uuid4().hex}"
+        counts.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{run}").saveAsTable(run)
+        return run
+
+    def _merged(self, first: str, second: str) -> DataFrame:
+        other = self.spark.table(second).withColumnRenamed("n", "m").hint("merge")
+        both = self.spark.table(first).hint("merge").join(other, ["h1", "h2"], "full_outer")
+        return both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+    def _compact(self, runs: list[str]) -> str:
+        merged = runs[0]
         for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            merged = self._write(self._merged(merged, run))
+            self._stale.append(merged)
+        self._stale.remove(merged)
+        self._stale += runs
+        return merged
 
     def add(self, keys: DataFrame) -> None:
         """Count a batch of (h1, h2) rows into the index."""
         counts = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"))
         for run in self.runs():  # keys known to be frequent need no further count
-            counts = counts.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            known = self.spark.table(run).where(F.col("n") >= self.min_docs).select("h1", "h2")
+            counts = counts.join(known.hint("merge"), ["h1", "h2"], "left_anti")
         self.levels[0].append(self._write(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            full = self.levels[level]
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged([run for _, run in full])))
+            self.levels[level + 1].append(self._compact(self.levels[level]))
             self.levels[level] = []
-            self.scratch.drop(*[name for name, _ in full])
             level += 1
 
     def frequent(self) -> DataFrame:
         """The (h1, h2) of all keys found in at least ``min_docs`` documents."""
-        return self._merged(self.runs()).where(F.col("n") >= self.min_docs).select("h1", "h2")
-
-
-def _with_hits(docs: DataFrame, scratch: Scratch, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:
+        runs = self.runs()
+        if len(runs) > 2:  # a merge of its own, the levels stay
+            whole = self._write(self._merged(runs[0], runs[1]))
+            for run in runs[2:]:
+                self._stale.append(whole)
+                whole = self._write(self._merged(whole, run))
+            self._stale.append(whole)
+            runs = [whole]
+        counts = self.spark.table(runs[0]) if len(runs) == 1 else self._merged(*runs)
+        return counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
+
+    def _forget(self, runs: list[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")  # the files stay: its place was given
+
+    def save(self) -> None:
+        """Commit the present runs, then delete those that were merged away."""
+        rows = [(level, run, self.buckets, self.min_docs, self.min_chars) for level, held in enumerate(self.levels) for run in held]
+        self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state-{self.state + 1}")
+        self.state += 1
+        self._forget(self._stale)
+        for name in [*self._stale, *[f"state-{n}" for n in self._states() if n < self.state]]:
+            remove(self.spark, f"{self.folder}/{name}")
+        self._stale = []
+
+    def close(self) -> None:
+        """Leave no table in the session's catalog; what was saved can be opened again."""
+        self._forget(self.runs() + self._stale)
+
+
+def _with_hits(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fanout: int, folder: str | None) -> DataFrame:
     """The documents and one more column: the first halves of the hashes of their frequent lines, or null."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    index = LineIndex(docs.sparkSession, folder or scratch.path("index"), min_docs, fanout, min_chars)
     keys = scratch.stash(line_keys(docs, min_chars, batches), "keys", "batch")
-    index = LineIndex(scratch, min_docs, fanout)
-    for number in range(batches):
-        index.add(keys.where(F.col("batch") == number))
-    frequent = scratch.stash(index.frequent(), "frequent")
+    try:
+        for number in range(batches):
+            index.add(keys.where(F.col("batch") == number))
+        frequent = scratch.stash(index.frequent(), "frequent")
+        if folder:
+            index.save()
+    finally:
+        index.close()
+    if not folder:
+        scratch.drop("index")
     of, row, text_row, hits = spare(docs.columns, "id", "row", "text_row", "hits")
     found = keys.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("h1").alias(hits))
     keyed = docs.withColumn(text_row, F.xxhash64(docs["text"]))
@@ -155,10 +236,10 @@ def cleaned(text: bytes | None, hits: list[int] | None, min_chars: int) -> tuple
 REPORT_SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def line_dedup_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def line_dedup_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, index: str | None = None) -> DataFrame:
     """For each document: its lines, those dropped, and the hash of what stays."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    joined = _with_hits(slim, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout)
+    joined = _with_hits(slim, min_docs, min_chars, batches, fanout, index)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -173,9 +254,9 @@ def line_dedup_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     return joined.mapInArrow(run, REPORT_SCHEMA)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, index: str | None = None) -> DataFrame:
     """The documents without their frequent lines, with all their columns."""
-    joined = _with_hits(docs, Scratch(docs.sparkSession, "line-dedup"), min_docs, min_chars, batches, fanout)
+    joined = _with_hits(docs, min_docs, min_chars, batches, fanout, index)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

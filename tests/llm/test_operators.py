@@ -82,16 +82,44 @@ def test_lines_are_removed(docs, documents, empty):
     assert ld.dedup_lines(empty).count() == 0 and ld.line_dedup_report(empty).count() == 0
 
 
-def test_index_levels(spark):
-    from gritsieve.scratch import Scratch
-
-    index, counts, rng = ld.LineIndex(Scratch(spark, "t"), 5, 2), Counter(), random.Random(1)
+def test_index_levels(spark, tmp_path):
+    index, counts, rng = ld.LineIndex(spark, str(tmp_path / "a"), 5, 2), Counter(), random.Random(1)
     for _ in range(5):
         batch = [(rng.randint(0, 30), 0) for _ in range(40)]
         counts.update(batch)
         index.add(spark.createDataFrame(batch, "h1 long, h2 long"))
     assert {tuple(r) for r in index.frequent().collect()} == {k for k, n in counts.items() if n >= 5}
     assert len(index.levels) > 1
+    index.save()
+    index.close()
+    again = ld.LineIndex(spark, str(tmp_path / "a"), 5, 2)
+    assert again.levels == index.levels and again.buckets == index.buckets
+    for _ in range(3):
+        batch = [(rng.randint(20, 50), 0) for _ in range(40)]
+        counts.update(batch)
+        again.add(spark.createDataFrame(batch, "h1 long, h2 long"))
+    assert {tuple(r) for r in again.frequent().collect()} == {k for k, n in counts.items() if n >= 5}
+    again.close()
+    with pytest.raises(ValueError):
+        ld.LineIndex(spark, str(tmp_path / "a"), 6, 2)
+
+
+def test_runs_are_not_shuffled(spark, tmp_path):
+    index = ld.LineIndex(spark, str(tmp_path / "a"), 5, 4)
+    for _ in range(2):
+        index.add(spark.range(100).select(F.col("id").alias("h1"), F.col("id").alias("h2")))
+    plan = index._merged(*index.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Broadcast" not in plan
+    index.close()
+
+
+def test_later_calls_reopen_the_index(spark, tmp_path):
+    rows = lambda ids: spark.createDataFrame([(k, f"shared line\nown {k}", "en", "s", 0) for k in ids], SCHEMA)
+    folder = str(tmp_path / "index")
+    first = {r["doc_id"]: r["n_dropped"] for r in ld.line_dedup_report(rows(range(6)), batches=2, index=folder).collect()}
+    second = {r["doc_id"]: r["n_dropped"] for r in ld.line_dedup_report(rows(range(6, 12)), batches=2, index=folder).collect()}
+    assert set(first.values()) == {0} and set(second.values()) == {1}
+    assert ld.dedup_lines(rows(range(12, 13)), index=folder).first()["text"] == "own 12"
 
 
 # --- near duplicates ---------------------------------------------------------------------------
