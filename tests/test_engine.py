@@ -126,7 +126,9 @@ def test_export_and_report(spark, project, tmp_path):
     assert [p["rank"] for p in proposals] == [1, 2] and proposals[0]["fingerprint"]["patch"] == lines[1]["fingerprint"]["patch"]
     text, page = render(out), render(out, str(tmp_path / "r.html"))
     assert "rejected: docs-only" in text and "Fix crash on empty text" in text and "https://github.com/o/r/commit/" in text
-    assert "o/&lt;r&gt;" in page and "<script" not in page
+    assert "o/&lt;r&gt;" in page and "<script" not in page and page.count("<details>") == page.count("</details>") == 5
+    steps = [line.split(" | ") for line in text.splitlines() if line.startswith(("| walked", "| rejected", "| candidates", "| ledger: new", "| exported"))]
+    assert [(s[1], s[2].rstrip(" |")) for s in steps] == [("5", "5"), ("1", "4"), ("1", "3"), ("1", "2"), ("2", "2"), ("2", "2"), ("2", "2")]
     lines[0]["exported"] = 3
     write_records(out, lines)
     with pytest.raises(ExportError, match="announces 3"):
