@@ -72,17 +72,17 @@ def _parser() -> argparse.ArgumentParser:
         return p
 
     text, flag, whole, part = {}, {"action": "store_true"}, {"type": int}, {"type": float, "default": 0.5}
-    tuning = [(["--config"], text), (["--max-lines"], whole), (["--max-source-files"], whole)]
+    tuning = [(["--config"], text), (["--max-lines"], whole), (["--max-source-files"], whole), (["--test-lines-cap"], whole)]
     output = [(["--out"], text), (["--top"], {"type": int, "default": 20}), (["--explain"], {"type": int, "default": 0}), (["--ledger"], text), (["--min-overlap"], part), (["--new-only"], flag)]
-    command("mine", "rank the commits of a clone or a recording", (["repo"], {"nargs": "?"}), (["--history"], text), (["--rev"], {"default": "HEAD"}), (["--max-count"], whole), (["--no-content"], flag), (["--name"], text), *tuning, *output)
-    command("prs", "rank merged pull requests", (["repo"], text), (["--limit"], {"type": int, "default": 30}), (["--replay"], text), (["--record"], text), (["--max-files"], {"type": int, "default": 300}), (["--token"], text), (["--api-url"], text), (["--cache-dir"], text), *tuning, *output)
+    command("mine", "rank the commits of a clone or a recording", (["repo"], {"nargs": "?"}), (["--history"], text), (["--rev"], {"default": "HEAD"}), (["--max-count"], whole), (["--no-content"], flag), (["--name", "--repo-name"], text), (["--url"], text), *tuning, *output)
+    command("prs", "rank merged pull requests", (["repo"], text), (["--limit"], {"type": int, "default": 30}), (["--replay"], text), (["--record"], text), (["--max-files"], {"type": int, "default": 300}), (["--token"], text), (["--api-url"], text), (["--cache-dir"], text), (["--no-cache"], flag), (["--max-wait"], {"type": float, "default": 900.0}), *tuning, *output)
     command("batch", "mine several repositories into one ledger", (["config"], text), (["--ledger"], text), (["--out"], text), (["--report"], text), (["--only"], {"action": "append", "default": []}), (["--full"], flag), (["--dry-run"], flag), (["--top"], {"type": int, "default": 10}))
     command("report", "render an export", (["candidates"], text), (["--out"], text), (["--top"], whole), (["--format"], text))
-    command("record", "walk a clone once and save it", (["repo"], text), (["--out"], {"required": True}), (["--rev"], {"default": "HEAD"}), (["--max-count"], whole), (["--name"], text))
+    command("record", "walk a clone once and save it", (["repo"], text), (["--out"], {"required": True}), (["--rev"], {"default": "HEAD"}), (["--max-count"], whole), (["--name", "--repo-name"], text))
     command("explain", "one commit in detail", (["sha"], text), (["--repo"], text), (["--history"], text), (["--json"], flag), *tuning)
     command("classify", "classify paths", (["paths"], {"nargs": "+"}), (["--root"], text), (["--config"], text))
     command("rules", "print the rule table", (["--config"], text), (["--markdown"], flag))
-    command("ledger-add", "add candidates of an export", (["ledger"], text), (["candidates"], text), (["--sha"], {"action": "append", "default": []}), (["--top"], whole), (["--owner"], text), (["--status"], {"default": "claimed"}), (["--min-overlap"], part))
+    command("ledger-add", "add candidates of an export", (["ledger"], text), (["candidates"], text), (["--sha"], {"action": "append", "default": []}), (["--top"], whole), (["--owner"], text), (["--status"], {"default": "claimed"}), (["--min-overlap"], part), (["--allow-overlap"], flag))
     command("ledger-check", "check candidates of an export", (["ledger"], text), (["candidates"], text), (["--min-overlap"], part))
     command("ledger-list", "list entries", (["ledger"], text), (["--repo"], text))
     command("ledger-watermarks", "list watermarks", (["ledger"], text))
@@ -96,7 +96,7 @@ def _settings(a: argparse.Namespace):
     from gritsieve.sources.config import find_config, load_config
 
     path = a.config or (find_config(a.repo) if getattr(a, "repo", None) else None)
-    given = {"max_lines": a.max_lines, "max_source_files": a.max_source_files}
+    given = {"max_lines": a.max_lines, "max_source_files": a.max_source_files, "test_lines_cap": a.test_lines_cap}
     return load_config(path).settings(**given) if path else Settings(**{k: v for k, v in given.items() if v is not None})
 
 
@@ -155,7 +155,7 @@ def _run(a: argparse.Namespace) -> int:
             commits = engine.clone(a.repo, getattr(a, "rev", "HEAD"), getattr(a, "max_count", None), not getattr(a, "no_content", False))
             name = name or a.repo.rstrip("/").rsplit("/", 1)[-1]
         if a.command == "mine":
-            return _mined(engine, commits, name, "history" if a.history else "clone", a, "commits")
+            return _mined(engine, commits, name, "history" if a.history else "clone", a, "commits", a.url)
         row = engine.explain(commits, a.sha, _settings(a))
         if a.json:
             import json
@@ -175,7 +175,7 @@ def _run(a: argparse.Namespace) -> int:
         folder = a.replay
         if not folder:
             folder = a.record or tempfile.mkdtemp(prefix="gritsieve-prs-")
-            client = pulls.Client(a.token or os.environ.get("GITHUB_TOKEN"), a.api_url or os.environ.get("GITHUB_API_URL") or pulls.API, pulls.Cache(a.cache_dir) if a.cache_dir else None)
+            client = pulls.Client(a.token or os.environ.get("GITHUB_TOKEN"), a.api_url or os.environ.get("GITHUB_API_URL") or pulls.API, pulls.Cache(a.cache_dir) if a.cache_dir and not a.no_cache else None, max_wait=a.max_wait)
             pulls.record(client, a.repo, folder, a.limit, max_files=a.max_files)
             print(client.stats.describe(), file=sys.stderr)
         commits = engine.pull_requests(folder, limit=a.limit, max_files=a.max_files).where(F.col("repo") == a.repo)
@@ -239,7 +239,7 @@ def _run(a: argparse.Namespace) -> int:
         rows = rows.where(chosen)
     refused = 0
     for r in rows.orderBy("ord").limit(a.top or (1 << 30)).toLocalIterator():
-        entry, verdict = ledger.add({"repo": r["repo"], "sha": r["sha"], "subject": r["subject"], "hunks": r["fingerprint"]["hunks"] if r["fingerprint"] else []}, a.status, a.owner, a.min_overlap)
+        entry, verdict = ledger.add({"repo": r["repo"], "sha": r["sha"], "subject": r["subject"], "hunks": r["fingerprint"]["hunks"] if r["fingerprint"] else []}, a.status, a.owner, None if a.allow_overlap else a.min_overlap)
         refused += entry is None
         print(f"{r['repo']} {r['sha'][:10]}: {'added' if entry else verdict['status']}")
     return int(refused > 0)
