@@ -53,6 +53,37 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesc
 FROM docs d LEFT JOIN hits h ON d.r = h.r LEFT JOIN named n ON d.r = n.r
 """
 
+#: Texts as hexadecimal digits, two for a byte, cut to blocks so that the 100-byte strings of a long text are
+#: cut from short pieces.
+OP5 = r"""
+WITH docs AS (
+    SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+    SELECT r, b, substr(h, 512 * b + 1, 512 + 198) AS part
+    FROM (SELECT r, h, unnest(range(0, length(h) // 512 + 1)) AS b FROM docs)
+), places AS (
+    SELECT r, 256 * b + j AS s, md5_number(substr(part, 2 * j + 1, 200)) AS k
+    FROM (SELECT r, b, part, unnest(range(0, 256)) AS j FROM blocks) WHERE length(part) >= 2 * j + 200
+), firsts AS (
+    SELECT k, min((r, s)) AS place FROM places GROUP BY k HAVING count(*) > 1
+), repeats AS (
+    SELECT p.r, p.s FROM places p JOIN firsts f ON p.k = f.k WHERE (p.r, p.s) > f.place
+), edges AS (
+    SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100, true) AS opens FROM repeats
+), runs AS (
+    SELECT r, min(s) AS a, max(s) + 100 AS z
+    FROM (SELECT r, s, count(*) FILTER (opens) OVER (PARTITION BY r ORDER BY s) AS run FROM edges) GROUP BY r, run
+), gaps AS (
+    SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z, z - a AS gone FROM runs
+    UNION ALL
+    SELECT d.r, coalesce(max(u.z), 0), any_value(length(d.h)) // 2, 0 FROM docs d LEFT JOIN runs u ON d.r = u.r GROUP BY d.r
+)
+SELECT any_value(d.doc_id) AS doc_id, any_value(length(d.h)) // 2 AS n_bytes, CAST(sum(g.gone) AS BIGINT) AS n_removed,
+       count(*) FILTER (g.gone > 0) AS n_spans,
+       sha256(unhex(string_agg(substr(d.h, 2 * g.a + 1, 2 * (g.z - g.a)), '' ORDER BY g.a, g.z))) AS kept_sha256
+FROM docs d JOIN gaps g ON d.r = g.r GROUP BY d.r
+"""
+
 OP6 = r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -126,4 +157,4 @@ FROM docs d LEFT JOIN told t ON d.r = t.r
 """
 )
 
-SQL: dict[str, str] = {"op7_secret_scans": OP7, "op2_line_dedup": OP2, "op4_decontamination": OP4, "op6_mixing": OP6}
+SQL: dict[str, str] = {"op7_secret_scans": OP7, "op2_line_dedup": OP2, "op4_decontamination": OP4, "op5_suffix_dedup": OP5, "op6_mixing": OP6}
