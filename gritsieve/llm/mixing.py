@@ -2,9 +2,12 @@
 
 Tokens are summed for each source, targets follow by weight under a cap, and every document is taken
 ``floor(rate)`` times and once more with the probability that the fraction of the rate gives. The
-draw is a hash of the seed and ``doc_id``, so it needs no state and reruns agree.
+draw is a hash of seed, trial and ``doc_id``, so it needs no state and reruns agree. A source of few or
+very unequal documents may miss its target by chance in one trial: each source draws by that trial, of
+``TRIALS``, whose words come nearest to its target.
 
-The sizes of the sources are summed with map-side aggregates and written to the shared folder, so the
+Words are counted in one pass, which leaves narrow rows. The sizes of the sources and the words of the
+trials are summed with map-side aggregates; the rates are written to the shared folder, so the
 planner knows how small the table is before it chooses the join; where it is too large to broadcast,
 the join is by sort and merge and a hot source is split at run time.
 
@@ -28,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_RATE = 2
 SEED = "mix-1"
+#: Trials that a source chooses its draw from.
+TRIALS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -58,36 +63,63 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_per
     return per.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 32 bits of a hash of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def draw(doc_id: Column, number: Column | int, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 32 bits of a hash of seed, the number of the trial and id."""
+    number = F.lit(number) if isinstance(number, int) else number
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _planned(docs: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
-    """The documents with their size, source_size, target and number of copies in one struct, and the name of that column."""
-    scratch = Scratch(docs.sparkSession, label)
-    sizes = docs.select(docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"))
-    seed = options.pop("seed", SEED)
-    size, of, mixed = spare(docs.columns, "size", "of", "mix")
-    targets = scratch.stash(source_targets(sizes, **options), "targets").select(F.struct("source", "source_size", "target").alias(of))
-    joined = docs.withColumn(size, n_words(docs["text"])).join(targets, docs["source"].cast("string").eqNullSafe(F.col(f"{of}.source")), "left")
-    source_size, target = F.col(f"{of}.source_size"), F.col(f"{of}.target")
-    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn(mixed, F.struct(F.col(size).alias("size"), source_size.alias("source_size"), target.alias("target"), copies.alias("copies"))), mixed
+def source_rates(slim: DataFrame, trials: int = TRIALS, seed: str = SEED, **options) -> DataFrame:
+    """(source, source_size, target, whole, fraction, trial): the rate of each source in two parts, and the trial to draw by.
+
+    ``slim`` holds (doc_id, source, size). Each trial is one hashed draw of all documents. Their sums are partial
+    aggregates over narrow rows, ``trials`` rows for each source; the trial nearest to the target wins, the first of equals.
+    """
+    targets = source_targets(slim.select("source", "size"), **options)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = targets.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
+    tried = (
+        slim.withColumnRenamed("source", "of").join(rates.select("source", "fraction"), F.col("of").eqNullSafe(F.col("source")))
+        .select("source", "fraction", "size", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+        .groupBy("source", "trial").agg(F.sum(F.when(draw(F.col("doc_id"), F.col("trial"), seed) < F.col("fraction"), F.col("size")).otherwise(F.lit(0))).alias("drawn"))
+    )
+    off = F.abs(F.col("drawn") - (F.col("target") - F.col("whole") * F.col("source_size")))
+    return (
+        tried.withColumnRenamed("source", "of").join(rates, F.col("of").eqNullSafe(F.col("source")))
+        .groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "whole", "fraction")], F.min_by("trial", F.struct(off, "trial")).alias("trial"))
+    )
+
+
+def _sized(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, size) of every document, from the only pass over the texts; narrow rows in the shared folder."""
+    slim = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"))
+    return scratch.stash(slim, "sizes")
+
+
+def _copies(rows: DataFrame, rates: DataFrame, of: str, copies: str, seed: str) -> DataFrame:
+    """``rows`` with their source's rates in the struct ``of`` and the number of their copies."""
+    packed = rates.select(F.struct(*rates.columns).alias(of))
+    drawn = draw(rows["doc_id"], F.col(f"{of}.trial"), seed) < F.col(f"{of}.fraction")
+    joined = rows.join(packed, rows["source"].cast("string").eqNullSafe(F.col(f"{of}.source")), "left")
+    return joined.withColumn(copies, F.col(f"{of}.whole") + drawn.cast("long"))
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
+def mix_report(docs: DataFrame, trials: int = TRIALS, seed: str = SEED, **options) -> DataFrame:
     """For each document: its size, its source's size and target, and the words that the mix takes of it."""
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text"))
-    rows, of = _planned(slim, "mix-report", **options)
-    mixed = F.col(of)
-    return rows.select("doc_id", mixed["size"].alias("size"), mixed["source_size"].alias("source_size"), mixed["target"].alias("target"), (mixed["copies"] * mixed["size"]).alias("taken"), mixed["copies"].alias("copies"))
+    scratch = Scratch(docs.sparkSession, "mix-report")
+    slim = _sized(docs, scratch)
+    rates = scratch.stash(source_rates(slim, trials, seed, **options), "rates")
+    rows = _copies(slim, rates, "of", "copies", seed)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "of.source_size", "of.target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, trials: int = TRIALS, seed: str = SEED, **options) -> DataFrame:
     """The mixture: every document as often as it is taken, with all its columns and a ``copy_no`` from 1."""
-    rows, of = _planned(docs, "mix", **options)
+    scratch = Scratch(docs.sparkSession, "mix")
+    rates = scratch.stash(source_rates(_sized(docs, scratch), trials, seed, **options), "rates")
+    scratch.drop("sizes")
+    of, copies = spare(docs.columns, "of", "copies")
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy_no"]
-    return rows.where(F.col(of)["copies"] > 0).select(*keep, F.explode(F.sequence(F.lit(1), F.col(of)["copies"].cast("int"))).alias("copy_no"))
+    rows = _copies(docs, rates, of, copies, seed)
+    return rows.where(F.col(copies) > 0).select(*keep, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("copy_no"))

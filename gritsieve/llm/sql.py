@@ -106,13 +106,21 @@ WITH sized AS (
                 ELSE w::DOUBLE * (total - coalesce(sum(cap) FILTER (NOT open) OVER (), 0)::DOUBLE) / (sum(w) FILTER (open) OVER ())::DOUBLE END AS target
     FROM marked
 ), rated AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
-           ('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS fraction
+    FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM targets)
+), tried AS (
+    SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.whole, i.trial,
+           ('0x' || substr(md5('mix-1:' || i.trial || ':' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < t.fraction AS drawn
+    FROM sized s JOIN rated t ON s.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT unnest(range(0, 32)) AS trial) i
+), offs AS (
+    SELECT source, trial, abs(coalesce(sum(size) FILTER (drawn), 0)::DOUBLE - (any_value(target) - (any_value(whole) * any_value(source_size))::DOUBLE)) AS off
+    FROM tried GROUP BY source, trial
+), chosen AS (
+    SELECT source, first(trial ORDER BY off, trial) AS trial FROM offs GROUP BY source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+SELECT t.doc_id, CAST(t.size AS BIGINT) AS size, t.source_size, t.target,
+       CAST(t.size * (t.whole + CASE WHEN t.drawn THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM tried t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.trial = c.trial
 """
 
 #: One pass for each kind: matches are marked with a private-use character that the text is freed of, and

@@ -312,11 +312,28 @@ def test_mixing(docs, documents, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_report(empty).count() == 0
 
 
-def test_large_sources_come_near_their_targets(spark):
+def test_mixing_draws_by_the_nearest_trial(docs, documents):
+    """The draw of each source against all trials, computed one by one."""
+    draw = lambda k, i: int(hashlib.md5(f"{mixing.SEED}:{k}:{'null' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+    slim = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    rates = mixing.source_rates(slim).collect()
+    assert len(rates) == len({r[3] for r in documents})
+    want = Counter()
+    for r in rates:
+        own = [(d[0], len(words(d[1]))) for d in documents if d[3] == r["source"]]
+        sums = [sum(n for i, n in own if draw(k, i) < r["fraction"]) for k in range(mixing.TRIALS)]
+        goal = r["target"] - r["whole"] * r["source_size"]
+        assert r["trial"] == min(range(mixing.TRIALS), key=lambda k: (abs(sums[k] - goal), k))
+        want.update((i, n, n * (r["whole"] + (draw(r["trial"], i) < r["fraction"]))) for i, n in own)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_report(docs).collect()) == want
+
+
+@pytest.mark.parametrize("n, most", [(90, 0.05), (3000, 0.005)])
+def test_sources_come_near_their_targets(spark, n, most):
     rng = random.Random(8)
-    rows = [(k, prose(rng, rng.randint(20, 60)), "en", f"s{k % 3}", 0) for k in range(3000)]
+    rows = [(k, prose(rng, rng.randint(20, 60)), "en", f"s{k % 3}", 0) for k in range(n)]
     got = mixing.mix_report(spark.createDataFrame(rows, SCHEMA)).groupBy("target").agg(F.sum("taken").alias("t")).collect()
-    assert all(abs(r["t"] - r["target"]) < 0.05 * r["target"] for r in got)
+    assert all(abs(r["t"] - r["target"]) < most * r["target"] for r in got)
 
 
 # --- secrets -----------------------------------------------------------------------------------
