@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from gritsieve.llm import chat, decontaminate as dc, line_dedup as ld, mixing, quality, secrets, simhash, suffix_dedup as sd, token_counts as tc, toxicity
@@ -42,6 +43,38 @@ def test_quality_counts(docs, documents):
     assert got == Counter((r[0], *measure(r[1])) for r in documents)
 
 
+def brute_quality(text):
+    """The whole verdict: counts, then the ratio of the text and of its chunks against the bands of their lengths."""
+    w, data = words(text), (text or "").encode()
+    grams = Counter(zip(w, w[1:], w[2:]))
+    hit = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    if len(w) < 50 or 100 * len(hit) > 50 * len(w):
+        return False
+
+    def fits(piece):
+        params = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        limits = [b for b in quality.BANDS if b.size <= len(piece)][-1]
+        return limits.low <= len(piece) / len(params.compress(piece)) <= limits.high
+
+    chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) > 4096 else []
+    return fits(data) and 4 * sum(not fits(c) for c in chunks) <= len(chunks)
+
+
+def test_quality_verdicts_of_all(spark, docs, documents):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    more = []
+    for k in range(120):
+        parts = [prose(rng, rng.randint(10, 900)) for _ in range(rng.randint(1, 5))]
+        for _ in range(rng.randint(0, 4)):
+            noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(5, 60))) for _ in range(rng.randint(1, 120)))
+            parts.insert(rng.randint(0, len(parts)), noise if rng.random() < 0.6 else f"{rng.random()} " * rng.randint(1, 900))
+        more.append((1000 + k, "\n".join(parts), "en", "s", 0))
+    got = rows_of(quality.quality_report(docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, SCHEMA))), "doc_id", "kept")
+    want = Counter((r[0], brute_quality(r[1])) for r in documents + more)
+    assert got == want and 20 < sum(n for (k, kept), n in want.items() if k and k >= 1000 and kept) < 100
+
+
 def test_quality_verdicts(spark, empty):
     rng = random.Random(2)
     noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") + (" " if k % 40 == 39 else "") for k in range(9000))
@@ -284,10 +317,10 @@ def signed_hash(spark, text):
 # --- mixing ------------------------------------------------------------------------------------
 
 
-def test_mixing(docs, documents, empty):
-    size = lambda r: len(words(r[1]))
-    sources = sorted({r[3] for r in documents if r[3] is not None}) + [None]
-    sizes = {s: sum(size(r) for r in documents if r[3] == s) for s in sources}
+def brute_targets(documents):
+    """The size and the target of each source, resharing until no target is above its cap."""
+    sources = sorted({r[3] for r in documents if r[3] is not None}) + [None] * any(r[3] is None for r in documents)
+    sizes = {s: sum(len(words(r[1])) for r in documents if r[3] == s) for s in sources}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
     total, capped = 1.5 * sum(sizes.values()), set()
     while True:
@@ -295,9 +328,27 @@ def test_mixing(docs, documents, empty):
         share = {s: rest * weight[s] / sum(weight[x] for x in sources if x not in capped) for s in sources if s not in capped}
         over = {s for s, t in share.items() if t > 2 * sizes[s]}
         if not over:
-            break
+            return sizes, {s: float(2 * sizes[s]) if s in capped else share[s] for s in sources}
         capped |= over
-    target = {s: float(2 * sizes[s]) if s in capped else share[s] for s in sources}
+
+
+def brute_copies(documents):
+    """How often each document is taken: every trial of every source, one by one."""
+    draw = lambda k, i: int(hashlib.md5(f"{mixing.SEED}:{k}:{'null' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+    sizes, target = brute_targets(documents)
+    taken = {}
+    for s in sizes:
+        rate = target[s] / sizes[s] if sizes[s] else 0.0
+        whole, own = int(rate), [r for r in documents if r[3] == s]
+        off = lambda k: abs(sum(len(words(r[1])) for r in own if draw(k, r[0]) < rate - whole) - (target[s] - whole * sizes[s]))  # noqa: B023, E731
+        trial = min(range(mixing.TRIALS), key=lambda k: (off(k), k))
+        taken |= {(r[0], r[3]): whole + (draw(trial, r[0]) < rate - whole) for r in own}
+    return [taken[r[0], r[3]] for r in documents]
+
+
+def test_mixing(docs, documents, empty):
+    size = lambda r: len(words(r[1]))
+    sizes, target = brute_targets(documents)
     rows = mixing.mix_report(docs).collect()
     assert len(rows) == len(documents)
     for r in rows:
@@ -313,18 +364,7 @@ def test_mixing(docs, documents, empty):
 
 
 def test_mixing_draws_by_the_nearest_trial(docs, documents):
-    """The draw of each source against all trials, computed one by one."""
-    draw = lambda k, i: int(hashlib.md5(f"{mixing.SEED}:{k}:{'null' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
-    slim = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    rates = mixing.source_rates(slim).collect()
-    assert len(rates) == len({r[3] for r in documents})
-    want = Counter()
-    for r in rates:
-        own = [(d[0], len(words(d[1]))) for d in documents if d[3] == r["source"]]
-        sums = [sum(n for i, n in own if draw(k, i) < r["fraction"]) for k in range(mixing.TRIALS)]
-        goal = r["target"] - r["whole"] * r["source_size"]
-        assert r["trial"] == min(range(mixing.TRIALS), key=lambda k: (abs(sums[k] - goal), k))
-        want.update((i, n, n * (r["whole"] + (draw(r["trial"], i) < r["fraction"]))) for i, n in own)
+    want = Counter((r[0], len(words(r[1])), len(words(r[1])) * n) for r, n in zip(documents, brute_copies(documents)))
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_report(docs).collect()) == want
 
 
