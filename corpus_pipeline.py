@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes whatever its predecessor kept, whole texts of any length included. All stages but the
+last return the columns of their input, extra ones too, whatever their names are; an empty table passes
+as an empty table, and without a benchmark nothing is contaminated. What each does with nulls, empty
+texts, ties and repeated rows stands at the stage.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +19,45 @@ from gritsieve.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counting rules and the compression bands."""
+    """Documents that pass the counting rules and the compression bands.
+
+    A null, empty or short text (fewer than 50 words) is rejected; repeated rows are judged alike.
+    """
     return quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more documents share."""
+    """Documents without the lines that ten or more documents share.
+
+    All rows stay: a null text stays null, and a document that loses all its lines has an empty text. Repeated
+    rows and rows without an id count as documents of their own; ``n_chars`` follows the text.
+    """
     return dedup_lines(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.
+
+    The smallest id stays, a null one only in a group without ids; of rows that repeat an id, one. Texts without
+    words, null ones included, are one group, so one of them stays.
+    """
     return dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark to speak of."""
+    """Documents that hold no passage of the benchmark to speak of.
+
+    A text without words, or null, is clean; items without words are passed over; repeated rows are judged alike.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's rate says, with a ``copy_no``."""
+    """Every document as often as its source's rate says, with a ``copy_no``.
+
+    A null text has no words but is drawn like any other; a null source is a source of its own; a null id draws
+    as the text ``null``, and rows that repeat an id draw alike. An input ``copy_no`` is replaced.
+    """
     return mix(docs)
 
 
