@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gritsieve.functions.text import fix_keyword, instant, linked_reference, plural, subject
+from gritsieve.operators.places import placed
 from gritsieve.schema import BANDS, REASONS
 from gritsieve.settings import Settings
 
@@ -132,5 +133,11 @@ def evaluate(commits: DataFrame, stats: DataFrame, settings: Settings = Settings
 
 
 def ranked(outcomes: DataFrame, partition: Sequence[str] = ("repo",)) -> DataFrame:
-    """Candidates with their 1-based ``rank``: score, then newest, then sha."""
-    return outcomes.where("reason is null").withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*rank_order())))
+    """Candidates with their 1-based ``rank``: score, then newest, then sha. Pass the columns that are needed only."""
+    return placed(outcomes.where("reason is null"), partition, rank_order(), "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+def best(outcomes: DataFrame, top: int, partition: Sequence[str] = ("repo",)) -> DataFrame:
+    """The ``top`` candidates of each group by rank; the planner cuts every partition to ``top`` rows ahead of the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*rank_order()))
+    return outcomes.where("reason is null").withColumn("rank", place).where(F.col("rank") <= top)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gritsieve.operators.places import placed
 from gritsieve.schema import BANDS, OUTCOMES, REASONS, STATUSES
 
 
@@ -52,10 +53,16 @@ def feature_table(outcomes: DataFrame, keys: Sequence[str], names: Sequence[str]
     return outcomes.where(F.col(features).isNotNull()).withColumn("__held", held).select(*keys, *[F.try_element_at(F.col("__held"), F.lit(n)).alias(n) for n in names])
 
 
-def rejected_lists(outcomes: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    """The rejected shas of each reason, in walk order."""
-    rows = outcomes.where("reason is not null").groupBy(*keys, "reason").agg(F.sort_array(F.collect_list(F.struct("pos", "sha"))).alias("__rows"))
-    return rows.select(*keys, "reason", F.transform("__rows", lambda r: r["sha"]).alias("shas"), ordinal(F.col("reason"), list(REASONS)).alias("ord"))
+#: Shas in one row of ``rejected_lists``.
+LISTED = 10_000
+
+
+def rejected_lists(outcomes: DataFrame, keys: Sequence[str] = ("repo",), most: int = LISTED) -> DataFrame:
+    """The rejected shas of each reason, in walk order, in parts of ``most`` shas: a reason of any size fits its rows."""
+    groups = [*keys, "reason"]
+    rows = placed(outcomes.where("reason is not null").select(*groups, "pos", "sha"), groups, [F.col("pos"), F.col("sha")], "place")
+    parts = rows.groupBy(*groups, F.floor((F.col("place") - 1) / most).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "sha"))).alias("rows"))
+    return parts.select(*groups, "part", F.transform("rows", lambda r: r["sha"]).alias("shas"), ordinal(F.col("reason"), list(REASONS)).alias("ord"))
 
 
 def collision_counts(collisions: DataFrame) -> DataFrame:

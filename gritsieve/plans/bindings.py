@@ -122,7 +122,7 @@ def difficulty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mine_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: classify, measure, filter, score, rank."""
-    return scoring.ranked(outcomes(spark, sf_dir, details=False)).select("repo", "sha", "rank", "score", "difficulty", "band")
+    return scoring.ranked(outcomes(spark, sf_dir, details=False).select("repo", "sha", "score", "difficulty", "band", "ts", "reason")).select("repo", "sha", "rank", "score", "difficulty", "band")
 
 
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +148,9 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rejected_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rejected commit under its reason, in parts of 10,000."""
     found = summaries.rejected_lists(outcomes(spark, sf_dir, details=False))
-    return found.select("repo", "reason", F.size("shas").alias("n"), tx.digest(F.array_join("shas", ",")).alias("shas"))
+    return found.select("repo", "reason", "part", F.size("shas").alias("n"), tx.digest(F.array_join("shas", ",")).alias("shas"))
 
 
 def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each repository's best candidates: a rank, then a cut."""
-    return scoring.ranked(outcomes(spark, sf_dir, details=False)).where("rank <= 5").select("repo", "rank", tx.short_name(F.col("sha")).alias("commit"), tx.clip(tx.subject(F.col("message")), 12).alias("subject"))
+    return scoring.best(outcomes(spark, sf_dir, details=False), 5).select("repo", "rank", tx.short_name(F.col("sha")).alias("commit"), tx.clip(tx.subject(F.col("message")), 12).alias("subject"))
 
 
 def commit_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,8 @@ SQL: dict[str, str] = {
     SELECT repo, 'walked' AS step, w AS n, w AS remaining FROM whole UNION ALL
     SELECT s.repo, s.reason, s.n, CAST(w.w - sum(s.n) OVER (PARTITION BY s.repo ORDER BY s.o ROWS UNBOUNDED PRECEDING) AS BIGINT) FROM steps s JOIN whole w ON s.repo = w.repo""",
     "feature_table": f"WITH {_OUTCOMES} SELECT repo, sha, round(3 * f1, 4) AS small_diff, round(2 * f2, 4) AS test_lines_added, round(f3, 4) AS added_assertions, round(2 * f4, 4) AS linked_reference, round(f5, 4) AS fix_keyword, round(f6, 4) AS focused_source FROM banded WHERE reason IS NULL",
-    "rejected_lists": f"WITH {_OUTCOMES} SELECT repo, reason, CAST(count(*) AS INTEGER) AS n, substr(sha256(string_agg(sha, ',' ORDER BY pos, sha)), 1, 16) AS shas FROM banded WHERE reason IS NOT NULL GROUP BY repo, reason",
+    "rejected_lists": f"""WITH {_OUTCOMES}, r AS (SELECT repo, reason, pos, sha, CAST((row_number() OVER (PARTITION BY repo, reason ORDER BY pos, sha) - 1) // 10000 AS INTEGER) AS part FROM banded WHERE reason IS NOT NULL)
+    SELECT repo, reason, part, CAST(count(*) AS INTEGER) AS n, substr(sha256(string_agg(sha, ',' ORDER BY pos, sha)), 1, 16) AS shas FROM r GROUP BY repo, reason, part""",
     "commit_messages": f"""WITH {_COMMITS} SELECT sha,
         ['Fix crash in parser', 'Add feature (#' || sha || ')', 'Update docs and more', 'Handle wrong input', 'refactor: tidy up', 'Resolve bug: owner/repo#' || sha || ' broken'][CAST(k AS INTEGER) + 1] AS subject,
         ['Closes #' || sha, '', '', 'See gh-' || sha, 'body text', ''][CAST(k AS INTEGER) + 1] AS body, CAST(pos - 1 AS VARCHAR) AS base,
