@@ -53,9 +53,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def stash(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def stash(self, df: DataFrame, name: str, *partition_by: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` and read it back: the lineage ends there and the size is known to the planner."""
         writer = df.write.mode("overwrite")
+        if compression:
+            writer = writer.option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
