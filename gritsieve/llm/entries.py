@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gritsieve.llm.audit import filter_audit
 from gritsieve.llm.chat import chat_report
 from gritsieve.llm.decontaminate import contamination_report
+from gritsieve.llm.importance import importance_report
+from gritsieve.llm.jaccard import jaccard_report
 from gritsieve.llm.line_dedup import line_dedup_report
 from gritsieve.llm.mixing import mix_report
 from gritsieve.llm.quality import quality_report
@@ -71,11 +74,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_line_dedup, op3_chat_formatting, op4_decontamination, op5_suffix_dedup, op6_mixing, op7_secret_scans,
-        op8_quality_rules, op9_toxicity, op10_simhash,
+        op8_quality_rules, op9_toxicity, op10_simhash, op11_importance, op12_jaccard, op13_filter_audit,
     )
 }
 

@@ -165,4 +165,112 @@ FROM docs d LEFT JOIN told t ON d.r = t.r
 """
 )
 
-SQL: dict[str, str] = {"op7_secret_scans": OP7, "op2_line_dedup": OP2, "op4_decontamination": OP4, "op5_suffix_dedup": OP5, "op6_mixing": OP6}
+#: CRC-32 of each distinct word by its table of 256 entries, which the polynomial gives.
+OP11 = r"""
+WITH RECURSIVE entries AS (
+    SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS bit FROM range(256) t(i)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, bit + 1 FROM entries WHERE bit < 8
+), crc_table AS (
+    SELECT list(c ORDER BY i) AS crc FROM entries WHERE bit = 8
+), texts AS (
+    SELECT row_number() OVER () AS r, doc_id, false AS wanted, text FROM documents
+    UNION ALL
+    SELECT row_number() OVER (), NULL, true, text FROM benchmark
+), words AS (
+    SELECT r, doc_id, wanted, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM texts
+), features AS (
+    SELECT r, wanted, f, count(*) AS n FROM (SELECT r, wanted, unnest(w) AS f FROM words) GROUP BY ALL
+), lettered AS (
+    SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)
+), hashed AS (
+    SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+                              lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+    FROM lettered, crc_table
+), counts AS (
+    SELECT bucket, CAST(sum(n) FILTER (NOT wanted) AS DOUBLE) AS s, CAST(sum(n) FILTER (wanted) AS DOUBLE) AS t FROM features JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce(sum(s) OVER (), 0) + 10000) / ((coalesce(s, 0) + 1) * (coalesce(sum(t) OVER (), 0) + 10000)))) AS BIGINT) AS gain
+    FROM counts
+), weights AS (
+    SELECT r, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE NOT wanted GROUP BY r
+), scored AS (
+    SELECT w.r, w.doc_id, CAST(len(w.w) AS BIGINT) AS n_features, coalesce(x.weight, 0) AS weight,
+           coalesce(x.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(w.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+    FROM words w LEFT JOIN weights x ON w.r = x.r WHERE NOT w.wanted
+), ranked AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN k.place <= 10 * k.n // 100 THEN k.place END AS rank
+FROM scored s LEFT JOIN ranked k ON s.r = k.r
+"""
+
+OP12 = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT r, md5_number(array_to_string(list_slice(words, s, s + k - 1), ' ')) AS h
+    FROM (SELECT r, words, least(5, len(words)) AS k, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS s FROM docs WHERE len(words) > 0)
+), sizes AS (
+    SELECT r, count(*) AS n FROM shingles GROUP BY r
+), shared AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.h = b.h AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+    SELECT a, b FROM shared s JOIN sizes x ON s.a = x.r JOIN sizes y ON s.b = y.r WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+), reach AS (
+    SELECT r AS a, r AS b FROM docs
+    UNION
+    SELECT p.a, l.b FROM reach p JOIN links l ON p.b = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM docs d LEFT JOIN sizes s ON d.r = s.r JOIN (SELECT p.a, min(o.doc_id) AS component_id FROM reach p JOIN docs o ON p.b = o.r GROUP BY p.a) c ON d.r = c.a
+"""
+
+OP13 = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (
+    SELECT t, min(doc_id) AS first FROM texts GROUP BY t
+), marks AS (
+    SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INT)) AS good, max(CAST(coalesce(toxic, 0) = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), judged AS (
+    SELECT x.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+           CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+           + 4 * CAST(100 * length(regexp_replace(x.t, '[^A-Z]', '', 'g')) > 10 * length(x.t) AS INT) + 8 * CAST(regexp_matches(x.t, '[#$%&*|]') AS INT)
+           + 16 * CAST(f.first IS NOT NULL AND (x.doc_id IS NULL OR x.doc_id > f.first) AS INT) AS mask
+    FROM texts x JOIN firsts f ON x.t = f.t LEFT JOIN marks m ON x.doc_id = m.doc_id
+), counts AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, mask
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+    SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f,
+           CAST(list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS INT) AS ahead,
+           1 << (ascii(substr(filter_order, step, 1)) - 65) AS own
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), told AS (
+    SELECT part, filter_order, step, f, sum(CASE WHEN mask & (coalesce(ahead, 0) | own) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(ahead, 0) = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(ahead, 0) > 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(ahead, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(ahead, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counts, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM told
+"""
+
+SQL: dict[str, str] = {
+    "op7_secret_scans": OP7, "op2_line_dedup": OP2, "op4_decontamination": OP4, "op5_suffix_dedup": OP5, "op6_mixing": OP6,
+    "op11_importance": OP11, "op12_jaccard": OP12, "op13_filter_audit": OP13,
+}
