@@ -9,7 +9,8 @@ each class takes part. The join is exact and runs in these steps:
    any common order. Classes that share none of these tokens with another class are done. Heavy tokens are joined by
    Spark, the others come in sorted blocks, so no range gathers a hot token.
 3. **Groups.** Classes with the same least token under a second hash are likely similar. Such a partition is cut to
-   groups of bounded size. Every class is compared with the first of its partition, which joins most copies at once.
+   groups of bounded size. Every class is compared with the first of its partition, which joins most copies at once;
+   the firsts meet again by a third hash. Texts travel to their groups once; tokens are made there.
 4. **Bounds.** A class is a query to every group with which it shares a token of the matrix, unless most classes of the
    token, its query's too, are already joined to one component: links are looked for where they join something.
    The group stores the union of its tokens. If the query's overlap with it is below the overlap that a link needs,
@@ -240,71 +241,72 @@ def _met(rows: DataFrame, classes: DataFrame, heavy: np.ndarray, shingle: int, p
     return scratch.stash(held.join(several, "token"), "met")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(row, n, labels, tokens) of the classes that may have links."""
+def _placed(rows: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, grp, kind, lead, own) by row: where the set of every class that may have links goes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingles(shingle)
-        for batch in batches:
-            yield table({
-                "row": (batch.column("row"), pa.int64()), "n": (batch.column("n"), pa.int64()), "labels": (batch.column("labels"), pa.list_(pa.int64())),
-                "tokens": ([of.of(t).tobytes() for t in raw(batch, "text")], pa.binary()),
-            })
-
-    found = rows.select("row", "n", "labels", "text").join(wanted, "row", "left_semi")
-    return scratch.stash(found.mapInArrow(run, "row long, n long, labels array<long>, tokens binary"), "sets")
-
-
-def _grouped(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, n, label, lead, grp) for each class and label: its partition, the first class of that, and its group."""
-    rows = sets.select("row", "n", F.posexplode("labels").alias("k", "at")).select("row", "n", "k", F.struct("k", "at").alias("label"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("row").alias("lead"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("c") / GROUP), F.ceil(F.col("total") / GROUP_TOKENS))
-    grouped = rows.join(scratch.stash(sizes.select("label", "lead", parts.alias("parts")), "sizes"), "label")
-    grp = F.xxhash64("label", F.pmod(F.xxhash64("row"), F.col("parts")))
-    return scratch.stash(grouped.select("row", "n", "k", "lead", grp.alias("grp")), "grouped")
+    Kind 0: every class goes to a group of its first label. Kind 1: the first classes of these partitions meet again
+    by their second label. ``lead``: the first class of the partition; it goes to all its groups, ``own`` or not.
+    """
+    slim = scratch.stash(rows.select("row", "n", "labels").join(met.select("row").distinct(), "row", "left_semi"), "slim")
+
+    def dealt(members: DataFrame, kind: int) -> DataFrame:
+        label = F.get("labels", F.lit(kind))
+        sizes = members.groupBy(label.alias("label")).agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("row").alias("lead"))
+        if kind:
+            sizes = sizes.where("c > 1")
+        parts = F.greatest(F.lit(1), F.ceil(F.col("c") / GROUP), F.ceil(F.col("total") / GROUP_TOKENS)).cast("int")
+        sizes = scratch.stash(sizes.select("label", "lead", parts.alias("parts")), f"sizes-{kind}")
+        at = lambda part: F.xxhash64(F.lit(kind), "label", part.cast("long"))
+        own = members.withColumn("label", label).join(sizes, "label").select("row", at(F.pmod(F.xxhash64("row"), F.col("parts"))).alias("grp"), F.lit(kind).alias("kind"), "lead", F.lit(True).alias("own"))
+        # the first's set goes to each group once, so a partition of any size is spread
+        also = sizes.select(F.col("lead").alias("row"), "label", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return own.unionByName(also.select("row", at(F.col("part")).alias("grp"), F.lit(kind).alias("kind"), "lead", F.lit(False).alias("own")))
+
+    first = scratch.stash(dealt(slim, 0), "dealt")
+    again = slim.join(first.where("own and row = lead").select("row"), "row", "left_semi")
+    return scratch.stash(first.unionByName(dealt(again, 1)), "places")
 
 
 def _tokens(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
 
-def _led(sets: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes linked with the first of one of their partitions."""
-    # the first's tokens go to each group once, so a partition of any size is spread
-    firsts = grouped.select("grp", "lead").distinct().join(sets.select(F.col("row").alias("lead"), F.col("tokens").alias("first")), "lead")
-    pairs = grouped.where("row <> lead").select("row", "grp").join(sets.select("row", "tokens"), "row").join(firsts, "grp").select("row", "lead", "tokens", "first")
+def _groups(rows: DataFrame, places: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(grp, kind, every, rows, members, a, b): the groups with the union of their tokens, and links with the first of their partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, rows, sets, first, lead, kind = Shingles(shingle), [], [], None, None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens"), batch.column("first")):
-                x, y = _tokens(x), _tokens(y)
-                keep.append(linked(len(x), len(y), common(x, y), percent))
-            yield batch.select(["lead", "row"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _opened(wanted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+            for row, own, head, k, text in zip(*(batch.column(c).to_pylist() for c in ("row", "own", "lead", "kind")), raw(batch, "text")):
+                tokens = of.of(text)
+                kind, lead = k, head
+                if own:
+                    rows.append(row)
+                    sets.append(tokens)
+                else:
+                    first = tokens
+        joined = [r for r, x in zip(rows, sets) if r != lead and linked(len(x), len(first), common(x, first), percent)]
+        store = not kind and bool(rows)
+        yield table({
+            "grp": ([key[0].as_py()], pa.int64()), "kind": ([kind], pa.int32()), "every": ([np.unique(np.concatenate(sets)).tobytes() if store else None], pa.binary()),
+            "rows": ([rows if store else None], pa.list_(pa.int64())), "members": ([[x.tobytes() for x in sets] if store else None], pa.list_(pa.binary())),
+            "lead": ([lead], pa.int64()), "joined": ([joined], pa.list_(pa.int64())),
+        })
+
+    texts = rows.select("row", "text").join(places, "row").select("grp", "row", "own", "lead", "kind", "text")
+    return scratch.stash(texts.groupBy("grp").applyInArrow(build, "grp long, kind int, every binary, rows array<long>, members array<binary>, lead long, joined array<long>"), "groups")
+
+
+def _opened(wanted: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b, both): verified links of queries ``row`` with members of groups ``grp``."""
-
-    def union(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, tokens = [], []
-        for batch in batches:
-            rows += batch.column("row").to_pylist()
-            tokens += [t.as_py() for t in batch.column("tokens")]
-        every = np.unique(np.concatenate([np.frombuffer(t, dtype=np.uint64) for t in tokens]))
-        yield table({"grp": ([key[0].as_py()], pa.int64()), "every": ([every.tobytes()], pa.binary()), "rows": ([rows], pa.list_(pa.int64())), "members": ([tokens], pa.list_(pa.binary()))})
-
-    asked = wanted.select("grp").distinct()
-    store = grouped.where("k = 0").join(asked, "grp", "left_semi").select("row", "grp").join(sets.select("row", "tokens"), "row")
-    store = scratch.stash(store.groupBy("grp").applyInArrow(union, "grp long, every binary, rows array<long>, members array<binary>"), "groups")
+    store = groups.where("every is not null")
+    asked = store.join(wanted.select("grp").distinct(), "grp", "left_semi").select("grp", "every", "rows", "members")
+    sets = store.select(F.explode(F.arrays_zip("rows", "members")).alias("at")).select("at.rows", "at.members")
     # queries of one group travel in blocks, each of which meets the stored group once
-    sizes = scratch.stash(wanted.join(sets.select("row", "n"), "row").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")), "query-sizes")
+    sizes = scratch.stash(wanted.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("parts")), "query-sizes")
     dealt = wanted.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).select("row", "grp", "part")
-    asking = dealt.join(sets.select("row", "tokens"), "row").groupBy("grp", "part").agg(F.collect_list(F.struct("row", "tokens")).alias("queries"))
-    pairs = asking.join(store, "grp").select("queries", "every", "rows", "members")
+    asking = dealt.join(sets, dealt["row"] == sets["rows"]).groupBy("grp", "part").agg(F.collect_list(F.struct("row", F.col("members").alias("tokens"))).alias("queries"))
+    pairs = asking.join(asked, "grp").select("queries", "every", "rows", "members")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,14 +333,14 @@ def _opened(wanted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int
 def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Scratch, heavy: int, heavy_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): see the module; without ``every``, links enough to join all components."""
     rows = _rows(docs, shingle, scratch)
-    slim = rows.where("n > 0").select("d1", "d2", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row").alias("at"))
-    classes = scratch.stash(slim.groupBy("d1", "d2").agg(F.min("at").alias("at")).select("d1", "d2", "at.last", "at.id", "at.row"), "classes")
+    slim = rows.where("n > 0").select("d1", "d2", "n", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row").alias("at"))
+    classes = scratch.stash(slim.groupBy("d1", "d2").agg(F.min("at").alias("at"), F.first("n").alias("n")).select("d1", "d2", "n", "at.last", "at.id", "at.row"), "classes")
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = _met(rows, classes, _heavy(rows, shingle, heavy, heavy_rows, tokens, scratch), shingle, percent, scratch)
-    sets = _sets(rows, met.select("row").distinct(), shingle, scratch)
-    grouped = _grouped(sets, scratch)
-    near = scratch.stash(_led(sets, grouped, percent), "led") if not every else None
-    held = met.join(grouped.where("k = 0").select("row", "n", "grp"), "row")
+    places = _placed(rows, met, scratch)
+    groups = _groups(rows, places, shingle, percent, scratch)
+    held = met.join(places.where("kind = 0 and own").select("row", "grp"), "row").join(classes.select("row", "n"), "row")
+    near = None if every else scratch.stash(groups.select(F.col("lead").alias("a"), F.explode("joined").alias("b")), "led")
     if near is None:
         held = held.withColumn("comp", F.col("row"))
     else:
@@ -350,10 +352,10 @@ def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Sc
     mixed = scratch.stash(held.join(major, "token"), "mixed")
     # members of the token's largest component are found by the others, so they need not ask
     asking = mixed.where("comp <> major").select("token", "row", F.col("comp").alias("own"), F.col("n").alias("size"))
-    groups = mixed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    spread = mixed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     fits = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ((F.col("own") != F.col("c1")) | (F.col("own") != F.col("c2")))
-    wanted = scratch.stash(asking.join(groups, "token").where(fits).select("row", "grp").distinct(), "wanted")
-    found = scratch.stash(_opened(wanted, sets, grouped, percent, scratch), "found")
+    wanted = scratch.stash(asking.join(spread, "token").where(fits).select("row", "size", "grp").distinct(), "wanted")
+    found = scratch.stash(_opened(wanted, groups, percent, scratch), "found")
     if near is not None:
         return rows, classes, found.select("a", "b").unionByName(near)
     return rows, classes, found
