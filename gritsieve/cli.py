@@ -39,9 +39,22 @@ def candidate_grid(rows: list[dict], width: int = 60) -> str:
     return grid(head, body, {0, 1})
 
 
+def file_grid(files: list[dict]) -> str:
+    """The files of a commit: category, rule, counts, and what the measurements of their patches saw."""
+    body = []
+    for f in files:
+        counts = ["-" if f[k] is None else f[k] for k in ("added", "deleted")]
+        patch, unknown = f["patch"], "-" if "-" in counts else "?"
+        seen = [patch[k] for k in ("hunks", "code_hunks")] + [patch["test_added"] + patch["test_deleted"], patch["asserts"]] if patch else [unknown] * 4
+        body.append([f["category"], f["rule_id"], *counts, *seen, f"{f['old_path']} -> {f['path']}" if f["old_path"] else f["path"]])
+    return grid(["category", "rule", "added", "del", "hunks", "code", "tests", "asserts", "path"], body, set(range(2, 8)))
+
+
 def explanation(row: dict) -> str:
     """One commit in full."""
     lines = [f"{row['repo']} {row['sha']}", f"date     {row['date']}", f"subject  {_ascii(row['subject'])}"]
+    if row.get("files") and "rule_id" in row["files"][0]:
+        lines += ["", file_grid(row["files"]), *([f"public API touched: {', '.join(row['public_api'])}"] if row.get("public_api") else []), ""]
     if row["reason"]:
         from gritsieve.schema import REASONS
 
@@ -79,7 +92,7 @@ def _parser() -> argparse.ArgumentParser:
     command("batch", "mine several repositories into one ledger", (["config"], text), (["--ledger"], text), (["--out"], text), (["--report"], text), (["--only"], {"action": "append", "default": []}), (["--full"], flag), (["--dry-run"], flag), (["--top"], {"type": int, "default": 10}))
     command("report", "render an export", (["candidates"], text), (["--out"], text), (["--top"], whole), (["--format"], text))
     command("record", "walk a clone once and save it", (["repo"], text), (["--out"], {"required": True}), (["--rev"], {"default": "HEAD"}), (["--max-count"], whole), (["--name", "--repo-name"], text))
-    command("explain", "one commit in detail", (["sha"], text), (["--repo"], text), (["--history"], text), (["--json"], flag), *tuning)
+    command("explain", "one commit in detail", (["sha"], text), (["--repo"], text), (["--history"], text), (["--name", "--repo-name"], text), (["--no-content"], flag), (["--json"], flag), *tuning)
     command("classify", "classify paths", (["paths"], {"nargs": "+"}), (["--root"], text), (["--config"], text))
     command("rules", "print the rule table", (["--config"], text), (["--markdown"], flag))
     command("ledger-add", "add candidates of an export", (["ledger"], text), (["candidates"], text), (["--sha"], {"action": "append", "default": []}), (["--top"], whole), (["--owner"], text), (["--status"], {"default": "claimed"}), (["--min-overlap"], part), (["--allow-overlap"], flag))
@@ -143,29 +156,35 @@ def _run(a: argparse.Namespace) -> int:
 
     spark = _session()
     engine = Engine(spark)
-    if a.command in ("mine", "explain"):
-        if bool(a.repo) == bool(a.history):
-            raise ValueError("give a clone or --history")
-        name = getattr(a, "name", None)
+    if a.command == "explain":
+        if a.repo and a.history:
+            raise ValueError("give --repo or --history, not both")
         if a.history:
-            commits = engine.history(a.history, getattr(a, "max_count", None))
-            head = commits.select("repo").first()
-            name = name or (head[0] if head else "history")
+            row = engine.explain(engine.history(a.history), a.sha, _settings(a))
         else:
-            commits = engine.clone(a.repo, getattr(a, "rev", "HEAD"), getattr(a, "max_count", None), not getattr(a, "no_content", False))
-            name = name or a.repo.rstrip("/").rsplit("/", 1)[-1]
-        if a.command == "mine":
-            return _mined(engine, commits, name, "history" if a.history else "clone", a, "commits", a.url)
-        row = engine.explain(commits, a.sha, _settings(a))
+            a.repo = a.repo or "."
+            row = engine.explain_revision(a.repo, a.sha, _settings(a), not a.no_content, a.name)
         if a.json:
             import json
 
             from gritsieve.plans.export import explain_record
 
-            print(json.dumps(explain_record(row, _settings(a), row["repo"]), sort_keys=True))
+            print(json.dumps(explain_record(row, _settings(a), a.name or row["repo"]), sort_keys=True))
         else:
             print(explanation(row))
         return 0
+    if a.command == "mine":
+        if bool(a.repo) == bool(a.history):
+            raise ValueError("give a clone or --history")
+        name = a.name
+        if a.history:
+            commits = engine.history(a.history, a.max_count)
+            head = commits.select("repo").first()
+            name = name or (head[0] if head else "history")
+        else:
+            commits = engine.clone(a.repo, a.rev, a.max_count, not a.no_content)
+            name = name or a.repo.rstrip("/").rsplit("/", 1)[-1]
+        return _mined(engine, commits, name, "history" if a.history else "clone", a, "commits", a.url)
     if a.command == "prs":
         import os
         import tempfile

@@ -153,14 +153,25 @@ class Engine:
         return recording.write_recording(self.clone(path, rev, limit, True, name), out, name, git_log.origin_url(path), git_log.resolve(path, rev))
 
     def explain(self, commits: DataFrame, prefix: str, settings: Settings = Settings()) -> dict:
-        """The outcome of one commit, named by at least four hex digits."""
+        """The outcome of one commit, named by at least four hex digits, with its classified ``files``."""
         if len(prefix) < 4 or any(c not in "0123456789abcdef" for c in prefix.lower()):
             raise ValueError(f"{prefix!r}: at least 4 hex digits are expected")
         found = commits.where(F.col("sha").startswith(prefix.lower())).limit(2)
         rows = evaluate(found, settings).withColumn("rank", F.lit(None).cast("int")).collect()
         if len(rows) != 1:
             raise ValueError(f"{prefix}: {'no commit' if not rows else 'more than one commit'} begins so")
-        return rows[0].asDict(recursive=True)
+        files = classify(explode_files(self.spark.createDataFrame([(rows[0]["repo"], rows[0]["sha"], rows[0]["files"])], commits.select(*KEYS, "files").schema), KEYS), settings.rules or RULES)
+        return rows[0].asDict(recursive=True) | {"files": [r.asDict(recursive=True) for r in files.orderBy("pos_in_commit").collect()]}
+
+    def explain_revision(self, path: str, rev: str, settings: Settings = Settings(), content: bool = True, repo: str | None = None) -> dict:
+        """The outcome of the commit that a revision of a clone names; the scan reads this commit alone."""
+        sha = git_log.resolve(path, rev)
+        git_log.register(self.spark)
+        reader = self.spark.read.format("git_history").options(paths=path, rev=sha, limit="1", content=str(content).lower(), **({"repo": repo} if repo else {}))
+        found = Scratch(self.spark, "explain").stash(reader.load().where(F.col("sha") == sha), "commit")
+        if found.isEmpty():
+            raise ValueError(f"{rev} is a merge commit; merges are not candidates")
+        return self.explain(found, sha, settings)
 
     def classify(self, paths: DataFrame, rules=RULES) -> DataFrame:
         """(path, signals) rows with language, category and rule."""

@@ -115,7 +115,12 @@ def batch_records(batch: BatchResult) -> list[dict]:
 
 
 def explain_record(outcome: dict, settings, repo: str) -> dict:
-    """One commit: its candidate record, or the reason it was rejected for."""
+    """One commit: its candidate record, or the reason it was rejected for, and its files."""
+    files = {"files": [_file_record(f) for f in outcome.get("files") or [] if "rule_id" in f]}
+    return _verdict_of(outcome, settings, repo) | files
+
+
+def _verdict_of(outcome: dict, settings, repo: str) -> dict:
     if outcome["reason"] is None:
         return {"kind": "explanation", "repo": repo, "verdict": "candidate", "candidate": {k: outcome[k] for k in ("sha", "subject", "score", "score_features", "difficulty", "band", "difficulty_features", "fail_to_pass", "public_api")}}
     return {"kind": "explanation", "repo": repo, "verdict": "rejected", "sha": outcome["sha"], "subject": outcome["subject"], "reason": outcome["reason"], "description": REASONS[outcome["reason"]], "settings": settings.to_json()}
