@@ -5,16 +5,16 @@ each class takes part. The join is exact and runs in these steps:
 
 1. **Order of the tokens.** Tasks count 32-bit slots of tokens in sorted blocks, merged by ranges. The ``heavy``
    slots held by most documents come last; all others by value. Any order gives the same links, this one few candidates.
-2. **Matrix of tokens.** Two sets with similarity t share one of the first ``n - ceil(t n) + 1`` tokens of either, in
-   any common order. Classes that share none of these tokens with another class are done. Heavy tokens are joined by
-   Spark, the others come in sorted blocks, so no range gathers a hot token.
+2. **Matrix of tokens.** Two sets with similarity t share k of the first ``n - ceil(t n) + k`` tokens of either, in
+   any common order (k is ``SHARED``, less for sets that need not share as many). These tokens are the matrix. Heavy ones are
+   joined by Spark, the others come in sorted blocks, so no range gathers a hot token.
 3. **Groups.** Classes with the same least token under a second hash are likely similar. Such a partition is cut to
    groups of bounded size. Every class is compared with the first of its partition, which joins most copies at once;
-   the firsts meet again by a third hash. Texts travel to their groups once; tokens are made there.
-4. **Bounds.** A class is a query to every group with which it shares a token of the matrix, unless most classes of the
-   token, its query's too, are already joined to one component: links are looked for where they join something.
-   The group stores the union of its tokens. If the query's overlap with it is below the overlap that a link needs,
-   the group stays closed; the others are opened and every member is compared.
+   the firsts meet again by a third hash.
+4. **Bounds.** A class is a query to a group where it shares k tokens of the matrix with the group's union, save
+   where both are joined already: among the classes of a token, those of the largest component need not ask.
+   Where the query's overlap with the union of all tokens of the group is below what a link needs, the group
+   stays closed; the others are opened and every member is compared. Texts travel to their groups once.
 5. Components of the links come from alternating stars.
 
 ``jaccard_links(..., every=True)`` leaves out the shortcut of steps 3 and 4 and returns every pair of linked classes.
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.llm.arrow import raw, signed, spare, table
 from gritsieve.llm.words import Memo
@@ -49,9 +49,12 @@ HEAVY_ROWS = 8
 #: Members and tokens that a group holds on average, at most; queries sent to a group together.
 GROUP = 64
 GROUP_TOKENS = 1 << 18
-#: Tokens of one sorted block, and of one range of blocks.
+#: Tokens of the matrix that two linked sets share at least; more of them leave fewer candidates and make it larger.
+SHARED = 4
+#: Tokens of one sorted block, and of one range of blocks; slots are merged in 2^SLOT_BITS ranges.
 BLOCK = 1 << 20
 RANGE = 1 << 21
+SLOT_BITS = 6
 LABELS = 2
 
 _ODD = [np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 63)) + 1) for k in range(64)]
@@ -114,10 +117,25 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(row, doc_id, n, d1, d2, labels, text): ``row`` is a number of its own, d1 and d2 a digest of the set."""
+    """(row, doc_id, n, d1, d2, labels, text): ``row`` is a number of its own, d1 and d2 a digest of the set.
+
+    The same pass counts slots of tokens: rows without a ``row`` are sorted blocks of (slot, count), cut to ``range``s.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingles(shingle)
+        of, slots, size = Shingles(shingle), [], 0
+        names = ("row", "doc_id", "n", "d1", "d2", "labels", "text", "range", "slots", "counts")
+        kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()), pa.string(), pa.int32(), pa.binary(), pa.binary())
+
+        def rows(length: int, **columns: object) -> pa.RecordBatch:
+            return table({name: (columns.get(name, [None] * length), kind) for name, kind in zip(names, kinds)})
+
+        def counted() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(slots), return_counts=True)
+            edges = np.searchsorted(found, np.arange(1, 1 << SLOT_BITS, dtype=np.uint64) << np.uint64(32 - SLOT_BITS))
+            parts = [(k, s, c) for k, (s, c) in enumerate(zip(np.split(found, edges), np.split(counts.astype(np.uint32), edges))) if len(s)]
+            return rows(len(parts), range=[p[0] for p in parts], slots=[_packed(p[1]) for p in parts], counts=[_packed(p[2]) for p in parts])
+
         for batch in batches:
             found = []
             for text in raw(batch, "text"):
@@ -125,39 +143,23 @@ def _rows(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 labels = [signed(int(_mixed(tokens ^ np.uint64(seed + 1)).min())) for seed in range(LABELS)] if len(tokens) else None
                 found.append((len(tokens), signed(digest >> 64), signed(digest & (1 << 64) - 1), labels))
+                slots.append((tokens >> np.uint64(32)).astype(np.uint32))
+                size += len(tokens)
+                if size >= BLOCK:
+                    yield counted()
+                    slots, size = [], 0
             n, d1, d2, labels = zip(*found) if found else ((), (), (), ())
-            yield table({
-                "row": (batch.column("row"), pa.int64()), "doc_id": (batch.column("doc_id"), pa.int64()), "n": (n, pa.int64()), "d1": (d1, pa.int64()),
-                "d2": (d2, pa.int64()), "labels": (labels, pa.list_(pa.int64())), "text": (batch.column("text"), pa.string()),
-            })
+            yield rows(batch.num_rows, row=batch.column("row"), doc_id=batch.column("doc_id"), n=n, d1=d1, d2=d2, labels=labels, text=batch.column("text"))
+        if size:
+            yield counted()
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return scratch.stash(slim.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, labels array<long>, text string"), "rows", compression="zstd")
+    schema = "row long, doc_id long, n long, d1 long, d2 long, labels array<long>, text string, range int, slots binary, counts binary"
+    return scratch.stash(slim.mapInArrow(run, schema), "rows", compression="zstd")
 
 
-def _heavy(rows: DataFrame, shingle: int, heavy: int, heavy_rows: int, tokens: int, scratch: Scratch) -> np.ndarray:
+def _heavy(blocks: DataFrame, heavy: int, heavy_rows: int, scratch: Scratch) -> np.ndarray:
     """The sorted slots that most documents hold, at most ``heavy`` of them."""
-    bits = max(0, int(-(-tokens // RANGE)).bit_length())
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, size = Shingles(shingle), [], 0
-
-        def flush() -> pa.RecordBatch:
-            slots, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted(slots, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-            parts = [(k, s, c) for k, (s, c) in enumerate(zip(np.split(slots, edges), np.split(counts.astype(np.uint32), edges))) if len(s)]
-            return table({"range": ([p[0] for p in parts], pa.int32()), "slots": ([_packed(p[1]) for p in parts], pa.binary()), "counts": ([_packed(p[2]) for p in parts], pa.binary())})
-
-        for batch in batches:
-            for text in raw(batch, "text"):
-                tokens = of.of(text)
-                held.append((tokens >> np.uint64(32)).astype(np.uint32))
-                size += len(tokens)
-                if size >= BLOCK:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -169,14 +171,14 @@ def _heavy(rows: DataFrame, shingle: int, heavy: int, heavy_rows: int, tokens: i
         keep = counts >= heavy_rows
         yield table({"slot": (slots[keep].astype(np.int64), pa.int64()), "n": (counts[keep], pa.int64())})
 
-    found = rows.select("text").mapInArrow(blocks, "range int, slots binary, counts binary").groupBy("range").applyInArrow(merge, "slot long, n long")
-    top = scratch.stash(found, "heavy").orderBy(F.desc("n"), "slot").limit(heavy).select("slot").toArrow()
+    top = scratch.stash(blocks.groupBy("range").applyInArrow(merge, "slot long, n long"), "heavy").orderBy(F.desc("n"), "slot").limit(heavy).select("slot").toArrow()
     return np.sort(top.column("slot").to_numpy().astype(np.uint32))
 
 
 def _first_tokens(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The tokens of the matrix of one set, and how many of them are not heavy; those come first."""
-    most = len(tokens) - least_overlap(len(tokens), percent) + 1
+    need = least_overlap(len(tokens), percent)
+    most = len(tokens) - need + min(SHARED, need)
     last = np.zeros(len(tokens), dtype=bool)
     if len(heavy):
         slots = (tokens >> np.uint64(32)).astype(np.uint32)
@@ -241,109 +243,82 @@ def _met(rows: DataFrame, classes: DataFrame, heavy: np.ndarray, shingle: int, p
     return scratch.stash(held.join(several, "token"), "met")
 
 
-def _placed(rows: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, grp, kind, lead, own) by row: where the set of every class that may have links goes.
+def _tokens(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
-    Kind 0: every class goes to a group of its first label. Kind 1: the first classes of these partitions meet again
-    by their second label. ``lead``: the first class of the partition; it goes to all its groups, ``own`` or not.
-    """
-    slim = scratch.stash(rows.select("row", "n", "labels").join(met.select("row").distinct(), "row", "left_semi"), "slim")
-
-    def dealt(members: DataFrame, kind: int) -> DataFrame:
-        label = F.get("labels", F.lit(kind))
-        sizes = members.groupBy(label.alias("label")).agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("row").alias("lead"))
-        if kind:
-            sizes = sizes.where("c > 1")
-        parts = F.greatest(F.lit(1), F.ceil(F.col("c") / GROUP), F.ceil(F.col("total") / GROUP_TOKENS)).cast("int")
-        sizes = scratch.stash(sizes.select("label", "lead", parts.alias("parts")), f"sizes-{kind}")
-        at = lambda part: F.xxhash64(F.lit(kind), "label", part.cast("long"))
-        own = members.withColumn("label", label).join(sizes, "label").select("row", at(F.pmod(F.xxhash64("row"), F.col("parts"))).alias("grp"), F.lit(kind).alias("kind"), "lead", F.lit(True).alias("own"))
-        # the first's set goes to each group once, so a partition of any size is spread
-        also = sizes.select(F.col("lead").alias("row"), "label", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        return own.unionByName(also.select("row", at(F.col("part")).alias("grp"), F.lit(kind).alias("kind"), "lead", F.lit(False).alias("own")))
-
-    first = scratch.stash(dealt(slim, 0), "dealt")
-    again = slim.join(first.where("own and row = lead").select("row"), "row", "left_semi")
-    return scratch.stash(first.unionByName(dealt(again, 1)), "places")
 
+def _parts(n_rows: Column, n_tokens: Column) -> Column:
+    """Into how many groups a partition of so many rows and tokens is cut."""
+    return F.greatest(F.lit(1), F.ceil(n_rows / GROUP), F.ceil(n_tokens / GROUP_TOKENS)).cast("int")
 
-def _tokens(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
+def _partitioned(members: DataFrame, kind: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(row, n, label, c, lead, grp) of each class, and (label, c, lead, parts) of each partition by a label."""
+    label = F.get("labels", F.lit(kind))
+    sizes = members.groupBy(label.alias("label")).agg(F.count("*").alias("c"), _parts(F.count("*"), F.sum("n")).alias("parts"), F.min("row").alias("lead"))
+    sizes = scratch.stash(sizes, f"sizes-{kind}")
+    grp = F.xxhash64(F.lit(kind), "label", F.pmod(F.xxhash64("row"), F.col("parts")))
+    return scratch.stash(members.withColumn("label", label).join(sizes, "label").select("row", "n", "labels", "c", "lead", grp.alias("grp")), f"groups-{kind}"), sizes
 
-def _groups(rows: DataFrame, places: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(grp, kind, every, rows, members, a, b): the groups with the union of their tokens, and links with the first of their partition."""
 
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, rows, sets, first, lead, kind = Shingles(shingle), [], [], None, None, None
-        for batch in batches:
-            for row, own, head, k, text in zip(*(batch.column(c).to_pylist() for c in ("row", "own", "lead", "kind")), raw(batch, "text")):
-                tokens = of.of(text)
-                kind, lead = k, head
-                if own:
-                    rows.append(row)
-                    sets.append(tokens)
-                else:
-                    first = tokens
-        joined = [r for r, x in zip(rows, sets) if r != lead and linked(len(x), len(first), common(x, first), percent)]
-        store = not kind and bool(rows)
-        yield table({
-            "grp": ([key[0].as_py()], pa.int64()), "kind": ([kind], pa.int32()), "every": ([np.unique(np.concatenate(sets)).tobytes() if store else None], pa.binary()),
-            "rows": ([rows if store else None], pa.list_(pa.int64())), "members": ([[x.tobytes() for x in sets] if store else None], pa.list_(pa.binary())),
-            "lead": ([lead], pa.int64()), "joined": ([joined], pa.list_(pa.int64())),
-        })
-
-    texts = rows.select("row", "text").join(places, "row").select("grp", "row", "own", "lead", "kind", "text")
-    return scratch.stash(texts.groupBy("grp").applyInArrow(build, "grp long, kind int, every binary, rows array<long>, members array<binary>, lead long, joined array<long>"), "groups")
-
-
-def _opened(wanted: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b, both): verified links of queries ``row`` with members of groups ``grp``."""
-    store = groups.where("every is not null")
-    asked = store.join(wanted.select("grp").distinct(), "grp", "left_semi").select("grp", "every", "rows", "members")
-    sets = store.select(F.explode(F.arrays_zip("rows", "members")).alias("at")).select("at.rows", "at.members")
-    # queries of one group travel in blocks, each of which meets the stored group once
-    sizes = scratch.stash(wanted.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("parts")), "query-sizes")
-    dealt = wanted.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).select("row", "grp", "part")
-    asking = dealt.join(sets, dealt["row"] == sets["rows"]).groupBy("grp", "part").agg(F.collect_list(F.struct("row", F.col("members").alias("tokens"))).alias("queries"))
-    pairs = asking.join(asked, "grp").select("queries", "every", "rows", "members")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_firsts(groups: DataFrame, sizes: DataFrame, kind: int) -> DataFrame:
+    """(row, grp, part, asks): classes that share a partition, and the first of it, which goes to each of its groups."""
+    members = groups.where("c > 1").select("row", "grp", F.lit(0).alias("part"), F.lit(False).alias("asks"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    firsts = sizes.where("c > 1").select(F.col("lead").alias("row"), "label", part)
+    return members.unionByName(firsts.select("row", F.xxhash64(F.lit(kind), "label", F.col("part").cast("long")).alias("grp"), F.lit(0).alias("part"), F.lit(True).alias("asks")))
+
+
+def _compared(rows: DataFrame, places: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, both): links between the sets that ask and the members of the group at the same (grp, part).
+
+    ``places``: (row, grp, part, asks). Texts travel there once; tokens are made there.
+    """
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, asking, members, found = Shingles(shingle), [], [], []
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            for k in range(batch.num_rows):
-                every = _tokens(batch.column("every")[k])
-                rows = batch.column("rows")[k].as_py()
-                members = [_tokens(m) for m in batch.column("members")[k].values]
-                queries = batch.column("queries")[k].values
-                for row, held in zip(queries.field("row").to_pylist(), queries.field("tokens")):
-                    query = _tokens(held)
-                    if common(query, every) < least_overlap(len(query), percent):
-                        continue  # no member can be similar enough: the group stays closed
-                    for other, tokens in zip(rows, members):
-                        small, large = sorted((len(query), len(tokens)))
-                        if other != row and 100 * small >= percent * large and linked(small, large, both := common(query, tokens), percent):
-                            found.append((min(row, other), max(row, other), both))
-            a, b, both = zip(*found) if found else ((), (), ())
-            yield table({"a": (a, pa.int64()), "b": (b, pa.int64()), "both": (both, pa.int64())})
-
-    return pairs.mapInArrow(verify, "a long, b long, both long").distinct()
+            for row, asks, text in zip(batch.column("row").to_pylist(), batch.column("asks").to_pylist(), raw(batch, "text")):
+                (asking if asks else members).append((row, of.of(text)))
+        every = np.unique(np.concatenate([t for _, t in members])) if members else np.zeros(0, np.uint64)
+        for row, query in asking:
+            if common(query, every) < least_overlap(len(query), percent):
+                continue  # no member can be similar enough: the group stays closed
+            for other, tokens in members:
+                small, large = sorted((len(query), len(tokens)))
+                if other != row and 100 * small >= percent * large and linked(small, large, both := common(query, tokens), percent):
+                    found.append((min(row, other), max(row, other), both))
+        a, b, both = zip(*found) if found else ((), (), ())
+        yield table({"a": (a, pa.int64()), "b": (b, pa.int64()), "both": (both, pa.int64())})
+
+    texts = rows.select("row", "text").join(places, "row").select("grp", "part", "row", "asks", "text")
+    return texts.groupBy("grp", "part").applyInArrow(run, "a long, b long, both long").distinct()
+
+
+def _asked(wanted: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, grp, part, asks): queries (row, size, grp) in blocks, each of which meets the members of its group."""
+    sizes = scratch.stash(wanted.groupBy("grp").agg(_parts(F.count("*"), F.sum("size")).alias("parts")), "query-sizes")
+    asking = wanted.join(sizes, "grp").select("row", "grp", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
+    members = groups.select("row", "grp").join(sizes, "grp").select("row", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    return scratch.stash(asking.unionByName(members), "asked")
 
 
 def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Scratch, heavy: int, heavy_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): see the module; without ``every``, links enough to join all components."""
-    rows = _rows(docs, shingle, scratch)
-    slim = rows.where("n > 0").select("d1", "d2", "n", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row").alias("at"))
-    classes = scratch.stash(slim.groupBy("d1", "d2").agg(F.min("at").alias("at"), F.first("n").alias("n")).select("d1", "d2", "n", "at.last", "at.id", "at.row"), "classes")
-    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = _met(rows, classes, _heavy(rows, shingle, heavy, heavy_rows, tokens, scratch), shingle, percent, scratch)
-    places = _placed(rows, met, scratch)
-    groups = _groups(rows, places, shingle, percent, scratch)
-    held = met.join(places.where("kind = 0 and own").select("row", "grp"), "row").join(classes.select("row", "n"), "row")
-    near = None if every else scratch.stash(groups.select(F.col("lead").alias("a"), F.explode("joined").alias("b")), "led")
-    if near is None:
+    table_ = _rows(docs, shingle, scratch)
+    rows = table_.where("row is not null").select("row", "doc_id", "n", "d1", "d2", "labels", "text")
+    slim = rows.where("n > 0").select("d1", "d2", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row", "n", "labels").alias("at"))
+    classes = scratch.stash(slim.groupBy("d1", "d2").agg(F.min("at").alias("at")).select("d1", "d2", "at.*"), "classes")
+    slots = _heavy(table_.where("row is null").select("range", "slots", "counts"), heavy, heavy_rows, scratch)
+    met = _met(rows, classes, slots, shingle, percent, scratch)
+    groups, sizes = _partitioned(classes.select("row", "n", "labels").join(met.select("row").distinct(), "row", "left_semi"), 0, scratch)
+    held, near = met.join(groups.select("row", "n", "grp"), "row"), None
+    if every:
         held = held.withColumn("comp", F.col("row"))
     else:
+        firsts = groups.where("row = lead").select("row", "n", "labels")
+        places = scratch.stash(_to_firsts(groups, sizes, 0).unionByName(_to_firsts(*_partitioned(firsts, 1, scratch), 1)), "places")
+        near = scratch.stash(_compared(rows, places, shingle, percent).select("a", "b"), "near")
         roots = connected_components(near, scratch)
         held = held.join(roots, held["row"] == roots["node"], "left").select(*[held[c] for c in held.columns], F.coalesce("root", "row").alias("comp"))
     held = scratch.stash(held, "matrix")
@@ -354,11 +329,12 @@ def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Sc
     asking = mixed.where("comp <> major").select("token", "row", F.col("comp").alias("own"), F.col("n").alias("size"))
     spread = mixed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     fits = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ((F.col("own") != F.col("c1")) | (F.col("own") != F.col("c2")))
-    wanted = scratch.stash(asking.join(spread, "token").where(fits).select("row", "size", "grp").distinct(), "wanted")
-    found = scratch.stash(_opened(wanted, groups, percent, scratch), "found")
-    if near is not None:
-        return rows, classes, found.select("a", "b").unionByName(near)
-    return rows, classes, found
+    met_at = asking.join(spread, "token").where(fits).groupBy("row", "size", "grp").agg(F.count("*").alias("shared"), F.min("low").alias("low"))
+    # a link needs SHARED tokens of the matrix in common, or all that the smaller set must share
+    enough = F.col("shared") >= F.least(F.lit(SHARED), F.ceil(percent * F.least("size", "low") / F.lit(100)))
+    wanted = scratch.stash(met_at.where(enough).select("row", "size", "grp"), "wanted")
+    found = scratch.stash(_compared(rows, _asked(wanted, groups, scratch), shingle, percent), "found")
+    return rows, classes, found.select("a", "b").unionByName(near) if near is not None else found
 
 
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
