@@ -187,17 +187,18 @@ def _run(a: argparse.Namespace) -> int:
         return _mined(engine, commits, name, "history" if a.history else "clone", a, "commits", a.url)
     if a.command == "prs":
         import os
-        import tempfile
 
-        from gritsieve.sources import pulls
+        from gritsieve.sources import pull_source, pulls
 
-        folder = a.replay
-        if not folder:
-            folder = a.record or tempfile.mkdtemp(prefix="gritsieve-prs-")
-            client = pulls.Client(a.token or os.environ.get("GITHUB_TOKEN"), a.api_url or os.environ.get("GITHUB_API_URL") or pulls.API, pulls.Cache(a.cache_dir) if a.cache_dir and not a.no_cache else None, max_wait=a.max_wait)
-            pulls.record(client, a.repo, folder, a.limit, max_files=a.max_files)
+        token, api = a.token or os.environ.get("GITHUB_TOKEN"), a.api_url or os.environ.get("GITHUB_API_URL") or pulls.API
+        if a.record:
+            client = pulls.Client(token, api, pulls.Cache(a.cache_dir) if a.cache_dir and not a.no_cache else None, max_wait=a.max_wait)
+            pulls.record(client, a.repo, a.record, a.limit, max_files=a.max_files)
             print(client.stats.describe(), file=sys.stderr)
-        commits = engine.pull_requests(folder, limit=a.limit, max_files=a.max_files).where(F.col("repo") == a.repo)
+        if a.replay or a.record:
+            commits = engine.pull_requests(a.replay or a.record, limit=a.limit, max_files=a.max_files).where(F.col("repo") == a.repo)
+        else:
+            commits, _ = pull_source.pull_requests(spark, a.repo, {"token": token, "api": api, "max_wait": str(a.max_wait), "cache": None if a.no_cache else a.cache_dir}, limit=a.limit, max_files=a.max_files)
         name, a.repo = a.repo, None
         return _mined(engine, commits, name, "pull-requests", a, "pull requests", f"https://github.com/{name}")
     if a.command == "batch":

@@ -14,7 +14,7 @@ from gritsieve.operators.rules import RULES, classify
 from gritsieve.operators.stats import diff_stats, explode_files
 from gritsieve.scratch import Scratch
 from gritsieve.settings import Settings
-from gritsieve.sources import git_log, pulls, recording
+from gritsieve.sources import git_log, pull_source, pulls, recording
 from gritsieve.sources.config import BatchConfig, RepoSpec
 from gritsieve.streaming.ledger import Ledger
 from gritsieve.streaming.resume import Resume, mode, unseen
@@ -203,18 +203,18 @@ class Engine:
             newest = rows.where("pos = 0").select("sha").first()
             position, url = header["head"] or (newest[0] if newest else None), url or header["url"]
         else:
-            folder = spec.replay
-            if folder is None:
+            after = None if full else previous
+            if spec.replay is None:
                 if self.make_client is None:
                     raise SourceError("there is no client for pull requests")
-                folder = Scratch(self.spark, "pulls").path("responses").removeprefix("file:")
                 client = self.make_client(spec)
-                pulls.record(client, spec.target, folder, spec.limit, None if full else previous, frozenset(r[0] for r in seen.toLocalIterator()), spec.max_files)
-                notes = (f"requests: {client.stats.describe()}",)
-            responses = pulls.read_responses(self.spark, folder)
-            listed = pulls.listing(responses).where(F.col("repo") == spec.target)
-            chosen = pulls.merged(listed, None if full else previous, seen, spec.limit)
-            rows = pulls.pull_commits(chosen, pulls.commits(responses), pulls.files(responses), spec.max_files)
+                options = {"token": client.token, "api": client.api, "max_wait": str(client.max_wait)}
+                held = None if seen.isEmpty() else seen
+                rows, listed = pull_source.pull_requests(self.spark, spec.target, options, after, held, spec.limit, spec.max_files)
+            else:
+                responses = pulls.read_responses(self.spark, spec.replay)
+                listed = pulls.listing(responses).where(F.col("repo") == spec.target)
+                rows = pulls.pull_commits(pulls.merged(listed, after, seen, spec.limit), pulls.commits(responses), pulls.files(responses), spec.max_files)
             newest = listed.agg(F.max("item.updated_at")).first()[0]
             position = max([p for p in (previous, newest) if p], default=None)
             url = url or f"https://github.com/{spec.target}"

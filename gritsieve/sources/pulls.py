@@ -263,10 +263,17 @@ class Client:
             if "retry-after" in reply.headers:
                 return self._after(reply.headers["retry-after"])
             if reply.headers.get("x-ratelimit-remaining") == "0":
-                return max(0.0, float(reply.headers.get("x-ratelimit-reset", "0")) - self.clock.now()) + 1
+                return max(0.0, self._reset(reply) - self.clock.now()) + 1
             return 60.0 * 2**attempt if reply.status == 429 or b"secondary rate limit" in reply.body.lower() else None
         return float(2**attempt) if reply.status >= 500 else None
 
+    def _reset(self, reply: Reply) -> float:
+        """When the budget is filled again; a header that is no number means a minute from now."""
+        try:
+            return float(reply.headers.get("x-ratelimit-reset", "0"))
+        except ValueError:
+            return self.clock.now() + 60
+
     def _after(self, told: str) -> float:
         """Seconds that a Retry-After header asks for: a number, or a date; anything else is a minute."""
         try:
@@ -296,7 +303,7 @@ class Client:
             if (left := reply.headers.get("x-ratelimit-remaining", "")).isdigit():
                 self.stats.remaining = int(left)
                 if left == "0" and reply.status in (200, 304):
-                    self.filled = float(reply.headers.get("x-ratelimit-reset", "0"))
+                    self.filled = self._reset(reply)
             if reply.status == 304 and held:
                 self.stats.cached += 1
                 return held["json"], held["next"]
