@@ -114,7 +114,7 @@ def _settings(a: argparse.Namespace):
 
 
 def _mined(engine, commits: DataFrame, name: str, source: str, a: argparse.Namespace, unit: str, url: str | None = None) -> int:
-    from gritsieve.plans.export import run_records, write_records
+    from gritsieve.plans.export import write_run
     from gritsieve.streaming.ledger import Ledger
 
     ledger = Ledger(engine.spark, a.ledger, create=False) if a.ledger else None
@@ -125,7 +125,7 @@ def _mined(engine, commits: DataFrame, name: str, source: str, a: argparse.Names
     for row in best[: a.explain]:
         print("\n" + explanation(row))
     if a.out:
-        write_records(a.out, run_records(run))
+        write_run(a.out, run)
     return 0
 
 
@@ -203,7 +203,7 @@ def _run(a: argparse.Namespace) -> int:
         return _mined(engine, commits, name, "pull-requests", a, "pull requests", f"https://github.com/{name}")
     if a.command == "batch":
         from gritsieve.plans.engine import best_new
-        from gritsieve.plans.export import batch_records, write_records
+        from gritsieve.plans.export import write_batch
         from gritsieve.plans.report import render
         from gritsieve.sources.config import load_batch
         from gritsieve.streaming.ledger import Ledger
@@ -213,7 +213,7 @@ def _run(a: argparse.Namespace) -> int:
 
         def finish(result) -> None:
             if out:
-                write_records(out, batch_records(result))
+                write_batch(spark, out, result)
                 if report:
                     render(out, report)
 

@@ -1,14 +1,14 @@
 """Export records: one run's funnel, then its candidates in rank order, as JSON lines.
 
 Keys are sorted and text is ASCII, so the same results give the same bytes. A file is one ordered
-artefact; its rows pass through the driver one partition at a time.
+artefact: its lines, and the list of rejected commits inside a run's line, are made and sorted by the cluster and
+joined in blocks. The driver holds counts and summaries only, and the collisions of a batch, which are one line of it.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -18,6 +18,8 @@ from gritsieve.operators.dedupe import fingerprint_of
 from gritsieve.operators.rules import RULES, classify
 from gritsieve.operators.stats import explode_files
 from gritsieve.plans.engine import BatchResult, Run, collisions
+from gritsieve.scratch import Scratch
+from gritsieve.sources.ordered import Sorted, formatted, numbered_lines, write_pieces
 from gritsieve.schema import BANDS, EXPORT_VERSION, FINGERPRINT_VERSION, REASONS, STATUSES
 
 
@@ -68,40 +70,55 @@ def _with_files(rows: DataFrame, rules) -> DataFrame:
     return rows.drop("files").join(listed, ["repo", "sha"], "left")
 
 
-def _candidates(run: Run) -> Iterator[dict]:
+def _candidates(run: Run) -> DataFrame:
+    """(rank, line) of the exported candidates."""
     rows = run.judged()
     rows = rows.where("status = 'new'") if run.new_only else rows
-    for row in _with_files(rows, run.settings.rules or RULES).orderBy("rank").toLocalIterator():
-        held = row.asDict(recursive=True)
-        yield candidate_record(held, run.url, held["classified"])
+    url = run.url
+    listed = _with_files(rows, run.settings.rules or RULES)
+    return formatted(listed, ("rank",), lambda row: json.dumps(candidate_record(row, url, row["classified"]), sort_keys=True))
+
+
+def _rejected(run: Run) -> DataFrame:
+    """(pos, line) of the rejected commits."""
+    number = F.col("pull_request.number") if "pull_request" in run.outcomes.columns else F.lit(None).cast("long")
+    rows = run.outcomes.where("reason is not null").select("pos", "sha", "date", "subject", "reason", number.alias("pull_request"))
+    return formatted(rows, ("pos",), lambda row: json.dumps({k: v for k, v in row.items() if k != "pos"}, sort_keys=True))
 
 
 def run_record(run: Run, exported: int) -> dict:
-    """The funnel of a run with every rejected commit."""
+    """The funnel of a run; its ``rejections`` are left empty."""
     rows = run.outcomes
     reasons = {r["reason"]: r["n"] for r in summaries.reason_counts(rows, []).orderBy("ord").collect()}
     bands = {r["band"]: r["n"] for r in summaries.band_counts(rows, []).orderBy("ord").collect()}
     total = rows.count()
-    number = F.col("pull_request.number") if "pull_request" in rows.columns else F.lit(None).cast("long")
-    rejections = [r.asDict() for r in rows.where("reason is not null").orderBy("pos").select("sha", "date", "subject", "reason", number.alias("pull_request")).toLocalIterator()]
     ledger = None
     if run.ledger is not None:
         counts = {r["status"]: r["count"] for r in run.judged().groupBy("status").count().collect()}
         ledger = {"path": run.ledger, "min_overlap": run.min_overlap, "new_only": run.new_only, "counts": {s: counts.get(s, 0) for s in STATUSES}}
     return {
         "kind": "run", "schema_version": EXPORT_VERSION, "engine": __version__, "repo": run.repo, "url": run.url, "source": run.source, "unit": run.unit, "walked": total,
-        "candidates": total - sum(reasons.values()), "bands": {b: bands[b] for b in BANDS if b in bands}, "rejected": {r: reasons[r] for r in REASONS if r in reasons}, "rejections": rejections,
+        "candidates": total - sum(reasons.values()), "bands": {b: bands[b] for b in BANDS if b in bands}, "rejected": {r: reasons[r] for r in REASONS if r in reasons}, "rejections": [],
         "ledger": ledger, "exported": exported, "settings": run.settings.to_json(), "resume": run.resume and vars(run.resume),
     }
 
 
-def run_records(run: Run) -> list[dict]:
-    candidates = list(_candidates(run))
-    return [run_record(run, len(candidates)), *candidates]
+def run_pieces(run: Run) -> Iterator[str | Sorted]:
+    """A run's line and its candidates' lines, in pieces that are sorted by the cluster."""
+    candidates = Scratch(run.outcomes.sparkSession, "export").stash(_candidates(run), "candidates")
+    exported = candidates.count()
+    # keys are sorted, so what stands before the empty list is written first, the rejected commits go inside of it
+    before, after = json.dumps(run_record(run, exported), sort_keys=True).split('"rejections": []')
+    yield before + '"rejections": ['
+    yield Sorted(_rejected(run), ("pos",), ", ")
+    yield "]" + after + "\n"
+    if exported:
+        yield Sorted(candidates, ("rank",))
+        yield "\n"
 
 
-def batch_records(batch: BatchResult) -> list[dict]:
-    """The batch, its collisions, then every run."""
+def batch_pieces(batch: BatchResult) -> Iterator[str | Sorted]:
+    """The batch with its collisions, then every run."""
     judged, found = batch.judged(), []
     if judged is not None:
         for row in collisions(judged.withColumn("rank", F.col("rank"))).join(judged.select("repo", "sha", "run_ord"), ["repo", "sha"]).orderBy("run_ord", "rank").collect():
@@ -111,7 +128,9 @@ def batch_records(batch: BatchResult) -> list[dict]:
         "kind": "batch", "schema_version": EXPORT_VERSION, "engine": __version__, "config": batch.config.path, "ledger": batch.config.ledger, "min_overlap": batch.config.min_overlap,
         "dry_run": batch.dry_run, "full": batch.full, "runs": len(batch.done), "failed": [{"repo": r.repo, "source": r.source, "error": r.error} for r in batch.failed], "collisions": found,
     }
-    return [head, *[record for run in batch.done for record in run_records(run)]]
+    yield json.dumps(head, sort_keys=True) + "\n"
+    for run in batch.done:
+        yield from run_pieces(run)
 
 
 def explain_record(outcome: dict, settings, repo: str) -> dict:
@@ -126,15 +145,12 @@ def _verdict_of(outcome: dict, settings, repo: str) -> dict:
     return {"kind": "explanation", "repo": repo, "verdict": "rejected", "sha": outcome["sha"], "subject": outcome["subject"], "reason": outcome["reason"], "description": REASONS[outcome["reason"]], "settings": settings.to_json()}
 
 
-def write_records(path: str, records: Iterable[dict]) -> int:
-    """JSON lines under a temporary name, then renamed."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    n = 0
-    with open(f"{path}.part", "w", encoding="ascii", newline="\n") as out:
-        for n, record in enumerate(records, 1):
-            out.write(json.dumps(record, sort_keys=True) + "\n")
-    os.replace(f"{path}.part", path)
-    return n
+def write_run(path: str, run: Run) -> None:
+    write_pieces(run.outcomes.sparkSession, path, run_pieces(run))
+
+
+def write_batch(spark: SparkSession, path: str, batch: BatchResult) -> None:
+    write_pieces(spark, path, batch_pieces(batch))
 
 
 # --- reading -----------------------------------------------------------------------------------
@@ -144,8 +160,8 @@ CANDIDATE = "kind string, schema_version int, rank int, repo string, sha string,
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Proposals of an export in its order; fingerprints are checked against their hunks."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
-    rows = rows.select(F.col("ord").cast("long").alias("ord"), F.from_json("line", CANDIDATE).alias("r")).where("r.kind = 'candidate'")
+    rows = numbered_lines(spark, path).where(F.trim("line") != "")
+    rows = rows.select(F.col("pos").alias("ord"), F.from_json("line", CANDIDATE).alias("r")).where("r.kind = 'candidate'")
     own = fingerprint_of(F.col("r.fingerprint.hunks"))
     bad = (F.col("r.fingerprint.version") != FINGERPRINT_VERSION) | (own["patch"] != F.col("r.fingerprint.patch")) | ~F.col("r.schema_version").between(3, EXPORT_VERSION)
     good = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit(f"{path}, line "), (F.col("ord") + 1).cast("string"), F.lit(": version or fingerprint do not fit"))).cast("boolean")).otherwise(True)

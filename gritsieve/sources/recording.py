@@ -1,20 +1,20 @@
 """Recorded histories: JSON lines, gzip if the name says so; a header line, then one commit a line.
 
 Reading is a text scan and ``from_json`` with a fixed schema: lines are parsed and checked where they
-are read. A gzip file is one partition until it is dealt out. Absent patch fields take their
+are read, by splits; a gzip file is one split. Absent patch fields take their
 defaults; absent hunk hashes stay unknown. Bad lines are errors that name the file and the reason.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gritsieve.functions.text import strip_credentials
 from gritsieve.schema import COMMIT, FILE, PATCH, RECORDING_VERSION
+from gritsieve.scratch import Scratch
+from gritsieve.sources.ordered import Sorted, formatted, numbered_lines, write_pieces
 
 #: The format's name in the header; recordings of other tools carry a prefix of their own.
 FORMAT = "gritsieve-history"
@@ -37,9 +37,8 @@ HEADER = "path string, repo string, url string, head string, commits long"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # lines keep their order within a file by their place in it: one partition reads one whole file
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return rows.where(F.trim("line") != "").select("path", F.col("pos").cast("long").alias("pos"), F.from_json("line", _RAW, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "line")
+    rows = numbered_lines(spark, path)
+    return rows.where(F.trim("line") != "").select("path", "pos", F.from_json("line", _RAW, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "line")
 
 
 def _fail(bad: Column, reason: str) -> Column:
@@ -124,22 +123,15 @@ def _json(record: dict) -> str:
     return json.dumps(record, sort_keys=True, separators=(",", ":"))
 
 
-def write_recording(commits: DataFrame, path: str, repo: str, url: str | None = None, head: str | None = None) -> int:
+def write_recording(commits: DataFrame, path: str, repo: str, url: str | None = None, head: str | None = None, tasks: int | None = None) -> int:
     """Write one repository's commits in walk order; the same bytes for the same commits.
 
-    The artefact is one ordered file, so rows pass through the driver one partition at a time. Large
-    histories belong in Parquet, which any reader here takes as well.
+    Lines are made and sorted by the cluster and joined in blocks; the commits are counted first, for the header.
     """
     spark = commits.sparkSession
     clean = spark.range(1).select(strip_credentials(F.lit(url).cast("string"))).first()[0]
-    rows = [_json(commit_record(r.asDict(recursive=True))) for r in commits.orderBy("pos").toLocalIterator()]
-    header = {"format": FORMAT, "version": RECORDING_VERSION, "repo": repo, "url": clean, "head": head, "commits": len(rows)}
-    data = ("\n".join([_json(header), *rows]) + "\n").encode("ascii")
-    if path.endswith(".gz"):
-        packed = io.BytesIO()
-        with gzip.GzipFile(filename="", mode="wb", fileobj=packed, mtime=0) as file:
-            file.write(data)
-        data = packed.getvalue()
-    with open(path, "wb") as out:
-        out.write(data)
-    return len(rows)
+    lines = Scratch(spark, "recording").stash(formatted(commits.select("pos", "sha", "parents", "date", "message", "files"), ("pos",), lambda row: _json(commit_record(row))), "lines")
+    total = lines.count()
+    header = {"format": FORMAT, "version": RECORDING_VERSION, "repo": repo, "url": clean, "head": head, "commits": total}
+    write_pieces(spark, path, [_json(header) + "\n", Sorted(lines, ("pos",), tasks=tasks), *(["\n"] if total else [])])
+    return total

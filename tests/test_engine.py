@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.cli import main
 from gritsieve.plans.engine import Engine, evaluate, mine
-from gritsieve.plans.export import ExportError, read_candidates, read_export, run_records, write_records
+from gritsieve.plans.export import ExportError, read_candidates, read_export, write_run
 from gritsieve.plans.report import render, web_url
 from gritsieve.sources.config import ConfigError, load_batch, parse_config
 from gritsieve.sources.recording import read_headers, read_recording, write_recording
@@ -116,9 +116,9 @@ def test_failed_finish_keeps_nothing(spark, project, tmp_path):
 def test_export_and_report(spark, project, tmp_path):
     engine, out = Engine(spark), str(tmp_path / "out.jsonl")
     run = engine.run(engine.clone(project.path), "o/<r>", "clone", url="https://user:token@github.com/o/r.git", ledger=Ledger(spark, str(tmp_path / "l")))
-    n = write_records(out, run_records(run))
+    write_run(out, run)
     lines = [json.loads(x) for x in open(out)]
-    assert n == 3 and [x["kind"] for x in lines] == ["run", "candidate", "candidate"]
+    assert [json.dumps(x, sort_keys=True) + "\n" for x in lines] == open(out).readlines() and [x["kind"] for x in lines] == ["run", "candidate", "candidate"]
     assert lines[0]["rejected"] == {"docs-only": 1, "source-cosmetic": 1, "no-test": 1} and lines[0]["walked"] == 5 and "token" not in json.dumps(lines)
     batch, runs = read_export(out)
     assert batch is None and len(runs[0][1]) == 2
@@ -130,11 +130,11 @@ def test_export_and_report(spark, project, tmp_path):
     steps = [line.split(" | ") for line in text.splitlines() if line.startswith(("| walked", "| rejected", "| candidates", "| ledger: new", "| exported"))]
     assert [(s[1], s[2].rstrip(" |")) for s in steps] == [("5", "5"), ("1", "4"), ("1", "3"), ("1", "2"), ("2", "2"), ("2", "2"), ("2", "2")]
     lines[0]["exported"] = 3
-    write_records(out, lines)
+    open(out, "w").write("".join(json.dumps(x) + "\n" for x in lines))
     with pytest.raises(ExportError, match="announces 3"):
         read_export(out)
     lines[1]["fingerprint"]["patch"] = "0" * 16
-    write_records(out, lines)
+    open(out, "w").write("".join(json.dumps(x) + "\n" for x in lines))
     with pytest.raises(Exception, match="do not fit"):
         read_candidates(spark, out).collect()
 
