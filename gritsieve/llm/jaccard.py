@@ -52,9 +52,11 @@ GROUP_TOKENS = 1 << 18
 #: Tokens of the matrix that two linked sets share at least; more of them leave fewer candidates and make it larger.
 SHARED = 4
 #: Tokens of one sorted block, and of one range of blocks; slots are merged in 2^SLOT_BITS ranges.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 RANGE = 1 << 21
 SLOT_BITS = 6
+#: Bits of the filter ahead of the join that gives texts their places.
+FILTER_BITS = 1 << 24
 LABELS = 2
 
 _ODD = [np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 63)) + 1) for k in range(64)]
@@ -158,16 +160,27 @@ def _rows(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     return scratch.stash(slim.mapInArrow(run, schema), "rows", compression="zstd")
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted slots and their counts of several such pairs."""
+    slots, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(slots, kind="stable")
+    slots, counts = slots[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+    return slots[first], np.add.reduceat(counts, first)
+
+
 def _heavy(blocks: DataFrame, heavy: int, heavy_rows: int, scratch: Scratch) -> np.ndarray:
     """The sorted slots that most documents hold, at most ``heavy`` of them."""
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # each range gathers its blocks in halves: what is merged has about the size of what is added to it
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for s, c in zip(batch.column("slots"), batch.column("counts")):
-                both, at = np.unique(np.concatenate([slots, _unpacked(s.as_py(), np.uint32)]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, _unpacked(c.as_py(), np.uint32)]), minlength=len(both)).astype(np.int64)
-                slots = both
+                held.append((_unpacked(s.as_py(), np.uint32), _unpacked(c.as_py(), np.uint32).astype(np.int64)))
+                while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+                    held.append(_summed([held.pop(), held.pop()]))
+        slots, counts = _summed(held)
         keep = counts >= heavy_rows
         yield table({"slot": (slots[keep].astype(np.int64), pa.int64()), "n": (counts[keep], pa.int64())})
 
@@ -243,6 +256,17 @@ def _met(rows: DataFrame, classes: DataFrame, heavy: np.ndarray, shingle: int, p
     return scratch.stash(held.join(several, "token"), "met")
 
 
+def _linkable(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``met`` with ``n`` of each class that has as many shared tokens as a link needs."""
+    counts = met.groupBy("row").agg(F.count("*").alias("held")).join(classes.select("row", "n"), "row")
+    return met.join(counts.where(F.col("held") >= _shared(F.col("n"), percent)).select("row", "n"), "row")
+
+
+def _shared(n: Column, percent: int) -> Column:
+    """How many tokens of the matrix a set of ``n`` shares with any that it is linked to."""
+    return F.least(F.lit(SHARED), F.ceil(percent * n / F.lit(100)))
+
+
 def _tokens(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
@@ -269,6 +293,26 @@ def _to_firsts(groups: DataFrame, sizes: DataFrame, kind: int) -> DataFrame:
     return members.unionByName(firsts.select("row", F.xxhash64(F.lit(kind), "label", F.col("part").cast("long")).alias("grp"), F.lit(0).alias("part"), F.lit(True).alias("asks")))
 
 
+def _likely(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(row, text) without most rows that have no place, so that their texts are not shuffled for nothing.
+
+    A bitmap of fixed size marks the hashes of the rows that have one: at most FILTER_BITS / 64 words pass through
+    the driver. What it lets through is decided by the join that follows.
+    """
+    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    words = places.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(marks.view(np.uint8), bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = shared.value[batch.column("slot").to_numpy()].astype(bool)
+            yield batch.select(["row", "text"]).filter(pa.array(keep))
+
+    return texts.withColumn("slot", slot).mapInArrow(run, "row long, text string")
+
+
 def _compared(rows: DataFrame, places: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b, both): links between the sets that ask and the members of the group at the same (grp, part).
 
@@ -291,7 +335,7 @@ def _compared(rows: DataFrame, places: DataFrame, shingle: int, percent: int) ->
         a, b, both = zip(*found) if found else ((), (), ())
         yield table({"a": (a, pa.int64()), "b": (b, pa.int64()), "both": (both, pa.int64())})
 
-    texts = rows.select("row", "text").join(places, "row").select("grp", "part", "row", "asks", "text")
+    texts = _likely(rows.select("row", "text"), places).join(places, "row").select("grp", "part", "row", "asks", "text")
     return texts.groupBy("grp", "part").applyInArrow(run, "a long, b long, both long").distinct()
 
 
@@ -310,9 +354,9 @@ def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Sc
     slim = rows.where("n > 0").select("d1", "d2", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row", "n", "labels").alias("at"))
     classes = scratch.stash(slim.groupBy("d1", "d2").agg(F.min("at").alias("at")).select("d1", "d2", "at.*"), "classes")
     slots = _heavy(table_.where("row is null").select("range", "slots", "counts"), heavy, heavy_rows, scratch)
-    met = _met(rows, classes, slots, shingle, percent, scratch)
+    met = scratch.stash(_linkable(_met(rows, classes, slots, shingle, percent, scratch), classes, percent), "linkable")
     groups, sizes = _partitioned(classes.select("row", "n", "labels").join(met.select("row").distinct(), "row", "left_semi"), 0, scratch)
-    held, near = met.join(groups.select("row", "n", "grp"), "row"), None
+    held, near = met.join(groups.select("row", "grp"), "row"), None
     if every:
         held = held.withColumn("comp", F.col("row"))
     else:
@@ -331,8 +375,7 @@ def _links(docs: DataFrame, shingle: int, percent: int, every: bool, scratch: Sc
     fits = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ((F.col("own") != F.col("c1")) | (F.col("own") != F.col("c2")))
     met_at = asking.join(spread, "token").where(fits).groupBy("row", "size", "grp").agg(F.count("*").alias("shared"), F.min("low").alias("low"))
     # a link needs SHARED tokens of the matrix in common, or all that the smaller set must share
-    enough = F.col("shared") >= F.least(F.lit(SHARED), F.ceil(percent * F.least("size", "low") / F.lit(100)))
-    wanted = scratch.stash(met_at.where(enough).select("row", "size", "grp"), "wanted")
+    wanted = scratch.stash(met_at.where(F.col("shared") >= _shared(F.least("size", "low"), percent)).select("row", "size", "grp"), "wanted")
     found = scratch.stash(_compared(rows, _asked(wanted, groups, scratch), shingle, percent), "found")
     return rows, classes, found.select("a", "b").unionByName(near) if near is not None else found
 
