@@ -1,19 +1,22 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic regression over the presence of words, of beginnings of words and of repeated words. For
-every labelled text that holds terms that should not matter, a counterfactual twin is made by swapping
-each for another of its kind; training adds a penalty on the difference between the two scores, so a
-neutral mention cannot carry a score by itself.
+A logistic regression over the presence of words, of beginnings of words and of repeated words. Training
+adds a penalty on the difference between the scores of a labelled text and of its counterfactual twins, so
+that the name of a group of people cannot carry a score by itself. Twins swap identity terms (``GROUPS``) only:
 
-Terms are the names of groups of people (``GROUPS``) and, as a corpus may name none of them, words that
-the training rows themselves show to be neutral: the ``learned_terms`` words of most rows whose share
-of toxic rows is that of all rows, in kinds of four of like frequency. Terms are always features of the
-model, whatever their association with the label, so that the penalty has weights to act on.
+* a text that holds such terms is compared with the text in which each is swapped for another of its kind;
+* every text is also compared with itself plus a mention, one term by the template ``TEXT TERM``; which
+  term, a hash of the text decides. So terms that few or no training rows hold are regularised too.
+
+Twins have no label and take part in the penalty only. Terms are features of the model whatever their
+association with the label, so that the penalty has weights to act on. Without terms in the corpus, their
+weights stay at zero and the model is that of the plain regression.
 
 Training uses a bounded sample: at most ``max_rows`` labelled documents outside the held-out part, in
-the order of a hash of their id, each with all its features. Features are counted where
-the rows are; the driver gets at most ``max_features`` chosen ones and their places in the sampled
-rows, and what is broadcast is one weight for each of them. Scoring is one pass over whole texts without a shuffle.
+the order of a hash of their id, each with all its features; where rows repeat an id, the one whose text has
+the least hash. Features are counted where the rows are; the driver gets at most ``max_features`` chosen ones
+and the terms, and their places in the sampled rows, and what is broadcast is one weight for each of them.
+Scoring is one pass over whole texts without a shuffle; each task hashes a word once.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a null
 ``doc_id`` is not held out and has no label; labels that are null or belong to no document are
@@ -25,7 +28,7 @@ read. Labels, ``lang``, ``source`` and ``doc_id`` are no inputs of a score.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.llm.arrow import raw, spare, table
 from gritsieve.llm.decontaminate import FOLD
+from gritsieve.llm.words import Memo
 from gritsieve.scratch import Scratch
 
 #: Terms for groups of people, each list of one kind (fixed values).
@@ -50,8 +54,9 @@ GROUPS = (
     ("young", "old", "elderly", "disabled", "blind", "deaf"),
     ("homme", "femme"), ("hommes", "femmes"), ("mann", "frau"), ("hombre", "mujer"), ("hombres", "mujeres"),
 )
-Kinds = dict[bytes, list[bytes]]
-KINDS: Kinds = {term.encode(): [t.encode() for t in kind] for kind in GROUPS for term in kind}
+#: The next term of its kind for every term.
+SWAP = {term.encode(): kind[(k + 1) % len(kind)].encode() for kind in GROUPS for k, term in enumerate(kind)}
+TERMS = tuple(SWAP)
 
 
 @dataclass(frozen=True)
@@ -66,13 +71,7 @@ class ToxicityOptions:
     min_rows: int = 5
     min_z: float = 5.0
     l2: float = 5e-5
-    counterfactual: float = 1.0
-    #: Neutral words of the training rows that are swapped too: how many, their least length in bytes
-    #: and number of rows, and the most that their share of toxic rows may be off, in standard deviations.
-    learned_terms: int = 64
-    least_bytes: int = 3
-    neutral_rows: int = 20
-    neutral_z: float = 1.0
+    counterfactual: float = 10.0
     #: How much a missed toxic row costs against a wrongly flagged one.
     positive_weight: float = 3.0
     steps: int = 400
@@ -94,11 +93,17 @@ def features(words: list[bytes], buckets: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in found), dtype=np.int64, count=len(found)))
 
 
-def swapped(words: list[bytes], kinds: Kinds = KINDS) -> list[bytes] | None:
-    """The words with every term exchanged for the next of its kind, or None if there is none."""
-    if not any(w in kinds for w in words):
-        return None
-    return [kinds[w][(kinds[w].index(w) + 1) % len(kinds[w])] if w in kinds else w for w in words]
+def numbers_of(word: bytes, repeated: bool, buckets: int) -> list[int]:
+    """The numbers of the features that one word brings into a text."""
+    held = [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n), *([b"=" + word] if repeated else [])]
+    return [xxhash.xxh64_intdigest(w) % buckets for w in held]
+
+
+def twins_of(words: list[bytes]) -> list[list[bytes]]:
+    """The counterfactual twins of a text: with its terms swapped, if it has any, and with a term put in."""
+    swapped = [[SWAP.get(w, w) for w in words]] if not SWAP.keys().isdisjoint(words) else []
+    term = TERMS[xxhash.xxh64_intdigest(b" ".join(words)) % len(TERMS)]
+    return [*swapped, [*words, term]]
 
 
 @dataclass(frozen=True)
@@ -112,14 +117,24 @@ class Model:
     #: Twins that training compared.
     pairs: int = 0
 
-    def score(self, text: bytes | None) -> float:
-        words = (text or b"").translate(FOLD).split()
-        logit = self.intercept
-        if words and len(self.numbers):
-            found = features(words, self.buckets)
-            at = np.minimum(np.searchsorted(self.numbers, found), len(self.numbers) - 1)
-            logit += float(self.weights[at][self.numbers[at] == found].sum())
-        return float(1.0 / (1.0 + np.exp(-np.clip(logit, -40, 40))))
+    def scorer(self) -> Callable[[bytes | None], float]:
+        """A function from texts to scores that remembers which weights a word brings, up to a bound of words."""
+        column = {int(n): k for k, n in enumerate(self.numbers)}
+
+        def columns(repeated: bool) -> Memo:
+            return Memo(lambda w: tuple({column[n] for n in numbers_of(w, repeated, self.buckets) if n in column}))
+
+        once, again = columns(False), columns(True)
+
+        def score(text: bytes | None) -> float:
+            found: set[int] = set()
+            for word, n in Counter((text or b"").translate(FOLD).split()).items():
+                if held := (once if n == 1 else again)[word]:
+                    found.update(held)
+            logit = self.intercept + float(self.weights[sorted(found)].sum())
+            return float(1.0 / (1.0 + np.exp(-np.clip(logit, -40, 40))))
+
+        return score
 
 
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +142,8 @@ def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.empty(0, dtype=np.int64), *lists])
 
 
-def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.ndarray, numbers: np.ndarray, options: ToxicityOptions) -> Model:
-    """Logistic regression by Adam over all rows of column numbers; the pair penalty is on differences of logits."""
+def fit(samples: list[np.ndarray], twins: list[list[np.ndarray]], labels: np.ndarray, numbers: np.ndarray, options: ToxicityOptions) -> Model:
+    """Logistic regression by Adam over all rows of column numbers; the penalty is on differences of logits to each twin."""
     n, positive, k = len(labels), float(labels.sum()), len(numbers)
     cost = np.where(labels > 0, options.positive_weight, 1.0)
     cost /= cost.sum() or 1.0
@@ -136,7 +151,7 @@ def fit(samples: list[np.ndarray], twins: list[np.ndarray | None], labels: np.nd
     if not k:
         return Model(numbers, w, b, options.buckets)
     rows, cols = _flat(samples)
-    pairs = [(s, t) for s, t in zip(samples, twins) if t is not None]
+    pairs = [(s, t) for s, ts in zip(samples, twins) for t in ts]
     here, there = _flat([s for s, _ in pairs]), _flat([t for _, t in pairs])
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, options.steps + 1):
@@ -161,40 +176,23 @@ def _sample(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> Dat
     label = label.where(part_of(F.col(of), options.parts) != options.held_out).groupBy(of).agg(F.max(toxic).alias(toxic))
     chosen = label.orderBy(F.xxhash64(of), of).limit(options.max_rows)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return slim.join(F.broadcast(chosen), slim["doc_id"] == chosen[of]).select("doc_id", F.col(toxic).alias("toxic"), "text")  # bounded by max_rows
-
-
-def neutral_kinds(rows: DataFrame, share: float, options: ToxicityOptions) -> Kinds:
-    """Kinds of words that toxic and other rows of the sample hold alike, most frequent first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [sorted({w for w in (t or b"").translate(FOLD).split() if options.least_bytes <= len(w) <= 64}) for t in raw(batch, "text")]
-            toxic = [min(1, max(0, t)) for t in batch.column("toxic").to_pylist()]
-            yield table({"word": ([w for ws in words for w in ws], pa.binary()), "t": (np.repeat(np.array(toxic, dtype=np.int64), [len(ws) for ws in words]), pa.int64())})
-
-    counts = rows.select("toxic", "text").mapInArrow(run, "word binary, t long").groupBy("word").agg(F.count("*").alias("c"), F.sum("t").alias("t"))
-    off = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-    found = counts.where((F.col("c") >= options.neutral_rows) & (off <= options.neutral_z)).orderBy(F.desc("c"), "word").limit(options.learned_terms)
-    words = [bytes(r["word"]) for r in found.collect()]
-    words = [w for w in words if w not in KINDS]
-    return {w: words[k - k % 4 : k - k % 4 + 4] for k, w in enumerate(words) if len(words[k - k % 4 : k - k % 4 + 4]) > 1}
+    rows = slim.join(F.broadcast(chosen), slim["doc_id"] == chosen[of])  # bounded by max_rows
+    return rows.groupBy("doc_id").agg(F.first(toxic).alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def _featured(rows: DataFrame, kinds: Kinds, options: ToxicityOptions) -> DataFrame:
-    """(doc_id, toxic, here, twin): features of the rows and of their counterfactual twins."""
+def _featured(rows: DataFrame, options: ToxicityOptions) -> DataFrame:
+    """(doc_id, toxic, here, twins): features of the rows and of their counterfactual twins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or b"").translate(FOLD).split() for t in raw(batch, "text")]
-            twins = [swapped(w, kinds) for w in words]
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("toxic"), pa.int32()),
                 "here": ([features(w, options.buckets) for w in words], pa.list_(pa.int32())),
-                "twin": ([None if t is None else features(t, options.buckets) for t in twins], pa.list_(pa.int32())),
+                "twins": ([[features(t, options.buckets) for t in twins_of(w)] for w in words], pa.list_(pa.list_(pa.int32()))),
             })
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, here array<int>, twin array<int>")
+    return rows.mapInArrow(run, "doc_id long, toxic int, here array<int>, twins array<array<int>>")
 
 
 def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model:
@@ -207,32 +205,32 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
     sample = scratch.stash(_sample(docs, labels, options), "sample")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     if not 0 < positive < n:
-        return fit([np.empty(0, dtype=np.int64)] * n, [None] * n, np.full(n, float(positive > 0)), np.empty(0, dtype=np.int64), options)
+        return fit([np.empty(0, dtype=np.int64)] * n, [[]] * n, np.full(n, float(positive > 0)), np.empty(0, dtype=np.int64), options)
     share = positive / n
-    kinds = KINDS | neutral_kinds(sample, share, options)
-    rows = scratch.stash(_featured(sample, kinds, options), "features")
+    rows = scratch.stash(_featured(sample, options), "features")
     counts = rows.select(F.explode("here").alias("f"), (F.col("toxic") > 0).cast("long").alias("t")).groupBy("f").agg(F.count("*").alias("c"), F.sum("t").alias("t")).where(F.col("c") >= options.min_rows)
     z = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-    terms = sorted({xxhash.xxh64_intdigest(w) % options.buckets for w in kinds})
-    counts = counts.withColumn("z", z).withColumn("term", F.col("f").isin(terms))
-    best = counts.where(F.col("term") | (F.col("z") >= options.min_z)).orderBy(F.desc("term"), F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
-    numbers = np.sort(best.column("f").to_numpy().astype(np.int64))
+    best = counts.withColumn("z", z).where(F.col("z") >= options.min_z).orderBy(F.desc("z"), "f").limit(options.max_features).select("f").toArrow()
+    terms = [xxhash.xxh64_intdigest(w) % options.buckets for w in TERMS]
+    numbers = np.unique(np.concatenate([best.column("f").to_numpy().astype(np.int64), np.array(terms, dtype=np.int64)]))
     shared = spark.sparkContext.broadcast(numbers)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(lists: pa.Array) -> list:
-            return [np.flatnonzero(np.isin(shared.value, x.values.to_numpy())) if x.is_valid else None for x in lists]
+        def columns(features: list[int]) -> np.ndarray:
+            return np.flatnonzero(np.isin(shared.value, features))
 
         for batch in batches:
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "toxic": (batch.column("toxic"), pa.int32()),
-                "here": (columns(batch.column("here")), pa.list_(pa.int32())), "twin": (columns(batch.column("twin")), pa.list_(pa.int32())),
+                "here": ([columns(x.values.to_numpy()) for x in batch.column("here")], pa.list_(pa.int32())),
+                "twins": ([[columns(t) for t in x] for x in batch.column("twins").to_pylist()], pa.list_(pa.list_(pa.int32()))),
             })
 
-    found = rows.mapInArrow(chosen, "doc_id long, toxic int, here array<int>, twin array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    found = rows.mapInArrow(chosen, "doc_id long, toxic int, here array<int>, twins array<array<int>>").toArrow().sort_by([("doc_id", "ascending")])
     scratch.drop("sample", "features")
-    lists = lambda name: [None if x is None else np.array(x, dtype=np.int64) for x in found.column(name).to_pylist()]
-    return fit(lists("here"), lists("twin"), (found.column("toxic").to_numpy() > 0).astype(float), numbers, options)
+    array = lambda x: np.array(x, dtype=np.int64)
+    here, twins = map(array, found.column("here").to_pylist()), ([array(t) for t in x] for x in found.column("twins").to_pylist())
+    return fit(list(here), list(twins), (found.column("toxic").to_numpy() > 0).astype(float), numbers, options)
 
 
 REPORT_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -245,9 +243,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, options: ToxicityOptions
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held.alias("held_out"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        score = shared.value.scorer()
         for batch in batches:
-            scores = [model.score(t) for t in raw(batch, "text")]
+            scores = [score(t) for t in raw(batch, "text")]
             yield table({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "held_out": (batch.column("held_out"), pa.bool_()),
                 "score": (scores, pa.float64()), "predicted": ([int(s >= options.threshold) for s in scores], pa.int32()),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from gritsieve.llm import chat, decontaminate as dc, line_dedup as ld, mixing, quality, secrets, simhash, suffix_dedup as sd, token_counts as tc, toxicity
-from tests.llm.conftest import SCHEMA, prose
+from tests.llm.conftest import SCHEMA, WORDS, prose
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -529,13 +530,14 @@ def test_chats_with_long_texts_and_a_passage_that_all_quote(spark):
 # --- toxicity ----------------------------------------------------------------------------------
 
 
-def _labelled(spark, n=600):
+def _labelled(spark, n=600, often=0.5, subtle=0.0):
     rng, rows, labels = random.Random(13), [], []
     for k in range(n):
         toxic, group = rng.random() < 0.3, rng.random() < 0.3
-        text = prose(rng, 30) + (f" {rng.choice(['idiotic', 'awfully', 'trashy'])} {rng.choice(['fool', 'scum'])}" if toxic else "")
+        insults = toxic and rng.random() >= subtle  # the others are labelled toxic for what no word tells
+        text = prose(rng, 30) + (f" {rng.choice(['idiotic', 'awfully', 'trashy'])} {rng.choice(['fool', 'scum'])}" if insults else "")
         # the sample is biased: toxic texts name one group more often
-        text += " about women" if group or (toxic and rng.random() < 0.5) else ""
+        text += " about " + ("women" if group or (toxic and rng.random() < often) else rng.choice(WORDS))
         rows.append((k, text + " " + prose(rng, 5), "en", "s", 0))
         if k % 2:
             labels.append((k, 1, int(toxic)))
@@ -555,14 +557,82 @@ def test_toxicity_on_held_out_rows(spark, docs, documents, empty):
     assert none.select("score").distinct().count() == 1
 
 
+def test_twins():
+    assert toxicity.twins_of([b"women", b"x"])[0] == [b"boys", b"x"]
+    for words in ([b"x", b"y"], []):
+        (mention,) = toxicity.twins_of(words)
+        assert mention[:-1] == words and mention[-1] in toxicity.TERMS
+
+
 def test_groups_do_not_carry_a_score(spark):
+    df, labels, _ = _labelled(spark, often=0.95, subtle=0.4)
+    gap = lambda m: abs(m.scorer()(b"we met women there") - m.scorer()(b"we met girls there"))
+    loose = toxicity.train(df, labels, toxicity.ToxicityOptions(counterfactual=0.0))
+    held = toxicity.train(df, labels)
+    assert gap(held) < 0.2 * gap(loose) and gap(loose) > 0.05
+
+
+def test_without_terms_the_model_is_the_plain_one(spark):
     df, labels, _ = _labelled(spark)
-    options = toxicity.ToxicityOptions(min_z=2.0)
-    gap = lambda m: abs(m.score(b"we met women there") - m.score(b"we met girls there"))
-    loose = toxicity.train(df, labels, toxicity.ToxicityOptions(min_z=2.0, counterfactual=0.0))
-    held = toxicity.train(df, labels, options)
-    assert gap(held) <= gap(loose) and gap(held) < 0.05
-    assert toxicity.swapped([b"women", b"x"]) == [b"boys", b"x"] and toxicity.swapped([b"x"]) is None
+    df = df.withColumn("text", F.regexp_replace("text", "women", "places"))
+    held, loose = (toxicity.train(df, labels, toxicity.ToxicityOptions(counterfactual=c)) for c in (10.0, 0.0))
+    assert held.pairs > 0 and np.array_equal(held.weights, loose.weights) and held.intercept == loose.intercept
+
+
+def brute_model(rows, labels, options):
+    """(numbers, x, twins, y): the sample, the choice of features and the dense rows, from the definitions."""
+    h = lambda w: xxhash.xxh64_intdigest(w) % options.buckets
+
+    def features(words):
+        held = {h(w) for w in words} | {h(b"=" + w) for w in words if words.count(w) > 1}
+        return held | {h(b"^" + w[:n]) for w in words for n in (4, 5, 6, 7, 8) if len(w) > n}
+
+    toxic = {}
+    for d, _, t in labels:
+        toxic[d] = max(toxic.get(d, 0), t)
+    sample = [(d, re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode())) for d, text, *_ in rows if d in toxic and zlib.crc32(str(d).encode()) % 4 != 2]
+    y = np.array([float(toxic[d]) for d, _ in sample])
+    here = [features(w) for _, w in sample]
+    c, t, p = Counter(f for x in here for f in x), Counter(f for k, x in enumerate(here) if y[k] for f in x), y.mean()
+    chosen = {f for f in c if c[f] >= options.min_rows and abs(t[f] - c[f] * p) / (c[f] * p * (1 - p)) ** 0.5 >= options.min_z}
+    numbers = sorted(chosen | {h(w) for w in toxicity.TERMS})
+    dense = lambda lists: np.array([[float(n in x) for n in numbers] for x in lists])
+    pairs = [(k, features(twin)) for k, (_, w) in enumerate(sample) for twin in toxicity.twins_of(w)]
+    x = dense(here)
+    return numbers, x, x[[k for k, _ in pairs]] - dense([f for _, f in pairs]), y
+
+
+def test_training_against_brute_force(spark):
+    df, table, _ = _labelled(spark)
+    rows, labels = [tuple(r) for r in df.collect()], [tuple(r) for r in table.collect()]
+    options = toxicity.ToxicityOptions(steps=4000, rate=0.1, l2=0.01, min_z=4.0)
+    model = toxicity.train(df, table, options)
+    numbers, x, apart, y = brute_model(rows, labels, options)
+    assert model.numbers.tolist() == numbers and model.pairs == len(apart)
+    cost = np.where(y > 0, options.positive_weight, 1.0)
+    cost /= cost.sum()
+
+    def objective(w, b):
+        logit = x @ w + b
+        return (cost * (np.logaddexp(0, logit) - y * logit)).sum() + options.l2 / 2 * (w @ w) + options.counterfactual * ((apart @ w) ** 2).mean()
+
+    least = objective(model.weights, model.intercept)
+    assert all(objective(model.weights + d * e, model.intercept) >= least - 1e-8 for e in np.eye(len(numbers)) for d in (-0.02, 0.02))
+    column = {n: k for k, n in enumerate(numbers)}
+    for r in toxicity.toxicity_report(df, table, options).collect()[:50]:
+        text = next(t for d, t, *_ in rows if d == r["doc_id"])
+        found = toxicity.features(re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode()), options.buckets)
+        logit = model.intercept + sum(model.weights[column[n]] for n in found.tolist() if n in column)
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_sample_is_bounded_where_rows_repeat_an_id(spark):
+    docs = spark.createDataFrame([(k % 100, f"text {k % 7} of {k % 100}") for k in range(3000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)] * 3 + [(None, 1, 1), (777, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = toxicity._sample(docs, labels, toxicity.ToxicityOptions(max_rows=50))
+    rows = sample.collect()
+    assert len(rows) <= 50 and len({r["doc_id"] for r in rows}) == len(rows) > 40
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, toxicity._sample(docs.repartition(9), labels, toxicity.ToxicityOptions(max_rows=50)).collect()))
 
 
 def test_fit_is_the_least_of_its_objective():
@@ -574,7 +644,7 @@ def test_fit_is_the_least_of_its_objective():
     y = ((x[:, 2] > 0) | ((x[:, 0] > 0) & (rng.random(200) < 0.5))).astype(float)
     options = toxicity.ToxicityOptions(steps=4000, rate=0.1, l2=0.01, counterfactual=0.5)
     lists = lambda m: [np.flatnonzero(r) for r in m]
-    model = toxicity.fit(lists(x), lists(twin), y, np.arange(6), options)
+    model = toxicity.fit(lists(x), [[t] for t in lists(twin)], y, np.arange(6), options)
     cost = np.where(y > 0, options.positive_weight, 1.0)
     cost /= cost.sum()
 
@@ -584,20 +654,21 @@ def test_fit_is_the_least_of_its_objective():
 
     least = objective(model.weights, model.intercept)
     assert model.pairs == 200 and all(objective(model.weights + d * e, model.intercept) >= least - 1e-9 for e in np.eye(6) for d in (-0.02, 0.02))
-    free = toxicity.fit(lists(x), [None] * 200, y, np.arange(6), options)
+    free = toxicity.fit(lists(x), [[]] * 200, y, np.arange(6), options)
     assert abs(model.weights[0] - model.weights[1]) < 0.5 * abs(free.weights[0] - free.weights[1])
 
 
 def test_neutral_mentions_are_flagged_less(spark):
-    """Words that training rows hold alike are swapped too; mentions of a group are flagged no more than without the penalty."""
-    df, labels, _ = _labelled(spark)
-    options = toxicity.ToxicityOptions(min_z=2.0, neutral_rows=10)
-    held = toxicity.train(df, labels, options)
-    loose = toxicity.train(df, labels, toxicity.ToxicityOptions(min_z=2.0, neutral_rows=10, counterfactual=0.0))
+    """Clean texts that mention a group: fewer false positives with the penalty, and no toxic text is missed for it."""
+    df, labels, truth = _labelled(spark, often=0.95, subtle=0.15)
+    options = {c: toxicity.ToxicityOptions(counterfactual=c) for c in (0.0, 10.0)}
+    loose, held = (toxicity.train(df, labels, o).scorer() for o in options.values())
     rng = random.Random(1)
     texts = [f"{prose(rng, 12)} about women {prose(rng, 12)}".encode() for _ in range(100)]
-    flagged = lambda m: sum(m.score(t) for t in texts)
-    assert held.pairs > 150 and flagged(held) <= flagged(loose)
+    flagged = lambda score: sum(score(t) >= 0.3 for t in texts)
+    assert flagged(held) < flagged(loose)
+    caught = lambda score: sum(score(r["text"].encode()) >= 0.3 for r in df.collect() if truth[r["doc_id"]])
+    assert caught(held) >= 0.97 * sum(truth.values())
 
 
 CLASHES = ("__id", "__row", "__text_row", "__hits", "__of", "__size", "__mix", "__row_of", "__head_row", "__runs", "__items", "ID", "root", "head", "copies", "shard", "a", "b")
