@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gritsieve.functions import signals, text as tx
 from gritsieve.functions.measure import file_tests, measured, unified_hunks
-from gritsieve.operators import dedupe, scoring, summaries
+from gritsieve.operators import dedupe, intervals, scoring, summaries
+from gritsieve.operators.rule_index import classify_indexed
 from gritsieve.operators.rules import classify
 from gritsieve.operators.stats import diff_stats
 from gritsieve.plans.export import segments
@@ -92,6 +93,26 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("sha", "pos_in_commit", "path", "language", "category", "rule_id")
 
 
+def classify_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, classified by the index of the rules."""
+    return classify_indexed(file_changes(spark, sf_dir)).select("sha", "pos_in_commit", "path", "language", "category", "rule_id")
+
+
+def _hunks_and_definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as ranges of files: early lines of an order are definitions, late ones hunks; a third of all is of one file."""
+    part, line, quantity = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long")
+    file = F.when(part % 3 == 0, F.lit(0)).otherwise(part % 200)
+    rows = table(spark, sf_dir, "lineitem").select(file.alias("file"), line.alias("line"), (F.col("l_orderkey") * 8 + line).alias("place"), quantity.alias("n"), F.concat(F.lit("t"), (F.col("l_suppkey") % 50).cast("string")).alias("name"))
+    return rows.where("line > 2").select("file", "place", "n"), rows.where("line <= 2").select("file", "name", F.col("place").alias("start"), (F.col("place") + F.when(F.col("n") == 50, 1000).otherwise(F.col("n"))).alias("end"))
+
+
+def touched_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hunk: how many definitions of its file it overlaps, and the first and last of their names."""
+    hunks, definitions = _hunks_and_definitions(spark, sf_dir)
+    met = intervals.overlaps(hunks.select("file", "place", (F.col("place") + F.col("n") - 1).alias("to")), definitions, ["file"], ("place", "to"), ("start", "end"))
+    return met.groupBy("file", "place").agg(F.count("*").alias("touched"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
 def commit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = diff_stats(_classified(spark, sf_dir), ["sha"], lists=False, api=False)
     return stats.select("sha", "n_files", "n_source", "n_test", "n_docs", "n_vendored", "n_other", "changed_lines", "source_added", "source_deleted", "test_added", "test_deleted", "n_source_changed", "source_patched", "n_code_files", "n_inline_test", "tests_patched", "code_hunks", "code_lines", "assertions")
@@ -408,6 +429,6 @@ QUERIES = {
         funnel, feature_table, rejected_lists, commit_messages, linked_issues, normalized_lines, hunk_hashes, fingerprints, first_occurrences, shared_hunks,
         verdicts, collisions, outcome_counts, status_counts, recorded_run, url_cleaning, file_signals, resume, watermarks, prefix_stop, run_segments,
         range_cuts, multiset_gain, set_overlap, label_measures, repository_summary, verdict_texts, best_candidates, commit_dates, checked_run, patch_measures,
-        test_counts,
+        test_counts, classify_by_index, touched_definitions,
     )
 }

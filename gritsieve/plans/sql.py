@@ -260,4 +260,9 @@ SQL: dict[str, str] = {
     "test_counts": r"""SELECT page_id, CAST(2 * (page_id % 4) + len(regexp_extract_all(coalesce(html, ''), '(?m)^\s*#\[(?:\w+::)*test(?:\]|\()')) AS INTEGER) AS tests,
         2 * (page_id % 4) + len(regexp_extract_all(coalesce(html, ''), '(?m)^\s*#\[(?:\w+::)*test(?:\]|\()')) > CASE WHEN page_id % 5 <> 0 THEN page_id % 7 ELSE 0 END AS gained,
         regexp_replace(regexp_replace(url, '/$', ''), '\.git$', '') AS web, 'https://host/o/' || page_id AS remote FROM pages""",
+    "classify_by_index": f"WITH {_FILES} SELECT sha, pos_in_commit, path, language, category, rule_id FROM classed",
+    "touched_definitions": """WITH r AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 200 END AS file, l_linenumber AS line, l_orderkey * 8 + l_linenumber AS place,
+        CAST(floor(l_quantity) AS BIGINT) AS n, 't' || (l_suppkey % 50) AS name FROM lineitem),
+        h AS (SELECT * FROM r WHERE line > 2), d AS (SELECT file, name, place AS s, place + CASE WHEN n = 50 THEN 1000 ELSE n END AS e FROM r WHERE line <= 2)
+        SELECT h.file, h.place, count(*) AS touched, min(d.name) AS first, max(d.name) AS last FROM h JOIN d ON h.file = d.file AND h.place <= d.e AND d.s <= h.place + h.n - 1 GROUP BY h.file, h.place""",
 }
