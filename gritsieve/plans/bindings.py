@@ -20,6 +20,7 @@ from gritsieve.schema import FEATURE
 from gritsieve.scratch import Scratch
 from gritsieve.settings import Settings
 from gritsieve.sources.pulls import merged
+from gritsieve.streaming.key_index import KeyIndex
 from gritsieve.streaming.ledger import Ledger
 from gritsieve.streaming.resume import unseen
 
@@ -355,6 +356,15 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unseen(rows, rows.where("seen")).select("repo", "sha")
 
 
+def resume_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, by an index of the keys that the first run kept in four increments."""
+    rows = Scratch(spark, "walked").stash(_walked(spark, sf_dir), "rows")
+    index = KeyIndex(spark, Scratch(spark, "key-index-of-events").base, ["repo", "sha"], 8)
+    for number in range(4):
+        index.add(rows.where("seen").where(F.pmod(F.dayofmonth("ts"), F.lit(4)) == number), number)
+    return index.unseen(rows).select("repo", "sha")
+
+
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The watermarks of a ledger that recorded both runs: position, rows walked in all, number of runs."""
     rows = _walked(spark, sf_dir).select("repo", F.lit("events").alias("source"), F.col("sha").cast("string").alias("sha"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("position"), "seen")
@@ -429,6 +439,6 @@ QUERIES = {
         funnel, feature_table, rejected_lists, commit_messages, linked_issues, normalized_lines, hunk_hashes, fingerprints, first_occurrences, shared_hunks,
         verdicts, collisions, outcome_counts, status_counts, recorded_run, url_cleaning, file_signals, resume, watermarks, prefix_stop, run_segments,
         range_cuts, multiset_gain, set_overlap, label_measures, repository_summary, verdict_texts, best_candidates, commit_dates, checked_run, patch_measures,
-        test_counts, classify_by_index, touched_definitions,
+        test_counts, classify_by_index, touched_definitions, resume_by_index,
     )
 }

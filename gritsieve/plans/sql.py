@@ -227,6 +227,7 @@ SQL: dict[str, str] = {
         SELECT *, length(c) >= 512 AND length(c) >= 200 * (length(c) - length(replace(c, chr(10), '')) + 1) AS minified FROM c
     ) SELECT page_id, CASE WHEN k = 0 THEN 'generated-header' WHEN k = 1 AND minified THEN 'minified' ELSE '' END AS signals, minified FROM m""",
     "resume": f"WITH {_WALKED} SELECT repo, sha FROM walked w WHERE NOT EXISTS (SELECT 1 FROM walked s WHERE s.seen AND s.repo = w.repo AND s.sha = w.sha)",
+    "resume_by_index": f"WITH {_WALKED} SELECT repo, sha FROM walked w WHERE NOT EXISTS (SELECT 1 FROM walked s WHERE s.seen AND s.repo = w.repo AND s.sha = w.sha)",
     "watermarks": f"""WITH {_WALKED} SELECT repo, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS position, count(*) AS walked, CAST(max(CASE WHEN seen THEN 1 ELSE 0 END) + max(CASE WHEN seen THEN 0 ELSE 1 END) AS INTEGER) AS runs
         FROM walked GROUP BY repo""",
     "prefix_stop": f"""WITH {_WALKED}, r AS (SELECT *, bool_or(seen) OVER w AS shut, count(*) OVER w AS n FROM walked

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gritsieve.streaming.key_index import KeyIndex
+
 
 @dataclass(frozen=True)
 class Resume:
@@ -35,23 +37,17 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str = "sha") -> DataFrame:
 def stream_unseen(source: DataFrame, keys: list[str], handle: Callable[[DataFrame, int], None], checkpoint: str, walked: str):
     """Run ``handle`` on the unseen rows of each micro-batch of a stream; returns the query.
 
-    The keys of a batch are appended to the table at ``walked`` in a folder named by the batch's
-    number before the handler's result counts as done: a batch that is replayed reads the keys of all
-    others only, so it gives the same rows again.
+    The keys of a batch are the increment of its number in the index at ``walked``, written before the handler's
+    result counts as done: a batch that is replayed is compared with all others only, so it gives the same rows again.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        schema = batch.select(*keys).schema.add("batch", "long")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(walked)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            held = spark.read.schema(schema).parquet(walked).where(F.col("batch") != number)
-            rows = rows.join(held.select(*keys), keys, "left_anti")
-        rows = rows.persist()
+        index = KeyIndex(batch.sparkSession, walked, keys)
+        rows = index.unseen(batch.dropDuplicates(keys), number).persist()
         handle(rows, number)
-        rows.select(*keys).write.mode("overwrite").parquet(f"{walked}/batch={number}")
+        index.add(rows, number)
         rows.unpersist()
+        index.compact()
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
