@@ -5,10 +5,11 @@ every document is normalised once, scanned once, and the matches are mapped back
 to code points of the original text. Documents are never shuffled.
 
 What is collected and broadcast is bounded: the benchmark's size is counted on the cluster first. If
-its windows make up to ``automaton_bytes``, they are one automaton. A larger benchmark is dealt out by
-items into shards of that size; one shard at a time goes to the executors, each task builds its
-automaton once, and what it hits is written to the shared folder; then each document's hits of all
-shards are joined. Only a single item that is larger than a shard can exceed the bound.
+its windows make up to ``automaton_bytes``, they are one automaton. A larger benchmark is cut to pieces of
+``PIECE_WORDS`` words that overlap by a window less one word; distinct pieces are dealt by a hash of name and
+text into shards of that size, so a long item, a null or a repeated ``item_id`` is spread like any other. One shard at a
+time goes to the executors, each task builds its automaton once, and what it hits is written to the shared
+folder; then each document's hits of all shards are joined. Texts are read once for each shard.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; items that
 are null or wordless have no windows; rows that repeat an ``item_id`` add their windows to it; a null
@@ -34,6 +35,8 @@ from gritsieve.scratch import Scratch
 WINDOW = 13
 MIN_SHARE = 20
 AUTOMATON_BYTES = 32 << 20
+#: Words of a piece of an item, where a benchmark is dealt to several shards.
+PIECE_WORDS = 4096
 #: Bytes of words: digits, letters (upper case is folded) and everything beyond ASCII.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -139,6 +142,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
 
 
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """(name, text): distinct normalised pieces that hold every window of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(PIECE_WORDS, 2 * window)
+        for batch in batches:
+            found: list[tuple[str | None, bytes]] = []
+            for name, text in zip(batch.column("name").to_pylist(), raw(batch, "text")):
+                words = normalise(text)
+                found += [(name, b" ".join(words[at : at + size])) for at in range(0, max(1, len(words) - window + 1), size - window + 1)] if words else []
+            yield table({"name": ([n for n, _ in found], pa.string()), "text": ([t for _, t in found], pa.binary())})
+
+    return items.mapInArrow(run, "name string, text binary").distinct()
+
+
 def _collected(items: DataFrame, window: int) -> Shard:
     """A shard on the driver; the caller has counted that it is small."""
     return shard_of(((r["name"], bytes(r["text"]) if r["text"] is not None else None) for r in items.toLocalIterator()), window)
@@ -146,7 +164,7 @@ def _collected(items: DataFrame, window: int) -> Shard:
 
 def _hit_table(docs: DataFrame, benchmark: DataFrame, window: int, count: int, scratch: Scratch) -> DataFrame:
     """(doc_id, row, runs, items) of all documents that some shard hits, one shard after the other."""
-    items = scratch.stash(_items(benchmark).withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(count))), "items", "shard")
+    items = scratch.stash(_pieces(_items(benchmark), window).withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(count))), "items", "shard")
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("row"), docs["text"].alias("text"))
     tables = []
     for number in range(count):

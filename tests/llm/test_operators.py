@@ -242,6 +242,27 @@ def test_decontamination(spark, docs, documents, empty):
     assert dc.decontaminate(docs, none).count() == len(documents) and dc.contamination_report(empty, benchmark).count() == 0
 
 
+def test_shards_stay_within_their_bound(spark, monkeypatch):
+    """Null and repeated ids, repeated rows and one long item are spread over the shards; the hits are those of one automaton."""
+    rng = random.Random(6)
+    monkeypatch.setattr(dc, "PIECE_WORDS", 40)
+    rows = [(None, prose(rng, 60)) for _ in range(20)] + [(7, prose(rng, 60)) for _ in range(20)] + [(8, prose(rng, 2000)), (9, "few words")] + [(5, "the same row " * 9)] * 50 + [(6, None), (6, "")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    pieces = dc._pieces(dc._items(benchmark), dc.WINDOW).collect()
+    assert max(len(r["text"].split()) for r in pieces) <= 40 and len({(r["name"], bytes(r["text"])) for r in pieces}) == len(pieces)
+    shard = dc.shard_of(((r["name"], bytes(r["text"])) for r in pieces), dc.WINDOW)
+    whole = dc.shard_of(((None if n is None else str(n), (t or "").encode()) for n, t in rows), dc.WINDOW)
+    owned = lambda s: {p: {s.names[o] for o in owners} for p, owners in zip(s.patterns, s.owners)}
+    assert owned(shard) == owned(whole)
+    scratch = dc.Scratch(spark, "shards")
+    docs = spark.createDataFrame([(k, " ".join(rows[k][1].split()[5:30])) for k in range(30)] + [(99, None)], "doc_id long, text string")
+    dc._hit_table(docs, benchmark, dc.WINDOW, 8, scratch)
+    sizes = [r["n"] for r in spark.read.parquet(scratch.path("items")).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * sum(sizes) / 8
+    one, many = (sorted(map(str, dc.contamination_report(docs, benchmark, automaton_bytes=n).collect())) for n in (1 << 30, 20_000))
+    assert one == many
+
+
 def test_spans_are_places_in_the_original(spark):
     text = "É. Ünd (the quick, brown FOX) jumps; — and more"
     benchmark = spark.createDataFrame([(1, "The QUICK brown fox")], "item_id long, text string")
