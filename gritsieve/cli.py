@@ -136,7 +136,7 @@ def _run(a: argparse.Namespace) -> int:
         print(__version__)
         return 0
     if a.command == "schema":
-        from gritsieve.plans.export import schema_text
+        from gritsieve.plans.json_schema import schema_text
 
         print(schema_text())
         return 0

@@ -18,6 +18,7 @@ from gritsieve.operators.dedupe import fingerprint_of
 from gritsieve.operators.rules import RULES, classify
 from gritsieve.operators.stats import explode_files
 from gritsieve.plans.engine import BatchResult, Run, collisions
+from gritsieve.plans.json_schema import record_fault
 from gritsieve.scratch import Scratch
 from gritsieve.sources.ordered import Sorted, formatted, numbered_lines, write_pieces
 from gritsieve.schema import BANDS, EXPORT_VERSION, FINGERPRINT_VERSION, REASONS, STATUSES
@@ -182,6 +183,8 @@ def read_export(path: str) -> tuple[dict | None, list[tuple[dict, list[dict]]]]:
                 raise ExportError(f"{path}, line {number}: no record") from None
             if record.get("schema_version") not in (5, EXPORT_VERSION):
                 raise ExportError(f"{path}, line {number}: version {record.get('schema_version')!r} is not known")
+            if fault := record_fault(record):
+                raise ExportError(f"{path}, line {number}: {fault}")
             if kind == "batch" and number == 1:
                 batch = record
             elif kind == "run":
@@ -207,11 +210,3 @@ def segments(records: DataFrame, kind: str = "kind", order: Sequence[str] = ("po
     """
     file = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return records.withColumn("run", F.sum((F.col(kind) == "run").cast("int")).over(file))
-
-
-def schema_text() -> str:
-    """What a candidate row looks like, as a schema of its columns."""
-    from gritsieve.schema import FEATURE, FILE, PULL_REQUEST
-
-    parts = {"feature": FEATURE, "file": FILE, "pull_request": PULL_REQUEST}
-    return json.dumps({"version": EXPORT_VERSION, "records": ["batch", "run", "candidate"], "types": {k: v.jsonValue() for k, v in parts.items()}}, indent=2, sort_keys=True)
