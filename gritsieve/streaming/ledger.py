@@ -7,24 +7,42 @@ the rename leaves the ledger as it was, and a batch that must be written with it
 
 Adding rows adds folders and rewrites nothing; claims rewrite the entries, and many small folders are
 merged now and then. A dry run reads a commit and never makes one.
+
+A commit says its version. An older one goes through a chain of steps, one for each version: readers run them into
+the shared scratch folder and publish nothing, so others can still open the ledger as it is; the next writer runs them
+into the ledger, and its commit is of the new version. A newer version, or fingerprints of another one, are refused.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritsieve.operators.dedupe import ENTRIES, HUNKS, MIN_OVERLAP, fold_in_order, hunk_rows
-from gritsieve.schema import LEDGER_VERSION
+from gritsieve.schema import FINGERPRINT_VERSION, LEDGER_VERSION
 from gritsieve.scratch import Scratch
 
 WATERMARKS = "repo string, source string, position string, walked long, runs int, updated string"
 WALKED = "repo string, source string, sha string"
 TABLES = {"entries": ENTRIES, "hunks": HUNKS, "watermarks": WATERMARKS, "walked": WALKED}
+Tables = dict[str, DataFrame]
+
+
+def _with_counts(spark: SparkSession, held: Tables) -> Tables:
+    """1 to 2: entries say how many hunks they have; runs leave watermarks and evaluated keys."""
+    counts = held["hunks"].groupBy(F.col("entry_id").alias("id")).agg(F.count("*").cast("int").alias("hunk_count"))
+    entries = held["entries"].join(counts, "id", "left").withColumn("hunk_count", F.coalesce("hunk_count", F.lit(0)))
+    return {"entries": entries, "watermarks": spark.createDataFrame([], WATERMARKS), "walked": spark.createDataFrame([], WALKED)}
+
+
+#: The tables of older versions, and the step that leads to the next one: the tables that it makes anew.
+OLDER = {1: {"entries": ENTRIES.removesuffix(", hunk_count int"), "hunks": HUNKS}}
+STEPS: dict[int, Callable[[SparkSession, Tables], Tables]] = {1: _with_counts}
 #: Folders of a table before they are merged into one.
 MANY = 32
 MATCH = "array<struct<place:int,id:bigint,repo:string,sha:string,subject:string,status:string,owner:string,first_seen:string,shared:int,smaller:int,exact:boolean,in_run:boolean>>"
@@ -61,14 +79,15 @@ class Ledger:
                 raise LedgerError(f"{path}: there is no ledger")
             self._fs.mkdirs(place)
         self._staged: State | None = None
+        self._views: dict[int, State] = {}
 
     # --- commits -------------------------------------------------------------------------------
 
     def _commit_path(self, number: int):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{number:012d}.json")
 
-    def state(self) -> State:
-        """The staged state of an open transaction, else the newest commit."""
+    def state(self, owned: bool = False) -> State:
+        """The staged state of an open transaction, else the newest commit; ``owned``: for a write that follows it."""
         if self._staged is not None:
             return self._staged
         names = [f.getPath().getName() for f in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits"))]
@@ -81,10 +100,36 @@ class Ledger:
             held = json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        if held.get("version") != LEDGER_VERSION:
-            raise LedgerError(f"{self.path}: version {held.get('version')!r} is not known")
+        version = held.get("version")
+        if not isinstance(version, int) or not (version == LEDGER_VERSION or version in STEPS):
+            raise LedgerError(f"{self.path}: version {version!r} is not known" + (", it is newer than this program" if isinstance(version, int) and version > LEDGER_VERSION else ""))
+        if (found := held.get("fingerprints", FINGERPRINT_VERSION)) != FINGERPRINT_VERSION:
+            raise LedgerError(f"{self.path}: fingerprints of version {found!r} never match those of version {FINGERPRINT_VERSION}")
+        if version < LEDGER_VERSION:
+            return self._migrated(number, version, held["folders"], owned)
         return State(number, {t: tuple(held["folders"].get(t, ())) for t in TABLES})
 
+    def _migrated(self, number: int, version: int, folders: dict[str, list[str]], owned: bool) -> State:
+        """The state after all steps: as folders of the ledger that no commit lists yet, or as a view outside of it."""
+        if not owned and number in self._views:
+            return self._views[number]
+        scratch, held, now = Scratch(self.spark, "ledger-view"), {t: tuple(f) for t, f in folders.items()}, dict(OLDER[version])
+        for step in range(version, LEDGER_VERSION):
+            made = STEPS[step](self.spark, {t: self._read(held.get(t, ()), schema) for t, schema in now.items()})
+            now = OLDER.get(step + 1, TABLES)
+            for table, rows in made.items():
+                name = f"{table}/{uuid.uuid4().hex}" if owned else scratch.path(f"{table}-{step}")
+                rows.select(*self.spark.createDataFrame([], now[table]).columns).write.parquet(f"{self.path}/{name}" if owned else name)
+                held[table] = (name,)
+        state = State(number, {t: held.get(t, ()) for t in TABLES})
+        if not owned:
+            self._views[number] = state
+        return state
+
+    def _read(self, folders: tuple[str, ...], schema: str) -> DataFrame:
+        paths = [f if "://" in f or f.startswith(("/", "file:")) else f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def _publish(self, state: State) -> None:
         """Write the commit under a name of its own, then rename it to its number: it is there whole or not at all.
 
@@ -93,7 +138,7 @@ class Ledger:
         """
         path = self._commit_path(state.number)
         part = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/.{uuid.uuid4().hex}.part")
-        data = json.dumps({"version": LEDGER_VERSION, "folders": state.folders}, sort_keys=True).encode()
+        data = json.dumps({"version": LEDGER_VERSION, "fingerprints": FINGERPRINT_VERSION, "folders": state.folders}, sort_keys=True).encode()
         try:
             out = self._fs.create(part, False)
             out.write(bytearray(data))
@@ -114,7 +159,7 @@ class Ledger:
         """Open a transaction: later changes are visible here at once and kept by ``commit`` only."""
         if self._staged is not None:
             raise LedgerError("a transaction is open")
-        held = self.state()
+        held = self.state(owned=True)
         self._staged = State(held.number + 1, held.folders)
 
     def commit(self) -> None:
@@ -128,7 +173,7 @@ class Ledger:
 
     def _change(self, **rows: tuple[DataFrame, bool]) -> None:
         """Write rows as new folders; each is appended, or replaces its table."""
-        held = self.state()
+        held = self.state(owned=True)
         folders = dict(held.folders)
         for table, (df, replaces) in rows.items():
             if not replaces and len(folders[table]) >= MANY:
@@ -144,14 +189,18 @@ class Ledger:
     # --- tables --------------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
-        folders = self.state().folders[name]
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], TABLES[name])
+        return self._read(self.state().folders[name], TABLES[name])
 
     def entries(self, repo: str | None = None) -> DataFrame:
         """Entries, oldest first."""
         rows = self.table("entries")
         return (rows if repo is None else rows.where(F.col("repo") == repo)).orderBy("first_seen", "id")
 
+    def entry(self, repo: str, sha: str) -> dict | None:
+        """The entry of a commit."""
+        row = self.table("entries").where((F.col("repo") == repo) & (F.col("sha") == sha)).first()
+        return row.asDict() if row else None
+
     def watermarks(self) -> DataFrame:
         return self.table("watermarks").orderBy("repo", "source")
 
@@ -246,7 +295,7 @@ class Ledger:
                 done = added.withColumn("status", F.lit(status)).first().asDict()
             elif verdict["status"] == "new":  # the same commit is held under another fingerprint
                 row = rows.first()
-                held = self.table("entries").where((F.col("repo") == row["repo"]) & (F.col("sha") == row["sha"])).first().asDict()
+                held = self.entry(row["repo"], row["sha"])
                 verdict |= {"status": "duplicate", "matches": [{"place": 0, **{k: held[k] for k in ("id", "repo", "sha", "subject", "status", "owner", "first_seen")}, "shared": held["hunk_count"], "smaller": held["hunk_count"], "exact": False, "in_run": False}]}
             elif verdict["status"] == "duplicate" and best["status"] == "proposed" and status == "claimed":
                 taken = (F.col("id") == best["id"]) & (F.col("status") == "proposed")
