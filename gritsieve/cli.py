@@ -67,7 +67,7 @@ def explanation(row: dict) -> str:
 
 def rules_text(rules, markdown: bool = False) -> str:
     """The rule table as text or as Markdown."""
-    rows = [[str(k), r.rule_id, r.category, f"{r.kind}: {' '.join(r.patterns)}" + (f" unless {' '.join(r.unless)}" if r.unless else ""), r.languages_label, r.rationale] for k, r in enumerate(rules, 1)]
+    rows = [[str(k), r.rule_id, r.category, f"{r.kind}: {' '.join(r.patterns)}" + (f" unless {' '.join(r.unless)}" if r.unless else ""), ", ".join(r.languages) or "any", r.rationale] for k, r in enumerate(rules, 1)]
     head = ["#", "rule", "category", "matches", "languages", "why"]
     if not markdown:
         return grid(head, rows, {0})

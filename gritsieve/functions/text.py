@@ -13,12 +13,14 @@ SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85,
 SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
+#: The language of each extension (fixed values).
 EXTENSIONS = {
     ".py": "python", ".pyi": "python", ".pyx": "python", ".pxd": "python", ".rs": "rust",
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
     ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".go": "go", ".java": "java",
 }
 
+#: How messages refer to issues and speak of fixes (fixed values: words and patterns).
 _CLOSING = r"\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b:?\s+"
 CLOSING_REFERENCE = rf"(?iU){_CLOSING}((?:[\w.-]+/[\w.-]+)?#\d+|https://github\.com/\S+/(?:issues|pull)/\d+)"
 BARE_REFERENCE = r"(?iU)(?<![\w/&])(?:[\w.-]+/[\w.-]+)?#\d+\b|\bgh-\d+\b|https://github\.com/\S+/(?:issues|pull)/\d+"

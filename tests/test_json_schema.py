@@ -74,6 +74,8 @@ def test_custom_rules_are_strict(tmp_path):
     with pytest.raises(ValueError, match="taken"):
         with_rules([Rule("docs-file", "docs", "name", ("*.x",), "why")], ["docs-file"])
     path = tmp_path / "gritsieve.toml"
-    path.write_text('[[rules.custom]]\nid = 7\ncategory = "docs"\nnames = ["*.x"]\nrationale = "why"\n')
-    with pytest.raises(ConfigError):
-        load_config(str(path))
+    for given, fault in (("id = 7", "id: a text"), ('id = "x"\nrationale = 1', "rationale: a text"), ('id = "docs-file"', "taken")):
+        more = "" if "rationale" in given else 'rationale = "why"\n'
+        path.write_text(f'[[classify.rules]]\ncategory = "docs"\nnames = ["*.x"]\n{more}{given}\n')
+        with pytest.raises(ConfigError, match=fault):
+            load_config(str(path))

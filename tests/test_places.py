@@ -23,6 +23,14 @@ def test_places_in_hot_groups(spark):
     assert placed(frame.limit(0), ["g"], order, "place").count() == 0
 
 
+def test_columns_of_the_caller_stay(spark):
+    names = ("__range", "__own", "__at", "__before", "___RANGE")
+    frame = spark.range(20).withColumns({c: F.lit(7) for c in names})
+    found = placed(frame, [], [F.desc("id")], "place")
+    assert found.columns == [*frame.columns, "place"]
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(19 - k, *[7] * 5, k + 1) for k in range(20)]
+
+
 def test_rejected_lists_come_in_parts(spark):
     rows = [("r", f"{k:04d}", k, "empty" if k % 3 else "oversize") for k in range(100)] + [("r", "x", 500, None)]
     got = summaries.rejected_lists(spark.createDataFrame(rows, "repo string, sha string, pos long, reason string"), most=30).orderBy("reason", "part").collect()
