@@ -164,7 +164,66 @@ doc_lines AS (
 
 _WALKED = "walked AS (SELECT event_type AS repo, event_id AS sha, ts, ts < TIMESTAMP '2024-01-16' AS seen FROM events)"
 
+#: Verdicts in order against ``held`` (id, patch, since): entries of the benchmark's ledger, of negative ids, and inserted documents.
+_IN_ORDER = """
+held_hunks AS (
+    SELECT DISTINCT e.id, h.hash FROM held e JOIN hashed h ON e.id = h.doc_id WHERE e.id >= 0
+    UNION
+    SELECT DISTINCT e.id, i.hash FROM held e JOIN items i ON i.item_id = -e.id - 1 WHERE e.id < 0
+), held_sizes AS (
+    SELECT id, count(*) AS n FROM held_hunks GROUP BY id
+), met AS (
+    SELECT d.doc_id, e.id, count(*) AS shared FROM (SELECT DISTINCT doc_id, hash FROM hashed) d JOIN held_hunks e ON d.hash = e.hash GROUP BY d.doc_id, e.id
+), told AS (
+    SELECT p.doc_id, e.patch = p.patch AS exact FROM met m JOIN prints p ON m.doc_id = p.doc_id JOIN held e ON m.id = e.id JOIN held_sizes z ON z.id = m.id
+    WHERE e.since < p.doc_id AND (e.patch = p.patch OR m.shared / least(p.hunks, z.n)::DOUBLE >= 0.5)
+), in_order AS (
+    SELECT d.doc_id, p.patch IS NULL AS none, coalesce(bool_or(t.exact), false) AS exact, count(t.doc_id) AS n
+    FROM documents d LEFT JOIN prints p ON d.doc_id = p.doc_id LEFT JOIN told t ON t.doc_id = d.doc_id GROUP BY d.doc_id, p.patch
+), ruled AS (
+    SELECT doc_id, CASE WHEN none THEN 'unknown' WHEN exact THEN 'duplicate' WHEN n > 0 THEN 'overlap' ELSE 'new' END AS status, CAST(n AS INTEGER) AS matches FROM in_order
+)"""
+
+_LEDGER = "SELECT -min(item_id) - 1 AS id, patch, -1 AS since FROM item_prints GROUP BY patch"
+
+#: The fixes that one pass in order inserts: fix by fix, what overlaps nothing inserted before it.
+_RECORDED = f"""
+ledger_hunks AS (
+    SELECT DISTINCT e.id, i.hash FROM ({_LEDGER}) e JOIN items i ON i.item_id = -e.id - 1
+), ledger_sizes AS (
+    SELECT id, count(*) AS n FROM ledger_hunks GROUP BY id
+), fixes AS (
+    SELECT patch, min(doc_id) AS doc_id, any_value(hunks) AS n FROM prints WHERE patch NOT IN (SELECT patch FROM item_prints) GROUP BY patch
+), fix_hunks AS (
+    SELECT DISTINCT f.doc_id, f.n, h.hash FROM fixes f JOIN hashed h ON f.doc_id = h.doc_id
+), known AS (
+    SELECT DISTINCT doc_id FROM (
+        SELECT f.doc_id, l.id, f.n, z.n AS m, count(*) AS shared FROM fix_hunks f JOIN ledger_hunks l ON f.hash = l.hash JOIN ledger_sizes z ON l.id = z.id GROUP BY ALL
+    ) WHERE shared / least(n, m)::DOUBLE >= 0.5
+), open_fixes AS (
+    SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS k FROM fixes WHERE doc_id NOT IN (SELECT doc_id FROM known)
+), conflicts AS (
+    SELECT a AS k, list(b) AS ahead FROM (
+        SELECT x.k AS a, y.k AS b, x.n, y.n AS m, count(*) AS shared FROM open_fixes x JOIN fix_hunks g ON g.doc_id = x.doc_id
+        JOIN fix_hunks h ON g.hash = h.hash JOIN open_fixes y ON h.doc_id = y.doc_id WHERE y.k < x.k GROUP BY ALL
+    ) WHERE shared / least(n, m)::DOUBLE >= 0.5 GROUP BY a
+), steps AS (
+    SELECT o.k, coalesce(c.ahead, []) AS ahead FROM open_fixes o LEFT JOIN conflicts c ON o.k = c.k
+), pass AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept
+    UNION ALL
+    SELECT s.k, CASE WHEN list_has_any(p.kept, s.ahead) THEN p.kept ELSE list_append(p.kept, s.k) END FROM pass p JOIN steps s ON s.k = p.k + 1
+), inserted AS (
+    SELECT o.doc_id FROM open_fixes o JOIN (SELECT unnest(kept) AS k FROM (SELECT kept FROM pass ORDER BY k DESC LIMIT 1)) i ON o.k = i.k
+), held AS (
+    {_LEDGER} UNION ALL SELECT p.doc_id, p.patch, p.doc_id FROM prints p JOIN inserted i ON p.doc_id = i.doc_id
+)"""
+
 SQL: dict[str, str] = {
+    "checked_run": f"""WITH {_LINES}, held AS ({_LEDGER} UNION ALL SELECT min(doc_id), patch, min(doc_id) FROM prints WHERE patch NOT IN (SELECT patch FROM item_prints) GROUP BY patch), {_IN_ORDER}
+        SELECT doc_id, status, matches FROM ruled""",
+    "recorded_run": f"""WITH RECURSIVE {_LINES}, {_RECORDED}, {_IN_ORDER}
+        SELECT r.doc_id, i.doc_id IS NOT NULL AS inserted, r.status, r.matches FROM ruled r LEFT JOIN inserted i ON r.doc_id = i.doc_id""",
     "mine_ranked": f"WITH {_OUTCOMES} SELECT repo, sha, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS INTEGER) AS rank, score, difficulty, band FROM banded WHERE reason IS NULL",
     "classify_files": f"WITH {_FILES} SELECT sha, pos_in_commit, path, language, category, rule_id FROM classed",
     "commit_stats": f"WITH {_STATS} SELECT * FROM stats",
