@@ -271,6 +271,13 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where("outcome = 'collision'").select(F.col("ord").alias("doc_id"), "repo", other["entry"]["repo"].alias("other"), other["entry"]["id"].alias("other_id"), "status")
 
 
+def collision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of repositories that hold the same fixes: same commits, same fixes, overlaps."""
+    other = dedupe.first_other(F.col("matches"), F.col("repo"))["entry"]
+    rows = _judged(spark, sf_dir).where("outcome = 'collision'").select("repo", other["repo"].alias("other"), (other["sha"] == F.col("sha")).alias("same_commit"), "status")
+    return summaries.collision_counts(rows)
+
+
 def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select(F.col("ord").alias("doc_id"), dedupe.verdict_text(F.col("status"), F.col("matches"), F.col("repo"), F.col("sha")).alias("verdict"))
 
@@ -439,6 +446,6 @@ QUERIES = {
         funnel, feature_table, rejected_lists, commit_messages, linked_issues, normalized_lines, hunk_hashes, fingerprints, first_occurrences, shared_hunks,
         verdicts, collisions, outcome_counts, status_counts, recorded_run, url_cleaning, file_signals, resume, watermarks, prefix_stop, run_segments,
         range_cuts, multiset_gain, set_overlap, label_measures, repository_summary, verdict_texts, best_candidates, commit_dates, checked_run, patch_measures,
-        test_counts, classify_by_index, touched_definitions, resume_by_index,
+        test_counts, classify_by_index, touched_definitions, collision_summary, resume_by_index,
     )
 }

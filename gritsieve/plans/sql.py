@@ -272,6 +272,9 @@ SQL: dict[str, str] = {
     "verdicts": f"WITH {_LINES} SELECT doc_id, status, outcome, CAST(n AS INTEGER) AS matches, best_id, shared, smaller FROM outcomes",
     "collisions": f"""WITH {_LINES} SELECT o.doc_id, o.source AS repo, f.repo AS other, f.id AS other_id, o.status FROM outcomes o
         JOIN (SELECT p.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY place) AS k FROM placed p JOIN documents d ON p.doc_id = d.doc_id WHERE p.repo <> d.source) f ON f.doc_id = o.doc_id AND f.k = 1 WHERE o.outcome = 'collision'""",
+    "collision_summary": f"""WITH {_LINES}, met AS (SELECT o.source AS repo, f.repo AS other, CASE WHEN f.id < 0 THEN -f.id - 1 ELSE f.id END = o.doc_id AS same, o.status FROM outcomes o
+        JOIN (SELECT p.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY place) AS k FROM placed p JOIN documents d ON p.doc_id = d.doc_id WHERE p.repo <> d.source) f ON f.doc_id = o.doc_id AND f.k = 1 WHERE o.outcome = 'collision')
+        SELECT repo, other, count(*) AS n, count(*) FILTER (same) AS same_commits, count(*) FILTER (NOT same AND status = 'duplicate') AS same_fixes, count(*) FILTER (status = 'overlap') AS overlaps FROM met GROUP BY repo, other""",
     "outcome_counts": f"""WITH {_LINES} SELECT source AS repo, count(*) FILTER (outcome = 'new') AS "new", count(*) FILTER (outcome = 'recorded') AS recorded, count(*) FILTER (outcome = 'internal') AS internal,
         count(*) FILTER (outcome = 'collision') AS collision, count(*) FILTER (outcome = 'unknown') AS unknown FROM outcomes GROUP BY source""",
     "status_counts": f"""WITH {_LINES} SELECT source AS repo, count(*) FILTER (status = 'new') AS "new", count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'overlap') AS overlap,
