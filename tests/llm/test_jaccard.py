@@ -22,14 +22,20 @@ def first(ids):
     return min(ids, key=lambda d: (d is None, d or 0))
 
 
-def brute(rows):
-    """(doc_id, size, component) of every row by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
-    group = list(range(len(rows)))
+def grouped(sets):
+    """The number of each set's component, by comparing all pairs."""
+    group = list(range(len(sets)))
     for a, x in enumerate(sets):
         for b in range(a):
             if group[a] != group[b] and alike(x, sets[b]):
                 group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def brute(rows):
+    """(doc_id, size, component) of every row."""
+    sets = [shingles(t) for _, t in rows]
+    group = grouped(sets)
     return sorted(((d, len(sets[k]), first([rows[j][0] for j in range(len(rows)) if group[j] == group[k]])) for k, (d, _) in enumerate(rows)), key=str)
 
 
@@ -78,8 +84,8 @@ def test_links_of_all_pairs(spark, rows, limits, monkeypatch):
 def test_one_of_each_component_stays(docs, documents, empty):
     kept = jaccard.dedup_similar(docs)
     assert kept.columns == docs.columns
-    sizes = brute([r[:2] for r in documents])
-    assert len({c for _, n, c in sizes if n}) == kept.where("trim(text) rlike '[^ \\n\\t]'").count()
+    sets = [shingles(r[1]) for r in documents]
+    assert len({g for g, x in zip(grouped(sets), sets) if x}) == kept.where("trim(text) rlike '[^ \\n\\t]'").count()
     assert jaccard.dedup_similar(empty).collect() == [] and jaccard.jaccard_report(empty).collect() == [] and jaccard.jaccard_links(empty).collect() == []
 
 
