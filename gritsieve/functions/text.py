@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 #: White space as Unicode text splitting sees it, and all line ends (fixed values).
 SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
+SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 #: The language of each extension (fixed values).
@@ -69,8 +69,8 @@ def strip(text: Column) -> Column:
 
 
 def normalize_line(line: Column) -> Column:
-    """Without outer white space, inner runs as one blank. Single blanks, the usual case, are passed over."""
-    return F.regexp_replace(strip(line), rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
+    """Without outer white space, inner runs as one blank. Visible ASCII and single blanks, the usual case, are passed over at once."""
+    return F.regexp_replace(strip(line), rf"(?![!-~])(?:[{SPACE}]{{2,}}|[{SPACE}&&[^ ]])", " ")
 
 
 def let(value: Column, body) -> Column:
