@@ -73,8 +73,13 @@ def normalize_line(line: Column) -> Column:
     return F.regexp_replace(strip(line), rf"(?![!-~])(?:[{SPACE}]{{2,}}|[{SPACE}&&[^ ]])", " ")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body reads it."""
+def let(value: Column, body, kind: str | None = None) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it.
+
+    ``kind`` is the type of the body. Without it the tree of the body is asked for its type at every row.
+    """
+    if kind:
+        return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -83,21 +88,30 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END))
 
 
-def _head_and_rest(message: Column) -> tuple[Column, Column]:
-    lines = split_lines(F.regexp_replace(message, r"\A\n+|\n+\z", ""))
-    blank = F.array_position(F.transform(lines, lambda x: strip(x) == ""), F.lit(True)).cast("int")
-    head = F.when(blank > 0, F.slice(lines, F.lit(1), F.greatest(blank - 1, F.lit(0)))).otherwise(lines)
-    rest = F.when(blank > 0, F.slice(lines, blank + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return head, rest
+def _parts(message: Column) -> Column:
+    """(head, rest): the lines up to the first blank one, and those behind it. Lines and their end are found once."""
+    nothing = F.array().cast("array<string>")
+
+    def cut(lines: Column, blank: Column) -> Column:
+        head = F.when(blank > 0, F.slice(lines, F.lit(1), F.greatest(blank - 1, F.lit(0)))).otherwise(lines)
+        rest = F.when(blank > 0, F.slice(lines, blank + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(nothing)
+        return F.struct(head.alias("head"), rest.alias("rest"))
+
+    def placed(lines: Column) -> Column:
+        blank = F.array_position(F.transform(lines, lambda x: strip(x) == ""), F.lit(True)).cast("int")
+        return let(blank, lambda k: cut(lines, k), kind)
+
+    kind = "struct<head:array<string>,rest:array<string>>"
+    return let(F.regexp_replace(message, r"\A\n+|\n+\z", ""), lambda text: let(split_lines(text), placed, kind), kind)
 
 
 def subject(message: Column) -> Column:
     """The first paragraph as one line."""
-    return F.array_join(F.transform(_head_and_rest(message)[0], strip), " ")
+    return F.array_join(F.transform(_parts(message)["head"], strip), " ")
 
 
 def body(message: Column) -> Column:
-    return strip(F.array_join(_head_and_rest(message)[1], "\n"))
+    return strip(F.array_join(_parts(message)["rest"], "\n"))
 
 
 def base(parents: Column) -> Column:
@@ -120,10 +134,18 @@ def plural(count: Column, word: str) -> Column:
 # --- references --------------------------------------------------------------------------------
 
 
+#: What is told of a message.
+TOLD = "struct<value:double,detail:string>"
+
+
 def linked_reference(message: Column, pull: Column | None = None) -> Column:
     """A struct (value, detail): 1 for a closing reference, 0.5 for a bare one or any pull request."""
-    closing, bare = F.regexp_extract(message, CLOSING_REFERENCE, 0), F.regexp_extract(message, BARE_REFERENCE, 0)
+    # each expression is tried once, and the second only where the first found nothing
+    found = let(F.regexp_extract(message, CLOSING_REFERENCE, 0), lambda c: F.struct(c.alias("closing"), F.when(c == "", F.regexp_extract(message, BARE_REFERENCE, 0)).otherwise("").alias("bare")), "struct<closing:string,bare:string>")
+    return let(found, lambda m: _referred(m["closing"], m["bare"] if pull is None else F.regexp_extract(message, BARE_REFERENCE, 0), pull), TOLD)
+
 
+def _referred(closing: Column, bare: Column, pull: Column | None) -> Column:
     def told(value: float, detail: Column) -> Column:
         return F.struct(F.lit(value).alias("value"), detail.alias("detail"))
 
@@ -139,7 +161,10 @@ def linked_reference(message: Column, pull: Column | None = None) -> Column:
 
 def fix_keyword(subject_: Column, labels: Column | None = None) -> Column:
     """A struct (value, detail): 1 if the subject reads like a fix, or a label says so."""
-    word = F.regexp_extract(subject_, FIX_WORD, 0)
+    return let(F.regexp_extract(subject_, FIX_WORD, 0), lambda word: _worded(word, labels), TOLD)
+
+
+def _worded(word: Column, labels: Column | None) -> Column:
     none, value = F.lit("no fix keyword in the subject"), F.when(word != "", 1.0)
     detail = F.when(word != "", word)
     if labels is not None:
@@ -183,7 +208,7 @@ def hunk_hash(deleted: Column, added: Column) -> Column:
     def hashed(shape, head: str, other) -> Column:
         sides = F.struct(_filled(deleted, shape).alias("old"), _filled(added, shape).alias("new"))
         text = lambda s: F.concat(F.lit(head), _signed(s["old"], "-"), _signed(s["new"], "+"))
-        return let(sides, lambda s: F.when(s["old"] != s["new"], digest(text(s))).otherwise(other))
+        return let(sides, lambda s: F.when(s["old"] != s["new"], digest(text(s))).otherwise(other), "string")
 
     return hashed(normalize_line, "", hashed(strip, "INNER\n", F.lit(None).cast("string")))
 

@@ -27,11 +27,12 @@ def _count(where: Column) -> Column:
     return F.count_if(where).cast("long")
 
 
-def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: bool = True, api: bool = True) -> DataFrame:
+def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: bool = True, api: bool | None = True) -> DataFrame:
     """Per-commit aggregates of classified files; null measures are unknown ones.
 
     ``lists`` adds the arrays (paths, tests, fingerprints), ``api`` the public names; tables without
-    patch measurements can do without them.
+    patch measurements can do without them. With an ``api`` of None there is only ``any_api``, whether a
+    name is known: without lists all aggregates are fixed in size and compiled.
     """
     added, deleted = F.coalesce("added", F.lit(0)), F.coalesce("deleted", F.lit(0))
     binary = F.col("added").isNull() | F.col("deleted").isNull()
@@ -64,6 +65,8 @@ def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: b
     ]
     if api:
         aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(source & measured, F.col("patch.api")))))).alias("all_api"))
+    if api is None:
+        aggregates.append(F.coalesce(F.max(source & measured & (F.size("patch.api") > 0)), F.lit(False)).alias("some_api"))
     if lists:
         hashed = both & ~binary
         aggregates += [
@@ -80,6 +83,8 @@ def diff_stats(files: DataFrame, keys: Sequence[str] = ("repo", "sha"), lists: b
     })
     if api:
         out = out.withColumn("public_api", F.when(F.col("source_patched"), F.col("all_api"))).drop("all_api")
+    if api is None:
+        out = out.withColumn("any_api", F.col("source_patched") & F.col("some_api")).drop("some_api")
     if lists:
         out = out.withColumns({
             "fingerprint": F.when(~F.col("hunks_unknown") & (F.size("all_hunks") > 0), F.struct(patch_hash(F.col("all_hunks")).alias("patch"), F.col("all_hunks").alias("hunks"))),
