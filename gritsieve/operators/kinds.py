@@ -7,7 +7,8 @@ matches follow by aggregates, and pairs of fixes are listed only where they are
 
 The shared-hunk join is an equi-join on the hash with a count behind it. With a least overlap t, two
 sets can only match if the smaller one shares ``ceil(t * n)`` hashes, so of the m hashes that others hold
-too it shares one of the ``m - ceil(t * n) + 1`` rarest, and each side first joins by such a prefix only.
+too it shares one of the ``m - ceil(t * n) + 1`` rarest. Only those are joined, with a place in the larger set
+that leaves enough hashes behind it; pairs that met are compared by their lists, one row for each pair.
 """
 
 from __future__ import annotations
@@ -21,12 +22,33 @@ from gritsieve.scratch import Scratch
 MIN_OVERLAP = 0.5
 
 
-def _prefix(rows: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
-    """The rarest of the hashes that others hold too, of which a partner must share one."""
-    whole = Window.partitionBy(key)
-    needed = F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(1))
-    placed = rows.join(rarity, "hash").withColumns({"__k": F.row_number().over(whole.orderBy("df", "hash")), "__held": F.count("*").over(whole)})
-    return placed.where(F.col("__k") <= F.col("__held") - needed + 1).select(key, "n", "hash")
+def _rarity(*sides: DataFrame) -> DataFrame:
+    """(hash, df) of the hashes that several sets hold."""
+    every = sides[0].select("hash")
+    for side in sides[1:]:
+        every = every.unionByName(side.select("hash"))
+    return every.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _ordered(rows: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
+    """(key, n, needed, held, common): a set's hashes that others hold too, the rarest first, and how many of them a set as large must share."""
+    rare = F.array_sort(F.collect_list(F.struct("df", "hash")))
+    sets = rows.join(rarity, "hash").groupBy(key).agg(F.first("n").alias("n"), F.transform(rare, lambda x: x["hash"]).alias("common"))
+    return sets.select(key, "n", F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(1)).alias("needed"), F.size("common").alias("held"), "common")
+
+
+def _candidates(small: DataFrame, large: DataFrame, small_key: str, large_key: str, fits: str) -> DataFrame:
+    """Pairs that hold one of the rarest hashes of the smaller set, with as many behind it in the larger one as it takes; ``fits`` compares their sizes na and nb."""
+    a = small.select(small_key, F.col("n").alias("na"), "needed", "held", F.posexplode("common").alias("at", "hash")).where("at <= held - needed").drop("held", "at")
+    b = large.select(large_key, F.col("n").alias("nb"), "held", F.posexplode("common").alias("at", "hash")).select(large_key, "nb", "hash", (F.col("held") - F.col("at")).alias("rest"))
+    return a.join(b, "hash").where(f"rest >= needed and ({fits})").select(small_key, large_key)
+
+
+def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str) -> DataFrame:
+    a, b = left.select(left_key, F.col("n").alias("na"), F.col("common").alias("of_a")), right.select(right_key, F.col("n").alias("nb"), F.col("common").alias("of_b"))
+    shared, smaller = F.size(F.array_intersect("of_a", "of_b")), F.least("na", "nb").cast("int")
+    met = pairs.distinct().join(a, left_key).join(b, right_key).select(left_key, right_key, shared.alias("shared"), smaller.alias("smaller"))
+    return met.where(F.col("shared") / F.col("smaller") >= least)
 
 
 def shared_hunks(left: DataFrame, right: DataFrame, least: float = MIN_OVERLAP, left_key: str = "ord", right_key: str = "id") -> DataFrame:
@@ -34,14 +56,20 @@ def shared_hunks(left: DataFrame, right: DataFrame, least: float = MIN_OVERLAP,
 
     Both sides are rows (key, n, hash) of distinct hashes.
     """
-    every = left.select("hash").unionByName(right.select("hash"))
-    rarity = every.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
-    a, b = left.select(left_key, F.col("n").alias("na"), "hash"), right.select(right_key, F.col("n").alias("nb"), "hash")
-    short_a = _prefix(left, left_key, rarity, least).select(left_key, F.col("n").alias("na"), "hash")
-    short_b = _prefix(right, right_key, rarity, least).select(right_key, F.col("n").alias("nb"), "hash")
-    pairs = short_a.join(b, "hash").where("na <= nb").select(left_key, right_key).unionByName(short_b.join(a, "hash").where("nb < na").select(left_key, right_key)).distinct()
-    met = pairs.join(a, left_key).join(b, [right_key, "hash"]).groupBy(left_key, right_key).agg(F.count("*").cast("int").alias("shared"), F.least(F.first("na"), F.first("nb")).cast("int").alias("smaller"))
-    return met.where(F.col("shared") / F.col("smaller") >= least)
+    rarity = _rarity(left, right)
+    a, b = _ordered(left, left_key, rarity, least), _ordered(right, right_key, rarity, least)
+    pairs = _candidates(a, b, left_key, right_key, "na <= nb").unionByName(_candidates(b, a, right_key, left_key, "na < nb"))
+    return _compared(pairs, a, b, least, left_key, right_key)
+
+
+def _within(sets: DataFrame, least: float) -> DataFrame:
+    """(kind, other, shared, smaller) of the pairs among the ordered sets, each found once and told both ways; a set meets itself too."""
+    right = sets.withColumnRenamed("kind", "other")
+    pairs = _candidates(sets, right, "kind", "other", "na < nb or (na = nb and kind <= other)")
+    met = _compared(pairs, sets, right, least, "kind", "other")
+    back = F.when(F.col("kind") != F.col("other"), F.struct(F.col("other").alias("kind"), F.col("kind").alias("other")))
+    ways = F.array_compact(F.array(F.struct("kind", "other"), back))
+    return met.select("shared", "smaller", F.inline(ways)).select("kind", "other", "shared", "smaller")
 
 
 class Kinds(NamedTuple):
@@ -56,9 +84,11 @@ def kinds_of(sets: DataFrame, least: float, scratch: Scratch) -> Kinds:
     common = sets.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1").select("hash")
     held = sets.join(common, "hash").groupBy("patch").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("hash")).alias("common"))
     rows = scratch.stash(held.withColumn("kind", F.md5(F.concat_ws(",", F.col("n").cast("string"), "common"))), "members")
-    hashes = scratch.stash(rows.groupBy("kind").agg(F.first("n").alias("n"), F.first("common").alias("common")).select("kind", "n", F.explode("common").alias("hash")), "kinds")
-    pairs = shared_hunks(hashes, hashes.withColumnRenamed("kind", "other"), least, "kind", "other")
-    return Kinds(rows.select("patch", "kind"), scratch.stash(pairs, "pairs"))
+    hashes = scratch.stash(rows.groupBy("kind").agg(F.first("n").alias("n"), F.first("common").alias("common")).select("kind", "n", F.explode("common").alias("hash")), "hashes")
+    # a hash that one kind holds is kept: its fixes share it among themselves
+    rarity = hashes.groupBy("hash").agg(F.count("*").alias("df"))
+    sets = scratch.stash(_ordered(hashes, "kind", rarity, least), "kinds")
+    return Kinds(rows.select("patch", "kind"), scratch.stash(_within(sets, least), "pairs"))
 
 
 def leaders(rows: DataFrame, key: str) -> DataFrame:

@@ -37,3 +37,18 @@ def test_lines_are_hashed_in_one_place(spark):
     rows = spark.createDataFrame([("a  b\nc",)], "text string").select(dedupe.fingerprint_of(F.transform(F.split("text", "\n"), lambda x: F.sha1(x.cast("binary")))).alias("f"))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha1(") + plan.count("sha(") == 1
+
+
+def test_pairs_meet_once_and_only_where_enough_is_left(spark):
+    """Sets that share their most held hashes below the threshold, in both directions of size."""
+    rng = random.Random(8)
+    rows = [(f"k{k}", {f"h{int(rng.triangular(0, 30, 0))}" for _ in range(rng.randint(2, 14))}) for k in range(90)]
+    sets = spark.createDataFrame([(p, len(h), x) for p, h in rows for x in h], "kind string, n int, hash string")
+    want = {(p, q): (len(a & b), min(len(a), len(b))) for p, a in rows for q, b in rows if len(a & b) / min(len(a), len(b)) >= 0.6}
+    ordered = kinds._ordered(sets, "kind", kinds._rarity(sets, sets), 0.6)
+    within = [((r["kind"], r["other"]), (r["shared"], r["smaller"])) for r in kinds._within(ordered, 0.6).collect()]
+    both = [((r["kind"], r["id"]), (r["shared"], r["smaller"])) for r in kinds.shared_hunks(sets, sets.withColumnRenamed("kind", "id"), 0.6, "kind", "id").collect()]
+    assert dict(within) == dict(both) == want and len(within) == len(both) == len(want)
+    met = {tuple(r) for r in kinds._candidates(ordered, ordered.withColumnRenamed("kind", "other"), "kind", "other", "na < nb or (na = nb and kind <= other)").collect()}
+    held = {k: {*h} for k, h in rows}
+    assert len(met) * 2 < sum(1 for a in held.values() for b in held.values() if a & b)
