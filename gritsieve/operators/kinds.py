@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritsieve.scratch import Scratch
 
@@ -115,13 +115,28 @@ def near_entries(kinds: Kinds, entries: DataFrame, scratch: Scratch) -> DataFram
     return scratch.stash(leaders(listed.select("kind", m.alias("m")), "kind").join(counts, "kind"), "near")
 
 
+def timelines(kinds: Kinds, held: DataFrame, rows: DataFrame) -> DataFrame:
+    """(place, way, at, side, n): the lines on which held rows (side 1) and the rows that ask for what comes before them (side 0) meet.
+
+    A pair of kinds is counted where fewer rows have to go: the held ones come to the kind that asks, or
+    its rows to the kind that is held. So a small kind costs its own rows, however large those around it are.
+    """
+    events = held.groupBy(F.col("kind").alias("other"), F.col("since").alias("at")).agg(F.count("*").alias("n"))
+    sized = kinds.pairs.select("kind", "other").join(events.groupBy("other").agg(F.count("*").alias("many")), "other").join(rows.groupBy("kind").agg(F.count("*").alias("asked")), "kind")
+
+    def line(rows: DataFrame, place: str, way: int, side: int, at: str, n: Column | None = None) -> DataFrame:
+        return rows.select(F.col(place).alias("place"), F.lit(way).alias("way"), F.col(at).alias("at"), F.lit(side).alias("side"), F.lit(0).cast("long").alias("n") if n is None else n)
+
+    come = sized.where("many <= asked").select("kind", "other").join(events, "other").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    go = sized.where("many > asked").select("kind", "other").join(rows, "kind")
+    return line(come, "kind", 0, 1, "at", F.col("n")).unionByName(line(rows, "kind", 0, 0, "ord")).unionByName(line(events, "other", 1, 1, "at", F.col("n"))).unionByName(line(go, "other", 1, 0, "ord"))
+
+
 def earlier(kinds: Kinds, held: DataFrame, rows: DataFrame) -> DataFrame:
     """(ord, earlier): for each of ``rows`` (ord, kind) how many of ``held`` (kind, since) overlap its kind and come before it."""
-    events = kinds.pairs.join(held.groupBy(F.col("kind").alias("other"), "since").agg(F.count("*").alias("n")), "other")
-    events = events.groupBy("kind", F.col("since").alias("at")).agg(F.sum("n").alias("n"))
-    both = events.select("kind", "at", F.lit(1).alias("side"), "n").unionByName(rows.select("kind", F.col("ord").alias("at"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("n")))
-    order = Window.partitionBy("kind").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("earlier", F.sum("n").over(order)).where("side = 0").select(F.col("at").alias("ord"), "earlier")
+    order = Window.partitionBy("place", "way").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    told = timelines(kinds, held, rows).withColumn("earlier", F.sum("n").over(order)).where("side = 0")
+    return told.groupBy(F.col("at").alias("ord")).agg(F.sum("earlier").alias("earlier"))
 
 
 #: Documents or entries in one row of a list of pairs.

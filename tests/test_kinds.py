@@ -52,3 +52,22 @@ def test_pairs_meet_once_and_only_where_enough_is_left(spark):
     met = {tuple(r) for r in kinds._candidates(ordered, ordered.withColumnRenamed("kind", "other"), "kind", "other", "na < nb or (na = nb and kind <= other)").collect()}
     held = {k: {*h} for k, h in rows}
     assert len(met) * 2 < sum(1 for a in held.values() for b in held.values() if a & b)
+
+
+def test_earlier_rows_are_counted_where_fewer_have_to_go(spark):
+    """Many small kinds around a large one: each asks with its own rows, and the large one is asked by all."""
+    rng, names = random.Random(3), [f"k{k}" for k in range(40)]
+    pairs = [(a, b) for a in names for b in names if a == b or "k0" in (a, b) or rng.random() < 0.1]
+    pairs = sorted({*pairs, *((b, a) for a, b in pairs)})
+    place = [("k0" if rng.random() < 0.8 else rng.choice(names)) for _ in range(1500)]
+    rows = [(n, k) for n, k in enumerate(place)]
+    held = [(k, n) for n, k in rows if n % 3] + [("k0", -1), ("k7", -1), ("k7", -1)]
+    found = kinds.Kinds(None, spark.createDataFrame([(a, b, 1, 1) for a, b in pairs], "kind string, other string, shared int, smaller int"))
+    sides = spark.createDataFrame(held, "kind string, since long"), spark.createDataFrame(rows, "ord long, kind string")
+    near = {*pairs}
+    want = {n: sum(since < n and (k, other) in near for other, since in held) for n, k in rows}
+    got = kinds.earlier(found, *sides).collect()
+    assert {r["ord"]: r["earlier"] for r in got} == want and len(got) == len(rows)
+    # by kind and entry, as they were counted before, 40 copies of the large kind's rows
+    every = sum((k, other) in near for k in {k for _, k in rows} for other, _ in held)
+    assert kinds.timelines(found, *sides).count() * 5 < every
