@@ -20,12 +20,12 @@ EXTENSIONS = {
     ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".go": "go", ".java": "java",
 }
 
-#: How messages refer to issues and speak of fixes (fixed values: words and patterns).
-_CLOSING = r"\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b:?\s+"
+#: How messages refer to issues and speak of fixes (fixed values: words and patterns). First letters are looked for ahead of word boundaries, which cost more.
+_CLOSING = r"(?=[cfr])\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b:?\s+"
 CLOSING_REFERENCE = rf"(?iU){_CLOSING}((?:[\w.-]+/[\w.-]+)?#\d+|https://github\.com/\S+/(?:issues|pull)/\d+)"
 BARE_REFERENCE = r"(?iU)(?<![\w/&])(?:[\w.-]+/[\w.-]+)?#\d+\b|\bgh-\d+\b|https://github\.com/\S+/(?:issues|pull)/\d+"
 CLOSED_ISSUE = rf"(?iU){_CLOSING}(?:([\w.-]+/[\w.-]+)?#(\d+)\b|https?://github\.com/([\w.-]+/[\w.-]+)/issues/(\d+)\b)"
-FIX_WORD = r"(?iU)\b(fix(?:e[sd]|ing)?|bug(?:s|fix)?|regression|crash(?:es|ed)?|incorrect(?:ly)?|wrong|broken)\b"
+FIX_WORD = r"(?iU)(?=[fbrciw])\b(fix(?:e[sd]|ing)?|bug(?:s|fix)?|regression|crash(?:es|ed)?|incorrect(?:ly)?|wrong|broken)\b"
 FIX_LABEL = r"(?iU)\b(?:bugs?|bugfix|fix(?:es)?|regression|crash(?:es)?)\b"
 
 
@@ -105,9 +105,14 @@ def _parts(message: Column) -> Column:
     return let(F.regexp_replace(message, r"\A\n+|\n+\z", ""), lambda text: let(split_lines(text), placed, kind), kind)
 
 
+#: A first line of visible ASCII and inner blanks that is a paragraph of its own: the subject of most messages.
+PLAIN_SUBJECT = r"\A\n*([!-~](?:[ -~]*[!-~])?)(?:\n\n|\n*\z)"
+
+
 def subject(message: Column) -> Column:
-    """The first paragraph as one line."""
-    return F.array_join(F.transform(_parts(message)["head"], strip), " ")
+    """The first paragraph as one line. Lines are split only where the first one is no plain paragraph."""
+    split = F.array_join(F.transform(_parts(message)["head"], strip), " ")
+    return let(F.regexp_extract(message, PLAIN_SUBJECT, 1), lambda plain: F.when(plain != "", plain).otherwise(split), "string")
 
 
 def body(message: Column) -> Column:
@@ -140,8 +145,11 @@ TOLD = "struct<value:double,detail:string>"
 
 def linked_reference(message: Column, pull: Column | None = None) -> Column:
     """A struct (value, detail): 1 for a closing reference, 0.5 for a bare one or any pull request."""
-    # each expression is tried once, and the second only where the first found nothing
-    found = let(F.regexp_extract(message, CLOSING_REFERENCE, 0), lambda c: F.struct(c.alias("closing"), F.when(c == "", F.regexp_extract(message, BARE_REFERENCE, 0)).otherwise("").alias("bare")), "struct<closing:string,bare:string>")
+    # each expression is tried once, where a sign is that it needs, and the second only where the first found nothing
+    sign = message.contains("#") | message.contains("/")
+    closing = F.when(sign, F.regexp_extract(message, CLOSING_REFERENCE, 0)).otherwise("")
+    bare = F.when(sign | message.contains("-"), F.regexp_extract(message, BARE_REFERENCE, 0)).otherwise("")
+    found = let(closing, lambda c: F.struct(c.alias("closing"), F.when(c == "", bare).otherwise("").alias("bare")), "struct<closing:string,bare:string>")
     return let(found, lambda m: _referred(m["closing"], m["bare"] if pull is None else F.regexp_extract(message, BARE_REFERENCE, 0), pull), TOLD)
 
 

@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gritsieve.functions.text import fix_keyword, instant, let, linked_reference, plural, subject
+from gritsieve.functions.text import fix_keyword, instant, linked_reference, plural, subject
 from gritsieve.operators.places import placed
-from gritsieve.schema import BANDS, FEATURE, REASONS
+from gritsieve.schema import BANDS, REASONS
 from gritsieve.settings import Settings
 
 NO_PATCH = "unknown: no patch data"
 
+#: Name, value, weight and detail of a feature.
+Part = tuple[str, Column, float, Column | None]
+
 
 def reject_reason(settings: Settings = Settings()) -> Column:
     """The first reason that holds, or null for a candidate. Missing measures mean no files."""
@@ -60,46 +63,44 @@ def _feature(name: str, value: Column, weight: float, detail: Column | None, rou
     return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(float(weight)).alias("weight"), rounded(F.lit(float(weight)) * value).alias("contribution"), detail.alias("detail"))
 
 
+def _listed(parts: Sequence[Part], settings: Settings) -> Column:
+    return F.array(*[_feature(*part, _rounding(settings)) for part in parts])
+
+
 def _capped(count: Column, cap: int) -> Column:
     return F.least(count, F.lit(cap)) / F.lit(float(cap))
 
 
-def score_features(settings: Settings = Settings(), message: Column | None = None, pull: Column | None = None, details: bool = True) -> Column:
-    """The array of score features, in their fixed order; without ``details`` their texts are null.
+def said(message: Column, pull: Column | None = None) -> Column:
+    """What a message says: its reference and its fix word, each with value and detail."""
+    return F.struct(linked_reference(message, pull).alias("reference"), fix_keyword(subject(message), pull["labels"] if pull is not None else None).alias("keyword"))
 
-    What is read from the message is found once for a row: the features are the body of a ``let``.
-    """
-    message = F.col("message") if message is None else message
-    w, rounded = settings.weights, _rounding(settings)
-    told = (lambda text: text) if details else lambda _: None
+
+def _score_parts(settings: Settings, s: Column) -> list[Part]:
+    """The score features in their fixed order; ``s`` is what the message says."""
+    w, reference, keyword = settings.weights, s["reference"], s["keyword"]
     tests = F.concat(F.col("test_added").cast("string"), F.lit(f" test lines added (full value at {settings.test_lines_cap})"))
     tests = F.concat(tests, F.when(F.col("n_inline_test") > 0, F.concat(F.lit(", in #[cfg(test)] of "), plural(F.col("n_inline_test"), "src file"))).otherwise(""))
     asserts = F.when(F.col("assertions").isNull(), NO_PATCH).otherwise(F.concat(plural(F.col("assertions"), "assertion line"), F.lit(f" added in tests (full value at {settings.assertions_cap})")))
     size = F.concat(F.col("changed_lines").cast("string"), F.lit(f" of at most {settings.max_lines} source+test lines changed"))
-    said = F.struct(linked_reference(message, pull).alias("reference"), fix_keyword(subject(message), pull["labels"] if pull is not None else None).alias("keyword"))
-
-    def listed(s: Column) -> Column:
-        reference, keyword = s["reference"], s["keyword"]
-        return F.array(
-            _feature("small_diff", 1 - _capped(F.col("changed_lines"), settings.max_lines), w.small_diff, told(size), rounded),
-            _feature("test_lines_added", _capped(F.col("test_added"), settings.test_lines_cap), w.test_lines_added, told(tests), rounded),
-            _feature("added_assertions", _capped(F.coalesce("assertions", F.lit(0)), settings.assertions_cap), w.added_assertions, told(asserts), rounded),
-            _feature("linked_reference", reference["value"], w.linked_reference, told(reference["detail"]), rounded),
-            _feature("fix_keyword", keyword["value"], w.fix_keyword, told(keyword["detail"]), rounded),
-            _feature("focused_source", F.try_divide(F.lit(1.0), F.col("n_source")), w.focused_source, told(F.concat(plural(F.col("n_source"), "source file"), F.lit(" changed"))), rounded),
-        )
+    return [
+        ("small_diff", 1 - _capped(F.col("changed_lines"), settings.max_lines), w.small_diff, size),
+        ("test_lines_added", _capped(F.col("test_added"), settings.test_lines_cap), w.test_lines_added, tests),
+        ("added_assertions", _capped(F.coalesce("assertions", F.lit(0)), settings.assertions_cap), w.added_assertions, asserts),
+        ("linked_reference", reference["value"], w.linked_reference, reference["detail"]),
+        ("fix_keyword", keyword["value"], w.fix_keyword, keyword["detail"]),
+        ("focused_source", F.try_divide(F.lit(1.0), F.col("n_source")), w.focused_source, F.concat(plural(F.col("n_source"), "source file"), F.lit(" changed"))),
+    ]
 
-    # a Python function can't stand in a body
-    return let(said, listed, f"array<{FEATURE.simpleString()}>") if settings.plain else listed(said)
 
+def score_features(found: Column, settings: Settings = Settings()) -> Column:
+    """The array of score features, in their fixed order; ``found`` is what is ``said`` in the message, a column."""
+    return _listed(_score_parts(settings, found), settings)
 
-def difficulty_features(settings: Settings = Settings(), public_api: bool = True, details: bool = True, any_api: Column | None = None) -> Column:
-    """The array of difficulty features; unknown measures count as 0. Without ``details`` their texts are null.
 
-    ``any_api`` says whether there are public names where their list is not at hand.
-    """
-    w, rounded = settings.difficulty_weights, _rounding(settings)
-    told = (lambda text: text) if details else lambda _: None
+def _difficulty_parts(settings: Settings, public_api: bool, any_api: Column | None) -> list[Part]:
+    """The difficulty features in their fixed order."""
+    w = settings.difficulty_weights
     files = F.col("n_source") + F.col("n_test")
 
     def known(count: str, word: str, tail: str) -> Column:
@@ -108,13 +109,21 @@ def difficulty_features(settings: Settings = Settings(), public_api: bool = True
     names = F.col("public_api") if public_api else F.lit(None).cast("array<string>")
     more = F.when(F.size(names) > 3, F.concat(F.lit(" (+"), (F.size(names) - 3).cast("string"), F.lit(" more)"))).otherwise("")
     listed = F.when(names.isNull(), NO_PATCH).when(F.size(names) > 0, F.concat(F.array_join(F.slice(names, 1, 3), ", "), more)).otherwise("no public declaration changed")
-    return F.array(
-        _feature("files", _capped(files, settings.files_cap), w.files, told(F.concat(plural(files, "source+test file"), F.lit(f" changed (full value at {settings.files_cap})"))), rounded),
-        _feature("hunks", _capped(F.coalesce("code_hunks", F.lit(0)), settings.hunks_cap), w.hunks, told(known("code_hunks", "source code hunk", f" (full value at {settings.hunks_cap})")), rounded),
-        _feature("lines", _capped(F.coalesce("code_lines", F.lit(0)), settings.lines_cap), w.lines, told(known("code_lines", "source code line", f" changed (full value at {settings.lines_cap})")), rounded),
-        _feature("cross_file", _capped(F.greatest(F.col("n_code_files") - 1, F.lit(0)), settings.cross_file_cap), w.cross_file, told(F.concat(plural(F.col("n_code_files"), "source file"), F.lit(f" with code changes (full value at {settings.cross_file_cap + 1})"))), rounded),
-        _feature("public_api", F.when(F.coalesce(F.size(names), F.lit(0)) > 0 if any_api is None else any_api, 1.0).otherwise(0.0), w.public_api, told(listed), rounded),
-    )
+    return [
+        ("files", _capped(files, settings.files_cap), w.files, F.concat(plural(files, "source+test file"), F.lit(f" changed (full value at {settings.files_cap})"))),
+        ("hunks", _capped(F.coalesce("code_hunks", F.lit(0)), settings.hunks_cap), w.hunks, known("code_hunks", "source code hunk", f" (full value at {settings.hunks_cap})")),
+        ("lines", _capped(F.coalesce("code_lines", F.lit(0)), settings.lines_cap), w.lines, known("code_lines", "source code line", f" changed (full value at {settings.lines_cap})")),
+        ("cross_file", _capped(F.greatest(F.col("n_code_files") - 1, F.lit(0)), settings.cross_file_cap), w.cross_file, F.concat(plural(F.col("n_code_files"), "source file"), F.lit(f" with code changes (full value at {settings.cross_file_cap + 1})"))),
+        ("public_api", F.when(F.coalesce(F.size(names), F.lit(0)) > 0 if any_api is None else any_api, 1.0).otherwise(0.0), w.public_api, listed),
+    ]
+
+
+def difficulty_features(settings: Settings = Settings(), public_api: bool = True, any_api: Column | None = None) -> Column:
+    """The array of difficulty features; unknown measures count as 0.
+
+    ``any_api`` says whether there are public names where their list is not at hand.
+    """
+    return _listed(_difficulty_parts(settings, public_api, any_api), settings)
 
 
 def total(features: str, settings: Settings = Settings()) -> Column:
@@ -122,6 +131,14 @@ def total(features: str, settings: Settings = Settings()) -> Column:
     return _rounding(settings)(F.aggregate(F.col(features), F.lit(0.0), lambda a, f: a + f["contribution"]))
 
 
+def _summed(parts: Sequence[Part], settings: Settings) -> Column:
+    """What ``total`` gives of the listed features, without the list: compiled, and no arrays are made."""
+    rounded, out = _rounding(settings), F.lit(0.0)
+    for _, value, weight, _ in parts:
+        out = out + rounded(F.lit(float(weight)) * rounded(value.cast("double")))
+    return rounded(out)
+
+
 def band(value: Column, settings: Settings = Settings()) -> Column:
     return F.when(value >= settings.hard_at, BANDS[2]).when(value >= settings.medium_at, BANDS[1]).otherwise(BANDS[0])
 
@@ -133,16 +150,21 @@ def rank_order(score: str = "score", instant_: str = "ts", sha: str = "sha") ->
 def evaluate(commits: DataFrame, stats: DataFrame, settings: Settings = Settings(), keys: Sequence[str] = ("repo", "sha"), details: bool = True) -> DataFrame:
     """``commits`` joined to their measures, with reason, features, score, difficulty, band and ``ts``.
 
-    A left join keeps commits without files. Features are computed for candidates only.
+    A left join keeps commits without files. Features are computed for candidates only. What the
+    message says is a column, so what is made of it is compiled. Without ``details`` there are the sums only.
     """
     joined = commits.join(stats, list(keys), "left").withColumn("reason", reject_reason(settings))
     pull = F.col("pull_request") if "pull_request" in commits.columns else None
-    lists = "public_api" in stats.columns
+    lists, any_api = "public_api" in stats.columns, F.col("any_api") if "any_api" in stats.columns else None
     good = F.col("reason").isNull()
-    out = joined.withColumns({"score_features": F.when(good, score_features(settings, pull=pull, details=details)), "difficulty_features": F.when(good, difficulty_features(settings, lists, details, F.col("any_api") if "any_api" in stats.columns else None))})
-    out = out.withColumns({"score": total("score_features", settings), "difficulty": total("difficulty_features", settings), "ts": instant(F.col("date"))})
-    out = out.withColumn("band", F.when(good, band(F.col("difficulty"), settings)))
-    return out if details else out.drop("score_features", "difficulty_features")
+    out = joined.withColumn("__said", F.when(good, said(F.col("message"), pull)))
+    if details:
+        out = out.withColumns({"score_features": F.when(good, score_features(F.col("__said"), settings)), "difficulty_features": F.when(good, difficulty_features(settings, lists, any_api))})
+        sums = {"score": total("score_features", settings), "difficulty": total("difficulty_features", settings)}
+    else:
+        sums = {"score": F.when(good, _summed(_score_parts(settings, F.col("__said")), settings)), "difficulty": F.when(good, _summed(_difficulty_parts(settings, lists, any_api), settings))}
+    out = out.withColumns(sums | {"ts": instant(F.col("date"))})
+    return out.withColumn("band", F.when(good, band(F.col("difficulty"), settings))).drop("__said")
 
 
 def ranked(outcomes: DataFrame, partition: Sequence[str] = ("repo",)) -> DataFrame:
