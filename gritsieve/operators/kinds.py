@@ -143,18 +143,47 @@ def earlier(kinds: Kinds, held: DataFrame, rows: DataFrame) -> DataFrame:
 LISTED = 1000
 
 
-def pairs_of(kinds: Kinds, rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """(ord, id, shared, smaller) of all pairs of ``rows`` (ord, patch) and ``entries`` (id, patch) of different fixes.
+def _lists(side: DataFrame, kinds: Kinds, key: str, name: str, *more: str) -> DataFrame:
+    """(kind, part, name): the keys of a kind's rows, in lists of about ``LISTED`` at most; with ``more`` columns, structs."""
+    held = side.join(kinds.members, "patch").select("kind", key, *more)
+    sizes = held.groupBy("kind").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64(key), _parts("size"))
+    return held.join(sizes, "kind").groupBy("kind", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(key, *more) if more else F.col(key))).alias(name))
+
+
+def _parts(size: str) -> Column:
+    return F.ceil(F.col(size) / LISTED).cast("long")
+
+
+def meetings(kinds: Kinds, lefts: DataFrame, rights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, other, shared, smaller, asking, held, left) and the same with ``right`` of the pairs of different kinds, dealt by which side is smaller.
 
-    Both sides travel as lists of at most ``LISTED`` rows of a kind; the pairs are made behind the last shuffle.
+    The lists of the smaller side of a pair move to the larger one, whose lists stay: a kind of many rows is not sent to each small kind around it.
     """
+    sizes = lambda lists, key, name, size: lists.groupBy(F.col("kind").alias(key)).agg(F.sum(F.size(name)).alias(size))
+    sized = kinds.pairs.where("kind <> other").join(sizes(lefts, "kind", "left", "asking"), "kind").join(sizes(rights, "other", "right", "held"), "other")
+    go, come = sized.where("asking <= held"), sized.where("asking > held")
+    return go.join(lefts.drop("part"), "kind"), come.join(rights.withColumnRenamed("kind", "other").drop("part"), "other")
 
-    def lists(side: DataFrame, key: str, name: str) -> DataFrame:
-        held = side.join(kinds.members, "patch").select("kind", key, "patch")
-        part = F.pmod(F.xxhash64(key), F.ceil(F.col("size") / LISTED))
-        sizes = held.groupBy("kind").agg(F.count("*").alias("size"))
-        return held.join(sizes, "kind").groupBy("kind", part.alias("part")).agg(F.collect_list(F.struct(key, "patch")).alias(name)).drop("part")
 
-    met = kinds.pairs.join(lists(rows, "ord", "left"), "kind").join(lists(entries, "id", "right").withColumnRenamed("kind", "other"), "other")
-    halves = met.select("shared", "smaller", "right", F.explode("left").alias("a"))
-    return halves.select("shared", "smaller", "a", F.explode("right").alias("b")).where("a.patch <> b.patch").select("a.ord", "b.id", "shared", "smaller")
+def _met(moved: DataFrame, lists: DataFrame, size: str, key: str) -> DataFrame:
+    """(shared, smaller, left, right): moved lists beside each list of the kind that they go to, which is spread by its lists."""
+    place = F.explode(F.sequence(F.lit(0).cast("long"), _parts(size) - 1)).alias("part")
+    return moved.select("*", place).join(lists.withColumnRenamed("kind", key), [key, "part"]).select("shared", "smaller", "left", "right")
+
+
+def pairs_of(kinds: Kinds, rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(ord, id, shared, smaller) of all pairs of ``rows`` (ord, patch) and ``entries`` (id, patch) of different fixes; each fix has one entry at most.
+
+    Rows and entries travel as lists of numbers, and the pairs are made behind the last shuffle. Fixes are
+    compared within a kind only: fixes of different kinds differ.
+    """
+    lefts, rights = _lists(rows, kinds, "ord", "left"), _lists(entries, kinds, "id", "right")
+    go, come = meetings(kinds, lefts, rights)
+    met = _met(go, rights, "held", "other").unionByName(_met(come, lefts, "asking", "kind"))
+    pairs = met.select("shared", "smaller", "right", F.explode("left").alias("ord")).select("ord", F.explode("right").alias("id"), "shared", "smaller")
+    own = _lists(rows.join(entries.select("patch", F.col("id").alias("own")), "patch", "left"), kinds, "ord", "left", "own").drop("part")
+    held = rights.groupBy("kind").agg(F.sum(F.size("right")).alias("held"))
+    within = _met(kinds.pairs.where("kind = other").join(held, "kind").join(own, "kind"), rights, "held", "kind")
+    within = within.select("shared", "smaller", "right", F.explode("left").alias("a")).select("a.ord", "a.own", F.explode("right").alias("id"), "shared", "smaller")
+    return pairs.unionByName(within.where("own is null or own <> id").drop("own"))

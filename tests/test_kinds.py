@@ -71,3 +71,26 @@ def test_earlier_rows_are_counted_where_fewer_have_to_go(spark):
     # by kind and entry, as they were counted before, 40 copies of the large kind's rows
     every = sum((k, other) in near for k in {k for _, k in rows} for other, _ in held)
     assert kinds.timelines(found, *sides).count() * 5 < every
+
+
+def test_the_smaller_side_of_a_pair_of_kinds_moves(spark, monkeypatch):
+    """Large kinds with many small ones around them, rows without an entry, and a kind whose fixes differ."""
+    rng, names = random.Random(4), [f"k{k}" for k in range(30)]
+    pairs = {(a, b) for a in names for b in names if a == b or "k0" in (a, b) or rng.random() < 0.2}
+    pairs = sorted(pairs | {(b, a) for a, b in pairs})
+    member = {f"p{k}": "k0" if k % 3 else rng.choice(names) for k in range(240)}
+    rows = [(k, rng.choice(sorted(member))) for k in range(400)]
+    entries = [(k, p) for k, p in enumerate(sorted(member)) if k % 5]
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    found = kinds.Kinds(frame(list(member.items()), "patch string, kind string"), frame([(a, b, 1, 2) for a, b in pairs], "kind string, other string, shared int, smaller int"))
+    left, right, near = frame(rows, "ord long, patch string"), frame(entries, "id long, patch string"), {*pairs}
+    want = sorted((o, i, 1, 2) for o, p in rows for i, q in entries if p != q and (member[p], member[q]) in near)
+    assert sorted(map(tuple, kinds.pairs_of(found, left, right).collect())) == want
+    with monkeypatch.context() as few:  # a large kind has several lists
+        few.setattr(kinds, "LISTED", 20)
+        assert sorted(map(tuple, kinds.pairs_of(found, left, right).collect())) == want
+    # as it was before, the rows of a kind went to each kind that it meets
+    every = sum(1 for _, p in rows for a, b in pairs if a == member[p])
+    go, come = kinds.meetings(found, kinds._lists(left, found, "ord", "left"), kinds._lists(right, found, "id", "right"))
+    moved = sum(r[0] or 0 for side, name in ((go, "left"), (come, "right")) for r in side.agg(F.sum(F.size(name))).collect())
+    assert 0 < moved * 5 < every
