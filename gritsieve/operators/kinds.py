@@ -142,6 +142,9 @@ def earlier(kinds: Kinds, held: DataFrame, rows: DataFrame) -> DataFrame:
 #: Documents or entries in one row of a list of pairs.
 LISTED = 1000
 
+#: Pairs that one task makes, as long as there are at most so many tasks for each core.
+DEALT, WAVES = 4_000_000, 32
+
 
 def _lists(side: DataFrame, kinds: Kinds, key: str, name: str, *more: str) -> DataFrame:
     """(kind, part, name): the keys of a kind's rows, in lists of about ``LISTED`` at most; with ``more`` columns, structs."""
@@ -155,35 +158,59 @@ def _parts(size: str) -> Column:
     return F.ceil(F.col(size) / LISTED).cast("long")
 
 
-def meetings(kinds: Kinds, lefts: DataFrame, rights: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sized(kinds: Kinds, lefts: DataFrame, rights: DataFrame) -> DataFrame:
+    """(kind, other, shared, smaller, asking, held) of the pairs of kinds with rows on both sides."""
+    sizes = lambda lists, key, name, size: lists.groupBy(F.col("kind").alias(key)).agg(F.sum(F.size(name)).alias(size))
+    met = kinds.pairs.join(sizes(lefts, "kind", "left", "asking"), "kind").join(sizes(rights, "other", "right", "held"), "other")
+    return met.select("kind", "other", "shared", "smaller", "asking", "held")
+
+
+def meetings(kinds: Kinds, lefts: DataFrame, rights: DataFrame, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kind, other, shared, smaller, asking, held, left) and the same with ``right`` of the pairs of different kinds, dealt by which side is smaller.
 
     The lists of the smaller side of a pair move to the larger one, whose lists stay: a kind of many rows is not sent to each small kind around it.
     """
-    sizes = lambda lists, key, name, size: lists.groupBy(F.col("kind").alias(key)).agg(F.sum(F.size(name)).alias(size))
-    sized = kinds.pairs.where("kind <> other").join(sizes(lefts, "kind", "left", "asking"), "kind").join(sizes(rights, "other", "right", "held"), "other")
-    go, come = sized.where("asking <= held"), sized.where("asking > held")
+    apart = (_sized(kinds, lefts, rights) if sized is None else sized).where("kind <> other")
+    go, come = apart.where("asking <= held"), apart.where("asking > held")
     return go.join(lefts.drop("part"), "kind"), come.join(rights.withColumnRenamed("kind", "other").drop("part"), "other")
 
 
+def _gathered(moved: DataFrame, place: str, size: str, name: str) -> DataFrame:
+    """(place, size, shared, smaller, name): what comes to a kind with the same counts, from however many kinds, in lists of about ``LISTED``."""
+    group = [place, size, "shared", "smaller"]
+    sizes = moved.groupBy(group).agg(F.sum(F.size(name)).alias("coming"))
+    part = F.pmod(F.xxhash64(name), _parts("coming"))
+    return moved.join(sizes, group).groupBy(*group, part.alias("part")).agg(F.sort_array(F.flatten(F.collect_list(name))).alias(name)).drop("part")
+
+
 def _met(moved: DataFrame, lists: DataFrame, size: str, key: str) -> DataFrame:
     """(shared, smaller, left, right): moved lists beside each list of the kind that they go to, which is spread by its lists."""
     place = F.explode(F.sequence(F.lit(0).cast("long"), _parts(size) - 1)).alias("part")
     return moved.select("*", place).join(lists.withColumnRenamed("kind", key), [key, "part"]).select("shared", "smaller", "left", "right")
 
 
+def _dealt(lists: DataFrame, pairs: int) -> DataFrame:
+    """Pairs of lists in tasks by the number of pairs that they stand for; by their bytes, which are few, they would be one or two."""
+    cores = lists.sparkSession.sparkContext.defaultParallelism
+    return lists.repartition(max(1, min(-(-pairs // DEALT), WAVES * cores)))
+
+
 def pairs_of(kinds: Kinds, rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(ord, id, shared, smaller) of all pairs of ``rows`` (ord, patch) and ``entries`` (id, patch) of different fixes; each fix has one entry at most.
 
     Rows and entries travel as lists of numbers, and the pairs are made behind the last shuffle. Fixes are
     compared within a kind only: fixes of different kinds differ.
     """
-    lefts, rights = _lists(rows, kinds, "ord", "left"), _lists(entries, kinds, "id", "right")
-    go, come = meetings(kinds, lefts, rights)
-    met = _met(go, rights, "held", "other").unionByName(_met(come, lefts, "asking", "kind"))
-    pairs = met.select("shared", "smaller", "right", F.explode("left").alias("ord")).select("ord", F.explode("right").alias("id"), "shared", "smaller")
-    own = _lists(rows.join(entries.select("patch", F.col("id").alias("own")), "patch", "left"), kinds, "ord", "left", "own").drop("part")
-    held = rights.groupBy("kind").agg(F.sum(F.size("right")).alias("held"))
-    within = _met(kinds.pairs.where("kind = other").join(held, "kind").join(own, "kind"), rights, "held", "kind")
-    within = within.select("shared", "smaller", "right", F.explode("left").alias("a")).select("a.ord", "a.own", F.explode("right").alias("id"), "shared", "smaller")
-    return pairs.unionByName(within.where("own is null or own <> id").drop("own"))
+    scratch = Scratch(rows.sparkSession, "pairs")
+    own = scratch.stash(_lists(rows.join(entries.select("patch", F.col("id").alias("own")), "patch", "left"), kinds, "ord", "left", "own"), "lefts")
+    lefts, rights = own.withColumn("left", F.col("left.ord")), scratch.stash(_lists(entries, kinds, "id", "right"), "rights")
+    sized = scratch.stash(_sized(kinds, lefts, rights), "sized")
+    pairs = dict(sized.groupBy(F.col("kind") == F.col("other")).agg(F.sum(F.col("asking") * F.col("held"))).collect())
+    go, come = meetings(kinds, lefts, rights, sized)
+    met = _met(_gathered(go, "other", "held", "left"), rights, "held", "other").unionByName(_met(_gathered(come, "kind", "asking", "right"), lefts, "asking", "kind"))
+    inside = _met(sized.where("kind = other").join(own.drop("part"), "kind"), rights, "held", "kind")
+    # Spark holds what one row explodes to in one stage of code: the union ends it, so that is a list, not the pairs of two lists
+    apart = _dealt(met, pairs.get(False, 0)).select("shared", "smaller", "right", F.explode("left").alias("ord")).withColumn("own", F.lit(None).cast(entries.schema["id"].dataType))
+    inside = _dealt(inside, pairs.get(True, 0)).select("shared", "smaller", "right", F.explode("left").alias("a")).select("shared", "smaller", "right", "a.ord", "a.own")
+    told = apart.unionByName(inside).select("ord", "own", F.explode("right").alias("id"), "shared", "smaller")
+    return told.where("own is null or own <> id").drop("own")

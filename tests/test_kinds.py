@@ -94,3 +94,34 @@ def test_the_smaller_side_of_a_pair_of_kinds_moves(spark, monkeypatch):
     go, come = kinds.meetings(found, kinds._lists(left, found, "ord", "left"), kinds._lists(right, found, "id", "right"))
     moved = sum(r[0] or 0 for side, name in ((go, "left"), (come, "right")) for r in side.agg(F.sum(F.size(name))).collect())
     assert 0 < moved * 5 < every
+
+
+def around_one_hunk(spark, n=240):
+    """A hunk that most fixes hold: a kind of many fixes, and many small kinds around it."""
+    rng = random.Random(6)
+    member = {f"p{k}": "k0" if k % 2 else f"k{rng.randint(1, 40)}" for k in range(n)}
+    pairs = sorted({(a, b) for a in {*member.values()} for b in {*member.values()} if a == b or "k0" in (a, b)})
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    found = kinds.Kinds(frame(list(member.items()), "patch string, kind string"), frame([(a, b, 1, 1 + len(a)) for a, b in pairs], "kind string, other string, shared int, smaller int"))
+    rows, entries = [(k, f"p{k % n}") for k in range(2 * n)], [(k, f"p{k}") for k in range(n)]
+    near = {*pairs}
+    want = sorted((o, i, 1, 1 + len(member[p])) for o, p in rows for i, q in entries if p != q and (member[p], member[q]) in near)
+    return found, frame(rows, "ord long, patch string"), frame(entries, "id long, patch string"), want
+
+
+def test_pairs_around_one_hunk_are_made_in_many_tasks(spark, monkeypatch):
+    found, left, right, want = around_one_hunk(spark)
+    monkeypatch.setattr(kinds, "LISTED", 10)
+    monkeypatch.setattr(kinds, "DEALT", len(want) // 16, raising=False)
+    pairs = kinds.pairs_of(found, left, right)
+    made = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert max(made) * 5 < sum(made) == len(want)
+
+
+def test_a_row_explodes_to_one_list_in_a_stage_of_code(spark):
+    """Both lists in one stage: all pairs of two lists, a million, would be held before the first goes on."""
+    found, left, right, _ = around_one_hunk(spark, 20)
+    plan = kinds.pairs_of(found, left, right)._jdf.queryExecution().executedPlan().toString()
+    between = plan[plan.index("Generate explode(right") :]
+    assert "Union" in between[: between.index("Generate explode(left")]
